@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import jaccard, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_jaccard_join": jaccard.op3,
     "op4_token_files": token_files.op4,
     "op5_best_fit_packing": packing.op5,
 }
