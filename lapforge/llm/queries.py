@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, token_files
+from . import decontaminate, jaccard, langid, licences, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": decontaminate.op2,
     "op3_jaccard_join": jaccard.op3,
     "op4_token_files": token_files.op4,
     "op5_best_fit_packing": packing.op5,
+    "op7_language_id": langid.op7,
+    "op8_licences": licences.op8,
 }
 
 SQL: dict[str, str] = {}
