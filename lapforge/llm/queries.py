@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, licences, packing, token_files
+from . import decontaminate, jaccard, langid, licences, packing, pii, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": decontaminate.op2,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": packing.op5,
     "op7_language_id": langid.op7,
     "op8_licences": licences.op8,
+    "op9_pii_surrogates": pii.op9,
 }
 
 SQL: dict[str, str] = {}
