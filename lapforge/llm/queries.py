@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langid, licences, packing, pii, token_files
+from . import decontaminate, fingerprints, jaccard, langid, licences, packing, pii, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": fingerprints.op1,
     "op2_decontaminate": decontaminate.op2,
     "op3_jaccard_join": jaccard.op3,
     "op4_token_files": token_files.op4,
