@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, jaccard, langid, licences, packing, pii, token_files
+from . import decontaminate, fingerprints, jaccard, langid, licences, lm_score, packing, pii, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": langid.op7,
     "op8_licences": licences.op8,
     "op9_pii_surrogates": pii.op9,
+    "op10_lm_scores": lm_score.op10,
 }
 
 SQL: dict[str, str] = {}
