@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,12 +63,8 @@ def input_partitions(df: DataFrame, least: int = 8) -> int:
     return max(least, df.rdd.getNumPartitions())
 
 
-def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose key may be among ``ids`` (same column name).
-
-    A bitmap of fixed size is broadcast, so no key of ``ids`` is missed; a few others pass, and an
-    exact join or filter has to follow. It keeps long rows out of that join's shuffle.
-    """
+def _marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``df`` with _maybe: whether the key's bit is set in a bitmap of fixed size over ``ids``."""
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_BITS))
     words = (
         ids.select(bit.alias("_bit"))
@@ -78,13 +73,24 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     )
     marked = df.withColumn("_at", bit).withColumn("_word", (F.col("_at") / 64).cast("int"))
     # at most BITMAP_BITS / 64 rows of 12 bytes
-    found = marked.join(F.broadcast(words), "_word").where(F.expr("getbit(_bits, cast(_at % 64 as int)) = 1"))
-    return found.drop("_word", "_bits", "_at")
+    joined = marked.join(F.broadcast(words), "_word", "left")
+    return joined.withColumn("_maybe", F.expr("coalesce(getbit(_bits, cast(_at % 64 as int)) = 1, false)")).drop("_word", "_bits", "_at")
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be among ``ids`` (same column name).
+
+    A bitmap of fixed size is broadcast, so no key of ``ids`` is missed; a few others pass, and an
+    exact join or filter has to follow. It keeps long rows out of that join's shuffle.
+    """
+    return _marked(df, key, ids).where("_maybe").drop("_maybe")
 
 
-def strings(batch: pa.RecordBatch, column: int | str) -> list[str]:
-    """A text column as Python strings, null as empty."""
-    return [x or "" for x in batch.column(column).to_pylist()]
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not among ``ids``; rows with a null key stay. Only rows whose key may be among them are shuffled."""
+    marked = _marked(df, key, ids)
+    sure = marked.where("not _maybe").drop("_maybe")
+    return sure.unionByName(marked.where("_maybe").drop("_maybe").join(ids.select(key).distinct(), key, "left_anti").select(df.columns))
 
 
 def held_out(column: str, modulus: int, remainder: int) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, jaccard, langid, licences, lm_score, packing, pii, token_files
+from . import decontaminate, fingerprints, jaccard, langid, licences, lm_score, packing, pii, token_files, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1,
@@ -14,10 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": jaccard.op3,
     "op4_token_files": token_files.op4,
     "op5_best_fit_packing": packing.op5,
+    "op6_url_lists": url_lists.op6,
     "op7_language_id": langid.op7,
     "op8_licences": licences.op8,
     "op9_pii_surrogates": pii.op9,
     "op10_lm_scores": lm_score.op10,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_url_lists": url_lists.OP6_SQL}
