@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.fixtures import Fixtures
 from .core import CORE
+from .ingest import INGEST
+from .race import RACE
 from .views import with_views
 
-ALL = CORE
+ALL = CORE | RACE | INGEST
 
 
 def _bound(plan: Callable[[Fixtures], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

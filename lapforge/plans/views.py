@@ -104,6 +104,8 @@ def with_views(sql: str) -> str:
                 wanted.append(name)
 
     need(sql)
+    # epoch_ms rounds; milliseconds here are whole ones
+    sql = re.sub(r"epoch_ms\(((?:[^()]|\([^()]*\))*)\)", r"(epoch_us(\1) // 1000)", sql)
     body = sql.strip()
     views = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in VIEWS if n in wanted)
     if not views:
