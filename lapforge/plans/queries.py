@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.fixtures import Fixtures
 from .core import CORE
 from .ingest import INGEST
+from .models import MODELS
+from .quality import QUALITY
 from .race import RACE
 from .views import with_views
 
-ALL = CORE | RACE | INGEST
+ALL = CORE | RACE | INGEST | QUALITY | MODELS
 
 
 def _bound(plan: Callable[[Fixtures], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
