@@ -16,7 +16,11 @@ from .lookups import top_n
 from .sequences import lap_gap_features, position_step_features
 
 LAP = ["session_id", "driver_code", "lap_number"]
-one = F.count(F.lit(1))
+
+
+def _n() -> Column:
+    return F.count(F.lit(1))
+
 
 
 @dataclass(frozen=True)
@@ -154,14 +158,14 @@ SAFETY = ["safe_for_replay", "safe_for_time_domain_analysis", "safe_for_lap_comp
 
 def _flag_counts(df: DataFrame, flags: list[str], name: str, by: list[str] = ()) -> DataFrame:
     """Rows (by, name, laps, pct): how many rows have each flag, in one pass."""
-    counts = df.groupBy(*by).agg(one.alias("_n"), *(F.count_if(c).alias(c) for c in flags))
+    counts = df.groupBy(*by).agg(_n().alias("_n"), *(F.count_if(c).alias(c) for c in flags))
     long = counts.select(*by, "_n", F.explode(F.array(*(F.struct(F.lit(c).alias(name), F.col(c).alias("laps")) for c in flags))).alias("x"))
     return long.select(*by, "x.*", (100.0 * F.col("x.laps") / F.col("_n")).alias("pct"))
 
 
 def lap_summary_report(df: DataFrame, kind: str) -> DataFrame:
     """One of the reports over classified laps: categories, primary, lenses, safety, recommendations, by_race, by_driver, intersections, primary_by_race, driver_race_matrix."""
-    share = lambda keys: df.groupBy(*keys).agg(one.alias("laps"), F.count_if("bad_lap_any_category").alias("flagged_laps")).withColumn("flagged_pct", 100.0 * F.col("flagged_laps") / F.col("laps"))
+    share = lambda keys: df.groupBy(*keys).agg(_n().alias("laps"), F.count_if("bad_lap_any_category").alias("flagged_laps")).withColumn("flagged_pct", 100.0 * F.col("flagged_laps") / F.col("laps"))
     if kind == "categories":
         return _flag_counts(df, CATEGORIES, "category")
     if kind == "lenses":
@@ -169,13 +173,13 @@ def lap_summary_report(df: DataFrame, kind: str) -> DataFrame:
     if kind == "safety":
         return _flag_counts(df, SAFETY, "use")
     if kind == "primary":
-        return df.groupBy("primary_category").agg(one.alias("laps"))
+        return df.groupBy("primary_category").agg(_n().alias("laps"))
     if kind == "recommendations":
-        return df.groupBy("product_recommendation").agg(one.alias("laps"))
+        return df.groupBy("product_recommendation").agg(_n().alias("laps"))
     if kind == "intersections":
-        return df.groupBy("reason_set", "reason_count").agg(one.alias("laps"))
+        return df.groupBy("reason_set", "reason_count").agg(_n().alias("laps"))
     if kind == "primary_by_race":
-        return df.groupBy("session_id", "primary_category").agg(one.alias("laps"))
+        return df.groupBy("session_id", "primary_category").agg(_n().alias("laps"))
     if kind == "by_race":
         return share(["session_id"])
     if kind == "by_driver":
@@ -188,7 +192,7 @@ def lap_summary_report(df: DataFrame, kind: str) -> DataFrame:
 def decision_waterfall(df: DataFrame) -> DataFrame:
     """Laps removed by each primary category in its order, and how many remain after it."""
     step = first_match([(F.col(x), k) for k, x in enumerate(PRIORITY)], len(PRIORITY))
-    counts = df.groupBy(step.cast("int").alias("step")).agg(one.alias("laps"))
+    counts = df.groupBy(step.cast("int").alias("step")).agg(_n().alias("laps"))
     names = F.array(*map(F.lit, [*PRIORITY, "clean"]))
     # at most one row a category
     after = Window.orderBy("step").rowsBetween(1, Window.unboundedFollowing)
@@ -205,7 +209,7 @@ def primary_category_audit(df: DataFrame, limit: int = 100) -> DataFrame:
 def race_drilldown(df: DataFrame, sessions: DataFrame) -> DataFrame:
     """Per event and primary category: laps, drivers and medians of lap time and coverage."""
     rows = df.join(sessions.select("session_id", "event_name"), "session_id")
-    return rows.groupBy("event_name", "primary_category").agg(one.alias("laps"), F.count_distinct("driver_code").alias("drivers"), F.median("lap_time_ms").alias("median_lap_time_ms"), F.median("car_coverage_ratio").alias("median_coverage_ratio"))
+    return rows.groupBy("event_name", "primary_category").agg(_n().alias("laps"), F.count_distinct("driver_code").alias("drivers"), F.median("lap_time_ms").alias("median_lap_time_ms"), F.median("car_coverage_ratio").alias("median_coverage_ratio"))
 
 
 def scenarios(base: LapThresholds = LapThresholds()) -> list[tuple[str, LapThresholds]]:
@@ -224,7 +228,7 @@ def threshold_sensitivity(features: DataFrame, profiles: DataFrame, base: LapThr
     wide = features.crossJoin(F.broadcast(table))
     done = classify_laps(derived_lap_features(wide, profiles, None, ["session_id", "scenario"]), None).select("scenario", *LAP, F.col("bad_lap_any_category").alias("bad"))
     was = done.where("scenario = 'baseline'").select(*LAP, F.col("bad").alias("was"))
-    out = done.join(was, LAP).groupBy("scenario").agg(one.alias("laps"), F.count_if("bad").alias("flagged"), F.count_if("was").alias("baseline"), F.count_if(F.col("bad") != F.col("was")).alias("flips"))
+    out = done.join(was, LAP).groupBy("scenario").agg(_n().alias("laps"), F.count_if("bad").alias("flagged"), F.count_if("was").alias("baseline"), F.count_if(F.col("bad") != F.col("was")).alias("flips"))
     return out.withColumn("delta", F.col("flagged") - F.col("baseline"))
 
 
@@ -232,7 +236,7 @@ def speed_profile_baselines(df: DataFrame, required_bins: int = 12) -> DataFrame
     """Per session and bin, over clean laps with enough bins: 10th percentile, median and 90th of speed."""
     rows = df.where(~F.col("bad_lap_any_category") & (F.col("speed_profile_bins_present") >= required_bins))
     long = rows.select("session_id", F.explode(F.array(*(F.struct(F.lit(k).alias("bin"), F.col(b).alias("v")) for k, b in enumerate(BINS, 1)))).alias("x")).select("session_id", "x.*").where("v is not null")
-    return long.groupBy("session_id", "bin").agg(one.alias("laps"), F.percentile("v", 0.1).alias("q10"), F.median("v").alias("median"), F.percentile("v", 0.9).alias("q90"))
+    return long.groupBy("session_id", "bin").agg(_n().alias("laps"), F.percentile("v", 0.1).alias("q10"), F.median("v").alias("median"), F.percentile("v", 0.9).alias("q90"))
 
 
 def shape_examples(df: DataFrame, limit: int = 20) -> DataFrame:
@@ -264,7 +268,7 @@ def surface_flags(sessions: DataFrame, surface: DataFrame, drivers: DataFrame, m
     df = sessions.select("session_id", "session_start_utc", "session_end_utc", "country").join(surface, "session_id")
     df = df.join(drivers.groupBy("session_id").agg(F.count_if(c("driver_number").isNull()).alias("missing_driver_number"), F.count_if(c("team_name").isNull()).alias("missing_team_name")), "session_id", "left")
     df = df.join(markers.groupBy("session_id").agg(F.count_if(c("distance_m").isNull()).alias("marker_distance_nulls")), "session_id", "left").join(gaps, "session_id", "left")
-    df = df.join(session_status.groupBy("session_id").agg(one.alias("session_status_events")), "session_id", "left")
+    df = df.join(session_status.groupBy("session_id").agg(_n().alias("session_status_events")), "session_id", "left")
     warned = diagnostics.groupBy("session_id").agg(F.max(F.size("warning_flags") > 0).alias("ingestion_diagnostic_warning")) if diagnostics is not None else sessions.select("session_id", F.lit(False).alias("ingestion_diagnostic_warning"))
     df = df.join(warned, "session_id", "left").fillna(False, ["ingestion_diagnostic_warning"]).fillna(0, ["missing_driver_number", "missing_team_name", "marker_distance_nulls", "session_status_events"])
     share = lambda a, b, k=1: 100.0 * a / (F.nullif(c(b), F.lit(0)) * k)
@@ -291,7 +295,7 @@ def surface_flag_summary(df: DataFrame) -> DataFrame:
 
 
 def surface_summary_by_year(df: DataFrame) -> DataFrame:
-    out = df.groupBy("year").agg(one.alias("sessions"), F.count_if("has_surface_issue").alias("sessions_with_issue"), F.median("surface_issue_count").alias("median_surface_issue_count"), *(F.sum(c).alias(c) for c in ("car_samples", "position_samples", "aligned_samples", "weather_samples", "messages")))
+    out = df.groupBy("year").agg(_n().alias("sessions"), F.count_if("has_surface_issue").alias("sessions_with_issue"), F.median("surface_issue_count").alias("median_surface_issue_count"), *(F.sum(c).alias(c) for c in ("car_samples", "position_samples", "aligned_samples", "weather_samples", "messages")))
     return out.withColumn("issue_pct", 100.0 * F.col("sessions_with_issue") / F.col("sessions"))
 
 
@@ -309,11 +313,11 @@ def quality_windows(aligned: DataFrame, laps: DataFrame, messages: DataFrame, ev
     pits = laps.select(*LAP, (F.col("is_pit_in_lap") | F.col("is_pit_out_lap")).alias("_pit"))
     rows = aligned.where("session_time_ms is not null").join(pits, LAP, "left").withColumns({"window_start_ms": bucket, "family": quality_family(F.col("quality_flags"))})
     names = [v for _, v in FAMILIES if v != "OK"] + ["other_unknown"]
-    out = rows.groupBy(*keys).agg(one.alias("samples"), F.count_if(F.col("family") != "OK").alias("not_ok"), *(F.count_if(F.col("family") == n).alias(n) for n in names), F.count_if("_pit").alias("pit_lap_rows"))
+    out = rows.groupBy(*keys).agg(_n().alias("samples"), F.count_if(F.col("family") != "OK").alias("not_ok"), *(F.count_if(F.col("family") == n).alias(n) for n in names), F.count_if("_pit").alias("pit_lap_rows"))
     most = F.greatest(*names)
     out = out.withColumns({"window_end_ms": F.col("window_start_ms") + width, "dominant_family": F.when(most == 0, "OK").otherwise(F.coalesce(*(F.when(F.col(n) == most, n) for n in names))), "non_ok_pct": 100.0 * F.col("not_ok") / F.col("samples")})
     own = ["session_id", "window_start_ms"]
-    said = with_taxonomy(messages).where("session_time_ms is not null").groupBy("session_id", bucket.alias("window_start_ms")).agg(one.alias("messages"), F.count_if(F.col("taxonomy").isin(INCIDENT_KINDS)).alias("incident_messages"))
+    said = with_taxonomy(messages).where("session_time_ms is not null").groupBy("session_id", bucket.alias("window_start_ms")).agg(_n().alias("messages"), F.count_if(F.col("taxonomy").isin(INCIDENT_KINDS)).alias("incident_messages"))
     spans = out.select(*own, "window_end_ms").distinct()
     met = overlap(spans, "window_start_ms", "window_end_ms", track_status_periods(events).where("status_code <> '1'"), width * 20, closed=False).select(*own).distinct().withColumn("has_status_context", F.lit(True))
     out = out.join(said, own, "left").join(met, own, "left").fillna(0, ["messages", "incident_messages"]).fillna(False, ["has_status_context"])
@@ -328,8 +332,8 @@ def _bucketed(df: DataFrame, buckets: dict[str, Column], name: str, *aggs: Colum
 
 def context_overlap(windows: DataFrame, t: SurfaceThresholds = SurfaceThresholds()) -> DataFrame:
     """Shares of context among all, degraded and severe windows, and their quality."""
-    pct = lambda c: (100.0 * F.count_if(c) / one).alias(f"pct_{c}")
-    return _bucketed(windows, {"all_windows": F.lit(True), "degraded_windows": F.col("non_ok_pct") >= t.degraded_window_min_non_ok_pct, "severe_windows": F.col("non_ok_pct") >= t.severe_window_min_non_ok_pct}, "window_bucket", one.alias("windows"), *map(pct, ("has_race_control_context", "has_status_context", "has_pit_context", "has_incident_context")), F.median("non_ok_pct").alias("median_non_ok_pct"), F.percentile("non_ok_pct", 0.95).alias("p95_non_ok_pct"))
+    pct = lambda c: (100.0 * F.count_if(c) / _n()).alias(f"pct_{c}")
+    return _bucketed(windows, {"all_windows": F.lit(True), "degraded_windows": F.col("non_ok_pct") >= t.degraded_window_min_non_ok_pct, "severe_windows": F.col("non_ok_pct") >= t.severe_window_min_non_ok_pct}, "window_bucket", _n().alias("windows"), *map(pct, ("has_race_control_context", "has_status_context", "has_pit_context", "has_incident_context")), F.median("non_ok_pct").alias("median_non_ok_pct"), F.percentile("non_ok_pct", 0.95).alias("p95_non_ok_pct"))
 
 
 def lap_context(aligned_laps: DataFrame, laps: DataFrame, t: SurfaceThresholds = SurfaceThresholds()) -> DataFrame:
@@ -337,7 +341,7 @@ def lap_context(aligned_laps: DataFrame, laps: DataFrame, t: SurfaceThresholds =
     df = aligned_laps.join(laps.select(*LAP, (F.col("is_pit_in_lap") | F.col("is_pit_out_lap")).alias("pit"), (~F.coalesce("is_accurate", F.lit(True))).alias("inaccurate"), F.col("lap_time_ms").isNull().alias("untimed")), LAP, "left")
     no = lambda c: F.coalesce(F.col(c), F.lit(False))
     buckets = {"all_laps": F.lit(True), "pit_laps": no("pit"), "inaccurate_laps": no("inaccurate"), "missing_lap_time_laps": no("untimed"), "ordinary_laps": ~(no("pit") | no("inaccurate") | no("untimed"))}
-    return _bucketed(df, buckets, "lap_bucket", one.alias("laps"), F.count_if(F.col("not_ok") > 0).alias("laps_with_any_non_ok"), F.count_if(F.col("not_ok_pct") >= t.severe_window_min_non_ok_pct).alias("laps_with_severe_non_ok"), F.median("not_ok_pct").alias("median_non_ok_pct"), F.percentile("not_ok_pct", 0.95).alias("p95_non_ok_pct"), F.sum("not_ok").alias("non_ok_rows"))
+    return _bucketed(df, buckets, "lap_bucket", _n().alias("laps"), F.count_if(F.col("not_ok") > 0).alias("laps_with_any_non_ok"), F.count_if(F.col("not_ok_pct") >= t.severe_window_min_non_ok_pct).alias("laps_with_severe_non_ok"), F.median("not_ok_pct").alias("median_non_ok_pct"), F.percentile("not_ok_pct", 0.95).alias("p95_non_ok_pct"), F.sum("not_ok").alias("non_ok_rows"))
 
 
 def replay_watchlist(aligned_drivers: DataFrame, segments: DataFrame, windows: DataFrame, t: SurfaceThresholds = SurfaceThresholds()) -> DataFrame:
@@ -386,14 +390,14 @@ def coverage_summary(windows: DataFrame) -> DataFrame:
 
 
 def message_taxonomy_summary(messages: DataFrame) -> DataFrame:
-    out = with_taxonomy(messages).groupBy("taxonomy").agg(one.alias("messages"), F.count_if(F.col("session_time_ms").isNull()).alias("missing_session_time"), F.count_if(F.col("lap_number").isNull()).alias("missing_lap_scope"), F.count_if(F.col("racing_number").isNull()).alias("missing_driver_scope"), F.count_distinct("session_id").alias("sessions"))
+    out = with_taxonomy(messages).groupBy("taxonomy").agg(_n().alias("messages"), F.count_if(F.col("session_time_ms").isNull()).alias("missing_session_time"), F.count_if(F.col("lap_number").isNull()).alias("missing_lap_scope"), F.count_if(F.col("racing_number").isNull()).alias("missing_driver_scope"), F.count_distinct("session_id").alias("sessions"))
     return out.withColumns({f"{c}_pct": 100.0 * F.col(c) / F.col("messages") for c in ("missing_session_time", "missing_lap_scope", "missing_driver_scope")})
 
 
 def duplicate_messages(messages: DataFrame) -> DataFrame:
     """Messages of a session that are alike but for numbers, with their span and labels."""
     rows = with_taxonomy(messages).withColumn("normalized_message", normalize_message_text(F.col("message")))
-    out = rows.groupBy("session_id", "normalized_message").agg(one.alias("messages"), F.min("session_time_ms").alias("first_session_time_ms"), F.max("session_time_ms").alias("last_session_time_ms"), F.array_join(F.array_sort(F.collect_set("taxonomy")), ",").alias("taxonomy"))
+    out = rows.groupBy("session_id", "normalized_message").agg(_n().alias("messages"), F.min("session_time_ms").alias("first_session_time_ms"), F.max("session_time_ms").alias("last_session_time_ms"), F.array_join(F.array_sort(F.collect_set("taxonomy")), ",").alias("taxonomy"))
     return out.where("messages > 1").withColumn("span_ms", F.col("last_session_time_ms") - F.col("first_session_time_ms"))
 
 
@@ -404,7 +408,7 @@ def status_message_overlap(intervals: DataFrame, messages: DataFrame) -> DataFra
     points = rows.select("session_id", F.col("session_time_ms").alias("_t"), F.lit(1).alias("_o"), "taxonomy").unionByName(spans.select("session_id", F.col("start_time_ms").alias("_t"), F.lit(0).alias("_o"), F.struct("start_time_ms", "end_time_ms", "status_code").alias("_i")), allowMissingColumns=True)
     last = Window.partitionBy("session_id").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
     met = points.withColumn("_f", F.last("_i", ignorenulls=True).over(last)).where("_o = 1 and _t < _f.end_time_ms")
-    by = met.groupBy("session_id", F.col("_f.start_time_ms").alias("start_time_ms"), F.col("_f.status_code").alias("status_code")).agg(one.alias("messages"), F.count_if(F.col("taxonomy").isin(INCIDENT_KINDS)).alias("incident_messages"), F.array_join(F.array_sort(F.collect_set("taxonomy")), ",").alias("taxonomies"))
+    by = met.groupBy("session_id", F.col("_f.start_time_ms").alias("start_time_ms"), F.col("_f.status_code").alias("status_code")).agg(_n().alias("messages"), F.count_if(F.col("taxonomy").isin(INCIDENT_KINDS)).alias("incident_messages"), F.array_join(F.array_sort(F.collect_set("taxonomy")), ",").alias("taxonomies"))
     return intervals.join(by, ["session_id", "start_time_ms", "status_code"], "left").fillna(0, ["messages", "incident_messages"]).fillna("", ["taxonomies"])
 
 
@@ -412,9 +416,9 @@ def context_timeline(windows: DataFrame, messages: DataFrame, transitions: DataF
     """Bins of a session: replay windows, messages, changes of rain, and bins that a non-clear status touches."""
     bucket = lambda c: (F.floor(F.col(c) / width) * width).cast("long").alias("bin_start_ms")
     keys = ["session_id", "bin_start_ms"]
-    own = windows.groupBy("session_id", bucket("window_start_ms")).agg(one.alias("driver_windows"), F.count_if(F.col("non_ok_pct") >= t.degraded_window_min_non_ok_pct).alias("degraded_driver_windows"), F.count_if(F.col("non_ok_pct") >= t.severe_window_min_non_ok_pct).alias("severe_driver_windows"), F.max("non_ok_pct").alias("max_non_ok_pct"))
-    said = with_taxonomy(messages).where("session_time_ms is not null").groupBy("session_id", bucket("session_time_ms")).agg(one.alias("messages"), F.count_if(F.col("taxonomy").isin(INCIDENT_KINDS)).alias("incident_messages"))
-    rain = transitions.groupBy("session_id", bucket("session_time_ms")).agg(one.alias("rainfall_transitions"))
+    own = windows.groupBy("session_id", bucket("window_start_ms")).agg(_n().alias("driver_windows"), F.count_if(F.col("non_ok_pct") >= t.degraded_window_min_non_ok_pct).alias("degraded_driver_windows"), F.count_if(F.col("non_ok_pct") >= t.severe_window_min_non_ok_pct).alias("severe_driver_windows"), F.max("non_ok_pct").alias("max_non_ok_pct"))
+    said = with_taxonomy(messages).where("session_time_ms is not null").groupBy("session_id", bucket("session_time_ms")).agg(_n().alias("messages"), F.count_if(F.col("taxonomy").isin(INCIDENT_KINDS)).alias("incident_messages"))
+    rain = transitions.groupBy("session_id", bucket("session_time_ms")).agg(_n().alias("rainfall_transitions"))
     touched = intervals.where("status_code <> '1' and end_time_ms >= start_time_ms").select("session_id", F.explode(F.sequence((F.floor(F.col("start_time_ms") / width) * width).cast("long"), F.col("end_time_ms"), F.lit(width).cast("long"))).alias("bin_start_ms")).distinct().withColumn("has_status_context", F.lit(True))
     out = own.join(said, keys, "left").join(rain, keys, "left").join(touched, keys, "left").fillna(0, ["messages", "incident_messages", "rainfall_transitions"]).fillna(False, ["has_status_context"])
     return out.withColumns({"degraded_window_rate": F.col("degraded_driver_windows") / F.col("driver_windows"), "has_context_event": F.col("has_status_context") | (F.col("incident_messages") > 0) | (F.col("rainfall_transitions") > 0)})
@@ -423,7 +427,7 @@ def context_timeline(windows: DataFrame, messages: DataFrame, transitions: DataF
 def context_correlation(bins: DataFrame) -> DataFrame:
     c = F.col
     buckets = {"all_bins": F.lit(True), "context_event_bins": c("has_context_event"), "no_context_event_bins": ~c("has_context_event"), "race_control_incident_bins": c("incident_messages") > 0, "status_bins": c("has_status_context"), "rainfall_transition_bins": c("rainfall_transitions") > 0}
-    return _bucketed(bins, buckets, "bin_bucket", one.alias("bins"), F.median("degraded_window_rate").alias("median_degraded_window_rate"), F.percentile("degraded_window_rate", 0.95).alias("p95_degraded_window_rate"), F.median("max_non_ok_pct").alias("median_max_non_ok_pct"), F.percentile("max_non_ok_pct", 0.95).alias("p95_max_non_ok_pct"), F.sum("severe_driver_windows").alias("severe_driver_windows"))
+    return _bucketed(bins, buckets, "bin_bucket", _n().alias("bins"), F.median("degraded_window_rate").alias("median_degraded_window_rate"), F.percentile("degraded_window_rate", 0.95).alias("p95_degraded_window_rate"), F.median("max_non_ok_pct").alias("median_max_non_ok_pct"), F.percentile("max_non_ok_pct", 0.95).alias("p95_max_non_ok_pct"), F.sum("severe_driver_windows").alias("severe_driver_windows"))
 
 
 def marker_quality(markers: DataFrame, positions: DataFrame) -> DataFrame:
@@ -444,7 +448,7 @@ def marker_quality(markers: DataFrame, positions: DataFrame) -> DataFrame:
 def marker_summary(sessions: DataFrame, quality: DataFrame, circuits: DataFrame, t: SurfaceThresholds = SurfaceThresholds()) -> DataFrame:
     """Per session: markers by kind and issue, readiness and recommendation by the first rule that holds."""
     c = F.col
-    by = quality.groupBy("session_id").agg(one.alias("marker_count"), F.count_if(c("marker_type") == "corner").alias("corner_markers"), F.count_if(c("distance_m").isNull()).alias("marker_distance_nulls"), F.count_if("outside_minmax_bounds").alias("markers_outside_position_bounds"), F.count_if("outside_core_bounds").alias("markers_outside_core_bounds"), F.max("position_xy_samples").alias("position_xy_samples"))
+    by = quality.groupBy("session_id").agg(_n().alias("marker_count"), F.count_if(c("marker_type") == "corner").alias("corner_markers"), F.count_if(c("distance_m").isNull()).alias("marker_distance_nulls"), F.count_if("outside_minmax_bounds").alias("markers_outside_position_bounds"), F.count_if("outside_core_bounds").alias("markers_outside_core_bounds"), F.max("position_xy_samples").alias("position_xy_samples"))
     meta = circuits.where("rotation_degrees is not null").select("session_id").distinct().withColumn("rotation_present", F.lit(True))
     df = sessions.select("session_id", "event_name").join(by, "session_id", "left").join(meta, "session_id", "left").fillna(0).fillna(False, ["rotation_present"])
     missing = ~c("rotation_present") | (c("position_xy_samples") == 0) | (c("marker_count") == 0)
@@ -467,7 +471,7 @@ def product_readiness(flags: DataFrame, watchlist: DataFrame, windows: DataFrame
     """Per session: five readiness labels, the worst score, a recommendation, affected drivers, windows and time."""
     c = F.col
     drivers = watchlist.groupBy("session_id").agg(F.count_distinct("driver_code").alias("affected_drivers"), F.sum("severe_windows").alias("severe_windows"), F.sum("degraded_windows").alias("degraded_windows"), F.max("longest_segment_ms").alias("longest_segment_ms"))
-    bad = windows.where(c("non_ok_pct") >= t.degraded_window_min_non_ok_pct).select("session_id", "window_start_ms").distinct().groupBy("session_id").agg(one.alias("bad_windows"))
+    bad = windows.where(c("non_ok_pct") >= t.degraded_window_min_non_ok_pct).select("session_id", "window_start_ms").distinct().groupBy("session_id").agg(_n().alias("bad_windows"))
     df = flags.join(drivers, "session_id", "left").join(bad, "session_id", "left").join(coverage.select("session_id", "active_replay_duration_ms"), "session_id", "left").join(markers.select("session_id", "circuit_context_readiness", "circuit_context_recommendation"), "session_id", "left")
     df = df.fillna(0, ["affected_drivers", "severe_windows", "degraded_windows", "longest_segment_ms", "bad_windows"]).fillna({"circuit_context_readiness": "needs_reimport", "circuit_context_recommendation": "reimport"})
     df = df.withColumns({
@@ -487,9 +491,9 @@ def product_readiness(flags: DataFrame, watchlist: DataFrame, windows: DataFrame
 def readiness_summary(readiness: DataFrame) -> DataFrame:
     """Sessions of each recommendation; all five are kept."""
     every = readiness.sparkSession.createDataFrame([(r,) for r in RECOMMENDATIONS], "final_recommendation string")
-    return every.join(readiness.groupBy("final_recommendation").agg(one.alias("sessions")), "final_recommendation", "left").fillna(0, ["sessions"])
+    return every.join(readiness.groupBy("final_recommendation").agg(_n().alias("sessions")), "final_recommendation", "left").fillna(0, ["sessions"])
 
 
 def assert_scope(sessions: DataFrame, expected: int) -> DataFrame:
     """One row: sessions expected and found, and whether they agree."""
-    return sessions.agg(one.alias("found")).select(F.lit(expected).cast("long").alias("expected"), "found", (F.col("found") == expected).alias("matches"))
+    return sessions.agg(_n().alias("found")).select(F.lit(expected).cast("long").alias("expected"), "found", (F.col("found") == expected).alias("matches"))
