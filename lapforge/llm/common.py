@@ -13,12 +13,16 @@ BITMAP_BITS = 1 << 23
 #: Rows and bytes of a batch that crosses into Python: long texts must not add up.
 BATCH_ROWS = 1000
 BATCH_BYTES = 4 << 20
+#: Characters of a plan's text that the driver keeps.
+PLAN_CHARS = 10_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a worker's memory does not depend on the length of texts."""
+    """Small Arrow batches, so that a worker's memory does not depend on the length of texts; short plan texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    # the driver keeps the text of every plan, and some plans are long
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
