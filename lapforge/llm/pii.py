@@ -79,16 +79,19 @@ def _shift(text: Column, digest: Column, hexadecimal: Column) -> Column:
 
 
 def _feistel(text: Column, key: Column, hexadecimal: Column) -> Column:
-    """A keyed permutation of the texts of [0-9a-z] with equal classes of characters at equal places."""
+    """A keyed permutation of the texts of [0-9a-z] with equal classes of characters at equal places. ``text``: bound by :func:`_let`."""
     half = (F.length(text) / 2).cast("int")
-    left, right = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
-    tweak = F.concat_ws("-", key, F.length(text).cast("string"))
-    state = F.array(left, right)
-    even = lambda r: lambda s: F.array(_shift(s[0], _digest(tweak, F.lit(str(r)), s[1]), hexadecimal), s[1])
-    odd = lambda r: lambda s: F.array(s[0], _shift(s[1], _digest(tweak, F.lit(str(r)), s[0]), hexadecimal))
-    for r in range(4):
-        state = _let(state, odd(r) if r % 2 else even(r))
-    return F.concat(state[0], state[1])
+    halves = F.array(F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text)))
+
+    def rounds(bound: Column) -> Column:
+        tweak, state = bound[0], F.array(bound[1], bound[2])
+        even = lambda r: lambda s: F.array(_shift(s[0], _digest(tweak, F.lit(str(r)), s[1]), hexadecimal), s[1])
+        odd = lambda r: lambda s: F.array(s[0], _shift(s[1], _digest(tweak, F.lit(str(r)), s[0]), hexadecimal))
+        for r in range(4):
+            state = _let(state, odd(r) if r % 2 else even(r))
+        return _let(state, lambda s: F.concat(s[0], s[1]))
+
+    return _let(F.concat(F.array(F.concat_ws("-", key, F.length(text).cast("string"))), halves), rounds)
 
 
 def _core(text: Column) -> Column:
@@ -108,8 +111,11 @@ def _into(form: Column, core: Column) -> Column:
 
 
 def _permuted(text: Column, key: Column) -> Column:
-    core = _core(text)
-    return _let(_feistel(core, key, core.rlike("^[0-9a-f]*$")), lambda c: _into(text, c))
+    def spell(v: Column) -> Column:
+        mixed = _let(_core(v), lambda core: _feistel(core, key, core.rlike("^[0-9a-f]*$")))
+        return _let(mixed, lambda m: _into(v, m))
+
+    return _let(text, spell)
 
 
 def _luhn(digits: Column) -> Column:
@@ -184,11 +190,13 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
         return F.concat(code, _permuted(F.substring(v, F.length(code) + 1, F.length(v)), F.concat_ws("|", own, code)))
 
     def card(v: Column) -> Column:
-        digits = _core(v)
+        return _let(_core(v), lambda digits: numbered(v, digits))
+
+    def numbered(v: Column, digits: Column) -> Column:
         middle = F.substring(digits, F.lit(2), F.length(digits) - 2)
         # the last digit keeps its distance from Luhn's check digit: valid numbers stay valid
         off = F.substring(digits, F.length(digits), F.lit(1)).cast("int") - _luhn(F.substring(digits, F.lit(1), F.length(digits) - 1))
-        head = F.concat(F.substring(digits, 1, 1), _feistel(middle, F.concat_ws("|", own, F.substring(digits, 1, 1)), F.lit(False)))
+        head = F.concat(F.substring(digits, 1, 1), _let(middle, lambda m: _feistel(m, F.concat_ws("|", own, F.substring(digits, 1, 1)), F.lit(False))))
         return _let(head, lambda h: _into(v, F.concat(h, F.pmod(_luhn(h) + off, F.lit(10)).cast("string"))))
 
     def secret(v: Column) -> Column:
@@ -219,7 +227,7 @@ def redraws(found: DataFrame, key: str) -> DataFrame:
     first by its identity keeps it.
     """
     own = found.distinct().withColumn("id", identity(F.col("kind"), F.col("value"))).groupBy("id", "kind").agg(F.min("value").alias("value"))
-    drawn = own.withColumn("attempt", F.lit(0)).withColumn("to", identity(F.col("kind"), surrogate(F.col("kind"), F.col("value"), key, F.lit(0))))
+    drawn = own.withColumn("attempt", F.lit(0)).withColumn("to", _let(surrogate(F.col("kind"), F.col("value"), key, F.lit(0)), lambda s: identity(F.col("kind"), s)))
     drawn = common.materialize(drawn, "surrogates")
 
     def losers(rows: DataFrame) -> DataFrame:
@@ -230,7 +238,7 @@ def redraws(found: DataFrame, key: str) -> DataFrame:
         bad = common.materialize(losers(drawn), "collisions")
         if bad.isEmpty():
             break
-        again = bad.withColumn("attempt", F.col("attempt") + 1).withColumn("to", identity(F.col("kind"), surrogate(F.col("kind"), F.col("value"), key, F.col("attempt"))))
+        again = bad.withColumn("attempt", F.col("attempt") + 1).withColumn("to", _let(surrogate(F.col("kind"), F.col("value"), key, F.col("attempt")), lambda s: identity(F.col("kind"), s)))
         drawn = common.materialize(drawn.join(bad.select("id"), "id", "left_anti").unionByName(again.select(drawn.columns)), "surrogates")
     else:
         raise RuntimeError("surrogates still collide")
