@@ -8,6 +8,7 @@ worker parses a word once.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 200, 1000, 60_000
 #: Shares in which a language's sample is drawn, so that a frequent language is drawn by many tasks.
 SHARES = 32
 #: Parsed words that a worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+CACHE_WORDS, CACHE_CHARS = 250_000, 48
 
 UNKNOWN = "und"
 
@@ -155,6 +156,18 @@ class Parser:
         return [UNKNOWN if n else self.languages[b] for n, b in zip(none.tolist(), best.tolist())], score
 
 
+_parsers: dict[int, Parser] = {}
+
+
+def _parser(texts: dict[str, str]) -> Parser:
+    """The worker's parser of these training texts, kept from task to task; a worker holds one at a time."""
+    key = zlib.crc32(repr(sorted(texts.items())).encode())
+    if key not in _parsers:
+        _parsers.clear()
+        _parsers[key] = Parser(texts)
+    return _parsers[key]
+
+
 def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     """``docs`` (all its columns) with lang_pred and score from whole texts in its column ``text``."""
     held = docs.sparkSession.sparkContext.broadcast(texts)
@@ -162,7 +175,7 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     names = out.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(held.value)
+        parser = _parser(held.value)
         for batch in batches:
             lang, score = parser.predict(batch.column("text"))
             yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
