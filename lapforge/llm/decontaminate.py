@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Seeds join training passages to test items; an alignment over the whole text then scores what they
-share, so that edited copies are found and a shared common phrase is not enough.
+share, so that edited copies are found and a shared common phrase is not enough. How often a seed
+occurs does not matter: a bound that no alignment exceeds tells which pairs need no alignment.
 """
 
 from __future__ import annotations
@@ -19,9 +20,6 @@ from .words import ngram_hashes, split_words, word_hashes
 
 #: Words of a seed. Items with fewer words are a seed as a whole.
 SEED_WORDS = 3
-#: A seed is rare if it is in at most so many documents, or in twice as many as the item's median seed:
-#: an item that is copied often keeps its seeds.
-RARE_DOCS, RARE_TIMES = 8, 2.0
 #: Alignment: a match, and a mismatch or gap. Scores are shares of a whole item's matches.
 MATCH, PENALTY = 2, 1
 #: An item is found at this share of itself, or with as much as so many words in a row.
@@ -59,6 +57,16 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def most_score(own: np.ndarray, doc: np.ndarray) -> int:
+    """What no alignment of an item with ``doc`` exceeds. ``own``: the item's distinct words, sorted.
+
+    Each aligned word of ``doc`` is a match at best if the item has it, and costs the penalty if not.
+    """
+    gain = np.where(own[np.minimum(np.searchsorted(own, doc), len(own) - 1)] == doc, MATCH, -PENALTY)
+    total = np.concatenate(([0], np.cumsum(gain)))
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 def _item_seeds(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Each item's word hashes, and its distinct seeds."""
     words, codes, at = split_words(pa.array(texts, pa.string()))
@@ -69,55 +77,43 @@ def _item_seeds(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 def _block(docs: DataFrame, item_ids: list[int], item_texts: list[str], least_score: float, least_words: int) -> DataFrame:
     """(doc_id, item_id, score, doc_start, doc_end, matched) of one block of items against all documents."""
-    spark = docs.sparkSession
     words, seeds = _item_seeds(item_texts)
-    known = np.unique(np.concatenate([*seeds, np.zeros(0, np.uint64)]))
+    known, where = np.unique(np.concatenate([*seeds, np.zeros(0, np.uint64)]), return_inverse=True)
+    # items of each seed
+    item_of = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])[np.argsort(where, kind="stable")]
+    item_at = np.concatenate(([0], np.cumsum(np.bincount(where, minlength=len(known)))))
     sizes = sorted({min(SEED_WORDS, len(w)) for w in words if len(w)})
-    held = spark.sparkContext.broadcast((known, sizes, words))
-    pairs = [(k, int(np.int64(s))) for k, own in enumerate(seeds) for s in own.view(np.int64).tolist()]
-    item_seeds = spark.createDataFrame(pairs, "item int, seed long")
+    held = docs.sparkSession.sparkContext.broadcast((known, item_of, item_at, sizes, words, [np.unique(w) for w in words]))
 
-    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sizes, _ = held.value
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, item_of, item_at, sizes, items, own_words = held.value
         for batch in batches:
             own, codes, at = split_words(batch.column("text"))
             hashes = word_hashes(own)[codes] if len(codes) else np.zeros(0, np.uint64)
             doc_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            docs_hit, seeds_hit = [], []
+            hits = [np.zeros((2, 0), np.int64)]
             for n in sizes:
                 grams = ngram_hashes(hashes, n)
-                where = np.searchsorted(known, grams)
-                found = np.flatnonzero(known[np.minimum(where, len(known) - 1)] == grams)
+                where = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                found = np.flatnonzero(known[where] == grams)
                 found = found[doc_of[found] == doc_of[found + n - 1]]
-                docs_hit.append(doc_of[found])
-                seeds_hit.append(grams[found])
-            if docs_hit and sum(map(len, docs_hit)):
-                both = np.unique(np.stack([np.concatenate(docs_hit).astype(np.uint64), np.concatenate(seeds_hit)]), axis=1)
-                yield pa.record_batch([batch.column("doc_id").take(pa.array(both[0].astype(np.int64))), pa.array(both[1].view(np.int64))], ["doc_id", "seed"])
-
-    hits = common.materialize(docs.mapInArrow(hit, "doc_id long, seed long"), "seed-hits")
-    often = item_seeds.join(hits.groupBy("seed").count(), "seed", "left").fillna(0, "count")
-    usual = often.groupBy("item").agg(F.percentile("count", 0.5).alias("usual"))
-    rare = often.join(usual, "item").where(f"count > 0 and count <= greatest({RARE_DOCS}, {RARE_TIMES} * usual)").select("item", "seed")
-    candidates = common.materialize(hits.join(rare, "seed").select("doc_id", "item").distinct(), "seed-pairs")
-    found = common.maybe_in(docs, "doc_id", candidates.select("doc_id").distinct())
-    joined = found.join(candidates, "doc_id")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, items = held.value
-        for batch in batches:
-            own, codes, at = split_words(batch.column("text"))
-            hashes = word_hashes(own)[codes] if len(codes) else np.zeros(0, np.uint64)
-            rows: list[tuple] = []
-            for d, k, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("item").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
-                best, start, end = align(items[k], hashes[a:b])
-                share = best / (MATCH * len(items[k]))
-                if share >= least_score or best >= MATCH * least_words:
-                    rows.append((d, item_ids[k], share, start, end))
+                hits.append(np.stack([doc_of[found], where[found]]))
+            docs_hit, seeds_hit = np.unique(np.concatenate(hits, axis=1), axis=1)
+            hit, first = np.unique(docs_hit, return_index=True)
+            ids, rows = batch.column("doc_id").to_pylist(), []
+            for d, a, b in zip(hit.tolist(), first.tolist(), [*first[1:].tolist(), len(docs_hit)]):
+                doc = hashes[at[d] : at[d + 1]]
+                for k in np.unique(np.concatenate([item_of[item_at[s] : item_at[s + 1]] for s in seeds_hit[a:b]])).tolist():
+                    whole = MATCH * len(items[k])
+                    if (bound := most_score(own_words[k], doc)) / whole < least_score and bound < MATCH * least_words:
+                        continue
+                    best, start, end = align(items[k], doc)
+                    if best / whole >= least_score or best >= MATCH * least_words:
+                        rows.append((ids[d], item_ids[k], best / whole, start, end))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "doc_start", "doc_end"])
 
-    scored = joined.select("doc_id", "item", "text").mapInArrow(score, "doc_id long, item_id long, score double, doc_start long, doc_end long")
+    scored = docs.mapInArrow(score, "doc_id long, item_id long, score double, doc_start long, doc_end long")
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "doc_start", "doc_end")).alias("x"))
     return best.select("doc_id", "item_id", "x.*")
 
@@ -127,14 +123,14 @@ def contaminated(docs: DataFrame, items: DataFrame, least_score: float = LEAST_S
 
     score is the best local alignment of the item's words with the whole text's, as a share of the
     item's own (1: word for word). A pair is returned from ``least_score`` on, or with an alignment
-    worth ``least_words`` words in a row. doc_start and doc_end are the aligned words of the text.
-    Words are cut at white space, A-Z lower-cased.
+    worth ``least_words`` words in a row, if the text has a seed of the item (three words in a row),
+    however many texts have it. doc_start and doc_end are the aligned words of the text. Words are cut at white space, A-Z lower-cased.
 
     Null or empty texts and items match nothing; rows with a null id are not compared. Of repeated
     pairs the best alignment stays. Empty tables give an empty result. Other columns are not read.
 
     Items are a stated query set: they are taken in blocks of bounded size against all documents,
-    and each block passes over them once, and over its candidates again.
+    and each block passes over them once.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")

@@ -116,6 +116,23 @@ def test_copies_and_edited_copies_are_found(spark):
     assert decontaminate.contaminated(make(spark, texts), none).count() == 0
 
 
+@pytest.mark.parametrize("copies", [9, 5000])
+def test_edited_and_half_copies_are_found_however_often(spark, copies):
+    rng = random.Random(6)
+    item = [f"{rng.choice('bcdfg')}{rng.randrange(400)}" for _ in range(40)]
+    edited = [x if k % 5 else "zzz" for k, x in enumerate(item)]
+    texts = [" ".join(["x"] * (i % 7) + (edited if i % 2 else item[:20]) + ["y"] * 5) for i in range(2 * copies)] + [" ".join(item[:3] + ["q"] * 50)]
+    got = decontaminate.contaminated(make(spark, texts), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(2 * copies))
+
+
+def test_no_alignment_exceeds_the_bound():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        item, doc = (rng.integers(0, 6, rng.integers(1, 12)).astype(np.uint64) for _ in range(2))
+        assert decontaminate.align(item, doc)[0] <= decontaminate.most_score(np.unique(item), doc)
+
+
 # similarity join
 
 
