@@ -9,7 +9,7 @@ surrogates that two entities share or that repeat the entity, and draws those an
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,17 +36,26 @@ SYLLABLES = {
 ENDINGS = {"latin": {"f": "a", "m": "on"}, "cyrillic": {"f": "ова", "m": "ов"}, "greek": {"f": "ου", "m": "ος"}}
 
 _TITLE = "(?:" + "|".join(sorted((t for x in TITLES.values() for t in x), key=len, reverse=True)) + ")"
-PERSON = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.?[  ]\p{{Lu}}\p{{L}}+(?:-\p{{Lu}}\p{{L}}+)?"
+#: Capital letters that stand for a name: an initial's surrogate comes from its own line.
+INITIALS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
+_INITIAL = "(?:(?:[" + "".join(INITIALS) + r"]\.)++|[" + "".join(INITIALS) + r"](?=[  ]))"
+_NAME = r"(?:\p{Lu}(?:['’]\p{Lu})?\p{L}+(?:-\p{Lu}\p{L}+)*+)"
+#: Words between names, which stay.
+_BETWEEN = r"(?:(?:von|van|de|del|di|da|dos|du)(?:[  ](?:der|den|la|las|los))?)"
+_HEAD = rf"{_TITLE}\.?[  ](?:(?:Dr|Prof)\.?[  ])*+"
+_LINKS = rf"(?:(?:{_INITIAL}|{_BETWEEN})[  ])*+"
+#: A title and all names after it, words and initials, up to the last word. Another title begins another person.
+PERSON = rf"(?<![\p{{L}}\p{{N}}]){_HEAD}{_LINKS}{_NAME}(?:[  ]{_LINKS}(?!{_TITLE}\.?[  ]){_NAME})*+"
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ADDRESS = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])"
 CARD = r"(?<![0-9])[0-9]{4}(?:([ -]?)[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=(?i:token|password|passwd|secret|api_key|apikey) {0,2}[=:] {0,2}[\"']{0,1})[A-Za-z0-9_/+~.-]{7,127}[A-Za-z0-9_/+~-]"
+SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=(?i:token|password|passwd|secret|api_key|apikey) {0,2}[=:] {0,2}[\"']{0,1})[A-Za-z0-9_/+~.-]{7,}[A-Za-z0-9_/+~-]"
 ENTITY = "|".join((PERSON, EMAIL, SECRET, ADDRESS, PHONE, CARD, SSN))
 #: What any entity has at least: texts without it are passed on unread by the full pattern.
-HINT = rf"[0-9@]|(?i:token|password|passwd|secret|api_?key) {{0,2}}[=:]|{_TITLE}\.?[  ]\p{{Lu}}"
+HINT = rf"[0-9@]|(?i:token|password|passwd|secret|api_?key) {{0,2}}[=:]|{_TITLE}\.?[ \u00A0](?:\p{{Lu}}|(?:von|van|de|del|di|da|dos|du)[ \u00A0])"
 #: Rounds in which colliding surrogates are drawn anew, each twice as safe as all names of a kind are many.
 REDRAWS = 16
 
@@ -68,14 +77,14 @@ def _byte(digest: Column, i: Column) -> Column:
 def _shift(text: Column, digest: Column, hexadecimal: Column) -> Column:
     """Digits and lower-case letters moved on within their class (a-f alone for hexadecimal ones)."""
 
-    def move(c: Column, i: Column) -> Column:
+    def move(c: Column, i: Column, digest: Column) -> Column:
         code, by = F.ascii(c), _byte(digest, i)
         digit = F.char(48 + F.pmod(code - 48 + by, F.lit(10)))
         few = F.char(97 + F.pmod(code - 97 + by, F.lit(6)))
         letter = F.char(97 + F.pmod(code - 97 + by, F.lit(26)))
         return F.when(c.between("0", "9"), digit).when(hexadecimal, few).otherwise(letter)
 
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), move), "")
+    return _let(digest, lambda d: F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: move(c, i, d)), ""))
 
 
 def _feistel(text: Column, key: Column, hexadecimal: Column) -> Column:
@@ -102,17 +111,14 @@ def _core(text: Column) -> Column:
 def _into(form: Column, core: Column) -> Column:
     """``core``'s characters at the letters and digits of ``form``, in its case."""
 
-    def put(c: Column, i: Column) -> Column:
-        before = F.length(F.regexp_replace(F.substring(form, F.lit(1), i), "[^A-Za-z0-9]", ""))
-        own = F.substring(core, before + 1, F.lit(1))
-        return F.when(~c.rlike("[A-Za-z0-9]"), c).when(c.between("A", "Z"), F.upper(own)).otherwise(own)
-
-    return F.array_join(F.transform(F.filter(F.split(form, ""), lambda c: c != ""), put), "")
+    own, old = F.filter(F.split(core, ""), lambda c: c != ""), F.regexp_extract_all(form, F.lit("[A-Za-z0-9]"), F.lit(0))
+    put = F.transform(F.arrays_zip(F.split(form, "[A-Za-z0-9]", -1).alias("p"), old.alias("o"), own.alias("c")), lambda z: F.concat(z["p"], F.coalesce(F.when(z["o"].between("A", "Z"), F.upper(z["c"])).otherwise(z["c"]), F.lit(""))))
+    return F.array_join(put, "")
 
 
 def _permuted(text: Column, key: Column) -> Column:
     def spell(v: Column) -> Column:
-        mixed = _let(_core(v), lambda core: _feistel(core, key, core.rlike("^[0-9a-f]*$")))
+        mixed = _let(_core(v), lambda core: _let(core.rlike("^[0-9a-f]*$"), lambda few: _feistel(core, key, few)))
         return _let(mixed, lambda m: _into(v, m))
 
     return _let(text, spell)
@@ -214,10 +220,48 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     )
 
 
+def _pieces(kind: Column, mention: Column) -> Column:
+    """A person's title, names and what is between them; any other mention is one piece."""
+    head = F.regexp_extract(mention, f"^{_HEAD}", 0)
+    names = F.regexp_extract_all(F.substring(mention, F.length(head) + 1, F.length(mention)), F.lit("[ \\u00A0]|[^ \\u00A0.]+\\.?"), F.lit(0))
+    return F.when(kind == "person", F.concat(F.array(head), names)).otherwise(F.array(mention))
+
+
+def _is_name(piece: Column) -> Column:
+    return piece.rlike(f"^{_NAME}$")
+
+
+def _atom(kind: Column, mention: Column, piece: Column) -> Column:
+    """The entity that a piece names: a title with one name, so that full and last names share the last one."""
+    return F.when(kind == "person", F.concat(F.regexp_extract(mention, f"^{_TITLE}\\.?[ \\u00A0]", 0), piece)).otherwise(piece)
+
+
+def _atoms(mention: Column) -> Column:
+    return _let(kind_of(mention), lambda k: F.transform(F.filter(_pieces(k, mention), lambda p: (k != "person") | _is_name(p)), lambda p: _atom(k, mention, p)))
+
+
+def _initial(piece: Column, key: str) -> Column:
+    """Initials move on within their alphabet by a keyed number of letters."""
+    by = int.from_bytes(hashlib.sha256(f"{key}|initial".encode()).digest()[:8])
+    moved = "".join(x[1 + by % (len(x) - 1) :] + x[: 1 + by % (len(x) - 1)] for x in INITIALS)
+    return F.when(piece.rlike("^[" + "".join(INITIALS) + r"]\.?$"), F.translate(piece, "".join(INITIALS), moved)).otherwise(piece)
+
+
+def _rewrite(mention: Column, key: str, attempt) -> Column:
+    """A mention with surrogates. ``attempt``: of an entity."""
+
+    def put(kind: Column, piece: Column) -> Column:
+        bare = lambda s: F.when(kind == "person", F.regexp_replace(s, f"^{_TITLE}\\.?[ \\u00A0]", "")).otherwise(s)
+        drawn = _let(_atom(kind, mention, piece), lambda a: _let(surrogate(kind, a, key, attempt(a)), bare))
+        return F.when((kind == "person") & ~_is_name(piece), _initial(piece, key)).otherwise(drawn)
+
+    return _let(kind_of(mention), lambda k: F.array_join(F.transform(_pieces(k, mention), lambda p: put(k, p)), ""))
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """(kind, value) of every entity in the column ``text``, as often as it is mentioned."""
-    hits = docs.where(F.col("text").rlike(HINT)).select(F.explode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("value"))
-    return hits.select(kind_of(F.col("value")).alias("kind"), "value")
+    """(kind, value) of every entity in the column ``text``, as often as it is mentioned. Each of a person's names is one."""
+    hits = docs.where(F.col("text").rlike(HINT)).select(F.explode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("mention"))
+    return hits.select(F.explode(_atoms(F.col("mention"))).alias("value")).select(kind_of(F.col("value")).alias("kind"), "value")
 
 
 def redraws(found: DataFrame, key: str) -> DataFrame:
@@ -249,7 +293,9 @@ def replace_entities(docs: DataFrame, key: str = "lapforge", text_col: str = "te
     """``docs`` with surrogates for the entities in its text column, and n_entities and entity_kinds.
 
     Kinds: address (IPv4), card (13 to 19 digits), email, person (after a title), phone, secret and
-    ssn. A mention's spelling is kept: case, separators, country code, card brand and validity.
+    ssn. A mention's spelling is kept: case, separators, country code, card brand and validity. All
+    names after a title are replaced, each by its own surrogate: a last name keeps its one with and
+    without a first name.
     n_entities counts mentions, entity_kinds are the distinct kinds, sorted and joined by commas.
 
     Null and empty texts stay as they are with 0 entities. All other columns and repeated rows stay;
@@ -262,13 +308,13 @@ def replace_entities(docs: DataFrame, key: str = "lapforge", text_col: str = "te
     values = F.when(hint, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("_pii", values)
     if again.isEmpty():
-        attempt = lambda kind, v: F.lit(0)
+        attempt = lambda v: F.lit(0)
     else:
-        mentions = docs.where(hint).select(text.alias("_pii_text"), F.explode(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).alias("v"))
+        mentions = docs.where(hint).select(text.alias("_pii_text"), F.explode(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), _atoms))).alias("v"))
         by_text = mentions.distinct().withColumn("id", identity(kind_of(F.col("v")), F.col("v"))).join(again, "id").groupBy(F.sha2("_pii_text", 256).alias("_pii_text")).agg(F.map_from_entries(F.collect_set(F.struct("v", "attempt"))).alias("_pii_again"))
         out = out.withColumn("_pii_text", F.when(F.size("_pii") > 0, F.sha2(text, 256))).join(by_text, "_pii_text", "left")
-        attempt = lambda kind, v: F.coalesce(F.col("_pii_again")[v], F.lit(0))
-    new = F.transform("_pii", lambda v: _let(kind_of(v), lambda k: surrogate(k, v, key, attempt(k, v))))
+        attempt = lambda v: F.coalesce(F.col("_pii_again")[v], F.lit(0))
+    new = F.transform("_pii", lambda v: _rewrite(v, key, attempt))
     pieces = F.split(text, ENTITY, -1)
     joined = F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), F.concat(new, F.array(F.lit(""))).alias("s")), lambda z: F.concat(z["p"], z["s"])), "")
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_pii", kind_of))), ",")

@@ -416,6 +416,22 @@ def test_collisions_are_drawn_anew(spark, monkeypatch):
     assert len(rows) == 4 and len(set(found)) == 3 and (3, "none") in rows
 
 
+def test_whole_secrets_and_names_are_replaced(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHXYZ0123456789_-") for _ in range(300))
+    huge = "".join(rng.choice("abcdef0123456789") for _ in range(20_000))
+    names = "Mr John Smith saw Mr Smith, Mr J. Smith, Mrs Smith and Mr Jack Smith. Then Frau Dr. Otto von Berg-Tal met Mr O'Neil Mrs Jones and Mr. Smith's dog."
+    df = spark.createDataFrame([(0, f"token = {long}. Next"), (1, f"secret: {huge}"), (2, names)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(df).collect()}
+    new = re.fullmatch(r"token = (\S+)\. Next", got[0])[1]
+    assert len(new) == 300 and not any(new[i : i + 8] == long[i : i + 8] for i in range(293))
+    assert all(a.isalnum() == b.isalnum() and a.isupper() == b.isupper() and a.isdigit() == b.isdigit() for a, b in zip(long, new))
+    assert len(got[1]) == len(huge) + 8 and got[1][-64:] != huge[-64:]
+    m = re.fullmatch(r"Mr (\w+) (\w+) saw Mr (\w+), Mr ([A-Z])\. (\w+), Mrs (\w+) and Mr (\w+) (\w+)\. Then Frau Dr\. (\w+) von (\w+) met Mr (\w+) Mrs (\w+) and Mr\. (\w+)'s dog\.", got[2])
+    assert m and m[2] == m[3] == m[5] == m[8] == m[13] and m[4] != "J" and len({m[1], m[2], m[6], m[7], m[9], m[10], m[11], m[12]}) == 8
+    assert not re.search("John|Jack|Smith|Otto|Berg|Tal|Neil|Jones", got[2])
+
+
 # language model
 
 
