@@ -154,7 +154,8 @@ def _gender(value: Column) -> Column:
     return F.when(value.rlike("^(?:" + "|".join(TITLES["f"]) + r")\.?[  ]"), "f").otherwise("m")
 
 
-def _person(value: Column, key: Column) -> Column:
+def _person(value: Column, key: Column, attempt: Column) -> Column:
+    """A title with a drawn name. Each further draw has two syllables more, so there are names for any number of entities."""
     title = F.regexp_extract(value, f"^({_TITLE}\\.?[ \\u00A0])", 1)
     name = F.regexp_replace(value, f"^{_TITLE}\\.?[ \\u00A0]", "")
     script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
@@ -164,8 +165,8 @@ def _person(value: Column, key: Column) -> Column:
         for s in NAMES:
             for g in ("f", "m"):
                 parts = [F.array(*map(F.lit, NAMES[s][g]))[F.pmod(_byte(d, F.lit(0)), F.lit(8))]]
-                parts += [F.array(*map(F.lit, SYLLABLES[s]))[F.pmod(_byte(d, F.lit(k)), F.lit(16))] for k in (1, 2, 3, 4)]
-                built = F.concat(title, *parts, F.lit(ENDINGS[s][g]))
+                more = F.transform(F.sequence(F.lit(1), 4 + 2 * attempt), lambda k: F.array(*map(F.lit, SYLLABLES[s]))[F.pmod(_byte(d, k), F.lit(16))])
+                built = F.concat(title, *parts, F.array_join(more, ""), F.lit(ENDINGS[s][g]))
                 test = (script == s) & (_gender(value) == g)
                 out = F.when(test, built) if out is None else out.when(test, built)
         return out
@@ -210,7 +211,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
         return F.concat(head, _permuted(F.substring(v, F.length(head) + 1, F.length(v)), own))
 
     return (
-        F.when(kind == "person", _person(value, own))
+        F.when(kind == "person", _person(value, own, attempt))
         .when(kind == "email", email(value))
         .when(kind == "address", address(value))
         .when(kind == "phone", phone(value))

@@ -432,6 +432,15 @@ def test_whole_secrets_and_names_are_replaced(spark):
     assert not re.search("John|Jack|Smith|Otto|Berg|Tal|Neil|Jones", got[2])
 
 
+def test_names_never_run_out(spark, monkeypatch):
+    # 16 names of four syllables for 100 entities
+    monkeypatch.setattr(pii, "NAMES", {s: {g: [x[0]] * 8 for g, x in n.items()} for s, n in pii.NAMES.items()})
+    monkeypatch.setattr(pii, "SYLLABLES", {s: x[:2] * 8 for s, x in pii.SYLLABLES.items()})
+    names = [f"Mr {a}{b}" for a in "ABCDEFGHIJ" for b in ("an", "en", "in", "on", "un", "ar", "er", "ir", "or", "ur")]
+    out = [r["text"] for r in pii.replace_entities(spark.createDataFrame([(i, t) for i, t in enumerate(names)], "doc_id long, text string")).collect()]
+    assert len(set(out)) == 100 and not set(out) & set(names)
+
+
 # language model
 
 
