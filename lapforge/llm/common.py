@@ -67,7 +67,7 @@ def input_partitions(df: DataFrame, least: int = 8) -> int:
     return max(least, df.rdd.getNumPartitions())
 
 
-def _marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+def marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """``df`` with _maybe: whether the key's bit is set in a bitmap of fixed size over ``ids``."""
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_BITS))
     words = (
@@ -75,9 +75,9 @@ def _marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
         .groupBy((F.col("_bit") / 64).cast("int").alias("_word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_bits"))
     )
-    marked = df.withColumn("_at", bit).withColumn("_word", (F.col("_at") / 64).cast("int"))
+    found = df.withColumn("_at", bit).withColumn("_word", (F.col("_at") / 64).cast("int"))
     # at most BITMAP_BITS / 64 rows of 12 bytes
-    joined = marked.join(F.broadcast(words), "_word", "left")
+    joined = found.join(F.broadcast(words), "_word", "left")
     return joined.withColumn("_maybe", F.expr("coalesce(getbit(_bits, cast(_at % 64 as int)) = 1, false)")).drop("_word", "_bits", "_at")
 
 
@@ -87,14 +87,14 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     A bitmap of fixed size is broadcast, so no key of ``ids`` is missed; a few others pass, and an
     exact join or filter has to follow. It keeps long rows out of that join's shuffle.
     """
-    return _marked(df, key, ids).where("_maybe").drop("_maybe")
+    return marked(df, key, ids).where("_maybe").drop("_maybe")
 
 
 def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key is not among ``ids``; rows with a null key stay. Only rows whose key may be among them are shuffled."""
-    marked = _marked(df, key, ids)
-    sure = marked.where("not _maybe").drop("_maybe")
-    return sure.unionByName(marked.where("_maybe").drop("_maybe").join(ids.select(key).distinct(), key, "left_anti").select(df.columns))
+    rows = marked(df, key, ids)
+    sure = rows.where("not _maybe").drop("_maybe")
+    return sure.unionByName(rows.where("_maybe").drop("_maybe").join(ids.select(key).distinct(), key, "left_anti").select(df.columns))
 
 
 def held_out(column: str, modulus: int, remainder: int) -> Column:

@@ -6,20 +6,22 @@ valid order, so the sketch's error costs time, never a link.
 
 1. Documents with equal shingle sets are one class. Candidates are classes that share a shingle of
    their prefixes (the first ``n - ceil(t n) + 1`` in the order), which two linked sets always do.
-2. A short list of classes that share a prefix shingle gives its pairs. A long one gives pairs of its
-   first class with each other alone; what these do not connect, step 4 compares.
-   Pairs of short lists that share too few prefix shingles to reach the threshold are left out.
-3. The order is cut into fragments. Overlaps are counted in each fragment separately and summed per
+2. The order is cut into fragments. Overlaps are counted in each fragment separately and summed per
    pair; pairs over the threshold are links.
-4. In a long list that is not yet one component, classes outside its largest component are compared
-   with all others, block against block, in matrix products per fragment. Blocks are bounded, and
-   no pair within a known component is compared or emitted.
+3. A short list of classes that share a prefix shingle gives its pairs. Pairs that share too few prefix
+   shingles to reach the threshold are left out.
+4. A class that is in long lists belongs to the longest of them, its home. Classes of one home are
+   compared block against block, in matrix products per fragment, and so are those of another home
+   that share a long list with it. What leaves a comparison are link counts of the two blocks and
+   edges between parts that were not connected inside a block: neither pairs nor sets are copied out
+   for each pair, and rows grow with the number of blocks' pairs alone.
 5. Connected components of the links, by the smallest document id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,10 @@ from .words import shingle_sets
 SKETCH_BITS, SKETCH_BLOCKS = 22, 64
 #: Fragments that the global order is cut into.
 FRAGMENTS = 8
-#: Longest list that gives all its pairs, and classes in a block of longer ones.
-SHORT, BLOCK = 32, 256
+#: Longest list that gives its pairs; classes and shingles that a block of longer ones is made for.
+SHORT, BLOCK, BLOCK_SHINGLES = 32, 1024, 1 << 20
+#: Shares that the rows of a long list are dealt to where they meet what is known of the list.
+SALTS = 16
 #: Hashes counted at once while sketching.
 COUNT_AT = 4 << 20
 
@@ -143,17 +147,22 @@ def _postings(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
 
 
 def _fragments(docs: DataFrame, order, n: int) -> DataFrame:
-    """(sig, parts): a set cut by the fragments of the order."""
+    """(sig, parts): a set cut by the fragments of the order, once a task."""
     kind = pa.list_(pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             sigs, parts = [], []
             for s in shingle_sets(batch.column("text"), n):
-                if len(s):
-                    frag = order.value.fragment(s)
-                    sigs.append(set_id(s))
-                    parts.append([s[frag == f].view(np.int64) for f in range(order.value.fragments)])
+                if not len(s) or (sig := set_id(s)) in seen:
+                    continue
+                seen.add(sig)
+                frag = order.value.fragment(s)
+                sigs.append(sig)
+                parts.append([s[frag == f].view(np.int64) for f in range(order.value.fragments)])
+            if len(seen) > 1 << 20:
+                seen.clear()
             yield pa.record_batch([pa.array(sigs, pa.int64()), pa.array(parts, kind)], ["sig", "parts"])
 
     return docs.mapInArrow(run, "sig long, parts array<array<long>>")
@@ -181,60 +190,161 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
     total = pairs.join(left, "a").join(right, "b").withColumn("k", F.aggregate(partial, F.lit(0), lambda s, x: s + x))
     # a class can come from several equal documents: their rows agree
-    return total.where(f"100L * k >= {percent}L * (na + nb - k)").select("a", "b").distinct()
+    return total.where(f"100L * k >= {percent}L * (na + nb - k)").select("a", "ha", "b", "hb").distinct()
+
+
+def _packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """Fragments of a block, each as its distinct shingles and cells (class, place of the shingle)."""
+    raw = []
+    for shingles, of in parts:
+        own, place = np.unique(shingles, return_inverse=True)
+        raw += [np.array([len(own), len(place)], "<i8").tobytes(), own.astype("<i8").tobytes(), place.astype("<i4").tobytes(), of.astype("<i4").tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
 
 
-def _blocks(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between a long list's classes outside its largest component and all others of the list.
+def _unpacked(raw: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, []
+    while at < len(raw):
+        own, cells = (int(x) for x in np.frombuffer(raw, "<i8", 2, at))
+        at += 16
+        out.append((np.frombuffer(raw, "<i8", own, at), np.frombuffer(raw, "<i4", cells, at + 8 * own), np.frombuffer(raw, "<i4", cells, at + 8 * own + 4 * cells)))
+        at += 8 * own + 8 * cells
+    return out
+
 
-    lists: (token, sig, n, label) of lists with more than one label.
+def _linked(left, ln: np.ndarray, right, rn: np.ndarray, percent: int) -> np.ndarray:
+    """Which classes of two blocks link: overlaps of each fragment as a matrix product, summed."""
+    total = np.zeros((len(ln), len(rn)), np.float32)
+    for x, y in zip(left, right):
+        shared = np.intersect1d(x[0], y[0], assume_unique=True)
+        for s in range(0, len(shared), 4096):
+            some, sheets = shared[s : s + 4096], []
+            for (own, place, of), rows in ((x, len(ln)), (y, len(rn))):
+                column = np.full(len(own), -1, np.int32)
+                where = np.minimum(np.searchsorted(some, own), len(some) - 1)
+                hit = some[where] == own
+                column[hit] = where[hit]
+                at = column[place]
+                sheet = np.zeros((rows, len(some)), np.float32)
+                sheet[of[at >= 0], at[at >= 0]] = 1
+                sheets.append(sheet)
+            total += sheets[0] @ sheets[1].T
+    k = total.astype(np.int64)
+    return 100 * k >= percent * (ln[:, None] + rn[None, :] - k)
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of edges between named nodes those that connect parts not yet connected."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept: tuple[list[int], list[int]] = ([], [])
+    for x, y in np.unique(np.stack([a, b], axis=1), axis=0).tolist():
+        if (p := find(x)) != (q := find(y)):
+            root[max(p, q)] = min(p, q)
+            kept[0].append(x)
+            kept[1].append(y)
+    return kept
+
+
+KEY = ["home", "asks", "grade", "b"]
+_KEY = "home struct<size: long, token: long>, asks boolean, grade int, b int"
+
+
+def _home_blocks(lists: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of classes in long lists: (sig, k) partial numbers of links to add up, edges (a, b) that connect
+    what is linked, and which class asks which other home (sig, home).
+
+    lists: (token, sig, n, size) of all long lists. Every pair that shares one is compared exactly once.
     """
-    most = lists.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.sum("count").alias("size"), F.max("count").alias("in_top"))
-    # sizes a factor of the threshold apart cannot link: blocks hold one size class, and meet the next ones
+    rank = F.struct("size", "token")
+    own = lists.groupBy("sig", "n").agg(F.max(rank).alias("home"))
+    own = common.materialize(own, "homes")
+    placed = lists.join(own, ["sig", "n"])
+    # homes that meet in a list: the class of the lesser one asks the greater one's
+    meets = placed.select("token", "home").distinct()
+    several = meets.groupBy("token").agg(F.max("home").alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "most")
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = placed.select("token", "sig", "n", F.col("home").alias("from"), F.pmod(F.xxhash64("sig", F.lit(3)), F.lit(SALTS)).cast("int").alias("salt"))
+    asking = salted.join(spread(several), ["token", "salt"]).where(F.col("from") < F.col("most")).drop("most")
+    asks = asking.join(spread(meets), ["token", "salt"]).where(F.col("from") < F.col("home")).select("sig", "n", "home").distinct()
+    asks = common.materialize(asks, "asked-homes")
+    # sizes a factor of the threshold apart cannot link: blocks hold one grade of sizes and meet the next ones
     grade = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    rows = lists.join(most, "token").withColumn("grade", grade)
-    rights = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
-    lefts = F.greatest(F.ceil((F.col("size") - F.col("in_top")) / BLOCK), F.lit(1)).cast("int")
-    rows = rows.select("token", "sig", "n", "label", "grade", (F.col("label") != F.col("top")).alias("out"), lefts.alias("lefts"), rights.alias("rights"))
-    spread = lambda n: F.pmod(F.xxhash64("sig"), F.col(n)).cast("int")
-    left = rows.where("out").select("token", "sig", "n", "label", F.lit(True).alias("is_left"), F.col("grade").alias("g"), spread("lefts").alias("lb"), F.explode(F.expr("sequence(0, rights - 1)")).alias("rb"))
-    near = F.explode(F.array(F.col("grade") - 1, F.col("grade"), F.col("grade") + 1))
-    right = rows.select("token", "sig", "n", "label", F.lit(False).alias("is_left"), "lefts", spread("rights").alias("rb"), near.alias("g"))
-    right = right.select("token", "sig", "n", "label", "is_left", "g", F.explode(F.expr("sequence(0, lefts - 1)")).alias("lb"), "rb")
-    lone = left.select("token", "g", "lb", "rb").distinct()
-    both = left.select("token", "g", "lb", "rb", "sig", "n", "label", "is_left").unionByName(right.join(lone, ["token", "g", "lb", "rb"], "left_semi").select("token", "g", "lb", "rb", "sig", "n", "label", "is_left"))
-    members = both.join(sets, "sig")
-
-    def compare(table: pa.Table) -> pa.Table:
-        flags = table.column("is_left").combine_chunks()
-        sides = [table.filter(flags), table.filter(pc.invert(flags))]
-        info = []
-        for t in sides:
-            sig, first, code = np.unique(t.column("sig").to_numpy(), return_index=True, return_inverse=True)
-            info.append((sig, t.column("n").to_numpy()[first].astype(np.int64), t.column("label").to_numpy()[first], code))
-        (ls, ln, ll, lc), (rs, rn, rl, rc) = info
-        total = np.zeros((len(ls), len(rs)), np.float32)
+    rows = own.select("home", "sig", "n", F.lit(False).alias("asks")).unionByName(asks.select("home", "sig", "n", F.lit(True).alias("asks"))).withColumn("grade", grade)
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = rows.groupBy("home", "asks", "grade").agg(blocks.alias("blocks"))
+    salt = F.pmod(F.xxhash64("sig", F.lit(5)), F.lit(SALTS)).cast("int")
+    dealt = rows.withColumn("salt", salt).join(spread(sizes), ["home", "asks", "grade", "salt"])
+    dealt = dealt.select("home", "asks", "grade", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("b"), "sig", "n").join(sets, "sig")
+
+    def pack(table: pa.Table) -> pa.Table:
+        sig, first = np.unique(table.column("sig").to_numpy(), return_index=True)
+        table = table.take(pa.array(first))
+        n, asks = table.column("n").to_numpy().astype(np.int64), table.column("asks")[0].as_py()
+        parts = []
         for f in range(FRAGMENTS):
-            cells = []
-            for t, code in zip(sides, (lc, rc)):
-                part = pc.list_element(t.column("parts").combine_chunks(), f)
-                cells.append((part.flatten().to_numpy(), np.repeat(code, pc.list_value_length(part).to_numpy())))
-            shared = np.intersect1d(cells[0][0], cells[1][0])
-            for s in range(0, len(shared), 4096):
-                some, sheets = shared[s : s + 4096], []
-                for (h, code), rows in zip(cells, (len(ls), len(rs))):
-                    where = np.minimum(np.searchsorted(some, h), len(some) - 1)
-                    hit = some[where] == h
-                    sheet = np.zeros((rows, len(some)), np.float32)
-                    sheet[code[hit], where[hit]] = 1
-                    sheets.append(sheet)
-                total += sheets[0] @ sheets[1].T
-        k = total.astype(np.int64)
-        good = (100 * k >= percent * (ln[:, None] + rn[None, :] - k)) & (ll[:, None] != rl[None, :])
-        i, j = np.nonzero(good)
-        return pa.table({"a": pa.array(np.minimum(ls[i], rs[j])), "b": pa.array(np.maximum(ls[i], rs[j]))})
-
-    return members.groupBy("token", "g", "lb", "rb").applyInArrow(compare, "a long, b long").distinct()
+            part = pc.list_element(table.column("parts").combine_chunks(), f)
+            parts.append((part.flatten().to_numpy(), np.repeat(np.arange(len(sig)), pc.list_value_length(part).to_numpy())))
+        raw = _packed(parts)
+        counts, edges, label = np.zeros(len(sig), np.int64), ([], []), sig
+        if not asks:
+            met = _linked(own := _unpacked(raw), n, own, n, percent)
+            np.fill_diagonal(met, False)
+            counts = met.sum(axis=1)
+            label, last = sig.copy(), None
+            while last is None or (label != last).any():  # least name along links, then of that name
+                last = label
+                label = np.minimum(label, np.where(met, label[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
+                label = label[np.searchsorted(sig, label)]
+            edges = (sig[label != sig].tolist(), label[label != sig].tolist())
+        one = lambda x: pa.array([x], pa.list_(pa.int64()))
+        columns = [table.column(k).slice(0, 1).combine_chunks() for k in KEY]
+        return pa.table([*columns, one(sig), one(n), one(label), one(counts), one(edges[0]), one(edges[1]), pa.array([raw], pa.binary())], names=[*KEY, "sig", "n", "label", "counts", "ea", "eb", "raw"])
+
+    packed = dealt.groupBy(*KEY).applyInArrow(pack, f"{_KEY}, sig array<long>, n array<long>, label array<long>, counts array<long>, ea array<long>, eb array<long>, raw binary")
+    packed = common.materialize(packed, "blocks")
+    side = lambda k: packed.select(*(F.col(c).alias(f"{k}{c}") for c in (*KEY, "n", "label", "raw")))
+    name = lambda k: packed.select("home", *(F.col(c).alias(f"{k}{c}") for c in KEY[1:]))
+    left = name("l").withColumn("rgrade", F.explode(F.when(F.col("lasks"), F.array(F.col("lgrade") - 1, F.col("lgrade"), F.col("lgrade") + 1)).otherwise(F.array(F.col("lgrade"), F.col("lgrade") + 1))))
+    pairs = left.join(name("r").where("not rasks"), ["home", "rgrade"]).where("lasks or rgrade > lgrade or rb > lb")
+    pairs = pairs.select(F.col("home").alias("lhome"), F.col("home").alias("rhome"), *(f"{k}{c}" for k in "lr" for c in KEY[1:]))
+    both = pairs.join(side("l"), [f"l{c}" for c in KEY]).join(side("r"), [f"r{c}" for c in KEY])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {c: [] for c in (*KEY, "counts", "ea", "eb")}
+            for x in range(batch.num_rows):
+                row = {c: batch.column(c)[x] for c in batch.schema.names}
+                size, label, raw = ([row[f"{k}{c}"] for k in "lr"] for c in ("n", "label", "raw"))
+                size, label = ([v.values.to_numpy() for v in y] for y in (size, label))
+                met = _linked(_unpacked(raw[0].as_py()), size[0], _unpacked(raw[1].as_py()), size[1], percent)
+                i, j = np.nonzero(met)
+                edges = _forest(label[0][i], label[1][j])
+                for k, axis in (("l", 1), ("r", 0)):
+                    for c in KEY:
+                        rows[c].append(row[f"{k}{c}"].as_py())
+                    rows["counts"].append(met.sum(axis=axis))
+                    rows["ea"].append(edges[0] if k == "l" else [])
+                    rows["eb"].append(edges[1] if k == "l" else [])
+            long = pa.list_(pa.int64())
+            types = [pa.struct([("size", pa.int64()), ("token", pa.int64())]), pa.bool_(), pa.int32(), pa.int32(), long, long, long]
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
+
+    crossed = common.materialize(both.mapInArrow(compare, f"{_KEY}, counts array<long>, ea array<long>, eb array<long>"), "block-links")
+
+    def add(table: pa.Table) -> pa.Table:
+        sig = next(v for v in table.column("sig") if v.is_valid).values
+        return pa.table({"sig": sig, "k": pa.array(np.sum([v.values.to_numpy() for v in table.column("counts")], axis=0))})
+
+    counts = packed.select(*KEY, "sig", "counts").unionByName(crossed.select(*KEY, "counts"), allowMissingColumns=True).groupBy(*KEY).applyInArrow(add, "sig long, k long")
+    edges = [x.select(F.explode(F.arrays_zip(F.col("ea").alias("a"), F.col("eb").alias("b"))).alias("x")).select("x.*") for x in (packed, crossed)]
+    return counts, edges[0].unionByName(edges[1]).where("a <> b"), asks.select("sig", "home")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,8 +352,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     Returns a row for each document: doc_id, n_shingles (set size), component_id (smallest doc_id
     reachable by links, itself included), class_id (its set's name, null without words) and n_links
-    (classes of other sets that its class is known to link with; long lists' known components are
-    not expanded, so it counts links, not all pairs).
+    (other sets that its set links with).
 
     Null text or no words: an empty set, linked with nothing, so the document is its own component.
     A null id cannot be a component's name unless all its members' ids are null. Repeated rows are
@@ -260,32 +369,40 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     postings = common.materialize(_postings(docs, order, n, percent), "prefixes")
     tokens = postings.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token")
-    tokens = common.materialize(tokens, "shared-shingles")
-    live = common.maybe_in(postings, "token", tokens).join(tokens, "token", "left_semi").distinct()
-    live = common.materialize(live, "lists")
-    heads = live.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sig", "n")).alias("head"))
-    sized = live.join(heads, "token")
+    # a few shingles of one class pass: they give no pair
+    live = common.materialize(common.maybe_in(postings, "token", tokens).distinct(), "lists")
+    long = live.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(f"size > {SHORT}")
+    long = common.materialize(long, "long-lists")
+    marked = common.materialize(common.marked(live, "token", long.select("token")), "marked-lists")
+    salted = long.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    perhaps = marked.where("_maybe").withColumn("salt", F.pmod(F.xxhash64("sig", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"], "left").select("token", "sig", "n", "size")
+    perhaps = common.materialize(perhaps, "sized-lists")
+    lists = perhaps.where("size is not null")
     # shingles of a prefix that are in long lists are not counted pair by pair: at most so many are shared
-    unseen = sized.where(f"size > {SHORT}").groupBy("sig").agg(F.count(F.lit(1)).alias("unseen"))
-    brief = sized.where(f"size <= {SHORT}").select("token", "sig", "n").join(unseen, "sig", "left").fillna(0, "unseen")
-    x, y = (brief.select("token", F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("unseen").alias(f"u{k}")) for k in "ab")
-    met = x.join(y, "token").where("a < b").where(_fits(percent, "na", "nb")).groupBy("a", "na", "ua", "b", "nb", "ub").agg(F.count(F.lit(1)).alias("met"))
-    short = met.where(_may_link(percent)).select("a", "na", "b", "nb")
-    star = sized.where(f"size > {SHORT} and sig <> head.sig").select(F.col("head.sig").alias("a"), F.col("head.n").alias("na"), F.col("sig").alias("b"), F.col("n").alias("nb")).where(_fits(percent, "na", "nb"))
-    pairs = common.materialize(short.unionByName(star).distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(sized.where(f"size > {SHORT}").select("sig")).distinct()
+    unseen = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("unseen"), F.max(F.struct("size", "token")).alias("home"))
+    brief = marked.where("not _maybe").select("token", "sig", "n").unionByName(perhaps.where("size is null").select("token", "sig", "n")).join(unseen, "sig", "left").fillna(0, "unseen")
+    x, y = (brief.select("token", F.col("sig").alias(k), F.col("n").alias(f"n{k}"), F.col("unseen").alias(f"u{k}"), F.col("home").alias(f"h{k}")) for k in "ab")
+    met = x.join(y, "token").where("a < b").where(_fits(percent, "na", "nb")).groupBy("a", "na", "ua", "ha", "b", "nb", "ub", "hb").agg(F.count(F.lit(1)).alias("met"))
+    # pairs of one home are compared there, and so are those of homes of which one class asks the other's
+    short = met.where(_may_link(percent)).where("ha is null or hb is null or ha <> hb").select("a", "na", "ha", "b", "nb", "hb")
+    pairs = common.materialize(short, "candidates")
+
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(lists.select("sig")).distinct()
     ids = classes.join(wanted, "sig").select(F.col("first_id").alias("doc_id"))
     sets = common.materialize(_fragments(common.maybe_in(docs, "doc_id", ids), order, n), "fragments")
 
     links = common.materialize(_verify(pairs, sets, percent), "links")
-    label = common.components(links, "labels").withColumnsRenamed({"node": "sig", "component": "label"})
-    long = sized.where(f"size > {SHORT}").select("token", "sig", "n").join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    mixed = long.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    more = common.materialize(_blocks(long.join(mixed, "token", "left_semi"), sets, percent), "more-links")
-    all_links = links.unionByName(more).distinct()
-    comp = common.components(label.select(F.col("sig").alias("a"), F.col("label").alias("b")).unionByName(more), "components")
-    comp = comp.withColumnsRenamed({"node": "sig", "component": "root"})
-    degree = all_links.select(F.col("a").alias("sig")).unionByName(all_links.select(F.col("b").alias("sig"))).groupBy("sig").agg(F.count(F.lit(1)).alias("n_links"))
+    if lists.isEmpty():
+        edges, degrees = links, []
+    else:
+        counts, more, asks = _home_blocks(lists, sets, percent)
+        for k, other in (("a", "b"), ("b", "a")):
+            asked = asks.select(F.col("sig").alias(k), F.col("home").alias(f"h{other}"))
+            links = links.join(asked, [k, f"h{other}"], "left_anti")
+        edges, degrees = links.select("a", "b").unionByName(more), [counts]
+    degrees += [links.select(F.col(k).alias("sig"), F.lit(1).cast("long").alias("k")) for k in "ab"]
+    comp = common.components(edges.select("a", "b"), "components").withColumnsRenamed({"node": "sig", "component": "root"})
+    degree = reduce(DataFrame.unionByName, degrees).groupBy("sig").agg(F.sum("k").alias("n_links"))
     named = classes.join(comp, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_class = named.join(least, "root").join(degree, "sig", "left").select("sig", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

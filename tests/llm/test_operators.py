@@ -141,7 +141,7 @@ def brute_components(texts, percent=80):
     for t in texts:
         w = WORDS.findall(lower(t))
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    root = list(range(len(texts)))
+    root, met = list(range(len(texts))), [set() for _ in texts]
 
     def find(x):
         while root[x] != x:
@@ -154,16 +154,44 @@ def brute_components(texts, percent=80):
             if sets[i] and sets[j] and 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    return {i: (len(s), find(i)) for i, s in enumerate(sets)}
+                if sets[i] != sets[j]:
+                    met[i].add(frozenset(sets[j]))
+                    met[j].add(frozenset(sets[i]))
+    return {i: (len(s), find(i), len(met[i])) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("short,block", [(32, 256), (2, 8)])
-def test_components_equal_all_pairs(spark, monkeypatch, short, block):
+def near_copies(seed, copies, words, most):
+    """Copies of one text with up to ``most`` changed words: all near it, many not near each other."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(copies):
+        own = list(base)
+        for _ in range(rng.randint(0, most)):
+            own[rng.randrange(words)] = rng.choice("xyz")
+        out.append(" ".join(own))
+    return out
+
+
+def components(df):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.jaccard_components(with_odd_columns(df)).collect()}
+
+
+@pytest.mark.parametrize("short,block,shingles", [(32, 1024, 1 << 20), (2, 8, 1 << 20), (3, 1024, 900)])
+def test_components_and_links_equal_all_pairs(spark, monkeypatch, short, block, shingles):
     monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    texts = sample_texts(2, 120)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(with_odd_columns(make(spark, texts))).collect()}
-    assert got == brute_components(texts)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles)
+    texts = sample_texts(2, 120) + near_copies(5, 90, 80, 5)
+    assert components(make(spark, texts)) == brute_components(texts)
+
+
+def test_a_large_group_of_near_but_unlinked_copies(spark):
+    texts = near_copies(8, 1000, 90, 9)
+    got, want = components(make(spark, texts)), brute_components(texts)
+    assert got == want
+    # the group holds parts that are not linked, and texts with many and with few links
+    assert len({c for _, c, _ in want.values()}) > 100 and max(k for _, _, k in want.values()) > 100
 
 
 def test_components_of_repeats_and_nothing(spark):
