@@ -15,11 +15,18 @@ from lapforge.llm import common, decontaminate, jaccard, langid, packing, pii
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without text or letters go. A missing lang is filled in."""
+    """Documents in a language that is learned from the labelled ones; lang becomes the language found.
+
+    Texts that are null, hold no letter, or need ``langid.FOREIGN`` times the phrases of any learned
+    language go; without labelled documents all go. Rows are judged one by one, so repeated rows and ids
+    stay as they are, and other columns, whatever their names, are passed on. Empty in, empty out.
+    """
     common.prepare(spark)
-    texts = langid.training_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
-    found = langid.identify(docs, texts).where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    languages = langid.learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
+    own = common.free_name(docs, "found")
+    found = docs.withColumn(own, langid.identified(spark, languages, F.col("text")))
+    found = found.where((F.col(own)["lang_pred"] != langid.UNKNOWN) & (F.col(own)["phrases"] < langid.FOREIGN))
+    return found.withColumn("lang", F.col(own)["lang_pred"]).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,6 +97,14 @@ def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return sure.unionByName(rows.where("_maybe").drop("_maybe").join(ids.select(key).distinct(), key, "left_anti").select(df.columns))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def held_out(column: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == remainder, F.lit(False))

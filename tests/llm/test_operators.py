@@ -342,6 +342,9 @@ def test_greedy_parses_use_longest_matches():
             k = max((j for j in range(i + 1, len(text) + 1) if text[i:j] in train), default=i + 1)
             n, i = n + 1, k
         assert langid.SuffixAutomaton(train).phrases(text) == n
+        points = langid._points(text)
+        got = langid.PhraseTable.of(train).phrases(np.concatenate((points, points[:3])), np.array([len(text), 0]), np.array([0, len(text)]))
+        assert got.tolist() == [0, n]
 
 
 def test_languages_are_told_apart_on_held_out_text(spark):
@@ -349,7 +352,7 @@ def test_languages_are_told_apart_on_held_out_text(spark):
     parts = {"aa": ["ba", "lo", "mi", "nu"], "bb": ["sch", "ein", "ung", "tz"], "cc": ["éa", "ôn", "ïl", "ç"]}
     rows = [(i, " ".join("".join(rng.choice(parts[k]) for _ in range(3)) for _ in range(30)), k) for i in range(150) for k in [list(parts)[i % 3]]]
     rows += [(900, None, "aa"), (901, "123 -- ", "aa"), (902, "", None), (None, "balo minu", None)]
-    df = with_odd_columns(spark.createDataFrame(rows, "doc_id long, text string, lang string")).drop("score")
+    df = with_odd_columns(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     got = {r["doc_id"]: r for r in langid.identify_languages(df).collect()}
     truth = {i: k for i, _, k in rows}
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in truth if i is not None)
