@@ -1,8 +1,10 @@
 """Language-model scores of whole documents.
 
-Unigram counts are taken over all training documents. The recurrent model learns from a bounded
-sample of them; it knows the most frequent words, and a word outside its vocabulary is scored as
-unknown times its share of the unknown words by the counts of the whole corpus.
+Unigram counts are taken over all training documents, and the recurrent model learns from all their
+words. Each task trains its own copy of the model on its part of the documents, and the copies are
+averaged by the words that they learned from; a few rounds share the documents out, each document
+in one round. The model knows the most frequent words, and a word outside its vocabulary is scored
+as unknown times its share of the unknown words by the counts of the whole corpus.
 
 Counts come back to the documents in two ways. A table of the most frequent words, of bounded size,
 is broadcast; the other words of each document are joined with their counts.
@@ -19,14 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .gru import END, UNKNOWN, Model
+from .gru import END, UNKNOWN, Model, Trainer
 from .words import split_words, word_hashes
 
 #: Words whose counts are broadcast, at most; and words that the model knows.
 FREQUENT, VOCABULARY = 200_000, 2046
-#: Training sample: documents, and words of each.
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 400
-CLASSES, INNER, STATE = 40, 16, 24
+#: Size of the model: classes of words, numbers of an input word and of the state.
+CLASSES, INNER, STATE = 40, 12, 16
+#: Where the rounds end, as shares of the training documents: short ones first, which bring the copies together.
+ROUNDS = (1 / 16, 1 / 4, 1.0)
+#: Parts in which the copies of a model are added up.
+SLICES = 16
 #: Distinct words after which a counting task writes what it has, and words that are scored together.
 COUNT_AT, SCORE_AT = 1 << 20, 1 << 20
 
@@ -68,20 +73,20 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` words with the highest counts (all from a count on, so ties stay together), sorted by word."""
+    """At most ``most`` words with the highest counts, sorted by word. Of the words about the last count that fits, a share by hash."""
     grade = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    left, least = most, None
+    left, last, share = most, -1, 0.0
     # a few hundred grades, however many words there are
-    for r in counts.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).orderBy(F.desc("g")).collect():
-        left -= r["k"]
-        if left < 0:
+    for r in counts.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("g")).collect():
+        if r["k"] > left:
+            last, share = r["g"], left / r["k"]
             break
-        least = r["least"]
-    rows = counts.where(F.col("n") >= least).toArrow() if least is not None else None
-    if rows is None or not rows.num_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        left -= r["k"]
+    place = F.pmod(F.xxhash64("word", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
+    rows = counts.where((grade > last) | ((grade == last) & (place < share))).toArrow()
     word, n = rows.column("word").to_numpy(), rows.column("n").to_numpy()
-    order = np.argsort(word)
+    top = np.lexsort((word, -n))[:most]
+    order = top[np.argsort(word[top])]
     return word[order], n[order]
 
 
@@ -93,28 +98,67 @@ def _look_up(table: np.ndarray, values: np.ndarray, keys: np.ndarray, missing: i
     return np.where(table[at] == keys, values[at], missing)
 
 
-def learn(docs: DataFrame, word: np.ndarray, n: np.ndarray, total: int, texts: int, vocabulary: int, sample_docs: int, sample_words: int) -> tuple[Model, np.ndarray, np.ndarray]:
+def _round(docs: DataFrame, model: Model, known: np.ndarray, numbers: np.ndarray) -> Model:
+    """The mean of the models that tasks train, from ``model`` on, on their documents: weighted by their words."""
+    held = docs.sparkSession.sparkContext.broadcast((model, known, numbers))
+    cuts = np.linspace(0, len(model.flat), SLICES + 1).astype(int)
+    names, types = ["slice", "learned", "parameters"], (pa.int32(), pa.int64(), pa.binary())
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, known, numbers = held.value
+        trainer = Trainer(Model(start.starts, start.inner, start.state, start.flat.copy()))
+        for batch in batches:
+            hashes, codes, at = _own(batch)
+            stream, _ = _streams(_look_up(known, numbers, hashes, UNKNOWN)[codes], at)
+            trainer.add(stream)
+        own = trainer.finish().flat.astype(np.float64) * trainer.learned
+        if trainer.learned:
+            yield pa.record_batch([pa.array(range(SLICES), types[0]), pa.array([trainer.learned] * SLICES, types[1]), pa.array([own[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], types[2])], names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for k, n, raw in zip(*(batch.column(c).to_pylist() for c in names)):
+                have = sums.setdefault(k, [0, 0.0])
+                have[0] += n
+                have[1] = have[1] + np.frombuffer(raw)
+        for k, (n, total) in sums.items():
+            yield pa.record_batch([pa.array([k], types[0]), pa.array([n], types[1]), pa.array([total.tobytes()], types[2])], names)
+
+    schema = "slice int, learned long, parameters binary"
+    # each task hands over one model; a part of it is added up in a task, and SLICES rows come to the driver
+    copies = common.materialize(docs.select("text").mapInArrow(train, schema), "trained")
+    rows = copies.repartition(SLICES, "slice").mapInArrow(add, schema).collect()
+    flat = model.flat.copy()
+    for r in rows:
+        flat[cuts[r["slice"]] : cuts[r["slice"] + 1]] = np.frombuffer(r["parameters"]) / r["learned"]
+    return Model(model.starts, model.inner, model.state, flat)
+
+
+def _streams(numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's words with an end mark behind each text, and each word's text."""
+    k = len(at) - 1
+    text = np.repeat(np.arange(k), np.diff(at))
+    stream = np.full(len(numbers) + k, END)
+    stream[np.arange(len(numbers)) + text] = numbers
+    return stream, text
+
+
+def learn(docs: DataFrame, word: np.ndarray, n: np.ndarray, total: int, texts: int, vocabulary: int) -> tuple[Model, np.ndarray, np.ndarray]:
     """The model, and the words it knows with their numbers, sorted by word. ``docs``: training documents."""
     top = np.lexsort((word, -n))[:vocabulary]
     known = word[top]
     order = np.argsort(known)
-    numbers = (2 + order, known[order])
-    known_n = n[top]
+    known, numbers, known_n = known[order], 2 + order, n[top]
     model = Model.new(np.concatenate(([total - known_n.sum(), texts], known_n)), CLASSES, INNER, STATE)
-    ids = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs)
-    some = docs.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("doc_id", F.substring("text", 1, 40 * sample_words).alias("text")).toArrow()
-    stream = [np.array([END])]
-    if some.num_rows:
-        some = some.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        hashes, codes, at = _own(some.to_batches()[0])
-        ids_of = _look_up(numbers[1], numbers[0], hashes, UNKNOWN)
-        for a, b in zip(at[:-1], at[1:]):
-            stream += [ids_of[codes[a : min(b, a + sample_words)]], np.array([END])]
-    model.train(np.concatenate(stream))
-    return model, numbers[1], numbers[0]
-
-
-def score_documents(docs: DataFrame, holdout: tuple[int, int] | None = (7, 2), id_col: str = "doc_id", text_col: str = "text", most: int = FREQUENT, vocabulary: int = VOCABULARY, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> DataFrame:
+    place = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 20)) / float(1 << 20)
+    if texts:
+        for low, high in zip((0.0, *ROUNDS), ROUNDS):
+            model = _round(docs.where((place >= low) & (place < high)), model, known, numbers)
+    return model, known, numbers
+
+
+def score_documents(docs: DataFrame, holdout: tuple[int, int] | None = (7, 2), id_col: str = "doc_id", text_col: str = "text", most: int = FREQUENT, vocabulary: int = VOCABULARY) -> DataFrame:
     """Unigram and recurrent log10 probabilities of every whole text.
 
     Returns doc_id, held_out, n_tokens, n_known (tokens of the training documents), train_tokens,
@@ -126,9 +170,8 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] | None = (7, 2), i
     N, V and n_known are 0, base_score is 0 and the model knows no word. Repeated rows are kept. An
     empty table gives an empty result. Other columns are not read.
 
-    The model learns from at most ``sample_docs`` documents' first ``sample_words`` words (those with
-    the smallest hashed ids); counts, and so base_score and the unknown words' share of score, are of
-    all training documents.
+    The model learns from every word of all training documents. Which documents a task trains on
+    follows how Spark splits the input, so ``score`` can differ a little between layouts of one table.
     """
     if most < vocabulary:
         raise ValueError("the model's words must be among the frequent ones")
@@ -141,7 +184,7 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] | None = (7, 2), i
     texts = train.count()
     total, distinct = words + texts, types + (texts > 0)
     word, n = frequent(counts, most)
-    model, known, numbers = learn(train, word, n, words, texts, vocabulary, sample_docs, sample_words)
+    model, known, numbers = learn(train, word, n, words, texts, vocabulary)
     known_n = _look_up(word, n, known, 0)
     # unknown words share P(unknown) by their counts plus 1; one more stands for all never seen
     rest = np.log10(words - known_n.sum() + (types - len(known)) + 1.0)
@@ -176,10 +219,7 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] | None = (7, 2), i
             k, sizes = len(at) - 1, np.diff(at)
             c = _look_up(word, n, hashes, 0)
             number = _look_up(known, numbers, hashes, UNKNOWN)
-            doc_of = np.repeat(np.arange(k), sizes)
-            # each text's words and its end mark
-            stream = np.full(len(codes) + k, END)
-            stream[np.arange(len(codes)) + doc_of] = number[codes]
+            stream, doc_of = _streams(number[codes], at)
             logs = np.log10(c + 1.0)
             seen = np.bincount(doc_of, weights=c[codes] > 0, minlength=k).astype(np.int64)
             sums = np.bincount(doc_of, weights=logs[codes], minlength=k).astype(np.float64)

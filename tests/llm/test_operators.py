@@ -478,35 +478,36 @@ def test_names_never_run_out(spark, monkeypatch):
 def test_gradients_match_differences():
     model = gru.Model.new(np.array([5, 2, 9, 8, 7, 3, 2, 1]), 3, 3, 4)
     rng = np.random.default_rng(1)
-    for k in model.TRAINED:
-        setattr(model, k, (getattr(model, k) + rng.standard_normal(getattr(model, k).shape) * 0.3).astype(np.float64))
-    x, y, h = rng.integers(0, 8, (2, 5)), rng.integers(0, 8, (2, 5)), rng.standard_normal((2, 4))
+    model = gru.Model(model.starts, 3, 4, model.flat.astype(np.float64) + rng.standard_normal(model.flat.shape) * 0.3)
+    x, y, h = rng.integers(0, 8, (5, 2)), rng.integers(0, 8, (5, 2)), rng.standard_normal((4, 2))
     _, grad, _ = model.window(x, y, h)
-    for k in model.TRAINED:
-        a = getattr(model, k)
-        for i in list(np.ndindex(a.shape))[:12]:
-            old = a[i]
-            a[i] = old + 1e-5
-            up = model.window(x, y, h)[0]
-            a[i] = old - 1e-5
-            down = model.window(x, y, h)[0]
-            a[i] = old
-            assert abs((up - down) / 2e-5 - grad[k][i]) < 1e-7
+    for i in range(len(model.flat)):
+        old = model.flat[i]
+        model.flat[i] = old + 1e-5
+        up = model.window(x, y, h)[0]
+        model.flat[i] = old - 1e-5
+        down = model.window(x, y, h)[0]
+        model.flat[i] = old
+        assert abs((up - down) / 2e-5 - grad.flat[i]) < 1e-7
 
 
 def test_batched_scores_equal_word_by_word():
     rng = np.random.default_rng(2)
     model = gru.Model.new(rng.integers(1, 50, 30), 4, 5, 6)
-    model.train(rng.integers(0, 30, 600), rows=4, steps=10, epochs=1)
+    trainer = gru.Trainer(model, rows=4, steps=10, windows=2)
+    for n in (70, 0, 1, 300, 229):
+        trainer.add(rng.integers(0, 30, n))
+    trainer.finish()
+    assert trainer.learned == 600
     sizes = np.array([1, 7, 0, 30, 3])
     at = np.concatenate(([0], np.cumsum(sizes)))
     words = rng.integers(0, 30, at[-1])
     got = model.log10_likelihoods(words, at, flush=5)
     for k in range(len(sizes)):
-        h, before, total = np.zeros((1, 6), np.float32), gru.END, 0.0
+        h, before, total = np.zeros((6, 1), np.float32), gru.END, 0.0
         for w in words[at[k] : at[k + 1]]:
-            h, _ = model.step(model.embed[[before]] @ model.w + model.b, h)
-            total += float(model.output(h, np.array([w]))[0][0])
+            h, _ = model.step(model.inputs()[[before]].T, h)
+            total += float(model.output(h.T, np.array([w]))[0][0])
             before = w
         assert abs(got[k] - total / np.log(10)) < 1e-4
     # classes and words share all probability
@@ -514,10 +515,47 @@ def test_batched_scores_equal_word_by_word():
     assert abs(sum(float(np.exp(model.output(h, np.array([w]))[0][0])) for w in range(30)) - 1) < 1e-5
 
 
+def test_the_model_learns_what_follows():
+    """Words that follow each other: the trained model foretells them, the unigram start cannot."""
+    words = np.tile(np.array([2, 3, 4, 5, 6, 7]), 4000)
+    model = gru.Model.new(np.array([1, 1, 9, 9, 9, 9, 9, 9]), 3, 4, 8)
+    trainer = gru.Trainer(model, rows=16)
+    before = model.log10_likelihoods(words[:60], np.array([0, 60]))[0]
+    trainer.add(words)
+    after = trainer.finish().log10_likelihoods(words[:60], np.array([0, 60]))[0]
+    assert before < -40 and after > -5
+
+
+def test_frequent_words_are_bounded_when_all_tie(spark):
+    counts = spark.range(5000).select(F.xxhash64("id").alias("word"), F.lit(1).cast("long").alias("n"))
+    word, n = lm_score.frequent(counts, 700)
+    assert 500 < len(word) <= 700 and (np.diff(word) > 0).all()
+    more = counts.unionByName(spark.createDataFrame([(5, 40), (6, 30)], "word long, n long"))
+    word, n = lm_score.frequent(more, 700)
+    assert {5, 6} <= set(word.tolist()) and len(word) <= 700 and len(lm_score.frequent(more, 9000)[0]) == 5002
+
+
+def test_all_training_documents_are_learned_from(spark, monkeypatch):
+    """Every word of every training document goes through a trainer once, over all rounds."""
+    texts = sample_texts(15, 40)
+    docs = make(spark, texts).select("doc_id", "text")
+    seen = []
+    real = lm_score._round
+
+    def spy(part, *rest):
+        seen.append([(r["doc_id"], r["text"]) for r in part.collect()])
+        return real(part, *rest)
+
+    monkeypatch.setattr(lm_score, "_round", spy)
+    lm_score.score_documents(docs).count()
+    want = sorted((i, t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2 and t is not None)
+    assert sorted(x for part in seen for x in part if x[1] is not None) == want and len(seen) == 3
+
+
 @pytest.mark.parametrize("most,vocabulary", [(200_000, 2046), (20, 8)])
 def test_base_scores_equal_counts(spark, most, vocabulary):
     texts = sample_texts(14, 50)
-    rows = {r["doc_id"]: r for r in lm_score.score_documents(with_odd_columns(make(spark, texts)).drop("score"), most=most, vocabulary=vocabulary, sample_docs=20, sample_words=50).collect()}
+    rows = {r["doc_id"]: r for r in lm_score.score_documents(with_odd_columns(make(spark, texts)), most=most, vocabulary=vocabulary).collect()}
     out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     words = [[*WORDS.findall(lower(t)), "\n"] for t in texts]
     counts = Counter(w for i, ws in enumerate(words) if not out(i) for w in ws)
@@ -531,7 +569,7 @@ def test_base_scores_equal_counts(spark, most, vocabulary):
 
 def test_scores_of_nothing(spark):
     df = spark.createDataFrame([(None, None), (None, "a b"), (2, "")], "doc_id long, text string")
-    assert lm_score.score_documents(df, sample_docs=5).count() == 3
+    assert lm_score.score_documents(df).count() == 3
     assert lm_score.score_documents(df.where("false")).count() == 0
     held = df.where("false").unionByName(spark.createDataFrame([(i, "x y") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string"))
     r = lm_score.score_documents(held).first()
