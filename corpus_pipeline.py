@@ -56,7 +56,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates in place of personal data; n_chars follows the new text."""
     common.prepare(spark)
-    out = pii.replace_entities(docs)
+    out = pii.replace_entities(docs, pii.key_of(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

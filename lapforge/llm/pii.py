@@ -10,8 +10,9 @@ surrogates that two entities share or that repeat the entity, and draws those an
 from __future__ import annotations
 
 import hashlib
+import secrets
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,16 +49,21 @@ _LINKS = rf"(?:(?:{_INITIAL}|{_BETWEEN})[  ])*+"
 PERSON = rf"(?<![\p{{L}}\p{{N}}]){_HEAD}{_LINKS}{_NAME}(?:[  ]{_LINKS}(?!{_TITLE}\.?[  ]){_NAME})*+"
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-ADDRESS = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
-PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: IPv4, and IPv6 in full or with one gap
+ADDRESS = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])|(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])"
+PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])|" + (_NATIONAL := r"(?<![0-9.+-])(?:[0-9]{3}([.-])[0-9]{3}[.-][0-9]{4}|0[0-9]{2,4}[ /-][0-9]{3,4}[ -]?[0-9]{3,4})(?![0-9]|[.-][0-9])")
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![0-9])[0-9]{4}(?:([ -]?)[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=(?i:token|password|passwd|secret|api_key|apikey) {0,2}[=:] {0,2}[\"']{0,1})[A-Za-z0-9_/+~.-]{7,}[A-Za-z0-9_/+~-]"
-ENTITY = "|".join((PERSON, EMAIL, SECRET, ADDRESS, PHONE, CARD, SSN))
+ENTITY = "|".join((PERSON, EMAIL, SECRET, IBAN, ADDRESS, CARD, PHONE, SSN))
 #: What any entity has at least: texts without it are passed on unread by the full pattern.
-HINT = rf"[0-9@]|(?i:token|password|passwd|secret|api_?key) {{0,2}}[=:]|{_TITLE}\.?[ \u00A0](?:\p{{Lu}}|(?:von|van|de|del|di|da|dos|du)[ \u00A0])"
+HINT = rf"[0-9@]|::|(?i:token|password|passwd|secret|api_?key) {{0,2}}[=:]|{_TITLE}\.?[ \u00A0](?:\p{{Lu}}|(?:von|van|de|del|di|da|dos|du)[ \u00A0])"
 #: Rounds in which colliding surrogates are drawn anew, each twice as safe as all names of a kind are many.
 REDRAWS = 16
+#: The setting that holds the key.
+KEY = "spark.lapforge.pii.key"
 
 
 def _let(value: Column, then) -> Column:
@@ -131,13 +137,20 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(-F.aggregate(twice, F.lit(0), lambda s, x: s + x), F.lit(10))
 
 
+def _mod97(text: Column) -> Column:
+    """The number that digits and capital letters (10 to 35) spell, modulo 97."""
+    add = lambda s, c: F.when(c.between("0", "9"), s * 10 + F.ascii(c) - 48).otherwise(s * 100 + F.ascii(c) - 55)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda s, c: F.pmod(add(s, c), F.lit(97)))
+
+
 def kind_of(value: Column) -> Column:
     return (
         F.when(value.rlike(f"^{_TITLE}\\.?[ \\u00A0]"), "person")
         .when(value.contains("@"), "email")
-        .when(value.rlike(f"^{_OCTET}(?:\\.{_OCTET}){{3}}$"), "address")
+        .when(value.rlike(f"^{_OCTET}(?:\\.{_OCTET}){{3}}$") | value.rlike("^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]+$"), "address")
         .when(value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(value.rlike("^[+(][0-9]"), "phone")
+        .when(value.rlike("^[+(][0-9]") | value.rlike(f"^{_NATIONAL}$"), "phone")
+        .when(value.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{8,}$") & value.rlike("^.{4} ?[A-Z0-9]{4}(?: ?[A-Z0-9]{4}){1,6}(?: ?[A-Z0-9]{1,3})?$"), "iban")
         .when(value.rlike("^[0-9][0-9 -]{11,}$"), "card")
         .otherwise("secret")
     )
@@ -184,6 +197,9 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
         return F.concat(_permuted(F.concat(F.substring_index(v, "@", 1), F.lit("@"), host), own), F.lit("."), F.substring_index(v, ".", -1))
 
     def address(v: Column) -> Column:
+        return F.when(v.contains(":"), _permuted(v, own)).otherwise(octets(v))
+
+    def octets(v: Column) -> Column:
         state = F.transform(F.split(v, "\\."), lambda x: x.cast("int"))
         bytes_of = lambda s, r, k: [F.pmod(s[2 - k + j] + _byte(_digest(own, F.lit(str(r)), s[k].cast("string"), s[k + 1].cast("string")), F.lit(j)), F.lit(256)) for j in (0, 1)]
         even = lambda r: lambda s: F.array(*bytes_of(s, r, 2), s[2], s[3])
@@ -193,7 +209,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
         return F.array_join(state.cast("array<string>"), ".")
 
     def phone(v: Column) -> Column:
-        code = F.regexp_extract(v, "^(\\+[0-9]{1,3}(?=[ .(-])|\\+[0-9]|)", 1)
+        code = F.regexp_extract(v, "^(\\+[0-9]{1,3}(?=[ .(-])|\\+[0-9]|0|)", 1)
         return F.concat(code, _permuted(F.substring(v, F.length(code) + 1, F.length(v)), F.concat_ws("|", own, code)))
 
     def card(v: Column) -> Column:
@@ -206,6 +222,18 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
         head = F.concat(F.substring(digits, 1, 1), _let(middle, lambda m: _feistel(m, F.concat_ws("|", own, F.substring(digits, 1, 1)), F.lit(False))))
         return _let(head, lambda h: _into(v, F.concat(h, F.pmod(_luhn(h) + off, F.lit(10)).cast("string"))))
 
+    def iban(v: Column) -> Column:
+        """The country stays, and what the check digits lack to be right."""
+        country = F.substring(v, 1, 2)
+        right = lambda account: 98 - _mod97(F.concat(account, country, F.lit("00")))
+
+        def put(account: Column) -> Column:
+            off = F.substring(v, 3, 2).cast("int") - right(F.upper(_core(F.substring(v, F.lit(5), F.length(v)))))
+            check = F.pmod(right(F.upper(_core(account))) + off, F.lit(97))
+            return F.concat(country, F.lpad(F.when(check < 2, check + 97).otherwise(check).cast("string"), 2, "0"), account)
+
+        return _let(_permuted(F.substring(v, F.lit(5), F.length(v)), F.concat_ws("|", own, country)), put)
+
     def secret(v: Column) -> Column:
         head = F.when(v.rlike("^AKIA[0-9A-Z]{16}$"), "AKIA").otherwise("")
         return F.concat(head, _permuted(F.substring(v, F.length(head) + 1, F.length(v)), own))
@@ -216,6 +244,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
         .when(kind == "address", address(value))
         .when(kind == "phone", phone(value))
         .when(kind == "card", card(value))
+        .when(kind == "iban", iban(value))
         .when(kind == "ssn", _permuted(value, own))
         .otherwise(secret(value))
     )
@@ -290,11 +319,22 @@ def redraws(found: DataFrame, key: str) -> DataFrame:
     return drawn.where("attempt > 0").select("id", "attempt")
 
 
-def replace_entities(docs: DataFrame, key: str = "lapforge", text_col: str = "text") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key in the session's setting KEY; where it is unset a random one is put there, which the session keeps."""
+    found = spark.conf.get(KEY, None)
+    if not found:
+        found = secrets.token_hex(16)
+        spark.conf.set(KEY, found)
+    return found
+
+
+def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates for the entities in its text column, and n_entities and entity_kinds.
 
-    Kinds: address (IPv4), card (13 to 19 digits), email, person (after a title), phone, secret and
-    ssn. A mention's spelling is kept: case, separators, country code, card brand and validity. All
+    Kinds: address (IPv4, IPv6), card (13 to 19 digits), email, iban, person (after a title), phone
+    (international, with an area code in brackets or after 0, or 3-3-4 digits), secret and ssn. Who has
+    the key can undo all surrogates but names, so it has no default. A mention's spelling is kept:
+    case, separators, country code, card brand and the validity of check digits. All
     names after a title are replaced, each by its own surrogate: a last name keeps its one with and
     without a first name.
     n_entities counts mentions, entity_kinds are the distinct kinds, sorted and joined by commas.
@@ -311,8 +351,8 @@ def replace_entities(docs: DataFrame, key: str = "lapforge", text_col: str = "te
     if again.isEmpty():
         attempt = lambda v: F.lit(0)
     else:
-        mentions = docs.where(hint).select(text.alias("_pii_text"), F.explode(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), _atoms))).alias("v"))
-        by_text = mentions.distinct().withColumn("id", identity(kind_of(F.col("v")), F.col("v"))).join(again, "id").groupBy(F.sha2("_pii_text", 256).alias("_pii_text")).agg(F.map_from_entries(F.collect_set(F.struct("v", "attempt"))).alias("_pii_again"))
+        mentions = docs.where(hint).select(F.sha2(text, 256).alias("_pii_text"), F.explode(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), _atoms))).alias("v"))
+        by_text = mentions.distinct().withColumn("id", identity(kind_of(F.col("v")), F.col("v"))).join(again, "id").groupBy("_pii_text").agg(F.map_from_entries(F.collect_set(F.struct("v", "attempt"))).alias("_pii_again"))
         out = out.withColumn("_pii_text", F.when(F.size("_pii") > 0, F.sha2(text, 256))).join(by_text, "_pii_text", "left")
         attempt = lambda v: F.coalesce(F.col("_pii_again")[v], F.lit(0))
     new = F.transform("_pii", lambda v: _rewrite(v, key, attempt))
@@ -325,4 +365,4 @@ def replace_entities(docs: DataFrame, key: str = "lapforge", text_col: str = "te
 
 def op9(spark, sf_dir: str) -> DataFrame:
     """All documents with surrogates for their entities."""
-    return replace_entities(common.documents(spark, sf_dir)).select("doc_id", "text", "n_entities", "entity_kinds")
+    return replace_entities(common.documents(spark, sf_dir), key_of(spark)).select("doc_id", "text", "n_entities", "entity_kinds")

@@ -390,6 +390,8 @@ def test_expressions_bind_with_and_or():
 
 # PII
 
+replaced = lambda df: pii.replace_entities(df, "a key of tests")
+
 PERSONAL = [
     "mail Bob.Lee@mail8.example.com and bob.lee@mail8.example.com, ip 42.144.35.254.",
     "call +1 (988) 555-2485 or +1-988-555-2485; card 4041894974608795 or 4041-8949-7460-8795",
@@ -403,7 +405,7 @@ PERSONAL = [
 
 def test_surrogates_keep_kind_format_and_coreference(spark):
     df = with_odd_columns(make(spark, PERSONAL)).drop("score")
-    got = {r["doc_id"]: r for r in pii.replace_entities(df).collect()}
+    got = {r["doc_id"]: r for r in replaced(df).collect()}
     a = re.findall(r"\S+@\S+\.com", got[0]["text"])
     assert a[0].lower() == a[1] and a[0] != a[1] and "bob" not in a[1] and not re.search(r"42\.144\.35\.254", got[0]["text"])
     phones = re.findall(r"\+1[ -]\(?(\d{3})\)?[ -](\d{3})-(\d{4})", got[1]["text"])
@@ -415,9 +417,9 @@ def test_surrogates_keep_kind_format_and_coreference(spark):
     names = re.fullmatch(r"Mrs\. (\w+) met Mr\. (\w+), Frau (\w+) und Господин (\w+); \d{3}-\d\d-\d{4}", got[3]["text"])
     assert names and names[1].endswith("a") and names[2].endswith("on") and re.fullmatch("[А-Яа-я]+", names[4]) and len(set(names.groups())) == 4
     assert [got[i]["text"] for i in (4, 5, 6)] == [None, "", PERSONAL[6]] and [got[i]["n_entities"] for i in (4, 5, 6)] == [0, 0, 0]
-    assert got[1]["entity_kinds"] == "card,phone" and pii.replace_entities(df.where("false")).count() == 0
-    assert set(df.columns) <= set(pii.replace_entities(df).columns)
-    again = {r["doc_id"]: r["text"] for r in pii.replace_entities(df).collect()}
+    assert got[1]["entity_kinds"] == "card,phone" and replaced(df.where("false")).count() == 0
+    assert set(df.columns) <= set(replaced(df).columns)
+    again = {r["doc_id"]: r["text"] for r in replaced(df).collect()}
     assert again == {i: r["text"] for i, r in got.items()}
 
 
@@ -433,7 +435,7 @@ def test_many_surrogates_stay_distinct(spark):
     ips = [f"{a}.{b}.7.9" for a in range(1, 60) for b in range(20)]
     names = [f"Mr {chr(65 + k % 26)}{'abcdefghij'[k // 26 % 10]}{'klmnop'[k // 260]}" for k in range(1500)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ips + names)], "doc_id long, text string")
-    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(df).collect()}
+    out = {r["doc_id"]: r["text"] for r in replaced(df).collect()}
     assert len(set(out.values())) == len(set(ips + names)) and not set(out.values()) & {t for i, t in enumerate(ips + names) if out[i] == t}
 
 
@@ -442,7 +444,7 @@ def test_collisions_are_drawn_anew(spark, monkeypatch):
     # only the second draw tells values apart
     monkeypatch.setattr(pii, "surrogate", lambda kind, value, key, attempt: F.when(attempt == 0, F.lit("1.1.1.1")).otherwise(real(kind, value, key, attempt)))
     df = spark.createDataFrame([(1, "at 9.9.9.9 and 8.8.8.8"), (2, "7.7.7.7"), (2, "7.7.7.7"), (3, "none")], "doc_id long, text string")
-    rows = [(r["doc_id"], r["text"]) for r in pii.replace_entities(df).collect()]
+    rows = [(r["doc_id"], r["text"]) for r in replaced(df).collect()]
     found = [x for _, t in rows for x in re.findall(r"\d+\.\d+\.\d+\.\d+", t)]
     assert len(rows) == 4 and len(set(found)) == 3 and (3, "none") in rows
 
@@ -453,7 +455,7 @@ def test_whole_secrets_and_names_are_replaced(spark):
     huge = "".join(rng.choice("abcdef0123456789") for _ in range(20_000))
     names = "Mr John Smith saw Mr Smith, Mr J. Smith, Mrs Smith and Mr Jack Smith. Then Frau Dr. Otto von Berg-Tal met Mr O'Neil Mrs Jones and Mr. Smith's dog."
     df = spark.createDataFrame([(0, f"token = {long}. Next"), (1, f"secret: {huge}"), (2, names)], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(df).collect()}
+    got = {r["doc_id"]: r["text"] for r in replaced(df).collect()}
     new = re.fullmatch(r"token = (\S+)\. Next", got[0])[1]
     assert len(new) == 300 and not any(new[i : i + 8] == long[i : i + 8] for i in range(293))
     assert all(a.isalnum() == b.isalnum() and a.isupper() == b.isupper() and a.isdigit() == b.isdigit() for a, b in zip(long, new))
@@ -463,12 +465,77 @@ def test_whole_secrets_and_names_are_replaced(spark):
     assert not re.search("John|Jack|Smith|Otto|Berg|Tal|Neil|Jones", got[2])
 
 
+def mod97(text):
+    return int("".join(str(int(c, 36)) for c in text)) % 97
+
+
+def generated_entities(rng):
+    """kind -> a maker of mentions, each as (mention, entity): spellings of one entity share the second."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        head = "4" + digits(14)
+        number = next(head + c for c in "0123456789" if luhn(head + c))
+        return rng.choice([number, "-".join(number[k : k + 4] for k in (0, 4, 8, 12))]), number
+
+    def iban():
+        country, account = rng.choice(["DE", "FR", "GB"]), "".join(rng.choice("0123456789ABCXYZ") for _ in range(18))
+        whole = f"{country}{98 - mod97(account + country + '00'):02d}{account}"
+        return rng.choice([whole, " ".join(whole[k : k + 4] for k in range(0, 22, 4))]), whole
+
+    return {
+        "address": lambda: [(x, x) for x in [rng.choice([".".join(str(rng.randrange(256)) for _ in range(4)), ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8)), f"2001:db8::{rng.randrange(1, 65536):x}:{rng.randrange(1, 65536):x}"])]][0],
+        "card": card,
+        "email": lambda: [(f"{x}{d}@{h}.org", f"{x}{d}@{h}.org") for x, d, h in [(rng.choice(["ann", "li", "zoe"]), digits(3), rng.choice(["mail", "post"]))]][0],
+        "iban": iban,
+        "phone": lambda: [(x, x) for x in [rng.choice([f"{digits(3)}-{digits(3)}-{digits(4)}", f"020 {digits(4)} {digits(4)}", f"+44 {digits(4)} {digits(6)[:3]} {digits(3)}", f"({digits(3)}) {digits(3)}-{digits(4)}"])]][0],
+        "secret": lambda: [(f"password={x}", x) for x in ["".join(rng.choice("abcdefghxyz0123456789") for _ in range(24)) + "z"]][0],
+        "ssn": lambda: [(x, x) for x in [f"{digits(3)}-{digits(2)}-{digits(4)}"]][0],
+    }
+
+
+def test_generated_entities_are_all_replaced_and_nothing_else(spark):
+    rng = random.Random(31)
+    kinds = generated_entities(rng)
+    known = [(k, *make_one()) for k, make_one in kinds.items() for _ in range(40)]
+    texts, plan = [], []
+    for _ in range(300):
+        parts = [rng.choice(known) for _ in range(rng.randint(0, 4))]
+        fill = [" ".join(rng.choice(["und", "the", "of 3", "v1.2", "Été", "in 1999", "a-b"]) for _ in range(rng.randint(1, 6))) for _ in range(len(parts) + 1)]
+        texts.append(fill[0] + "".join(f" <{p[1]}> {f}" for p, f in zip(parts, fill[1:])))
+        plan.append((parts, fill))
+    rows = {r["doc_id"]: r for r in replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    to = {}
+    shape = lambda x: re.sub("[0-9a-f]", "h", x) if x.count(":") > 1 else re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", x)))
+    for i, (parts, fill) in enumerate(plan):
+        got = re.fullmatch(re.escape(fill[0]) + "".join(f" <(.*)> {re.escape(f)}" for f in fill[1:]), rows[i]["text"])
+        assert got and rows[i]["n_entities"] == len(parts) and rows[i]["entity_kinds"] == ",".join(sorted({p[0] for p in parts}))
+        for (kind, mention, entity), new in zip(parts, got.groups()):
+            assert new != mention and (kind == "address" and "." in mention or shape(new) == shape(mention))
+            bare = new.removeprefix("password=") if kind == "secret" else new if kind in ("email", "address") else re.sub("[ -]", "", new) if kind in ("card", "iban") else new
+            assert to.setdefault((kind, entity), bare) == bare
+            assert kind != "card" or luhn(bare) and bare[0] == "4"
+            assert kind != "iban" or bare[:2] == entity[:2] and mod97(bare[4:] + bare[:4]) == 1
+    assert len(set(to.values())) == len(to)
+
+
+def test_the_key_comes_from_the_session(spark):
+    spark.conf.unset(pii.KEY)
+    drawn = pii.key_of(spark)
+    assert len(drawn) == 32 and pii.key_of(spark) == drawn
+    spark.conf.set(pii.KEY, "own")
+    assert pii.key_of(spark) == "own"
+    spark.conf.unset(pii.KEY)
+    df = spark.createDataFrame([(1, "at 9.9.9.9 or a@b.org")], "doc_id long, text string")
+    assert pii.replace_entities(df, "x").first()["text"] != pii.replace_entities(df, "y").first()["text"]
+
+
 def test_names_never_run_out(spark, monkeypatch):
     # 16 names of four syllables for 100 entities
     monkeypatch.setattr(pii, "NAMES", {s: {g: [x[0]] * 8 for g, x in n.items()} for s, n in pii.NAMES.items()})
     monkeypatch.setattr(pii, "SYLLABLES", {s: x[:2] * 8 for s, x in pii.SYLLABLES.items()})
     names = [f"Mr {a}{b}" for a in "ABCDEFGHIJ" for b in ("an", "en", "in", "on", "un", "ar", "er", "ir", "or", "ur")]
-    out = [r["text"] for r in pii.replace_entities(spark.createDataFrame([(i, t) for i, t in enumerate(names)], "doc_id long, text string")).collect()]
+    out = [r["text"] for r in replaced(spark.createDataFrame([(i, t) for i, t in enumerate(names)], "doc_id long, text string")).collect()]
     assert len(set(out)) == 100 and not set(out) & set(names)
 
 
