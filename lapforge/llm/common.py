@@ -59,7 +59,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     forget_later(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(stored: DataFrame) -> None:
+    """Removes what :func:`materialize` has written, once nothing that is still to run reads it."""
+    jvm = stored.sparkSession.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(stored._stored_at)
+    at.getFileSystem(stored.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def input_partitions(df: DataFrame, least: int = 8) -> int:

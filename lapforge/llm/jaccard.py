@@ -351,8 +351,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """Components of documents linked by 100 * intersection >= percent * union of their shingle sets.
 
     Returns a row for each document: doc_id, n_shingles (set size), component_id (smallest doc_id
-    reachable by links, itself included), class_id (its set's name, null without words) and n_links
-    (other sets that its set links with).
+    reachable by links, itself included), class_id (its set's name), component_class (a
+    class that names its component; both null without words) and n_links (other sets that its set links with).
 
     Null text or no words: an empty set, linked with nothing, so the document is its own component.
     A null id cannot be a component's name unless all its members' ids are null. Repeated rows are
@@ -371,9 +371,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     tokens = postings.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token")
     # a few shingles of one class pass: they give no pair
     live = common.materialize(common.maybe_in(postings, "token", tokens).distinct(), "lists")
+    common.discard(postings)
     long = live.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(f"size > {SHORT}")
     long = common.materialize(long, "long-lists")
-    marked = common.materialize(common.marked(live, "token", long.select("token")), "marked-lists")
+    marked = common.marked(live, "token", long.select("token"))
     salted = long.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     perhaps = marked.where("_maybe").withColumn("salt", F.pmod(F.xxhash64("sig", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"], "left").select("token", "sig", "n", "size")
     perhaps = common.materialize(perhaps, "sized-lists")
@@ -386,12 +387,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     # pairs of one home are compared there, and so are those of homes of which one class asks the other's
     short = met.where(_may_link(percent)).where("ha is null or hb is null or ha <> hb").select("a", "na", "ha", "b", "nb", "hb")
     pairs = common.materialize(short, "candidates")
+    common.discard(live)
 
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(lists.select("sig")).distinct()
     ids = classes.join(wanted, "sig").select(F.col("first_id").alias("doc_id"))
     sets = common.materialize(_fragments(common.maybe_in(docs, "doc_id", ids), order, n), "fragments")
 
     links = common.materialize(_verify(pairs, sets, percent), "links")
+    common.discard(pairs)
     if lists.isEmpty():
         edges, degrees = links, []
     else:
@@ -403,11 +406,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     degrees += [links.select(F.col(k).alias("sig"), F.lit(1).cast("long").alias("k")) for k in "ab"]
     comp = common.components(edges.select("a", "b"), "components").withColumnsRenamed({"node": "sig", "component": "root"})
     degree = reduce(DataFrame.unionByName, degrees).groupBy("sig").agg(F.sum("k").alias("n_links"))
-    named = classes.join(comp, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    named = common.materialize(classes.join(comp, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "classes")
+    common.discard(sets)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_class = named.join(least, "root").join(degree, "sig", "left").select("sig", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_class = named.join(least, "root").join(degree, "sig", "left").select("sig", "root", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     joined = own.join(by_class, "sig", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("sig").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("sig").alias("class_id"), F.col("root").alias("component_class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
