@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from . import common
@@ -42,15 +43,34 @@ def patterns_of(url: Column) -> Column:
     return F.when(host != "", F.array_distinct(F.concat(F.array(F.concat(F.lit("host:"), host)), domains, folders))).otherwise(F.array().cast("array<string>"))
 
 
-def validity(entries: DataFrame) -> DataFrame:
+def _seconds(df: DataFrame, column: str) -> Column:
+    """Whole seconds that grow with the column: local times are counted by their own calendar, without any zone's jumps."""
+    at = F.col(column)
+    if isinstance(df.schema[column].dataType, T.TimestampNTZType):
+        return F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    return F.unix_seconds(at.cast("timestamp"))
+
+
+def validity(entries: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Listed intervals (pattern, since, until) of entries (pattern, at, added, seq); until is null while listed.
 
     Of entries at one time the one with the highest seq decides. Entries without a pattern, a time or
     a verdict are left out.
+
+    A pattern's entries are dealt to equal slots of the list's time and ordered within them; a slot's
+    last entry is followed by the first of the pattern's next slot with any. So a frequent pattern is
+    ordered by many tasks, and by one only its slots, at most ``slots`` rows.
     """
-    order = Window.partitionBy("pattern").orderBy("at", "seq")
     known = entries.where("pattern is not null and at is not null and added is not null")
-    spans = known.select("pattern", F.col("at").alias("since"), F.lead("at").over(order).alias("until"), "added")
+    second = _seconds(known, "at")
+    span = known.agg(F.min(second).alias("lo"), F.max(second).alias("hi")).first()
+    lo, width = span["lo"] or 0, ((span["hi"] or 0) - (span["lo"] or 0)) // slots + 1
+    dealt = known.withColumn("slot", F.floor((second - lo) / width).cast("int"))
+    inside = Window.partitionBy("pattern", "slot").orderBy("at", "seq")
+    firsts = dealt.groupBy("pattern", "slot").agg(F.min("at").alias("first"))
+    following = firsts.select("pattern", "slot", F.lead("first").over(Window.partitionBy("pattern").orderBy("slot")).alias("following"))
+    spans = dealt.select("pattern", "slot", F.col("at").alias("since"), F.lead("at").over(inside).alias("next"), "added").join(following, ["pattern", "slot"])
+    spans = spans.select("pattern", "since", F.coalesce("next", "following").alias("until"), "added")
     return spans.where("added and (until is null or until > since)").drop("added")
 
 
@@ -65,16 +85,17 @@ def judge_captures(captures: DataFrame, entries: DataFrame, slots: int = SLOTS)
     without entries nothing is listed.
     """
     captures = captures.drop("listed", "rule", "rule_since")
-    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    span = captures.agg(F.min(seconds("fetched_at")).alias("lo"), F.max(seconds("fetched_at")).alias("hi")).first()
+    fetched = _seconds(captures, "fetched_at")
+    span = captures.agg(F.min(fetched).alias("lo"), F.max(fetched).alias("hi")).first()
     lo, hi = span["lo"] or 0, span["hi"] or 0
     width = max(1, -(-(hi - lo + 1) // slots))
-    slot = lambda c: F.floor((seconds(c) - lo) / width).cast("int")
+    slot = lambda seconds: F.floor((seconds - lo) / width).cast("int")
     own = captures.where("url is not null and fetched_at is not null").select("url", "fetched_at").distinct()
-    asked = own.select("url", "fetched_at", slot("fetched_at").alias("slot"), F.explode(patterns_of(F.col("url"))).alias("pattern"))
+    asked = own.select("url", "fetched_at", slot(fetched).alias("slot"), F.explode(patterns_of(F.col("url"))).alias("pattern"))
     lists = validity(entries)
-    first, last = F.greatest(slot("since"), F.lit(0)), F.least(F.coalesce(slot("until"), F.lit(slots)), F.lit((hi - lo) // width))
-    dealt = lists.where((seconds("since") <= hi) & (F.col("until").isNull() | (seconds("until") >= lo))).select("pattern", "since", "until", F.explode(F.sequence(first, last)).alias("slot"))
+    since, until = _seconds(lists, "since"), _seconds(lists, "until")
+    first, last = F.greatest(slot(since), F.lit(0)), F.least(F.coalesce(slot(until), F.lit(slots)), F.lit((hi - lo) // width))
+    dealt = lists.where((since <= hi) & (F.col("until").isNull() | (until >= lo))).select("pattern", "since", "until", F.explode(F.sequence(first, last)).alias("slot"))
     held = asked.join(dealt, ["pattern", "slot"]).where("since <= fetched_at and (until is null or fetched_at < until)")
     best = held.groupBy("url", "fetched_at").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since")).alias("best"))
     best = best.select("url", "fetched_at", F.col("best.pattern").alias("rule"), F.col("best.since").alias("rule_since"))
@@ -90,14 +111,15 @@ def page_captures(spark, sf_dir: str) -> DataFrame:
 
 
 def event_entries(spark, sf_dir: str, captures: DataFrame) -> DataFrame:
-    """List entries from events: the event of a page's number lists its host, its parent domain or its first folder, every fifth removes it."""
+    """List entries from all events. Events are dealt to pages in turn: each lists its page's host, parent domain or first folder; every fifth removes it."""
+    pages = (captures.agg(F.max("page_id")).first()[0] or 0) + 1
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp_ntz").alias("at"))
     url = F.col("url")
     labels = F.split(host_of(url), r"\.")
     parent = F.array_join(F.when(F.size(labels) > 2, F.slice(labels, F.lit(2), F.size(labels))).otherwise(labels), ".")
     folder = F.concat(host_of(url), F.lit("/"), F.regexp_extract(path_of(url), "^/([^/]*)", 1), F.lit("/"))
     pattern = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("host:"), host_of(url))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("domain:"), parent)).otherwise(F.concat(F.lit("prefix:"), folder))
-    joined = events.join(captures.select("page_id", "url"), F.col("event_id") == F.col("page_id"))
+    joined = events.join(captures.select("page_id", "url"), F.col("event_id") % pages == F.col("page_id"))
     return joined.select(pattern.alias("pattern"), "at", (F.col("event_id") % 5 != 0).alias("added"), F.col("event_id").alias("seq"))
 
 
@@ -121,7 +143,7 @@ ent AS (
       WHEN 0 THEN 'host:' || host
       WHEN 1 THEN 'domain:' || CASE WHEN len(string_split(host, '.')) > 2 THEN substr(host, strpos(host, '.') + 1) ELSE host END
       ELSE 'prefix:' || host || '/' || regexp_extract(path, '^/([^/]*)', 1) || '/' END AS pattern
-  FROM events JOIN cap ON event_id = page_id),
+  FROM events JOIN cap ON event_id % (SELECT max(page_id) + 1 FROM pages) = page_id),
 spans AS (
   SELECT pattern, dated AS since, lead(dated) OVER (PARTITION BY pattern ORDER BY dated, event_id) AS until, added FROM ent),
 lists AS (SELECT * FROM spans WHERE added AND (until IS NULL OR until > since)),
