@@ -18,48 +18,75 @@ BASE_PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Further notice phrases, in words.
+#: Further notice phrases, in words: names of licences and how their texts and notices begin.
 NOTICE_PHRASES = {
     "released under the mit license": "mit",
-    "permission is hereby granted free of charge": "mit",
+    "licensed under the mit license": "mit",
+    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee": "isc",
     "licensed under the apache license": "apache-2",
+    "apache license version 2 0": "apache-2",
+    "apache software license version 1 1": "apache-1.1",
     "gnu general public license version 3": "gpl-3",
+    "gnu general public license as published by the free software foundation either version 3": "gpl-3",
     "gnu general public license version 2": "gpl-2",
+    "gnu general public license as published by the free software foundation either version 2": "gpl-2",
+    "gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
-    "redistribution and use in source and binary forms": "bsd",
+    "gnu free documentation license": "gfdl",
+    "server side public license": "sspl",
+    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "bsd 2 clause license": "bsd-2-clause",
+    "bsd 3 clause license": "bsd-3-clause",
     "mozilla public license version 2": "mpl-2",
+    "subject to the terms of the mozilla public license v 2 0": "mpl-2",
+    "mozilla public license version 1 1": "mpl-1.1",
     "eclipse public license": "epl",
+    "common development and distribution license": "cddl",
+    "boost software license version 1 0": "bsl-1.0",
+    "python software foundation license": "python",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "do what the fuck you want to public license": "wtfpl",
     "cc by sa": "cc-by-sa",
     "cc by nd": "cc-by-nd",
     "cc by 4 0": "cc-by",
     "creative commons attribution 4 0": "cc-by",
-    "this is free and unencumbered software": "unlicense",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "cc0 1 0 universal": "cc0",
+    "no copyright reserved public domain dedication": "cc0",
+    "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "all-rights-reserved",
+    "proprietary and confidential": "proprietary",
 }
 TAG_PHRASE = "spdx license identifier"
 TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
 
 #: How much an identifier's family asks of a user: 0 nothing, 1 notice, 2 file-level copyleft, 3 copyleft, 4 network copyleft or limits on use.
-DUTIES = {"0bsd": 0, "cc0": 0, "unlicense": 0, "wtfpl": 0, "mit": 1, "isc": 1, "bsd": 1, "apache": 1, "zlib": 1, "bsl": 1, "cc-by": 1, "python": 1, "mpl": 2, "epl": 2, "lgpl": 2, "cddl": 2, "gpl": 3, "cc-by-sa": 3, "agpl": 4, "sspl": 4, "cc-by-nc": 4, "cc-by-nd": 4}
+DUTIES = {"0bsd": 0, "cc0": 0, "unlicense": 0, "wtfpl": 0, "mit-0": 0, "pddl": 0, "afl": 1, "artistic": 1, "beerware": 1, "blueoak": 1, "bzip2": 1, "curl": 1, "ms-pl": 1, "mulanpsl": 1, "ncsa": 1, "ofl": 1, "openssl": 1, "php": 1, "postgresql": 1, "psf": 1, "ruby": 1, "unicode": 1, "upl": 1, "vim": 1, "w3c": 1, "x11": 1, "mit": 1, "isc": 1, "bsd": 1, "apache": 1, "zlib": 1, "bsl": 1, "cc-by": 1, "python": 1, "mpl": 2, "epl": 2, "lgpl": 2, "cddl": 2, "cpl": 2, "ms-rl": 2, "cecill": 3, "eupl": 3, "gfdl": 3, "gpl": 3, "cc-by-sa": 3, "agpl": 4, "osl": 4, "sspl": 4, "cc-by-nc": 4, "cc-by-nd": 4}
 TERMS = ("terms-public-domain", "terms-notice", "terms-weak-copyleft", "terms-copyleft", "terms-restricted")
 
 #: bytes of words as they are, A-Z lower-cased, other ASCII as a space
 _WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256)).lower()
 _BINDING = {"or": 1, "and": 2, "with": 3}
+_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:\-]*")
+#: Exceptions that lift copyleft from what is linked or made with the work; others leave the duties as they are.
+LIFTING = ("classpath-exception", "gcc-exception", "llvm-exception", "autoconf-exception", "bison-exception", "font-exception", "libtool-exception", "linking-exception", "openssl-exception", "gpl-cc", "linux-syscall-note", "ocaml-lgpl-linking-exception", "qt-gpl-exception", "universal-foss-exception", "wxwindows-exception")
 
 
 class ExpressionError(ValueError):
     """The expression cannot be parsed."""
 
 
-def to_postfix(expression: str) -> list[str]:
+def to_postfix(tokens: list[str]) -> list[str]:
     """Shunting-yard: ids and operators of an expression in postfix order. ``with`` binds tightest, then ``and``, then ``or``."""
     out: list[str] = []
     stack: list[str] = []
     operand = False
-    for t in re.findall(r"[()]|[A-Za-z0-9.+:\-]+", expression):
-        t = t.lower()
+    for t in tokens:
         if t == "(":
             if operand:
                 raise ExpressionError("an operator is missing")
@@ -99,19 +126,19 @@ def duty(identifier: str) -> int | None:
     return DUTIES[max(found, key=len)] if found else None
 
 
-def evaluate(expression: str) -> tuple[list[str], int | None]:
-    """Identifiers of an expression, and its duties: of ``or`` the lighter side, of ``and`` the heavier, ``with`` lifts copyleft by one step.
+def evaluate(tokens: list[str]) -> tuple[list[str], int | None]:
+    """Identifiers of an expression, and its duties: of ``or`` the lighter side, of ``and`` the heavier; ``with`` a lifting exception takes one step off copyleft.
 
     Unknown identifiers leave duties unknown, except beside a known side of ``or``.
     """
     stack: list[tuple[list[str], int | None]] = []
-    for t in to_postfix(expression):
+    for t in to_postfix(tokens):
         if t not in _BINDING:
             stack.append(([t], duty(t)))
             continue
         (right, r), (left, x) = stack.pop(), stack.pop()
         if t == "with":
-            stack.append((left, x - 1 if x in (2, 3) else x))
+            stack.append((left, x - 1 if x in (2, 3) and right[0].startswith(LIFTING) else x))
         elif t == "or":
             known = [d for d in (x, r) if d is not None]
             stack.append((left + right, min(known) if known else None))
@@ -120,6 +147,39 @@ def evaluate(expression: str) -> tuple[list[str], int | None]:
     return stack[0]
 
 
+def _named(tokens: list[str]) -> bool:
+    """Every id is a known licence's or exception's name, so that prose behind an expression is not taken for a part of it."""
+    ids = [(t, k and tokens[k - 1] == "with") for k, t in enumerate(tokens) if t not in _BINDING and t not in "()"]
+    return all(duty(t) is not None or t.startswith(("licenseref-", "documentref-")) or after_with and "exception" in t or t.startswith(LIFTING) for t, after_with in ids)
+
+
+def longest_expression(line: str) -> tuple[str, list[str], int | None] | None:
+    """The expression that a tag's line begins with, its identifiers and duties.
+
+    It is the whole line if that can be parsed, else its longest beginning that can and names known
+    licences alone. Full stops, commas and other signs end it.
+    """
+    found, at = [], 0
+    for m in _TOKEN.finditer(line):
+        if line[at : m.start()].strip():
+            break
+        token = m.group().rstrip(".:")
+        found.append((token, m.start() + len(token)))
+        at = m.end()
+        if token != m.group():
+            break
+    whole = found and not line[found[-1][1] :].strip().strip("*/-> \t")
+    for k in range(len(found), 0, -1):
+        tokens = [t.lower() for t, _ in found[:k]]
+        try:
+            ids, rank = evaluate(tokens)
+        except ExpressionError:
+            continue
+        if whole and k == len(found) or _named(tokens):
+            return line[: found[k - 1][1]], ids, rank
+    return None
+
+
 def word_text(text: str) -> bytes:
     """The text's words, A-Z lower-cased, with a space before, between and after."""
     words = text.encode("utf-8", "surrogatepass").translate(_WORDS).split(b" ")
@@ -157,11 +217,9 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple:
     expressions, terms = [], set()
     if tags:
         for m in TAG.finditer(text):
-            whole = m.group(1).strip().rstrip("*/-> \t").rstrip()
-            try:
-                ids, rank = evaluate(whole)
-            except ExpressionError:
+            if (got := longest_expression(m.group(1).lstrip())) is None:
                 continue
+            whole, ids, rank = got
             expressions.append(whole)
             more.update(ids)
             terms.add("terms-unknown" if rank is None else TERMS[rank])

@@ -327,7 +327,23 @@ def test_entries_hold_from_their_date_to_the_next(spark):
     got = {r["id"]: r["rule"] for r in url_lists.judge_captures(caps, entries).collect()}
     assert got == {0: None, 1: "domain:bad.org", 2: None, 3: "host:a.bad.org", 4: None, 5: None, 6: "host:t.com", 7: None, 8: None, 9: None, 10: "host:t.com"}
     assert url_lists.judge_captures(caps, entries.where("false")).where("listed").count() == 0
-    assert url_lists.judge_captures(caps.where("false"), entries).count() == 0
+    assert url_lists.judge_captures(caps.where("false").withColumn("rule", F.lit(1)), entries).count() == 0
+
+
+@pytest.mark.parametrize("slots", [1, 3, 64])
+def test_validity_equals_one_ordered_pass(spark, slots):
+    rng = random.Random(17)
+    rows = [(rng.choice(["host:a", "host:a", "host:a", "domain:b", "prefix:c/"]), rng.randrange(40), rng.random() < 0.7, k) for k in range(300)] + [("host:one", 7, True, 900)]
+    entries = spark.createDataFrame(rows, "pattern string, h int, added boolean, seq int").withColumn("at", F.timestamp_seconds(F.col("h") * 1800 + 1711843200)).drop("h")
+    for column in (entries, entries.withColumn("at", F.col("at").cast("timestamp_ntz"))):
+        want = []
+        for p in {r[0] for r in rows}:
+            own = sorted((h, k, a) for q, h, a, k in rows if q == p)
+            want += [(p, h, n) for (h, _, a), n in zip(own, [x[0] for x in own[1:]] + [None]) if a and n != h]
+        back = lambda t: t and round((t - min(r["at"] for r in column.collect())).total_seconds() / 1800)
+        first = min(r[1] for r in rows)
+        got = [(r["pattern"], back(r["since"]) + first, None if r["until"] is None else back(r["until"]) + first) for r in url_lists.validity(column, slots).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
 
 
 # language ID
@@ -381,11 +397,32 @@ def test_phrases_equal_a_plain_search(spark):
 
 
 def test_expressions_bind_with_and_or():
-    assert licences.to_postfix("MIT or Apache-2.0 AND (GPL-2.0 WITH Classpath or BSD-3-Clause)") == ["mit", "apache-2.0", "gpl-2.0", "classpath", "with", "bsd-3-clause", "or", "and", "or"]
-    assert licences.evaluate("GPL-3.0 AND MIT")[1] == 3 and licences.evaluate("GPL-3.0 OR MIT")[1] == 1 and licences.evaluate("GPL-2.0 WITH Classpath")[1] == 2 and licences.evaluate("foo AND mit")[1] is None
+    words = lambda x: re.findall(r"[()]|[^\s()]+", x.lower())
+    assert licences.to_postfix(words("MIT or Apache-2.0 AND (GPL-2.0 WITH Classpath or BSD-3-Clause)")) == ["mit", "apache-2.0", "gpl-2.0", "classpath", "with", "bsd-3-clause", "or", "and", "or"]
+    rank = lambda x: licences.evaluate(words(x))[1]
+    assert rank("GPL-3.0 AND MIT") == 3 and rank("GPL-3.0 OR MIT") == 1 and rank("foo AND mit") is None and rank("foo OR mit") == 1
+    assert rank("GPL-2.0 WITH Classpath-exception-2.0") == 2 and rank("GPL-2.0 WITH some-exception") == 3
     for bad in ("", "MIT AND", "(MIT", "MIT)", "MIT GPL", "OR MIT"):
         with pytest.raises(licences.ExpressionError):
-            licences.evaluate(bad)
+            licences.evaluate(words(bad))
+
+
+def test_tags_in_prose_give_their_expression(spark):
+    tag = "SPDX-License-Identifier:"
+    texts = [
+        (f"Intro. {tag} MIT and then prose goes on here.", "MIT", "mit", "terms-notice"),
+        (f"{tag} MIT. Copyright 2020 X", "MIT", "mit", "terms-notice"),
+        (f"// {tag} (GPL-2.0-only WITH Classpath-exception-2.0) OR Apache-2.0 */\nint x;", "(GPL-2.0-only WITH Classpath-exception-2.0) OR Apache-2.0", "apache-2.0,gpl-2.0-only", "terms-notice"),
+        (f"{tag} GPL-3.0-or-later AND see the file", "GPL-3.0-or-later", "gpl-3.0-or-later", "terms-copyleft"),
+        (f"{tag} LicenseRef-Own", "LicenseRef-Own", "licenseref-own", "terms-unknown"),
+        (f"{tag} see the LICENSE file, under the MIT license", "", "mit", ""),
+        (f"{tag} AND MIT", "", "", ""),
+        (f"{tag.lower()} ISC\n# {tag} BSD-3-Clause", "ISC\nBSD-3-Clause", "bsd-3-clause,isc", "terms-notice"),
+    ]
+    rows = {r["doc_id"]: r for r in licences.scan_licences(make(spark, [t[0] for t in texts])).collect()}
+    for i, (_, expressions, labels, terms) in enumerate(texts):
+        assert (rows[i]["expressions"], rows[i]["labels"], rows[i]["terms"]) == (expressions, labels, terms)
+    assert rows[0]["score"] == 1.0 and rows[6]["score"] == 0.0
 
 
 # PII
