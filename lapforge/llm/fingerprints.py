@@ -39,7 +39,7 @@ def wide_hash(form: bytes) -> bytes:
 
 
 def _frames(forms: list[bytes]) -> list[bytes]:
-    """Compressed forms. The compressor is deterministic and lossless, so frames are equal exactly where forms are."""
+    """Compressed forms. The compressor is deterministic and lossless, so frames are equal exactly where forms are, if all executors have one version of it."""
     press = zstandard.ZstdCompressor(level=1, write_content_size=False, write_checksum=False)
     return [press.compress(f) for f in forms]
 
@@ -113,6 +113,7 @@ def compare_edited(docs: DataFrame, hasher: Callable[[bytes], bytes] = wide_hash
     columns are not read.
 
     Texts are shuffled once and compressed, into ranges of ids; a task streams its ranges in order.
+    Rows with one id are one range, streamed by one task.
     The first row of every range is copied to the range that it follows, so no task needs another's.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -140,7 +141,7 @@ def compare_edited(docs: DataFrame, hasher: Callable[[bytes], bytes] = wide_hash
 
     dealt = docs.mapInArrow(deal, "to int, doc_id long, packed binary, copy boolean")
     # copies stand behind a range's own rows; of several with one id, the first is the one wanted
-    ordered = dealt.repartition(parts, "to").sortWithinPartitions("to", "copy", F.col("doc_id").desc_nulls_last(), "packed")
+    ordered = dealt.repartitionById(parts, "to").sortWithinPartitions("to", "copy", F.col("doc_id").desc_nulls_last(), "packed")
 
     def stream(frames: bool) -> DataFrame:
         names = ["doc_id", "n_chars", "edited_sha256", "hash", "edited_hash", "next_hash"] + ["frame", "edited_frame", "next_frame"] * frames

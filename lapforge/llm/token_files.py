@@ -7,7 +7,8 @@ Every id takes the fewest bits that hold the vocabulary. A shard file is
     | byte offset of each block in the payload (u64, one more) | payload
 
 with little-endian numbers. A block starts at a byte, holds a fixed number of ids (the last may hold
-fewer) and unpacks in one vectorised step, so any id range needs the blocks that it touches alone.
+fewer) and unpacks in one vectorised step, so any id range needs the blocks that it touches alone:
+a reader takes a shard's tables and then seeks to the blocks.
 """
 
 from __future__ import annotations
@@ -15,13 +16,12 @@ from __future__ import annotations
 import io
 import uuid
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -29,16 +29,19 @@ from . import common
 from .tokens import encoder, width
 
 MAGIC, VERSION, BLOCK = b"LFTK", 1, 4096
-#: ids of a shard file, at which the next document opens another.
-SHARD_IDS = 4 << 20
+#: ids of a shard file, at which the next document opens another; ids that are packed, and blocks that are read, at once.
+SHARD_IDS, PACK_AT, READ_BLOCKS = 4 << 20, 1 << 16, 256
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """ids as ``bits`` bits each, least bit first."""
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
-    planes = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
-    return np.packbits(planes.astype(np.uint8), axis=None, bitorder="little").tobytes()
+    out = []
+    for at in range(0, len(ids), PACK_AT):  # a multiple of eight ids fills whole bytes
+        planes = (ids[at : at + PACK_AT].astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
+        out.append(np.packbits(planes.astype(np.uint8), axis=None, bitorder="little").tobytes())
+    return b"".join(out)
 
 
 def unpack(raw: bytes | memoryview, n: int, bits: int) -> np.ndarray:
@@ -64,40 +67,57 @@ def shard_bytes(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, b
     return out.getvalue()
 
 
-@dataclass
 class Shard:
-    """A shard file's tables over its bytes; ids are unpacked on demand."""
+    """A shard's tables. ``read(offset, n)`` gives bytes of the file; blocks are read and unpacked on demand."""
 
-    raw: memoryview
-
-    def __post_init__(self):
-        if bytes(self.raw[:4]) != MAGIC:
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read, head = read, read(0, 40)
+        if head[:4] != MAGIC:
             raise ValueError("not a token shard")
-        self.version, self.bits, self.block = (int(x) for x in np.frombuffer(self.raw, "<u4", 3, 4))
-        docs, self.n_ids, blocks = (int(x) for x in np.frombuffer(self.raw, "<u8", 3, 16))
-        at = 40
-        self.doc_ids, at = np.frombuffer(self.raw, "<i8", docs, at), at + 8 * docs
-        self.nulls, at = np.frombuffer(self.raw, np.uint8, docs, at), at + docs
-        self.starts, at = np.frombuffer(self.raw, "<u8", docs + 1, at).astype(np.int64), at + 8 * (docs + 1)
-        self.offsets, at = np.frombuffer(self.raw, "<u8", blocks + 1, at).astype(np.int64), at + 8 * (blocks + 1)
-        self.payload = self.raw[at:]
+        self.version, self.bits, self.block = (int(x) for x in np.frombuffer(head, "<u4", 3, 4))
+        docs, self.n_ids, blocks = (int(x) for x in np.frombuffer(head, "<u8", 3, 16))
+        tables, at = read(40, 17 * docs + 8 + 8 * (blocks + 1)), 0
+        self.doc_ids, at = np.frombuffer(tables, "<i8", docs, at), at + 8 * docs
+        self.nulls, at = np.frombuffer(tables, np.uint8, docs, at), at + docs
+        self.starts, at = np.frombuffer(tables, "<u8", docs + 1, at).astype(np.int64), at + 8 * (docs + 1)
+        self.offsets = np.frombuffer(tables, "<u8", blocks + 1, at).astype(np.int64)
+        self.payload = 40 + len(tables)
 
     def ids(self, start: int, end: int) -> np.ndarray:
         """ids start..end of the shard, from the blocks that hold them."""
         if start >= end:
             return np.zeros(0, "<u4")
-        parts = []
-        for b in range(start // self.block, (end - 1) // self.block + 1):
+        first, last, parts = start // self.block, (end - 1) // self.block, []
+        base = self.offsets[first]
+        raw = memoryview(self.read(self.payload + int(base), int(self.offsets[last + 1] - base)))
+        for b in range(first, last + 1):
             n = min(self.block, self.n_ids - b * self.block)
-            parts.append(unpack(self.payload[self.offsets[b] : self.offsets[b + 1]], n, self.bits))
-        return np.concatenate(parts)[start - start // self.block * self.block :][: end - start]
+            parts.append(unpack(raw[self.offsets[b] - base : self.offsets[b + 1] - base], n, self.bits))
+        return np.concatenate(parts)[start - first * self.block :][: end - start]
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
+    def documents(self) -> Iterator[np.ndarray]:
+        """ids of each document in turn; what is read at once is READ_BLOCKS blocks or one document."""
+        at, low, held = 0, 0, np.zeros(0, "<u4")
+        for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist()):
+            if b > low + len(held):
+                at = max(b, min(a + READ_BLOCKS * self.block, self.n_ids))
+                low, held = a, self.ids(a, at)
+            yield held[a - low : b - low]
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the file system that Spark finds it in: a path without a scheme is on the default one, not on each machine's disk."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = at.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file:///") else whole
+
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return pafs.FileSystem.from_uri(uri)
 
 
 def write_shard(uri: str, data: bytes) -> None:
@@ -109,10 +129,16 @@ def write_shard(uri: str, data: bytes) -> None:
     fs.move(part, path)
 
 
-def read_shard(uri: str) -> Shard:
+def open_shard(uri: str) -> tuple[pa.NativeFile, Shard]:
+    """An open file, to be closed by the caller, and its shard."""
     fs, path = _open(uri)
-    with fs.open_input_file(path) as f:
-        return Shard(memoryview(f.read()))
+    f = fs.open_input_file(path)
+
+    def read(offset: int, n: int) -> bytes:
+        f.seek(offset)
+        return f.read(n)
+
+    return f, Shard(read)
 
 
 def cut_points(df: DataFrame, column: str, parts: int) -> list[int]:
@@ -141,7 +167,7 @@ def write_token_files(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id
     if shard_ids < 1:
         raise ValueError("shard_ids must be positive")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = common.input_partitions(docs)
+    out_uri, parts = qualified(docs.sparkSession, out_uri), common.input_partitions(docs)
     cuts = np.array(cut_points(docs, "doc_id", parts), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +208,8 @@ def write_token_files(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id
             yield flush()
 
     encoded = docs.mapInArrow(encode, "doc_id long, bucket int, n int, packed binary")
-    ordered = encoded.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "packed")
+    # a bucket is a partition of its own: none meets another by its hash
+    ordered = encoded.repartitionById(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "packed")
     return common.materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
@@ -199,9 +226,9 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
-                shard = read_shard(path)
-                n = len(shard.doc_ids)
-                crc = np.fromiter((zlib.crc32(shard.document(k).tobytes()) for k in range(n)), np.int64, n)
+                f, shard = open_shard(path)
+                with f:
+                    crc = np.fromiter((zlib.crc32(x.tobytes()) for x in shard.documents()), np.int64, len(shard.doc_ids))
                 yield pa.record_batch(
                     [pa.array(shard.doc_ids, mask=shard.nulls.astype(bool)), pa.array(shard.starts[:-1] + before), pa.array(np.diff(shard.starts)), pa.array(crc)],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],

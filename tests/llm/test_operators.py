@@ -236,10 +236,17 @@ def test_bit_packing_round_trip(bits):
     rng = np.random.default_rng(bits)
     ids = rng.integers(0, 2**bits, 10_001, dtype=np.uint64).astype(np.uint32)
     sizes = np.array([0, 5, 4096, 5900])
-    shard = token_files.Shard(memoryview(token_files.shard_bytes([1, None, -3, 4], sizes, ids, bits, 1000)))
+    raw, asked = token_files.shard_bytes([1, None, -3, 4], sizes, ids, bits, 1000), []
+    shard = token_files.Shard(lambda at, n: (asked.append(n), raw[at : at + n])[1])
+    tables = sum(asked)
     assert np.array_equal(shard.ids(0, 10_001), ids) and np.array_equal(shard.ids(999, 3001), ids[999:3001])
     assert [len(shard.document(k)) for k in range(4)] == sizes.tolist() and np.array_equal(shard.document(2), ids[5:4101])
-    assert len(shard.payload) <= sum(-(-min(1000, 10_001 - b) * bits // 8) for b in range(0, 10_001, 1000))
+    assert len(raw) - shard.payload <= sum(-(-min(1000, 10_001 - b) * bits // 8) for b in range(0, 10_001, 1000))
+    # random access reads the blocks that it touches
+    asked.clear()
+    assert np.array_equal(shard.ids(2500, 2600), ids[2500:2600]) and tables + sum(asked) < tables + 2 * 1000 * bits // 8 + 8
+    assert [x.tolist() for x in shard.documents()] == [shard.document(k).tolist() for k in range(4)]
+    assert np.array_equal(token_files.unpack(token_files.pack(np.tile(ids, 20), bits), 200_020, bits), np.tile(ids, 20))
 
 
 def test_token_files_hold_all_documents(spark, tokenizer, tmp_path):
@@ -255,6 +262,9 @@ def test_token_files_hold_all_documents(spark, tokenizer, tmp_path):
         before += len(ids)
     assert manifest.count() > 1
     assert token_files.read_token_files(token_files.write_token_files(df.where("false"), out + "2", tokenizer, 2)).count() == 0
+    # a path without a scheme is Spark's default file system's, and named so in the manifest
+    plain = token_files.write_token_files(df, f"{tmp_path}/plain", tokenizer, 2)
+    assert plain.where("path not like 'file:///%'").count() == 0 and token_files.read_token_files(plain).count() == len(texts)
     ties = spark.createDataFrame([(None, "b"), (None, None), (4, "a"), (4, "a")], "doc_id long, text string")
     assert token_files.read_token_files(token_files.write_token_files(ties, out + "3", tokenizer, 2)).count() == 4
 
