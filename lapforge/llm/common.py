@@ -78,18 +78,19 @@ def input_partitions(df: DataFrame, least: int = 8) -> int:
     return max(least, df.rdd.getNumPartitions())
 
 
-def marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``df`` with _maybe: whether the key's bit is set in a bitmap of fixed size over ``ids``."""
+def marked(df: DataFrame, key: str, ids: DataFrame, name: str = "_maybe") -> DataFrame:
+    """``df`` with ``name``: whether the key's bit is set in a bitmap of fixed size over ``ids``."""
+    at, word, bits = (free_name(df, x) for x in ("at", "word", "bits"))
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_BITS))
     words = (
-        ids.select(bit.alias("_bit"))
-        .groupBy((F.col("_bit") / 64).cast("int").alias("_word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_bits"))
+        ids.select(bit.alias(at))
+        .groupBy((F.col(at) / 64).cast("int").alias(word))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({at} % 64 as int))")).alias(bits))
     )
-    found = df.withColumn("_at", bit).withColumn("_word", (F.col("_at") / 64).cast("int"))
+    found = df.withColumn(at, bit).withColumn(word, (F.col(at) / 64).cast("int"))
     # at most BITMAP_BITS / 64 rows of 12 bytes
-    joined = found.join(F.broadcast(words), "_word", "left")
-    return joined.withColumn("_maybe", F.expr("coalesce(getbit(_bits, cast(_at % 64 as int)) = 1, false)")).drop("_word", "_bits", "_at")
+    joined = found.join(F.broadcast(words), word, "left")
+    return joined.withColumn(name, F.expr(f"coalesce(getbit({bits}, cast({at} % 64 as int)) = 1, false)")).drop(word, bits, at)
 
 
 def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -98,14 +99,16 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     A bitmap of fixed size is broadcast, so no key of ``ids`` is missed; a few others pass, and an
     exact join or filter has to follow. It keeps long rows out of that join's shuffle.
     """
-    return marked(df, key, ids).where("_maybe").drop("_maybe")
+    name = free_name(df, "maybe")
+    return marked(df, key, ids, name).where(name).drop(name)
 
 
 def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key is not among ``ids``; rows with a null key stay. Only rows whose key may be among them are shuffled."""
-    rows = marked(df, key, ids)
-    sure = rows.where("not _maybe").drop("_maybe")
-    return sure.unionByName(rows.where("_maybe").drop("_maybe").join(ids.select(key).distinct(), key, "left_anti").select(df.columns))
+    name = free_name(df, "maybe")
+    rows = marked(df, key, ids, name)
+    sure = rows.where(f"not {name}").drop(name)
+    return sure.unionByName(rows.where(name).drop(name).join(ids.select(key).distinct(), key, "left_anti").select(df.columns))
 
 
 def free_name(df: DataFrame, name: str) -> str:

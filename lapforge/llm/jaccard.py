@@ -51,6 +51,17 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64)))
 
 
+def with_class(docs: DataFrame, n: int, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the class of each text in the column ``name``: null without words."""
+
+    @F.arrow_udf("long")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([set_id(s) if len(s) else None for s in shingle_sets(texts, n)], pa.int64())
+
+    return docs.withColumn(name, found(F.col(text_col).cast("string")))
+
+
 def _survey(docs: DataFrame, n: int) -> DataFrame:
     """kind 0: a document's set; kind 1: a block of a task's shingle counts."""
     size = (1 << SKETCH_BITS) // SKETCH_BLOCKS

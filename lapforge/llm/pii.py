@@ -62,6 +62,8 @@ ENTITY = "|".join((PERSON, EMAIL, SECRET, IBAN, ADDRESS, CARD, PHONE, SSN))
 HINT = rf"[0-9@]|::|(?i:token|password|passwd|secret|api_?key) {{0,2}}[=:]|{_TITLE}\.?[ \u00A0](?:\p{{Lu}}|(?:von|van|de|del|di|da|dos|du)[ \u00A0])"
 #: Rounds in which colliding surrogates are drawn anew, each twice as safe as all names of a kind are many.
 REDRAWS = 16
+#: Columns that a result has besides those of the documents.
+OWN_COLUMNS = ("n_entities", "entity_kinds")
 #: The setting that holds the key.
 KEY = "spark.lapforge.pii.key"
 
@@ -340,27 +342,28 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     n_entities counts mentions, entity_kinds are the distinct kinds, sorted and joined by commas.
 
     Null and empty texts stay as they are with 0 entities. All other columns and repeated rows stay;
-    the operator's own columns start with ``_pii`` while it works, and a column of ``docs`` named
+    its working columns take names that are free. A column of ``docs`` named
     n_entities or entity_kinds is replaced. An empty table gives an empty result.
     """
     text = F.col(text_col)
     again = redraws(entities(docs.select(text.cast("string").alias("text"))), key)
     hint = F.coalesce(text.rlike(HINT), F.lit(False))
     values = F.when(hint, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("_pii", values)
+    found, by, drawn = (common.free_name(docs, x) for x in ("pii", "pii_text", "pii_again"))
+    out = docs.withColumn(found, values)
     if again.isEmpty():
         attempt = lambda v: F.lit(0)
     else:
-        mentions = docs.where(hint).select(F.sha2(text, 256).alias("_pii_text"), F.explode(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), _atoms))).alias("v"))
-        by_text = mentions.distinct().withColumn("id", identity(kind_of(F.col("v")), F.col("v"))).join(again, "id").groupBy("_pii_text").agg(F.map_from_entries(F.collect_set(F.struct("v", "attempt"))).alias("_pii_again"))
-        out = out.withColumn("_pii_text", F.when(F.size("_pii") > 0, F.sha2(text, 256))).join(by_text, "_pii_text", "left")
-        attempt = lambda v: F.coalesce(F.col("_pii_again")[v], F.lit(0))
-    new = F.transform("_pii", lambda v: _rewrite(v, key, attempt))
+        mentions = docs.where(hint).select(F.sha2(text, 256).alias(by), F.explode(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), _atoms))).alias("v"))
+        by_text = mentions.distinct().withColumn("id", identity(kind_of(F.col("v")), F.col("v"))).join(again, "id").groupBy(by).agg(F.map_from_entries(F.collect_set(F.struct("v", "attempt"))).alias(drawn))
+        out = out.withColumn(by, F.when(F.size(found) > 0, F.sha2(text, 256))).join(by_text, by, "left")
+        attempt = lambda v: F.coalesce(F.col(drawn)[v], F.lit(0))
+    new = F.transform(found, lambda v: _rewrite(v, key, attempt))
     pieces = F.split(text, ENTITY, -1)
     joined = F.array_join(F.transform(F.arrays_zip(pieces.alias("p"), F.concat(new, F.array(F.lit(""))).alias("s")), lambda z: F.concat(z["p"], z["s"])), "")
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_pii", kind_of))), ",")
-    out = out.withColumns({text_col: F.when(F.size("_pii") > 0, joined).otherwise(text), "n_entities": F.size("_pii").cast("long"), "entity_kinds": kinds})
-    return out.drop("_pii", "_pii_text", "_pii_again")
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(found, kind_of))), ",")
+    out = out.withColumns({text_col: F.when(F.size(found) > 0, joined).otherwise(text), "n_entities": F.size(found).cast("long"), "entity_kinds": kinds})
+    return out.drop(found, by, drawn)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
