@@ -85,6 +85,7 @@ def _block(docs: DataFrame, item_ids: list[int], item_texts: list[str], least_sc
     sizes = sorted({min(SEED_WORDS, len(w)) for w in words if len(w)})
     held = docs.sparkSession.sparkContext.broadcast((known, item_of, item_at, sizes, words, [np.unique(w) for w in words]))
 
+    @common.tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, item_of, item_at, sizes, items, own_words = held.value
         for batch in batches:

@@ -77,6 +77,7 @@ def fingerprint(docs: DataFrame, hasher: Callable[[bytes], bytes] = wide_hash, i
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [canonical(t) for t in batch.column("text").to_pylist()]
@@ -124,6 +125,7 @@ def compare_edited(docs: DataFrame, hasher: Callable[[bytes], bytes] = wide_hash
     heads = cuts if cuts and top == cuts[-1] else [*cuts, NO_ID if top is None else top]
     held = spark.sparkContext.broadcast((np.array(cuts, np.int64), np.array(heads, np.int64)))
 
+    @common.tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows to their range; rows with a range's greatest id to the next higher range as well (the highest's: to the lowest)."""
         cuts, heads = held.value
@@ -147,6 +149,7 @@ def compare_edited(docs: DataFrame, hasher: Callable[[bytes], bytes] = wide_hash
         names = ["doc_id", "n_chars", "edited_sha256", "hash", "edited_hash", "next_hash"] + ["frame", "edited_frame", "next_frame"] * frames
         types = [pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * (6 if frames else 3)
 
+        @common.tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpress = zstandard.ZstdDecompressor()
             waits: tuple | None = None  # range, id, text and form of the row whose next is still to come

@@ -55,6 +55,7 @@ def with_class(docs: DataFrame, n: int, name: str, text_col: str = "text") -> Da
     """``docs`` with the class of each text in the column ``name``: null without words."""
 
     @F.arrow_udf("long")
+    @common.tidy
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([set_id(s) if len(s) else None for s in shingle_sets(texts, n)], pa.int64())
@@ -68,6 +69,7 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
     names = ["kind", "doc_id", "n", "sig", "block", "counts"]
     types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting, held = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
         for batch in batches:
@@ -97,6 +99,7 @@ def _sketch(survey: DataFrame) -> np.ndarray:
     """Counts of all tasks added up: each block in a task of its own, SKETCH_BLOCKS rows to the driver."""
     size = (1 << SKETCH_BITS) // SKETCH_BLOCKS
 
+    @common.tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -136,6 +139,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _postings(docs: DataFrame, order, n: int, percent: int) -> DataFrame:
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -161,6 +165,7 @@ def _fragments(docs: DataFrame, order, n: int) -> DataFrame:
     """(sig, parts): a set cut by the fragments of the order, once a task."""
     kind = pa.list_(pa.list_(pa.int64()))
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -327,6 +332,7 @@ def _home_blocks(lists: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
     pairs = pairs.select(F.col("home").alias("lhome"), F.col("home").alias("rhome"), *(f"{k}{c}" for k in "lr" for c in KEY[1:]))
     both = pairs.join(side("l"), [f"l{c}" for c in KEY]).join(side("r"), [f"r{c}" for c in KEY])
 
+    @common.tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = {c: [] for c in (*KEY, "counts", "ea", "eb")}

@@ -263,6 +263,7 @@ def identified(spark, languages: Languages, text: Column) -> Column:
     held = spark.sparkContext.broadcast(languages)
 
     @F.arrow_udf("lang_pred string, score double, phrases double")
+    @common.tidy
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             lang, score, phrases = held.value.predict(texts)

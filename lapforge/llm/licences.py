@@ -242,6 +242,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "expressions", "terms", "score"]
     types = [pa.int64()] * 5 + [pa.string()] * 4 + [pa.float64()]
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = build_automaton()
         for batch in batches:

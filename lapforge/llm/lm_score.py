@@ -45,6 +45,7 @@ def _own(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n): how often each word, by its 64-bit hash, is in the column ``text``."""
 
+    @common.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
@@ -104,6 +105,7 @@ def _round(docs: DataFrame, model: Model, known: np.ndarray, numbers: np.ndarray
     cuts = np.linspace(0, len(model.flat), SLICES + 1).astype(int)
     names, types = ["slice", "learned", "parameters"], (pa.int32(), pa.int64(), pa.binary())
 
+    @common.tidy
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, known, numbers = held.value
         trainer = Trainer(Model(start.starts, start.inner, start.state, start.flat.copy()))
@@ -115,6 +117,7 @@ def _round(docs: DataFrame, model: Model, known: np.ndarray, numbers: np.ndarray
         if trainer.learned:
             yield pa.record_batch([pa.array(range(SLICES), types[0]), pa.array([trainer.learned] * SLICES, types[1]), pa.array([own[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], types[2])], names)
 
+    @common.tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
@@ -191,6 +194,7 @@ def score_documents(docs: DataFrame, holdout: tuple[int, int] | None = (7, 2), i
     held = spark.sparkContext.broadcast((model, known, numbers, word, n))
     base = float(np.log10(total + distinct + 1))
 
+    @common.tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, numbers, word, n = held.value
         task, done = TaskContext.get().partitionId(), 0

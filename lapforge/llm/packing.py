@@ -123,6 +123,7 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, share
 def cut_into_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
     """Encode whole texts, append ``end_id`` and cut at every ``capacity`` ids. One row for each piece."""
 
+    @common.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
         for batch in batches:
@@ -166,6 +167,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
     rows = ranked.select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
     held = docs.sparkSession.sparkContext.broadcast(plan)
 
+    @common.tidy
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seq, offset = place(held.value, batch.column("length").to_numpy(), batch.column("rank").to_numpy())

@@ -170,6 +170,7 @@ def write_token_files(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id
     out_uri, parts = qualified(docs.sparkSession, out_uri), common.input_partitions(docs)
     cuts = np.array(cut_points(docs, "doc_id", parts), np.int64)
 
+    @common.tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
         bits = width(max(coder.vocabulary, end_id + 1))
@@ -180,6 +181,7 @@ def write_token_files(docs: DataFrame, out_uri: str, tokenizer_path: str, end_id
             bucket = np.searchsorted(cuts, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left")
             yield pa.record_batch([doc, pa.array(bucket, pa.int32()), pa.array(at[1:] - at[:-1] + 1, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "bucket", "n", "packed"])
 
+    @common.tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = encoder(tokenizer_path).vocabulary
         bits = width(max(vocabulary, end_id + 1))
@@ -223,6 +225,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("bucket", "shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("path", "before")
 
+    @common.tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
