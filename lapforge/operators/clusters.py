@@ -21,7 +21,7 @@ def cluster_messages(messages: DataFrame, k: int = 10, seed: int = 42, vocabular
     TF-IDF of one- and two-word terms of the text without numbers, at least in two messages, then
     k-means with at most as many clusters as there are distinct texts; terms are a centre's six
     heaviest. Blank messages are left out. With fewer than two texts, or no shared term, each distinct
-    text is a cluster.
+    text is a cluster, numbered by its hash.
     """
     rows = messages.withColumn("text", normalize_message_text(F.col("message"))).where("text <> ''").select("race_control_message_id", "text")
     distinct = rows.select("text").distinct()
@@ -40,10 +40,9 @@ def cluster_messages(messages: DataFrame, k: int = 10, seed: int = 42, vocabular
             model = weigh.fit(vectors)
             names = [", ".join(counted.vocabulary[i] for i in sorted(range(len(c)), key=lambda i: (-c[i], counted.vocabulary[i]))[:6]) for c in model.stages[-1].clusterCenters()]
             labels = F.array(*map(F.lit, names))
-            return model.transform(vectors).select("race_control_message_id", "text", "cluster_id", F.element_at(labels, F.col("cluster_id") + 1).alias("cluster_terms"))
-    # fewer texts than clusters or no shared term: number the texts in order
-    numbered = distinct.withColumn("cluster_id", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("text")) - 1)
-    return rows.join(numbered, "text").select("race_control_message_id", "text", "cluster_id", F.col("text").alias("cluster_terms"))
+            return model.transform(vectors).select("race_control_message_id", "text", F.col("cluster_id").cast("long").alias("cluster_id"), F.element_at(labels, F.col("cluster_id") + 1).alias("cluster_terms"))
+    # fewer texts than clusters or no shared term: a text's hash names its cluster, however many there are
+    return rows.select("race_control_message_id", "text", F.xxhash64("text").alias("cluster_id"), F.col("text").alias("cluster_terms"))
 
 
 def message_cluster_summary(messages: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -53,7 +52,8 @@ def message_cluster_summary(messages: DataFrame, clusters: DataFrame) -> DataFra
     return rows.groupBy("cluster_id").agg(F.first("cluster_terms").alias("cluster_terms"), F.count(F.lit(1)).alias("messages"), F.count_distinct("session_id").alias("sessions"), F.array_join(F.array_sort(F.collect_set("taxonomy")), ",").alias("taxonomies"), pct("racing_number").alias("driver_scoped_pct"), pct("lap_number").alias("lap_scoped_pct"))
 
 
-def _shapes(laps: DataFrame, k: int, seed: int):
+def _plane(laps: DataFrame):
+    """Rows of speed profiles, and the fitted steps that make features of them and their two main components."""
     bins = [F.col(b).cast("double").alias(b) for b in BINS]
     # every step of the fit reads the rows
     rows = laps.select("lap_id", "primary_category", "speed_shape_excess_kmh", *bins).persist()
@@ -64,16 +64,17 @@ def _shapes(laps: DataFrame, k: int, seed: int):
         VectorAssembler(inputCols=[f"{b}_f" for b in used], outputCol="raw"),
         RobustScaler(withCentering=True, inputCol="raw", outputCol="features"),
         PCA(k=2, inputCol="features", outputCol="plane"),
-        KMeans(k=k, seed=seed, predictionCol="cluster_id"),
     ]
-    model = Pipeline(stages=steps).fit(rows)
-    return model, model.transform(rows)
+    return rows, Pipeline(stages=steps).fit(rows)
 
 
 def lap_shape_clusters(laps: DataFrame, k: int = 7, seed: int = 42) -> DataFrame:
     """Classified laps with a cluster of their speed profile, its two main components, and the distance to the centre. Missing bins take the bin's median."""
-    model, out = _shapes(laps, k, seed)
-    centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in model.stages[-1].clusterCenters()))
+    rows, plane = _plane(laps)
+    model = KMeans(k=k, seed=seed, predictionCol="cluster_id").fit(plane.transform(rows))
+    rows.unpersist()
+    out = model.transform(plane.transform(rows))
+    centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()))
     own = F.element_at(centres, F.col("cluster_id") + 1)
     gap = F.aggregate(F.zip_with(vector_to_array("features"), own, lambda a, b: F.pow(a - b, 2)), F.lit(0.0), lambda s, x: s + x)
     plane = vector_to_array("plane")
@@ -88,33 +89,36 @@ def cluster_exemplars(clusters: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
-    """Adjusted Rand index of two labellings of the same rows, from their contingency table."""
+def adjusted_rand(labels: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
+    """Adjusted Rand index of two labellings of the same rows, from their contingency table; ``by``: of each group."""
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
-    cells = labels.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    both = cells.agg(pairs("n").alias("both"), F.sum("n").alias("n"))
-    left = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(pairs("n").alias("x"))
-    right = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(pairs("n").alias("y"))
-    # three rows of one
-    one = both.crossJoin(left).crossJoin(right)
+    by = list(by)
+    cells = labels.groupBy(*by, a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    side = lambda c, name: cells.groupBy(*by, c).agg(F.sum("n").alias("n")).groupBy(*by).agg(pairs("n").alias(name))
+    both = cells.groupBy(*by).agg(pairs("n").alias("both"), F.sum("n").alias("n"))
+    # without groups, three rows of one
+    one = both.join(side(a, "x"), by).join(side(b, "y"), by) if by else both.crossJoin(side(a, "x")).crossJoin(side(b, "y"))
     expected, most = F.expr("x * y / nullif(n * (n - 1) / 2, 0)"), F.expr("(x + y) / 2")
-    return one.select(F.when(most == expected, 1.0).otherwise((F.col("both") - expected) / (most - expected)).alias("ari"))
+    return one.select(*by, F.when(most == expected, 1.0).otherwise((F.col("both") - expected) / (most - expected)).alias("ari"))
 
 
 def cluster_stability(laps: DataFrame, ks: tuple[int, ...] = (5, 6, 7, 8, 9), seeds: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Per number of clusters and seed: silhouette, and the adjusted Rand index against the first seed."""
-    judge = ClusteringEvaluator(predictionCol="cluster_id", featuresCol="features")
-    parts = []
+    rows, plane = _plane(laps)
+    # features are fitted once and held while every model reads them
+    points = plane.transform(rows).select("lap_id", "features").persist()
+    found, values = points, []
     for k in ks:
-        first = None
         for seed in seeds:
-            out = _shapes(laps, k, seed)[1]
-            several = out.select("cluster_id").distinct().limit(2).count() > 1
-            value = judge.evaluate(out) if several else None
-            now = out.select("lap_id", F.col("cluster_id").alias("b"))
-            first = now.withColumnRenamed("b", "a") if first is None else first
-            parts.append(adjusted_rand(first.join(now, "lap_id"), "a", "b").select(F.lit(k).alias("k"), F.lit(seed).alias("seed"), F.lit(value).cast("double").alias("silhouette"), "ari"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            column = f"k{k}_s{seed}"
+            model = KMeans(k=k, seed=seed, predictionCol=column).fit(points)
+            several = sum(n > 0 for n in model.summary.clusterSizes) > 1
+            judge = ClusteringEvaluator(predictionCol=column, featuresCol="features")
+            values.append((k, seed, judge.evaluate(model.transform(points)) if several else None))
+            found = model.transform(found)
+    # all labels in one pass: at most ks x seeds columns
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(seed).alias("seed"), F.col(f"k{k}_s{seeds[0]}").alias("a"), F.col(f"k{k}_s{seed}").alias("b")) for k in ks for seed in seeds))
+    rand = {(r["k"], r["seed"]): r["ari"] for r in adjusted_rand(found.select(F.explode(each).alias("x")).select("x.*"), "a", "b", ["k", "seed"]).collect()}
+    points.unpersist()
+    rows.unpersist()
+    return laps.sparkSession.createDataFrame([(k, seed, v, rand.get((k, seed))) for k, seed, v in values], "k int, seed int, silhouette double, ari double")

@@ -62,15 +62,15 @@ def _fits(laps: DataFrame, reference: DataFrame, by: list[str], n: int, tries: D
 
 
 def fit_shape(laps: DataFrame, reference: DataFrame, by: list[str], n: int, step: int = 10) -> DataFrame:
-    """Best scale, rotation and shift of each line onto the reference, over start offsets in both directions: every ``step`` first, then all near the best.
+    """Best scale, rotation and shift of each line onto the reference, over start offsets in both directions: every ``step`` first, then all near each direction's best.
 
     Returns offset, direction, scale, angle_rad, the coefficients a, b, dx, dy (u = a x - b y + dx,
     v = b x + a y + dy), and rmse, p50, p95 and max of the distances.
     """
     own = laps.select(*by).distinct()
     every = lambda offsets: own.withColumn("offset", F.explode(offsets)).withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1))))
-    best = lambda fits: fits.groupBy(*by).agg(F.min(F.struct("rmse", "offset", "direction", "a", "b", "dx", "dy")).alias("f")).select(*by, "f.*")
-    coarse = best(_fits(laps, reference, by, n, every(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step)))))
+    best = lambda fits, *keys: fits.groupBy(*by, *keys).agg(F.min(F.struct("rmse", "offset", "direction", "a", "b", "dx", "dy")).alias("f")).select(*by, "f.*")
+    coarse = best(_fits(laps, reference, by, n, every(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step)))), "direction")
     near = coarse.select(*by, "direction", F.explode(F.transform(F.sequence(F.lit(-step), F.lit(step)), lambda d: F.pmod(F.col("offset") + d, F.lit(n)))).alias("offset")).distinct()
     fine = best(_fits(laps, reference, by, n, near))
     placed = _apply(laps, fine, by, n).join(reference.select("i", F.col("x").alias("u"), F.col("y").alias("v")), "i")

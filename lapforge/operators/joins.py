@@ -64,21 +64,30 @@ def nearest_corner(rows: DataFrame, markers: DataFrame) -> DataFrame:
     return rows.join(corners, "session_id", "left").withColumn("_b", best).select(*rows.columns, F.col("_b.n").alias("marker_number"), F.col("_b.l").alias("marker_letter"), F.col("_b.d").alias("distance_to_corner"))
 
 
+#: Time slots of a session at most: what a row or period of any length is copied to.
+SLOTS = 1024
+
+
 def overlap(rows: DataFrame, start: str, end: str, periods: DataFrame, width: int, closed: bool = True) -> DataFrame:
     """Rows joined with the periods (start_time_ms, end_time_ms or null) of their session that overlap [start, end].
 
-    Both are dealt to time slots of ``width``; a pair is kept in the slot where its overlap begins.
+    Both are dealt to the session's time slots, of ``width`` or as wide as makes ``SLOTS`` of them from
+    the session's first start to its last end; a pair is kept in the slot where its overlap begins. An
+    open period lasts to the session's last end.
     """
-    last = periods.agg(F.max(F.greatest("start_time_ms", "end_time_ms"))).first()[0] or 0
-    top = rows.agg(F.max(end)).first()[0] or 0
-    slots = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
-    left = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start))).withColumn("_slot", slots(F.col(start), F.col(end)))
-    open_end = F.greatest(F.coalesce("end_time_ms", F.lit(max(last, top))), "start_time_ms")
-    right = periods.withColumn("_slot", slots(F.col("start_time_ms"), open_end))
-    begins = F.floor(F.greatest(F.col(start), F.col("start_time_ms")) / width) == F.col("_slot")
+    valid = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
+    span = valid.groupBy("session_id").agg(F.min(start).alias("_lo"), F.max(end).alias("_hi"))
+    span = span.withColumn("_width", F.greatest(F.lit(width), F.ceil((F.col("_hi") - F.col("_lo") + 1) / SLOTS)))
+    slot = lambda t: F.floor((t - F.col("_lo")) / F.col("_width"))
+    slots = lambda a, b: F.explode(F.sequence(slot(a), slot(b)))
+    left = valid.join(span, "session_id").withColumn("_slot", slots(F.col(start), F.col(end))).drop("_hi")
+    last = F.least(F.greatest(F.coalesce("end_time_ms", F.col("_hi")), "start_time_ms"), F.col("_hi"))
+    near = periods.join(span, "session_id").where((F.col("start_time_ms") <= F.col("_hi")) & (last >= F.col("_lo")))
+    right = near.withColumn("_slot", slots(F.greatest("start_time_ms", "_lo"), last)).drop("_lo", "_hi", "_width")
+    begins = slot(F.greatest(F.col(start), F.col("start_time_ms"))) == F.col("_slot")
     ended = F.col("end_time_ms").isNull()
     meets = (F.col("start_time_ms") <= F.col(end)) & (ended | (F.col("end_time_ms") >= F.col(start))) if closed else (F.col("start_time_ms") < F.col(end)) & (ended | (F.col("end_time_ms") > F.col(start)))
-    return left.join(right, ["session_id", "_slot"]).where(begins & meets).drop("_slot")
+    return left.join(right, ["session_id", "_slot"]).where(begins & meets).drop("_slot", "_lo", "_width")
 
 
 def lap_status_overlap(laps: DataFrame, events: DataFrame, width: int = 600_000) -> DataFrame:

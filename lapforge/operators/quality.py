@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -189,21 +189,41 @@ def lap_summary_report(df: DataFrame, kind: str) -> DataFrame:
     raise ValueError(f"unknown report {kind}")
 
 
+#: Steps in which laps leave the waterfall, each with the categories that it merges (fixed values).
+WATERFALL = [
+    ("source_or_timing_excluded", ["import_or_source_data_anomaly", "timing_session_boundary_artifact"]),
+    ("missing_or_incomplete_telemetry", ["missing_or_sparse_telemetry", "incomplete_lap_window"]),
+    ("implausible_channel_values", ["implausible_channel_values"]),
+    ("position_trace_discontinuity", ["position_trace_discontinuity"]),
+    ("race_context_influenced", ["pit_lane_or_safety_car_influenced"]),
+    ("atypical_speed_profile", ["shape_mismatch_against_comparable_laps"]),
+    ("other_or_manual_review", ["bad_lap_any_category"]),
+]
+
+
 def decision_waterfall(df: DataFrame) -> DataFrame:
-    """Laps removed by each primary category in its order, and how many remain after it."""
-    step = first_match([(F.col(x), k) for k, x in enumerate(PRIORITY)], len(PRIORITY))
-    counts = df.groupBy(step.cast("int").alias("step")).agg(_n().alias("laps"))
-    names = F.array(*map(F.lit, [*PRIORITY, "clean"]))
-    # at most one row a category
-    after = Window.orderBy("step").rowsBetween(1, Window.unboundedFollowing)
-    return counts.select("step", F.element_at(names, F.col("step") + 1).alias("category"), "laps", F.coalesce(F.sum("laps").over(after), F.lit(0)).alias("remaining"))
+    """All laps, how many each step takes from those that are left, and the clean ones: laps, share of all, and how many remain after it."""
+    conditions = [(reduce(Column.__or__, map(F.col, names)), k) for k, (_, names) in enumerate(WATERFALL)]
+    steps = [name for name, _ in WATERFALL]
+    taken = first_match(conditions, len(steps))
+    counts = df.select(taken.alias("k")).agg(_n().alias("n"), *(F.count_if(F.col("k") == k).alias(f"s{k}") for k in range(len(steps) + 1)))
+    left = lambda k: F.col("n") - sum((F.col(f"s{j}") for j in range(k + 1)), F.lit(0))
+    row = lambda name, laps, rest: F.struct(F.lit(name).alias("step"), laps.alias("laps"), F.coalesce(100.0 * laps / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("pct_of_all_laps"), rest.cast("long").alias("remaining_laps_after_step"))
+    rows = [row("total_laps", F.col("n"), F.col("n")), *(row(x, F.col(f"s{k}"), left(k)) for k, x in enumerate(steps)), row("clean_after_waterfall", F.col(f"s{len(steps)}"), F.lit(0))]
+    return counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def _display(category: Column) -> Column:
+    return first_match([(category == k, v) for k, v in DISPLAY.items()], category)
 
 
-def primary_category_audit(df: DataFrame, limit: int = 100) -> DataFrame:
-    """Laps with several reasons by a score of reasons, gaps, path and shape; the first ``limit``."""
-    score = F.col("reason_count") * 10 + F.col("coverage_deficit_pct") + F.col("path_ratio_excess_pct") + F.col("speed_shape_excess_kmh")
-    rows = df.where("reason_count > 1").select(*LAP, "primary_category", "reason_set", F.round(score, 3).alias("audit_score"))
-    return rows.orderBy(F.desc("audit_score"), *LAP).limit(limit)
+def primary_category_audit(df: DataFrame, sessions: DataFrame, limit: int = 80) -> DataFrame:
+    """Flagged laps with several reasons, the first ``limit`` by a priority of coverage, gaps, path, shape and reasons; ties by event and lap."""
+    priority = F.col("coverage_deficit_pct") + F.col("p95_gap_excess_ms") / 100 + F.col("path_ratio_excess_pct") + F.col("speed_shape_excess_kmh") + F.col("reason_count") * 2
+    second = F.concat_ws(" + ", *(F.when(F.col(x) & (F.col("primary_category") != x), DISPLAY.get(x, x)) for x in CATEGORIES))
+    rows = df.where("bad_lap_any_category and reason_count > 1").join(sessions.select("session_id", "event_name"), "session_id")
+    out = rows.select("event_name", *LAP, _display(F.col("primary_category")).alias("primary_category"), second.alias("secondary_reason_set"), "reason_count", "product_recommendation", "safe_for_replay", "safe_for_lap_comparison", "coverage_deficit_pct", "p95_gap_excess_ms", "path_ratio_excess_pct", "speed_shape_excess_kmh", priority.alias("audit_priority"))
+    return out.orderBy(F.desc(F.round("audit_priority", 9)), "event_name", *LAP).limit(limit)
 
 
 def race_drilldown(df: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -212,24 +232,67 @@ def race_drilldown(df: DataFrame, sessions: DataFrame) -> DataFrame:
     return rows.groupBy("event_name", "primary_category").agg(_n().alias("laps"), F.count_distinct("driver_code").alias("drivers"), F.median("lap_time_ms").alias("median_lap_time_ms"), F.median("car_coverage_ratio").alias("median_coverage_ratio"))
 
 
+#: Variations of single limits (fixed values).
+SCENARIOS = [
+    ("min_car_samples_loose", "min_car_samples", 40.0),
+    ("min_car_samples_strict", "min_car_samples", 75.0),
+    ("min_position_samples_loose", "min_position_samples", 80.0),
+    ("min_position_samples_strict", "min_position_samples", 150.0),
+    ("lap_coverage_loose", "min_lap_coverage_ratio", 0.75),
+    ("lap_coverage_strict", "min_lap_coverage_ratio", 0.85),
+    ("p95_gap_loose", "telemetry_p95_gap_ms", 600.0),
+    ("p95_gap_strict", "telemetry_p95_gap_ms", 450.0),
+    ("max_gap_loose", "telemetry_max_gap_ms", 2300.0),
+    ("max_gap_strict", "telemetry_max_gap_ms", 1800.0),
+    ("path_tolerance_loose", "path_length_tolerance_pct", 0.06),
+    ("path_tolerance_strict", "path_length_tolerance_pct", 0.04),
+    ("shape_rms_loose", "shape_rms_min_kmh", 30.0),
+    ("shape_rms_strict", "shape_rms_min_kmh", 20.0),
+]
+
+
 def scenarios(base: LapThresholds = LapThresholds()) -> list[tuple[str, LapThresholds]]:
-    """The baseline and fourteen variations of a limit by a quarter either way."""
-    names = ["min_car_samples", "min_position_samples", "min_lap_coverage_ratio", "path_length_tolerance_pct", "telemetry_p95_gap_ms", "telemetry_max_gap_ms", "shape_rms_min_kmh"]
-    own = asdict(base)
-    return [("baseline", base)] + [(f"{n}_{k}", LapThresholds(**own | {n: own[n] * f})) for n in names for k, f in (("low", 0.75), ("high", 1.25))]
+    """The baseline and its variations."""
+    return [("baseline", base), *((name, replace(base, **{limit: value})) for name, limit, value in SCENARIOS)]
+
+
+#: What a scenario can change in a lap, and the names of its flips.
+CHANGES = {"bad_lap_any_category": "bad_flag", "safe_for_replay": "replay_safety", "safe_for_lap_comparison": "lap_comparison_safety", "product_recommendation": "recommendation", "primary_category": "primary_category"}
 
 
-def threshold_sensitivity(features: DataFrame, profiles: DataFrame, base: LapThresholds = LapThresholds()) -> DataFrame:
-    """Per scenario: flagged laps, their change against the baseline, and laps that change sides. All scenarios go through one plan, as columns."""
-    spark = features.sparkSession
+def _scenario_laps(features: DataFrame, profiles: DataFrame, base: LapThresholds) -> DataFrame:
+    """Every lap under every scenario, with what changed against the baseline. All scenarios go through one plan, as columns."""
     rows = [(name, *(float(v) for v in asdict(t).values())) for name, t in scenarios(base)]
-    table = spark.createDataFrame(rows, ["scenario", *(f"t_{f.name}" for f in fields(LapThresholds))])
+    table = features.sparkSession.createDataFrame(rows, ["scenario", *(f"t_{f.name}" for f in fields(LapThresholds))])
     # fifteen rows, whatever the data
     wide = features.crossJoin(F.broadcast(table))
-    done = classify_laps(derived_lap_features(wide, profiles, None, ["session_id", "scenario"]), None).select("scenario", *LAP, F.col("bad_lap_any_category").alias("bad"))
-    was = done.where("scenario = 'baseline'").select(*LAP, F.col("bad").alias("was"))
-    out = done.join(was, LAP).groupBy("scenario").agg(_n().alias("laps"), F.count_if("bad").alias("flagged"), F.count_if("was").alias("baseline"), F.count_if(F.col("bad") != F.col("was")).alias("flips"))
-    return out.withColumn("delta", F.col("flagged") - F.col("baseline"))
+    done = classify_laps(derived_lap_features(wide, profiles, None, ["session_id", "scenario"]), None)
+    done = done.select("scenario", *LAP, *CHANGES, "needs_manual_review").withColumn("primary_category", _display(F.col("primary_category")))
+    base_row = F.max(F.when(F.col("scenario") == "baseline", F.struct(*CHANGES))).over(Window.partitionBy(*LAP))
+    done = done.withColumn("was", base_row)
+    return done.withColumns({f"{name}_changed": F.col(c) != F.col(f"was.{c}") for c, name in CHANGES.items()})
+
+
+def threshold_sensitivity(features: DataFrame, profiles: DataFrame, sessions: DataFrame, kind: str = "summary", base: LapThresholds = LapThresholds()) -> DataFrame:
+    """How far classified laps depend on single limits. Kinds: summary (by scenario), by_race, by_driver, borderline (laps that change in any scenario)."""
+    done = _scenario_laps(features, profiles, base)
+    if kind == "summary":
+        counts = {"bad_laps": F.col("bad_lap_any_category"), "replay_unsafe_laps": ~F.col("safe_for_replay"), "lap_comparison_unsafe_laps": ~F.col("safe_for_lap_comparison"), "manual_review_laps": F.col("needs_manual_review"), "exclude_laps": F.col("product_recommendation") == "exclude", "context_label_laps": F.col("product_recommendation") == "keep_with_context_label"}
+        out = done.groupBy("scenario").agg(_n().alias("_laps"), *(F.count_if(v).alias(k) for k, v in counts.items()), *(F.count_if(f"{x}_changed").alias(f"{x}_changed_laps") for x in CHANGES.values()))
+        # fifteen rows
+        of_base = lambda c: F.max(F.when(F.col("scenario") == "baseline", F.col(c))).over(Window.partitionBy())
+        return out.withColumns({"bad_pct": 100.0 * F.col("bad_laps") / F.col("_laps")} | {f"{k}_delta_vs_baseline": F.col(k) - of_base(k) for k in counts}).drop("_laps")
+    flips = [F.count_if(f"{x}_changed").alias(f"{x}_flip_count") for x in CHANGES.values()]
+    laps = done.where("scenario <> 'baseline'").groupBy(*LAP).agg(*flips, F.first("was").alias("was"))
+    laps = laps.withColumn("any_sensitivity_flip_count", sum((F.col(f"{x}_flip_count") for x in CHANGES.values()), F.lit(0)))
+    laps = laps.join(sessions.select("session_id", "event_name"), "session_id")
+    if kind == "borderline":
+        return laps.where("any_sensitivity_flip_count > 0").select("event_name", *LAP, *(f"{x}_flip_count" for x in CHANGES.values()), "any_sensitivity_flip_count", *(F.col(f"was.{c}").alias(f"baseline_{c}") for c in CHANGES))
+    if kind not in ("by_race", "by_driver"):
+        raise ValueError(f"unknown kind {kind}")
+    some = lambda c: F.count_if(F.col(c) > 0)
+    out = laps.groupBy(*(["session_id", "event_name"] if kind == "by_race" else ["driver_code"])).agg(_n().alias("total_laps"), some("any_sensitivity_flip_count").alias("threshold_sensitive_laps"), some("bad_flag_flip_count").alias("bad_flag_sensitive_laps"), some("recommendation_flip_count").alias("recommendation_sensitive_laps"))
+    return out.withColumn("threshold_sensitive_pct", 100.0 * F.col("threshold_sensitive_laps") / F.col("total_laps"))
 
 
 def speed_profile_baselines(df: DataFrame, required_bins: int = 12) -> DataFrame:
@@ -239,10 +302,11 @@ def speed_profile_baselines(df: DataFrame, required_bins: int = 12) -> DataFrame
     return long.groupBy("session_id", "bin").agg(_n().alias("laps"), F.percentile("v", 0.1).alias("q10"), F.median("v").alias("median"), F.percentile("v", 0.9).alias("q90"))
 
 
-def shape_examples(df: DataFrame, limit: int = 20) -> DataFrame:
-    """The laps whose speed profile exceeds its limit most."""
-    rows = df.where("shape_mismatch_against_comparable_laps").select(*LAP, F.round("speed_shape_excess_kmh", 6).alias("speed_shape_excess_kmh"))
-    return rows.orderBy(F.desc("speed_shape_excess_kmh"), *LAP).limit(limit)
+def shape_examples(df: DataFrame, sessions: DataFrame, limit: int = 12) -> DataFrame:
+    """Laps off their session's speed profile: those for review first, then by how far they exceed the limit; ties by lap."""
+    rows = df.where("shape_mismatch_against_comparable_laps and speed_shape_rms_kmh is not null").join(sessions.select("session_id", "event_name"), "session_id")
+    rows = rows.orderBy(F.desc("needs_manual_review"), F.desc(F.round("speed_shape_excess_kmh", 9)), F.desc(F.round("speed_shape_rms_kmh", 9)), *LAP).limit(limit)
+    return rows.select("event_name", *LAP, _display(F.col("primary_category")).alias("primary_category"), "reason_set", "lap_time_ms", "speed_shape_rms_kmh", "speed_shape_excess_kmh", "speed_shape_robust_z", "is_pit_in_lap", "is_pit_out_lap", "safety_car_periods", "virtual_safety_car_periods", "red_flag_periods")
 
 
 @dataclass(frozen=True)

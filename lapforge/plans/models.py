@@ -37,7 +37,7 @@ MODELS = {
     "message_cluster_summary": (lambda fx: M.message_cluster_summary(fx.race_control, M.cluster_messages(fx.race_control)), None),
     "lap_shape_clusters": (lambda fx: M.lap_shape_clusters(classified(fx)).select("lap_id", "cluster_id", F.round("distance_to_centre", 4).alias("distance")), None),
     "cluster_exemplars": (lambda fx: M.cluster_exemplars(M.lap_shape_clusters(classified(fx))), None),
-    "cluster_stability": (lambda fx: M.cluster_stability(classified(fx), (5, 7), (1, 2)), None),
+    "cluster_stability": (lambda fx: M.cluster_stability(classified(fx)), None),
     "adjusted_rand": (lambda fx: r6(M.adjusted_rand(fx.telemetry.select((F.col("gear") % 3).alias("a"), (F.col("drs") + F.col("gear") % 2).alias("b")), "a", "b"), "ari"), "WITH c AS (SELECT gear % 3 AS a, drs + gear % 2 AS b, CAST(count(*) AS DOUBLE) AS n FROM fx_telemetry GROUP BY ALL), t AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS n FROM c), x AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM c GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM c GROUP BY b)) SELECT round((t.s - x.s * y.s / (t.n * (t.n - 1) / 2)) / ((x.s + y.s) / 2 - x.s * y.s / (t.n * (t.n - 1) / 2)), 6) AS ari FROM t, x, y"),
     "lap_path_length": (lambda fx: r6(G.lap_path_length(fx.positions, LAP, ORDER), "path_length"), f"WITH {PATH} SELECT session_id, driver_code, lap_number, count(*) AS points, round(sum(step), 6) AS path_length FROM s GROUP BY ALL"),
     "candidate_laps": (lambda fx: G.candidate_laps(G.lap_path_length(fx.positions, LAP, ORDER), fx.laps, 2, 0.5).select(*LAP), f"WITH {PATH}, l AS (SELECT session_id, driver_code, lap_number, count(*) AS points, sum(step) AS path_length FROM s GROUP BY ALL), g AS (SELECT l.* FROM l JOIN fx_laps f USING (session_id, driver_code, lap_number) WHERE is_accurate AND NOT is_pit_in_lap AND NOT is_pit_out_lap AND points >= 2), m AS (SELECT session_id, median(path_length) AS md FROM g GROUP BY ALL) SELECT session_id, driver_code, lap_number FROM g JOIN m USING (session_id) WHERE abs(path_length - md) <= 0.5 * md"),

@@ -60,7 +60,9 @@ def markers(fx):
 BIN = ", ".join(f"round(avg(speed_kmh) FILTER (WHERE bin = {k}), 12) AS b{k}" for k in range(1, 21))
 RMS = " + ".join(f"coalesce(power(b{k} - m{k}, 2), 0)" for k in range(1, 21))
 NRES = " + ".join(f"CASE WHEN b{k} - m{k} IS NOT NULL THEN 1 ELSE 0 END" for k in range(1, 21))
-FEATURES = f"""lw AS ({LAP_MS}),
+def features_sql(t: D.LapThresholds) -> str:
+    """Lap features and their classes under limits, as CTEs: lw, ... d2, c0, cl."""
+    return f"""lw AS ({LAP_MS}),
 car AS (SELECT session_id, driver_code, lap_number, count(*) AS car_samples, min(lap_time_ms) AS t0, max(lap_time_ms) AS t1, min(speed_kmh) AS s0, max(speed_kmh) AS s1, min(rpm) AS r0, max(rpm) AS r1, min(throttle_pct) AS th0, max(throttle_pct) AS th1, min(gear) AS g0, max(gear) AS g1, count(*) FILTER (WHERE speed_kmh IS NULL) AS nulls FROM fx_telemetry GROUP BY ALL),
 gd AS (SELECT session_id, driver_code, lap_number, (epoch_us(sample_time_utc) - lag(epoch_us(sample_time_utc)) OVER w) / 1000.0 AS d, lap_time_ms - lag(lap_time_ms) OVER w AS l FROM fx_telemetry WINDOW w AS (PARTITION BY session_id, driver_code, lap_number ORDER BY source_sample_index)),
 gap AS (SELECT session_id, driver_code, lap_number, count(*) FILTER (WHERE d < 0) AS back, count(*) FILTER (WHERE l < 0) AS lback, max(d) FILTER (WHERE d > 0) AS gmax, quantile_cont(CASE WHEN d > 0 THEN d END, 0.95) AS gp95 FROM gd GROUP BY ALL),
@@ -71,19 +73,22 @@ tb AS (SELECT t.session_id, t.driver_code, t.lap_number, t.speed_kmh, least(20,
 prof AS (SELECT session_id, driver_code, lap_number, {BIN} FROM tb GROUP BY ALL),
 f AS (SELECT l.*, coalesce(car_samples, 0) AS car_samples, t0, t1, s0, s1, r0, r1, g0, g1, th0, th1, nulls, back, lback, gmax, gp95, coalesce(position_samples, 0) AS position_samples, path, seg, coalesce(sc, 0) AS sc, coalesce(vsc, 0) AS vsc, coalesce(red, 0) AS red, {', '.join(f'b{k}' for k in range(1, 21))}, CAST(t1 - t0 AS DOUBLE) / lap_time_ms AS cov
  FROM fx_laps l LEFT JOIN car USING (session_id, driver_code, lap_number) LEFT JOIN gap USING (session_id, driver_code, lap_number) LEFT JOIN pos USING (session_id, driver_code, lap_number) LEFT JOIN prof USING (session_id, driver_code, lap_number) LEFT JOIN st USING (lap_id)),
-fr AS (SELECT *, coalesce(is_accurate, false) AND NOT is_pit_in_lap AND NOT is_pit_out_lap AND position_samples >= 2 AND path IS NOT NULL AND coalesce(cov >= 0.2, false) AS ref FROM f),
+fr AS (SELECT *, coalesce(is_accurate, false) AND NOT is_pit_in_lap AND NOT is_pit_out_lap AND position_samples >= {t.min_position_samples} AND path IS NOT NULL AND coalesce(cov >= {t.min_lap_coverage_ratio}, false) AS ref FROM f),
 m1 AS (SELECT session_id, median(path) AS mpath, median(seg) AS mseg, {', '.join(f'median(b{k}) AS m{k}' for k in range(1, 21))} FROM fr WHERE ref GROUP BY ALL),
 m2 AS (SELECT fr.session_id, median(abs(seg - mseg)) AS mad FROM fr JOIN m1 USING (session_id) WHERE ref AND seg IS NOT NULL GROUP BY ALL),
 m3 AS (SELECT session_id, quantile_cont(seg, 0.99) AS q99 FROM f GROUP BY ALL),
-d1 AS (SELECT fr.*, path / mpath AS ratio, coalesce(mseg + 2 * nullif(mad, 0), q99) AS seglimit, CASE WHEN {NRES} > 0 THEN sqrt(({RMS}) / ({NRES})) END AS rms, {' + '.join(f'CASE WHEN b{k} IS NOT NULL THEN 1 ELSE 0 END' for k in range(1, 21))} AS nbins FROM fr LEFT JOIN m1 USING (session_id) LEFT JOIN m2 USING (session_id) LEFT JOIN m3 USING (session_id)),
+d1 AS (SELECT fr.*, path / mpath AS ratio, coalesce(mseg + {t.position_segment_mad_multiplier} * nullif(mad, 0), q99) AS seglimit, CASE WHEN {NRES} > 0 THEN sqrt(({RMS}) / ({NRES})) END AS rms, {' + '.join(f'CASE WHEN b{k} IS NOT NULL THEN 1 ELSE 0 END' for k in range(1, 21))} AS nbins FROM fr LEFT JOIN m1 USING (session_id) LEFT JOIN m2 USING (session_id) LEFT JOIN m3 USING (session_id)),
 m4 AS (SELECT session_id, median(rms) AS mrms, quantile_cont(rms, 0.75) - quantile_cont(rms, 0.25) AS iqr FROM d1 WHERE ref AND rms IS NOT NULL GROUP BY ALL),
-d2 AS (SELECT d1.*, mrms + greatest(40, 3 * coalesce(iqr, 0)) AS shapelimit FROM d1 LEFT JOIN m4 USING (session_id)),
-c0 AS (SELECT *, car_samples < 2 OR position_samples < 2 AS c1, lap_time_ms IS NULL OR coalesce(cov < 0.2, false) AS c2, false AS c3,
- coalesce(s0 < 0, false) OR coalesce(s1 > 380, false) OR coalesce(r0 < 0, false) OR coalesce(r1 > 16000, false) OR coalesce(th1 > 100, false) OR coalesce(g1 > 9, false) AS c4, coalesce(nbins >= 2 AND rms > shapelimit, false) AS c5,
- coalesce(ratio < 1.0 - 0.6, false) OR coalesce(ratio > 1.0 + 0.6, false) OR (ratio IS NOT NULL AND coalesce(seg > seglimit, false)) AS c6, is_pit_in_lap OR is_pit_out_lap OR sc > 0 OR vsc > 0 OR red > 0 AS c7,
- coalesce(back > 0, false) OR coalesce(lback > 0, false) OR coalesce(gp95 > 9000000, false) OR coalesce(gmax > 9500000, false) AS c8, NOT coalesce(is_accurate, true) OR is_deleted AS c9 FROM d2),
+d2 AS (SELECT d1.*, mrms, iqr, mrms + greatest({t.shape_rms_min_kmh}, {t.shape_rms_iqr_multiplier} * coalesce(iqr, 0)) AS shapelimit FROM d1 LEFT JOIN m4 USING (session_id)),
+c0 AS (SELECT *, car_samples < {t.min_car_samples} OR position_samples < {t.min_position_samples} AS c1, lap_time_ms IS NULL OR coalesce(cov < {t.min_lap_coverage_ratio}, false) AS c2, false AS c3,
+ coalesce(s0 < 0, false) OR coalesce(s1 > 380, false) OR coalesce(r0 < 0, false) OR coalesce(r1 > 16000, false) OR coalesce(th1 > 100, false) OR coalesce(g1 > 9, false) AS c4, coalesce(nbins >= {t.shape_required_bins} AND rms > shapelimit, false) AS c5,
+ coalesce(ratio < 1.0 - {t.path_length_tolerance_pct}, false) OR coalesce(ratio > 1.0 + {t.path_length_tolerance_pct}, false) OR (ratio IS NOT NULL AND coalesce(seg > seglimit, false)) AS c6, is_pit_in_lap OR is_pit_out_lap OR sc > 0 OR vsc > 0 OR red > 0 AS c7,
+ coalesce(back > 0, false) OR coalesce(lback > 0, false) OR coalesce(gp95 > {t.telemetry_p95_gap_ms}, false) OR coalesce(gmax > {t.telemetry_max_gap_ms}, false) AS c8, NOT coalesce(is_accurate, true) OR is_deleted AS c9 FROM d2),
 cl AS (SELECT *, c5 AND NOT (c1 OR c2 OR c4 OR c6 OR c7 OR c8 OR c9) AS c10, c1 OR c2 OR c4 OR c5 OR c6 OR c7 OR c8 OR c9 AS bad, CASE WHEN c1 THEN 'missing_or_sparse_telemetry' WHEN c8 THEN 'timing_session_boundary_artifact' WHEN c2 THEN 'incomplete_lap_window' WHEN c4 THEN 'implausible_channel_values' WHEN c6 THEN 'position_trace_discontinuity' WHEN c7 THEN 'pit_lane_or_safety_car_influenced' WHEN c5 THEN 'shape_mismatch_against_comparable_laps' WHEN c9 THEN 'import_or_source_data_anomaly' ELSE 'clean' END AS prim,
  CASE WHEN c1 OR c2 OR c4 OR c6 OR c8 THEN 'exclude' WHEN (c5 AND NOT (c1 OR c2 OR c4 OR c6 OR c8 OR c9) AND NOT c7) OR c4 THEN 'manual_review' WHEN c7 OR c9 THEN 'keep_with_context_label' ELSE 'keep' END AS advice FROM c0)"""
+
+
+FEATURES = features_sql(LIMITS)
 TAX = f"tx AS (SELECT *, {TAXONOMY_SQL} AS taxonomy FROM (SELECT *, lower(concat(coalesce(category, ''), ' ', coalesce(flag, ''), ' ', coalesce(scope, ''), ' ', coalesce(status, ''), ' ', coalesce(message, ''))) AS x FROM fx_race_control))"
 INC = "taxonomy IN ('flags', 'safety_car', 'vsc', 'red_flag', 'investigations_noted', 'penalties')"
 WIN = f"""{TAX}, wf AS (SELECT a.*, CAST(floor(a.session_time_ms / {WIDTH}) * {WIDTH} AS BIGINT) AS window_start_ms, {FAMILY} AS family, coalesce(l.is_pit_in_lap OR l.is_pit_out_lap, false) AS pit FROM fx_aligned a LEFT JOIN fx_laps l USING (session_id, driver_code, lap_number)),
@@ -105,6 +110,19 @@ def _union(name: str, source: str, buckets: dict[str, str], aggs: str) -> str:
 
 
 CAT = {f"c{k}": c for k, c in enumerate(D.CATEGORIES, 1)}
+BLOCKED = "c1 OR c2 OR c4 OR c6 OR c8"
+REVIEW = f"(c10 OR (c5 AND NOT ({BLOCKED} OR c9) AND NOT c7) OR c4)"
+SHOWN = "CASE prim WHEN 'shape_mismatch_against_comparable_laps' THEN 'atypical_speed_profile' ELSE prim END"
+REASONS = "CASE WHEN NOT bad THEN 'clean' ELSE concat_ws(' + ', " + ", ".join(f"CASE WHEN {k} THEN '{D.DISPLAY.get(c, c)}' END" for k, c in CAT.items()) + ") END"
+SECOND = "concat_ws(' + ', " + ", ".join(f"CASE WHEN {k} AND prim <> '{c}' THEN '{D.DISPLAY.get(c, c)}' END" for k, c in CAT.items()) + ")"
+SEVERITY = f"CASE WHEN c2 AND cov IS NULL THEN {LIMITS.min_lap_coverage_ratio} * 100 ELSE coalesce(greatest({LIMITS.min_lap_coverage_ratio} - cov, 0), 0) * 100 END AS dcov, coalesce(greatest(gp95 - {LIMITS.telemetry_p95_gap_ms}, 0), 0) AS gap95, greatest(coalesce(abs(ratio - 1.0) * 100, 0) - {LIMITS.path_length_tolerance_pct} * 100, 0) AS pathx, coalesce(greatest(rms - shapelimit, 0), 0) AS shapex, " + " + ".join(f"CAST({k} AS INT)" for k in CAT) + " AS reasons"
+AUDIT = ("coverage_deficit_pct", "p95_gap_excess_ms", "path_ratio_excess_pct", "speed_shape_excess_kmh", "audit_priority")
+#: Every lap under every scenario, beside the baseline.
+CASES = "z AS (" + " UNION ALL ".join(f"SELECT * FROM (WITH {features_sql(t)} SELECT '{name}' AS scenario, session_id, driver_code, lap_number, bad, NOT ({BLOCKED}) AS replay, advice, {SHOWN} AS shown, {REVIEW} AS review FROM cl)" for name, t in D.scenarios(LIMITS)) + "), x AS (SELECT z.*, b.bad AS bbad, b.replay AS breplay, b.advice AS badvice, b.shown AS bshown FROM z JOIN (SELECT * FROM z WHERE scenario = 'baseline') b USING (session_id, driver_code, lap_number))"
+CHANGED = {"bad_flag": "bad <> bbad", "replay_safety": "replay <> breplay", "lap_comparison_safety": "bad <> bbad", "recommendation": "advice <> badvice", "primary_category": "shown <> bshown"}
+COUNTED = {"bad_laps": "bad", "replay_unsafe_laps": "NOT replay", "lap_comparison_unsafe_laps": "bad", "manual_review_laps": "review", "exclude_laps": "advice = 'exclude'", "context_label_laps": "advice = 'keep_with_context_label'"}
+FLIPS = "l AS (SELECT *, " + " + ".join(f"{k}_flip_count" for k in CHANGED) + " AS any_flips FROM (SELECT event_name, session_id, driver_code, lap_number, any_value(bbad) AS bbad, any_value(breplay) AS breplay, any_value(badvice) AS badvice, any_value(bshown) AS bshown, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}_flip_count" for k, c in CHANGED.items()) + " FROM x JOIN fx_sessions USING (session_id) WHERE scenario <> 'baseline' GROUP BY event_name, session_id, driver_code, lap_number))"
+SENSITIVE = "count(*) AS total_laps, count(*) FILTER (WHERE any_flips > 0) AS threshold_sensitive_laps, count(*) FILTER (WHERE bad_flag_flip_count > 0) AS bad_flag_sensitive_laps, count(*) FILTER (WHERE recommendation_flip_count > 0) AS recommendation_sensitive_laps, round(100.0 * count(*) FILTER (WHERE any_flips > 0) / count(*), 6) AS threshold_sensitive_pct"
 MARK = """b AS (SELECT session_id, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, quantile_cont(x, 0.01) AS xa, quantile_cont(x, 0.99) AS xb, quantile_cont(y, 0.01) AS ya, quantile_cont(y, 0.99) AS yb FROM fx_positions GROUP BY ALL),
 mq AS (SELECT m.*, b.n, coalesce(x < x0 - greatest((x1 - x0) * 0.08, 500) OR x > x1 + greatest((x1 - x0) * 0.08, 500) OR y < y0 - greatest((y1 - y0) * 0.08, 500) OR y > y1 + greatest((y1 - y0) * 0.08, 500), false) AS om, coalesce(x < xa - greatest((xb - xa) * 0.05, 250) OR x > xb + greatest((xb - xa) * 0.05, 250) OR y < ya - greatest((yb - ya) * 0.05, 250) OR y > yb + greatest((yb - ya) * 0.05, 250), false) AS oc FROM fx_markers m LEFT JOIN b USING (session_id)),
 ms AS (SELECT s.session_id, s.event_name, count(m.session_id) AS marker_count, count(*) FILTER (WHERE marker_type = 'corner') AS corner_markers, count(*) FILTER (WHERE m.session_id IS NOT NULL AND distance_m IS NULL) AS nulls, count(*) FILTER (WHERE om) AS om, count(*) FILTER (WHERE oc) AS oc, coalesce(max(n), 0) AS n FROM fx_sessions s LEFT JOIN mq m USING (session_id) GROUP BY ALL),
@@ -112,6 +130,10 @@ ml AS (SELECT *, CASE WHEN n = 0 OR marker_count = 0 THEN 'needs_reimport' WHEN
 SHARE = "count(*) AS laps, count(*) FILTER (WHERE bad) AS flagged_laps, round(100.0 * count(*) FILTER (WHERE bad) / count(*), 6) AS flagged_pct FROM cl GROUP BY ALL"
 
 
+def _sensitivity(fx, kind):
+    return D.threshold_sensitivity(features(fx), A.speed_profile(fx.telemetry, fx.laps), fx.sessions, kind, LIMITS)
+
+
 def _report(kind):
     return lambda fx: D.lap_summary_report(classified(fx), kind)
 
@@ -132,14 +154,17 @@ QUALITY = {
     "lap_flags_driver_race_matrix": (_shares("driver_race_matrix"), f"WITH {FEATURES} SELECT driver_code, session_id, {SHARE}"),
     "lap_primary_by_race": (_report("primary_by_race"), f"WITH {FEATURES} SELECT session_id, prim AS primary_category, count(*) AS laps FROM cl GROUP BY ALL"),
     "lap_lens_counts": (lambda fx: r6(_report("lenses")(fx), "pct"), f"WITH {FEATURES} " + " UNION ALL ".join(f"SELECT '{n}' AS lens, count(*) FILTER (WHERE {c}) AS laps, round(100.0 * count(*) FILTER (WHERE {c}) / count(*), 6) AS pct FROM cl" for n, c in (("data_integrity_flag", "c1 OR c2 OR c4 OR c6 OR c8 OR c9"), ("replay_blocking_integrity_flag", "c1 OR c2 OR c4 OR c6 OR c8"), ("race_context_flag", "c7"), ("analytical_shape_flag", "c5 OR c10")))),
-    "lap_safety_counts": (lambda fx: r6(_report("safety")(fx), "pct"), None),
+    "lap_safety_counts": (lambda fx: r6(_report("safety")(fx), "pct"), f"WITH {FEATURES} " + " UNION ALL ".join(f"SELECT '{n}' AS use, count(*) FILTER (WHERE {c}) AS laps, round(100.0 * count(*) FILTER (WHERE {c}) / count(*), 6) AS pct FROM cl" for n, c in (("safe_for_replay", f"NOT ({BLOCKED})"), ("safe_for_time_domain_analysis", "NOT bad"), ("safe_for_lap_comparison", "NOT bad"), ("safe_for_geometry_reference", f"NOT bad AND position_samples >= {LIMITS.min_position_samples}"), ("needs_manual_review", REVIEW)))),
     "lap_category_intersections": (_report("intersections"), f"WITH {FEATURES} SELECT CASE WHEN NOT bad THEN 'clean' ELSE concat_ws(' + ', " + ", ".join(f"CASE WHEN {k} THEN '{D.DISPLAY.get(c, c)}' END" for k, c in CAT.items()) + ") END AS reason_set, " + " + ".join(f"CAST({k} AS INT)" for k in CAT) + " AS reason_count, count(*) AS laps FROM cl GROUP BY ALL"),
-    "decision_waterfall": (lambda fx: D.decision_waterfall(classified(fx)).select("category", "laps", "remaining"), f"WITH {FEATURES}, g AS (SELECT prim AS category, count(*) AS laps, " + "CASE prim " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(D.PRIORITY)) + " ELSE 99 END AS step FROM cl GROUP BY ALL) SELECT category, laps, CAST(coalesce(sum(laps) OVER (ORDER BY step ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS remaining FROM g"),
-    "primary_category_audit": (lambda fx: D.primary_category_audit(classified(fx)), None),
+    "decision_waterfall": (lambda fx: r6(D.decision_waterfall(classified(fx)), "pct_of_all_laps"), f"WITH {FEATURES}, k AS (SELECT CASE WHEN c9 OR c8 THEN 1 WHEN c1 OR c2 THEN 2 WHEN c4 THEN 3 WHEN c6 THEN 4 WHEN c7 THEN 5 WHEN c5 THEN 6 WHEN bad THEN 7 ELSE 8 END AS k FROM cl), s(k, step) AS (VALUES (0, 'total_laps'), (1, 'source_or_timing_excluded'), (2, 'missing_or_incomplete_telemetry'), (3, 'implausible_channel_values'), (4, 'position_trace_discontinuity'), (5, 'race_context_influenced'), (6, 'atypical_speed_profile'), (7, 'other_or_manual_review'), (8, 'clean_after_waterfall')), n AS (SELECT s.k, step, count(*) FILTER (WHERE k.k = s.k OR s.k = 0) AS laps, count(*) FILTER (WHERE k.k > s.k) AS rest, count(*) AS total FROM s, k GROUP BY ALL) SELECT step, laps, round(100.0 * laps / total, 6) AS pct_of_all_laps, rest AS remaining_laps_after_step FROM n"),
+    "primary_category_audit": (lambda fx: r6(D.primary_category_audit(classified(fx), fx.sessions), *AUDIT), f"WITH {FEATURES}, a AS (SELECT *, {SEVERITY} FROM cl JOIN fx_sessions USING (session_id) WHERE bad), b AS (SELECT *, dcov + gap95 / 100 + pathx + shapex + reasons * 2 AS prio FROM a WHERE reasons > 1) SELECT event_name, session_id, driver_code, lap_number, {SHOWN} AS primary_category, {SECOND} AS secondary_reason_set, reasons AS reason_count, advice AS product_recommendation, NOT ({BLOCKED}) AS safe_for_replay, NOT bad AS safe_for_lap_comparison, round(dcov, 6) AS coverage_deficit_pct, round(gap95, 6) AS p95_gap_excess_ms, round(pathx, 6) AS path_ratio_excess_pct, round(shapex, 6) AS speed_shape_excess_kmh, round(prio, 6) AS audit_priority FROM b ORDER BY round(prio, 9) DESC, event_name, session_id, driver_code, lap_number LIMIT 80"),
     "race_drilldown": (lambda fx: r6(D.race_drilldown(classified(fx), fx.sessions), "median_coverage_ratio"), f"WITH {FEATURES} SELECT event_name, prim AS primary_category, count(*) AS laps, count(DISTINCT driver_code) AS drivers, median(lap_time_ms) AS median_lap_time_ms, round(median(cov), 6) AS median_coverage_ratio FROM cl JOIN fx_sessions USING (session_id) GROUP BY ALL"),
-    "threshold_sensitivity": (lambda fx: D.threshold_sensitivity(features(fx), A.speed_profile(fx.telemetry, fx.laps), LIMITS), None),
+    "threshold_sensitivity": (lambda fx: r6(_sensitivity(fx, "summary"), "bad_pct"), f"WITH {CASES}, s AS (SELECT scenario, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in COUNTED.items()) + ", round(100.0 * count(*) FILTER (WHERE bad) / count(*), 6) AS bad_pct, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}_changed_laps" for k, c in CHANGED.items()) + " FROM x GROUP BY scenario) SELECT s.*, " + ", ".join(f"s.{k} - b.{k} AS {k}_delta_vs_baseline" for k in COUNTED) + " FROM s, (SELECT * FROM s WHERE scenario = 'baseline') b"),
+    "threshold_sensitivity_by_race": (lambda fx: r6(_sensitivity(fx, "by_race"), "threshold_sensitive_pct"), f"WITH {CASES}, {FLIPS} SELECT session_id, event_name, {SENSITIVE} FROM l GROUP BY ALL"),
+    "threshold_sensitivity_by_driver": (lambda fx: r6(_sensitivity(fx, "by_driver"), "threshold_sensitive_pct"), f"WITH {CASES}, {FLIPS} SELECT driver_code, {SENSITIVE} FROM l GROUP BY ALL"),
+    "threshold_borderline_laps": (lambda fx: _sensitivity(fx, "borderline"), f"WITH {CASES}, {FLIPS} SELECT event_name, session_id, driver_code, lap_number, " + ", ".join(f"{k}_flip_count" for k in CHANGED) + ", any_flips AS any_sensitivity_flip_count, bbad AS baseline_bad_lap_any_category, breplay AS baseline_safe_for_replay, NOT bbad AS baseline_safe_for_lap_comparison, badvice AS baseline_product_recommendation, bshown AS baseline_primary_category FROM l WHERE any_flips > 0"),
     "speed_profile_baselines": (lambda fx: r6(D.speed_profile_baselines(classified(fx), 2), "q10", "median", "q90"), f"WITH {FEATURES}, l AS (" + " UNION ALL ".join(f"SELECT session_id, {k} AS bin, b{k} AS v FROM cl WHERE NOT bad AND nbins >= 2 AND b{k} IS NOT NULL" for k in range(1, 21)) + ") SELECT session_id, bin, count(*) AS laps, round(quantile_cont(v, 0.1), 6) AS q10, round(median(v), 6) AS median, round(quantile_cont(v, 0.9), 6) AS q90 FROM l GROUP BY ALL"),
-    "shape_examples": (lambda fx: D.shape_examples(classified(fx), 20), None),
+    "shape_examples": (lambda fx: r6(D.shape_examples(classified(fx), fx.sessions), "speed_shape_rms_kmh", "speed_shape_excess_kmh", "speed_shape_robust_z"), f"WITH {FEATURES}, a AS (SELECT *, {SEVERITY} FROM cl JOIN fx_sessions USING (session_id) WHERE c5 AND rms IS NOT NULL) SELECT event_name, session_id, driver_code, lap_number, {SHOWN} AS primary_category, {REASONS} AS reason_set, lap_time_ms, round(rms, 6) AS speed_shape_rms_kmh, round(shapex, 6) AS speed_shape_excess_kmh, round(coalesce((rms - mrms) / nullif(iqr, 0), 0), 6) AS speed_shape_robust_z, is_pit_in_lap, is_pit_out_lap, sc AS safety_car_periods, vsc AS virtual_safety_car_periods, red AS red_flag_periods FROM a ORDER BY ({REVIEW}) DESC, round(shapex, 9) DESC, round(rms, 9) DESC, session_id, driver_code, lap_number LIMIT 12"),
     "surface_flags": (lambda fx: surfaces(fx).select("session_id", *D.SURFACE_FLAGS, "surface_issue_count", F.round("aligned_non_ok_pct", 6).alias("aligned_non_ok_pct")), None),
     "surface_flag_summary": (lambda fx: r6(D.surface_flag_summary(surfaces(fx)), "pct"), None),
     "surface_summary_by_year": (lambda fx: r6(D.surface_summary_by_year(surfaces(fx)), "issue_pct").select("year", "sessions", "car_samples", "position_samples", "aligned_samples", "weather_samples", "messages"), "SELECT 2024 AS year, (SELECT count(*) FROM fx_sessions) AS sessions, (SELECT count(*) FROM fx_telemetry) AS car_samples, (SELECT count(*) FROM fx_positions) AS position_samples, (SELECT count(*) FROM fx_aligned) AS aligned_samples, (SELECT count(*) FROM fx_weather) AS weather_samples, (SELECT count(*) FROM fx_race_control) AS messages"),
