@@ -437,7 +437,7 @@ def session_duration_coverage(sessions: DataFrame, times: dict[str, DataFrame])
     for s in SURFACES:
         a, b = F.col(f"{s}_start_ms"), F.col(f"{s}_end_ms")
         span = F.when(a.isNotNull(), F.greatest(b - a, F.lit(0)))
-        inside = F.greatest(F.least(b, F.col("active_replay_end_ms")) - F.greatest(a, F.col("active_replay_start_ms")), F.lit(0))
+        inside = F.when(a.isNotNull(), F.greatest(F.least(b, F.col("active_replay_end_ms")) - F.greatest(a, F.col("active_replay_start_ms")), F.lit(0)))
         more |= {f"{s}_span_ms": span, f"{s}_coverage_ratio": span / F.nullif("derived_session_duration_ms", F.lit(0)), f"{s}_active_coverage_ratio": inside / F.nullif("active_replay_duration_ms", F.lit(0)), f"{s}_starts_after_active_ms": a - F.col("active_replay_start_ms"), f"{s}_ends_before_active_end_ms": F.col("active_replay_end_ms") - b}
     return df.withColumns(more)
 

@@ -105,6 +105,57 @@ tc AS (SELECT DISTINCT o.session_id, o.bin_start_ms FROM o JOIN ({ICOLS}) i ON i
 bn AS (SELECT o.*, coalesce(messages, 0) AS messages, coalesce(incident_messages, 0) AS incident_messages, coalesce(rainfall_transitions, 0) AS rainfall_transitions, tc.session_id IS NOT NULL AS has_status_context, CAST(degraded_driver_windows AS DOUBLE) / driver_windows AS degraded_window_rate, tc.session_id IS NOT NULL OR coalesce(incident_messages, 0) > 0 OR coalesce(rainfall_transitions, 0) > 0 AS has_context_event FROM o LEFT JOIN sd USING (session_id, bin_start_ms) LEFT JOIN rn USING (session_id, bin_start_ms) LEFT JOIN tc USING (session_id, bin_start_ms))"""
 
 
+MARK = """b AS (SELECT session_id, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, quantile_cont(x, 0.01) AS xa, quantile_cont(x, 0.99) AS xb, quantile_cont(y, 0.01) AS ya, quantile_cont(y, 0.99) AS yb FROM fx_positions GROUP BY ALL),
+mq AS (SELECT m.*, b.n, coalesce(x < x0 - greatest((x1 - x0) * 0.08, 500) OR x > x1 + greatest((x1 - x0) * 0.08, 500) OR y < y0 - greatest((y1 - y0) * 0.08, 500) OR y > y1 + greatest((y1 - y0) * 0.08, 500), false) AS om, coalesce(x < xa - greatest((xb - xa) * 0.05, 250) OR x > xb + greatest((xb - xa) * 0.05, 250) OR y < ya - greatest((yb - ya) * 0.05, 250) OR y > yb + greatest((yb - ya) * 0.05, 250), false) AS oc FROM fx_markers m LEFT JOIN b USING (session_id)),
+ms AS (SELECT s.session_id, s.event_name, count(m.session_id) AS marker_count, count(*) FILTER (WHERE marker_type = 'corner') AS corner_markers, count(*) FILTER (WHERE m.session_id IS NOT NULL AND distance_m IS NULL) AS nulls, count(*) FILTER (WHERE om) AS om, count(*) FILTER (WHERE oc) AS oc, coalesce(max(n), 0) AS n FROM fx_sessions s LEFT JOIN mq m USING (session_id) GROUP BY ALL),
+ml AS (SELECT *, CASE WHEN n = 0 OR marker_count = 0 THEN 'needs_reimport' WHEN om > 0 THEN 'needs_manual_review' WHEN corner_markers < 5 THEN 'partial' WHEN oc > 0 OR nulls > 0 THEN 'ready_with_warnings' ELSE 'ready' END AS circuit_context_readiness FROM ms)"""
+SURFACE = """dv AS (SELECT session_id, count(*) AS drivers, count(*) FILTER (WHERE driver_number IS NULL OR team_name IS NULL) AS bare FROM fx_drivers GROUP BY ALL),
+lp AS (SELECT session_id, count(*) AS laps, count(*) FILTER (WHERE lap_time_ms IS NULL) AS untimed FROM fx_laps GROUP BY ALL),
+cr AS (SELECT session_id, count(*) AS n, count(DISTINCT driver_code) AS drv, count(*) FILTER (WHERE speed_kmh IS NULL) AS nulls FROM fx_telemetry GROUP BY ALL),
+ps AS (SELECT session_id, count(*) AS n, count(DISTINCT driver_code) AS drv, count(*) FILTER (WHERE x IS NULL) AS nulls FROM fx_positions GROUP BY ALL),
+al AS (SELECT session_id, count(*) AS n, 100.0 * count(*) FILTER (WHERE NOT list_contains(quality_flags, 'OK')) / count(*) AS bad FROM fx_aligned GROUP BY ALL),
+we AS (SELECT session_id, count(*) AS n, count(*) FILTER (WHERE air_temp_c IS NULL) + count(*) FILTER (WHERE track_temp_c IS NULL) + count(*) FILTER (WHERE rainfall IS NULL) AS nulls, max(gap) AS gap FROM (SELECT *, session_time_ms - lag(session_time_ms) OVER (PARTITION BY session_id ORDER BY session_time_ms, sample_time_utc) AS gap FROM fx_weather) GROUP BY ALL),
+ts AS (SELECT session_id, count(*) AS n FROM fx_track_status GROUP BY ALL), ss AS (SELECT session_id, count(*) AS n FROM fx_session_status GROUP BY ALL),
+rc AS (SELECT session_id, count(*) AS n, 100.0 * count(*) FILTER (WHERE session_time_ms IS NULL) / count(*) AS untimed FROM fx_race_control GROUP BY ALL),
+mk AS (SELECT session_id, count(*) FILTER (WHERE marker_type = 'corner') AS corners, count(*) FILTER (WHERE distance_m IS NULL) AS nulls, count(*) AS n FROM fx_markers GROUP BY ALL),
+dl AS (SELECT session_id, driver_code, sample_time_utc, (epoch_us(sample_time_utc) - lag(epoch_us(sample_time_utc)) OVER (PARTITION BY session_id, driver_code ORDER BY source_sample_index)) / 1000.0 AS d FROM fx_telemetry),
+dg AS (SELECT session_id, bool_or(w) AS warned FROM (SELECT session_id, driver_code, count(*) > count(DISTINCT sample_time_utc) OR count(*) FILTER (WHERE d < 0) > 0 OR coalesce(max(d) > 14400000, false) AS w FROM dl GROUP BY ALL) GROUP BY ALL),
+sf AS (SELECT s.session_id, session_start_utc IS NULL OR event_name IS NULL OR country IS NULL AS session_metadata_incomplete,
+ coalesce(drivers, 0) < 15 OR coalesce(bare, 0) > 0 AS driver_metadata_sparse, coalesce(laps, 0) = 0 OR coalesce(drivers, 0) < 15 OR coalesce(lp.untimed, 0) > 0 AS lap_metadata_incomplete,
+ coalesce(cr.drv, 0) < 10 OR coalesce(cr.nulls, 1) > 0 AS raw_telemetry_coverage_issue, coalesce(ps.drv, 0) < 10 OR coalesce(ps.nulls, 1) > 0 AS raw_position_coverage_issue,
+ coalesce(al.bad, 100) > 5 AS aligned_replay_quality_issue, coalesce(warned, false) AS ingestion_diagnostic_warning, coalesce(we.n, 0) < 2 OR coalesce(we.nulls, 1) > 0 OR coalesce(gap, 0) > 180000 AS weather_surface_issue,
+ ts.n IS NULL OR ss.n IS NULL AS status_timeline_sparse, rc.n IS NULL OR rc.untimed > 10 AS race_control_sparse_or_untimed, coalesce(mk.n, 0) = 0 OR coalesce(corners, 0) < 5 OR coalesce(mk.nulls, 0) > 0 AS circuit_annotation_issue, round(al.bad, 6) AS aligned_non_ok_pct
+ FROM fx_sessions s LEFT JOIN dv USING (session_id) LEFT JOIN lp USING (session_id) LEFT JOIN cr USING (session_id) LEFT JOIN ps USING (session_id) LEFT JOIN al USING (session_id) LEFT JOIN we USING (session_id) LEFT JOIN ts USING (session_id) LEFT JOIN ss USING (session_id) LEFT JOIN rc USING (session_id) LEFT JOIN mk USING (session_id) LEFT JOIN dg USING (session_id))"""
+COVER = """t AS (SELECT session_id, 'telemetry' AS surface, session_time_ms AS t FROM fx_telemetry UNION ALL SELECT session_id, 'position', epoch_us(sample_time_utc) // 1000 % 86400000 FROM fx_positions UNION ALL SELECT session_id, 'aligned', session_time_ms FROM fx_aligned UNION ALL SELECT session_id, 'weather', session_time_ms FROM fx_weather UNION ALL SELECT session_id, 'track_status', event_time_ms FROM fx_track_status UNION ALL SELECT session_id, 'session_status', event_time_ms FROM fx_session_status UNION ALL SELECT session_id, 'race_control', session_time_ms FROM fx_race_control),
+w AS (SELECT session_id, surface, min(t) AS a, max(t) AS b FROM t GROUP BY ALL),
+s AS (SELECT session_id, max(b) AS dur, coalesce(max(a) FILTER (WHERE surface = 'aligned'), min(a) FILTER (WHERE surface IN ('telemetry', 'position'))) AS a0, coalesce(max(b) FILTER (WHERE surface = 'aligned'), max(b) FILTER (WHERE surface IN ('telemetry', 'position'))) AS b0 FROM w GROUP BY ALL),
+c AS (SELECT s.session_id, k.surface, CASE WHEN a IS NOT NULL THEN greatest(b - a, 0) END / nullif(dur, 0)::DOUBLE AS cov, CASE WHEN a IS NOT NULL THEN greatest(least(b, b0) - greatest(a, a0), 0) END / nullif(b0 - a0, 0)::DOUBLE AS act, a - a0 AS late, b0 - b AS early FROM s CROSS JOIN (SELECT DISTINCT surface FROM t) k LEFT JOIN w ON w.session_id = s.session_id AND w.surface = k.surface)"""
+
+
+WATCH = f"""ad AS (SELECT session_id, driver_code, 100.0 * count(*) FILTER (WHERE {FAMILY} <> 'OK') / count(*) AS pct FROM fx_aligned GROUP BY ALL),
+d0 AS (SELECT *, CASE WHEN session_time_ms - lag(session_time_ms) OVER w <= 3600000 THEN 0 ELSE 1 END AS fresh FROM fx_aligned WHERE {FAMILY} <> 'OK' WINDOW w AS (PARTITION BY session_id, driver_code ORDER BY session_time_ms)),
+d1 AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id, driver_code ORDER BY session_time_ms) AS seg FROM d0),
+sg AS (SELECT session_id, driver_code, seg, greatest(max(session_time_ms) - min(session_time_ms) + 100, 100) AS dur FROM d1 GROUP BY ALL),
+lg AS (SELECT session_id, driver_code, max(dur) AS longest, count(*) FILTER (WHERE dur >= 2000) AS over2 FROM sg GROUP BY ALL),
+sw AS (SELECT session_id, driver_code, count(*) FILTER (WHERE non_ok_pct >= 1) AS degraded, count(*) FILTER (WHERE non_ok_pct >= 10) AS severe, max(non_ok_pct) AS most FROM win GROUP BY ALL),
+wa AS (SELECT session_id, driver_code, coalesce(longest, 0) AS longest_segment_ms, coalesce(severe, 0) AS severe_windows, coalesce(degraded, 0) AS degraded_windows, pct * 4 + coalesce(most, 0) * 0.8 + coalesce(over2, 0) * 2 + coalesce(severe, 0) * 0.5 AS risk,
+ CASE WHEN longest >= 5000 THEN 'warn_before_replay' WHEN severe >= 3 OR pct >= 5 THEN 'show_replay_quality_overlay' WHEN degraded > 0 THEN 'diagnostics_only' ELSE 'no_action' END AS guidance FROM ad LEFT JOIN lg USING (session_id, driver_code) LEFT JOIN sw USING (session_id, driver_code))"""
+LEVEL = "CASE {0} WHEN 'ready' THEN 0 WHEN 'ready_with_warnings' THEN 1 WHEN 'partial' THEN 2 WHEN 'needs_manual_review' THEN 3 ELSE 4 END"
+LABELS = ("catalog_readiness", "raw_stream_readiness", "replay_readiness", "context_readiness", "circuit_context_readiness")
+READY = f"""{SURFACE}, {COVER}, {WIN}, {WATCH}, {MARK},
+dr AS (SELECT session_id, count(DISTINCT driver_code) AS affected_drivers, sum(severe_windows) AS severe_windows, sum(degraded_windows) AS degraded_windows, max(longest_segment_ms) AS longest_segment_ms FROM wa GROUP BY ALL),
+bw AS (SELECT session_id, count(DISTINCT window_start_ms) AS bad FROM win WHERE non_ok_pct >= 1 GROUP BY ALL),
+r1 AS (SELECT e.session_id, e.event_name, CASE WHEN session_metadata_incomplete OR driver_metadata_sparse THEN 'partial' WHEN e.session_end_utc IS NULL THEN 'ready_with_warnings' ELSE 'ready' END AS catalog_readiness,
+ CASE WHEN coalesce(cr.n, 0) = 0 OR coalesce(ps.n, 0) = 0 THEN 'needs_reimport' WHEN raw_telemetry_coverage_issue OR raw_position_coverage_issue THEN 'partial' WHEN ingestion_diagnostic_warning THEN 'ready_with_warnings' ELSE 'ready' END AS raw_stream_readiness,
+ CASE WHEN coalesce(al.n, 0) = 0 THEN 'needs_reimport' WHEN aligned_replay_quality_issue OR coalesce(dr.severe_windows, 0) >= 8 OR coalesce(dr.longest_segment_ms, 0) >= 10000 THEN 'partial' WHEN al.bad > 0 OR coalesce(dr.degraded_windows, 0) > 0 THEN 'ready_with_warnings' ELSE 'ready' END AS replay_readiness,
+ CASE WHEN weather_surface_issue OR status_timeline_sparse THEN 'partial' WHEN race_control_sparse_or_untimed THEN 'ready_with_warnings' ELSE 'ready' END AS context_readiness, circuit_context_readiness,
+ CASE WHEN ml.n = 0 OR marker_count = 0 THEN 'reimport' WHEN om > 0 THEN 'inspect' WHEN corner_markers < 5 THEN 'label_in_ui' WHEN oc > 0 THEN 'inspect' WHEN ml.nulls > 0 THEN 'label_in_ui' ELSE 'no_action' END AS advice, e.session_end_utc IS NULL AS endless,
+ coalesce(affected_drivers, 0) AS affected_drivers, coalesce(dr.degraded_windows, 0) AS degraded_windows, coalesce(dr.severe_windows, 0) AS severe_windows, round(least(100, coalesce(bw.bad, 0) * 30000 / greatest(coalesce(s.b0 - s.a0, 1), 1) * 100), 3) AS affected_session_time_pct, coalesce(dr.longest_segment_ms, 0) AS longest_segment_ms
+ FROM fx_sessions e JOIN sf USING (session_id) LEFT JOIN cr USING (session_id) LEFT JOIN ps USING (session_id) LEFT JOIN al USING (session_id) LEFT JOIN dr USING (session_id) LEFT JOIN bw USING (session_id) LEFT JOIN s USING (session_id) LEFT JOIN ml USING (session_id)),
+rd AS (SELECT session_id, event_name, {", ".join(LABELS)}, greatest({", ".join(LEVEL.format(x) for x in LABELS)}) AS overall_readiness_score,
+ CASE WHEN 'needs_reimport' IN ({", ".join(LABELS)}) THEN 'reimport' WHEN advice = 'inspect' OR 'needs_manual_review' IN ({", ".join(LABELS)}) THEN 'inspect' WHEN 'ready_with_warnings' IN ({", ".join(LABELS)}) OR 'partial' IN ({", ".join(LABELS)}) THEN 'label_in_ui' WHEN endless THEN 'schema_importer_change' ELSE 'no_action' END AS final_recommendation, affected_drivers, degraded_windows, severe_windows, affected_session_time_pct, longest_segment_ms FROM r1)"""
+
+
 def _union(name: str, source: str, buckets: dict[str, str], aggs: str) -> str:
     return " UNION ALL ".join(f"SELECT '{k}' AS {name}, {aggs} FROM {source} WHERE {c} HAVING count(*) > 0" for k, c in buckets.items())
 
@@ -123,10 +174,6 @@ CHANGED = {"bad_flag": "bad <> bbad", "replay_safety": "replay <> breplay", "lap
 COUNTED = {"bad_laps": "bad", "replay_unsafe_laps": "NOT replay", "lap_comparison_unsafe_laps": "bad", "manual_review_laps": "review", "exclude_laps": "advice = 'exclude'", "context_label_laps": "advice = 'keep_with_context_label'"}
 FLIPS = "l AS (SELECT *, " + " + ".join(f"{k}_flip_count" for k in CHANGED) + " AS any_flips FROM (SELECT event_name, session_id, driver_code, lap_number, any_value(bbad) AS bbad, any_value(breplay) AS breplay, any_value(badvice) AS badvice, any_value(bshown) AS bshown, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}_flip_count" for k, c in CHANGED.items()) + " FROM x JOIN fx_sessions USING (session_id) WHERE scenario <> 'baseline' GROUP BY event_name, session_id, driver_code, lap_number))"
 SENSITIVE = "count(*) AS total_laps, count(*) FILTER (WHERE any_flips > 0) AS threshold_sensitive_laps, count(*) FILTER (WHERE bad_flag_flip_count > 0) AS bad_flag_sensitive_laps, count(*) FILTER (WHERE recommendation_flip_count > 0) AS recommendation_sensitive_laps, round(100.0 * count(*) FILTER (WHERE any_flips > 0) / count(*), 6) AS threshold_sensitive_pct"
-MARK = """b AS (SELECT session_id, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, quantile_cont(x, 0.01) AS xa, quantile_cont(x, 0.99) AS xb, quantile_cont(y, 0.01) AS ya, quantile_cont(y, 0.99) AS yb FROM fx_positions GROUP BY ALL),
-mq AS (SELECT m.*, b.n, coalesce(x < x0 - greatest((x1 - x0) * 0.08, 500) OR x > x1 + greatest((x1 - x0) * 0.08, 500) OR y < y0 - greatest((y1 - y0) * 0.08, 500) OR y > y1 + greatest((y1 - y0) * 0.08, 500), false) AS om, coalesce(x < xa - greatest((xb - xa) * 0.05, 250) OR x > xb + greatest((xb - xa) * 0.05, 250) OR y < ya - greatest((yb - ya) * 0.05, 250) OR y > yb + greatest((yb - ya) * 0.05, 250), false) AS oc FROM fx_markers m LEFT JOIN b USING (session_id)),
-ms AS (SELECT s.session_id, s.event_name, count(m.session_id) AS marker_count, count(*) FILTER (WHERE marker_type = 'corner') AS corner_markers, count(*) FILTER (WHERE m.session_id IS NOT NULL AND distance_m IS NULL) AS nulls, count(*) FILTER (WHERE om) AS om, count(*) FILTER (WHERE oc) AS oc, coalesce(max(n), 0) AS n FROM fx_sessions s LEFT JOIN mq m USING (session_id) GROUP BY ALL),
-ml AS (SELECT *, CASE WHEN n = 0 OR marker_count = 0 THEN 'needs_reimport' WHEN om > 0 THEN 'needs_manual_review' WHEN corner_markers < 5 THEN 'partial' WHEN oc > 0 OR nulls > 0 THEN 'ready_with_warnings' ELSE 'ready' END AS circuit_context_readiness FROM ms)"""
 SHARE = "count(*) AS laps, count(*) FILTER (WHERE bad) AS flagged_laps, round(100.0 * count(*) FILTER (WHERE bad) / count(*), 6) AS flagged_pct FROM cl GROUP BY ALL"
 
 
@@ -165,17 +212,17 @@ QUALITY = {
     "threshold_borderline_laps": (lambda fx: _sensitivity(fx, "borderline"), f"WITH {CASES}, {FLIPS} SELECT event_name, session_id, driver_code, lap_number, " + ", ".join(f"{k}_flip_count" for k in CHANGED) + ", any_flips AS any_sensitivity_flip_count, bbad AS baseline_bad_lap_any_category, breplay AS baseline_safe_for_replay, NOT bbad AS baseline_safe_for_lap_comparison, badvice AS baseline_product_recommendation, bshown AS baseline_primary_category FROM l WHERE any_flips > 0"),
     "speed_profile_baselines": (lambda fx: r6(D.speed_profile_baselines(classified(fx), 2), "q10", "median", "q90"), f"WITH {FEATURES}, l AS (" + " UNION ALL ".join(f"SELECT session_id, {k} AS bin, b{k} AS v FROM cl WHERE NOT bad AND nbins >= 2 AND b{k} IS NOT NULL" for k in range(1, 21)) + ") SELECT session_id, bin, count(*) AS laps, round(quantile_cont(v, 0.1), 6) AS q10, round(median(v), 6) AS median, round(quantile_cont(v, 0.9), 6) AS q90 FROM l GROUP BY ALL"),
     "shape_examples": (lambda fx: r6(D.shape_examples(classified(fx), fx.sessions), "speed_shape_rms_kmh", "speed_shape_excess_kmh", "speed_shape_robust_z"), f"WITH {FEATURES}, a AS (SELECT *, {SEVERITY} FROM cl JOIN fx_sessions USING (session_id) WHERE c5 AND rms IS NOT NULL) SELECT event_name, session_id, driver_code, lap_number, {SHOWN} AS primary_category, {REASONS} AS reason_set, lap_time_ms, round(rms, 6) AS speed_shape_rms_kmh, round(shapex, 6) AS speed_shape_excess_kmh, round(coalesce((rms - mrms) / nullif(iqr, 0), 0), 6) AS speed_shape_robust_z, is_pit_in_lap, is_pit_out_lap, sc AS safety_car_periods, vsc AS virtual_safety_car_periods, red AS red_flag_periods FROM a ORDER BY ({REVIEW}) DESC, round(shapex, 9) DESC, round(rms, 9) DESC, session_id, driver_code, lap_number LIMIT 12"),
-    "surface_flags": (lambda fx: surfaces(fx).select("session_id", *D.SURFACE_FLAGS, "surface_issue_count", F.round("aligned_non_ok_pct", 6).alias("aligned_non_ok_pct")), None),
-    "surface_flag_summary": (lambda fx: r6(D.surface_flag_summary(surfaces(fx)), "pct"), None),
+    "surface_flags": (lambda fx: surfaces(fx).select("session_id", *D.SURFACE_FLAGS, "surface_issue_count", F.round("aligned_non_ok_pct", 6).alias("aligned_non_ok_pct")), f"WITH {SURFACE} SELECT *, " + " + ".join(f"CAST({x} AS INT)" for x in D.SURFACE_FLAGS) + " AS surface_issue_count FROM sf"),
+    "surface_flag_summary": (lambda fx: r6(D.surface_flag_summary(surfaces(fx)), "pct"), f"WITH {SURFACE} " + " UNION ALL ".join(f"SELECT '{x}' AS surface_flag, count(*) FILTER (WHERE {x}) AS sessions, round(100.0 * count(*) FILTER (WHERE {x}) / count(*), 6) AS pct FROM sf" for x in D.SURFACE_FLAGS)),
     "surface_summary_by_year": (lambda fx: r6(D.surface_summary_by_year(surfaces(fx)), "issue_pct").select("year", "sessions", "car_samples", "position_samples", "aligned_samples", "weather_samples", "messages"), "SELECT 2024 AS year, (SELECT count(*) FROM fx_sessions) AS sessions, (SELECT count(*) FROM fx_telemetry) AS car_samples, (SELECT count(*) FROM fx_positions) AS position_samples, (SELECT count(*) FROM fx_aligned) AS aligned_samples, (SELECT count(*) FROM fx_weather) AS weather_samples, (SELECT count(*) FROM fx_race_control) AS messages"),
     "session_surface_features": (lambda fx: A.session_surface_features(fx.sessions, fx.drivers, fx.laps, fx.telemetry, fx.positions, fx.aligned, fx.weather, fx.track_status, fx.race_control, fx.markers, fx.circuits).select("session_id", "drivers", "laps", "deleted_laps", "inaccurate_laps", "pit_laps", "lap_time_ms_nulls", "car_samples", "speed_kmh_nulls", "position_samples", "off_track_samples", "aligned_not_ok", "weather_samples", "rain_samples", "status_events", "status_4", "messages", "messages_without_time", "corners", "circuit_metadata_rows"), "SELECT s.session_id, (SELECT count(*) FROM fx_drivers d WHERE d.session_id = s.session_id) AS drivers, l.*, c.*, p.*, (SELECT count(*) FILTER (WHERE NOT list_contains(quality_flags, 'OK')) FROM fx_aligned a WHERE a.session_id = s.session_id) AS aligned_not_ok, w.*, e.*, m.*, (SELECT count(*) FILTER (WHERE marker_type = 'corner') FROM fx_markers k WHERE k.session_id = s.session_id) AS corners, (SELECT count(*) FROM fx_markers k WHERE k.session_id = s.session_id) AS circuit_metadata_rows FROM fx_sessions s, LATERAL (SELECT count(*) AS laps, count(*) FILTER (WHERE is_deleted) AS deleted_laps, count(*) FILTER (WHERE NOT is_accurate) AS inaccurate_laps, count(*) FILTER (WHERE is_pit_in_lap OR is_pit_out_lap) AS pit_laps, count(*) FILTER (WHERE lap_time_ms IS NULL) AS lap_time_ms_nulls FROM fx_laps x WHERE x.session_id = s.session_id) l, LATERAL (SELECT count(*) AS car_samples, count(*) FILTER (WHERE speed_kmh IS NULL) AS speed_kmh_nulls FROM fx_telemetry x WHERE x.session_id = s.session_id) c, LATERAL (SELECT count(*) AS position_samples, count(*) FILTER (WHERE track_status = 'OffTrack') AS off_track_samples FROM fx_positions x WHERE x.session_id = s.session_id) p, LATERAL (SELECT count(*) AS weather_samples, count(*) FILTER (WHERE rainfall) AS rain_samples FROM fx_weather x WHERE x.session_id = s.session_id) w, LATERAL (SELECT count(*) AS status_events, count(*) FILTER (WHERE status_code = '4') AS status_4 FROM fx_track_status x WHERE x.session_id = s.session_id) e, LATERAL (SELECT count(*) AS messages, count(*) FILTER (WHERE session_time_ms IS NULL) AS messages_without_time FROM fx_race_control x WHERE x.session_id = s.session_id) m"),
     "quality_windows": (lambda fx: r6(windows(fx), "non_ok_pct").select("session_id", "driver_code", "window_start_ms", "samples", "not_ok", "pit_lap_rows", "non_ok_pct", "messages", "incident_messages", "has_status_context", "has_incident_context"), f"WITH {WIN} SELECT session_id, driver_code, window_start_ms, samples, not_ok, pit_lap_rows, round(non_ok_pct, 6) AS non_ok_pct, messages, incident_messages, has_status_context, has_incident_context FROM win"),
     "context_overlap": (lambda fx: r6(D.context_overlap(windows(fx)), "pct_has_race_control_context", "pct_has_status_context", "pct_has_pit_context", "pct_has_incident_context", "median_non_ok_pct", "p95_non_ok_pct"), f"WITH {WIN} " + _union("window_bucket", "win", {"all_windows": "true", "degraded_windows": "non_ok_pct >= 1", "severe_windows": "non_ok_pct >= 10"}, "count(*) AS windows, " + ", ".join(f"round(100.0 * count(*) FILTER (WHERE {c}) / count(*), 6) AS pct_{c}" for c in ("has_race_control_context", "has_status_context", "has_pit_context", "has_incident_context")) + ", round(median(non_ok_pct), 6) AS median_non_ok_pct, round(quantile_cont(non_ok_pct, 0.95), 6) AS p95_non_ok_pct")),
     "lap_context": (lambda fx: r6(D.lap_context(A.aligned_quality_by(fx.aligned, "lap"), fx.laps), "median_non_ok_pct", "p95_non_ok_pct"), f"WITH a AS (SELECT session_id, driver_code, lap_number, count(*) FILTER (WHERE {FAMILY} <> 'OK') AS not_ok, 100.0 * count(*) FILTER (WHERE {FAMILY} <> 'OK') / count(*) AS pct FROM fx_aligned GROUP BY ALL), j AS (SELECT a.*, is_pit_in_lap OR is_pit_out_lap AS pit, NOT coalesce(is_accurate, true) AS bad, lap_time_ms IS NULL AS untimed FROM a LEFT JOIN fx_laps USING (session_id, driver_code, lap_number)) " + _union("lap_bucket", "j", {"all_laps": "true", "pit_laps": "pit", "inaccurate_laps": "bad", "missing_lap_time_laps": "untimed", "ordinary_laps": "NOT (pit OR bad OR untimed)"}, "count(*) AS laps, count(*) FILTER (WHERE not_ok > 0) AS laps_with_any_non_ok, count(*) FILTER (WHERE pct >= 10) AS laps_with_severe_non_ok, round(median(pct), 6) AS median_non_ok_pct, round(quantile_cont(pct, 0.95), 6) AS p95_non_ok_pct, CAST(sum(not_ok) AS BIGINT) AS non_ok_rows")),
-    "replay_watchlist": (lambda fx: watch(fx).select("session_id", "driver_code", F.round("replay_risk_score", 4).alias("risk"), "guidance", "severe_windows", "longest_segment_ms"), None),
+    "replay_watchlist": (lambda fx: watch(fx).select("session_id", "driver_code", F.round("replay_risk_score", 4).alias("risk"), "guidance", "severe_windows", "longest_segment_ms"), f"WITH {WIN}, {WATCH} SELECT session_id, driver_code, round(risk, 4) AS risk, guidance, severe_windows, longest_segment_ms FROM wa"),
     "session_duration_coverage": (lambda fx: coverage(fx).select("session_id", "derived_session_duration_ms", "duration_source", "active_replay_duration_ms", F.round("weather_active_coverage_ratio", 6).alias("weather_active"), F.round("race_control_coverage_ratio", 6).alias("messages")), "WITH t AS (SELECT session_id, min(session_time_ms) AS a, max(session_time_ms) AS b FROM fx_telemetry GROUP BY ALL), p AS (SELECT session_id, max(epoch_us(sample_time_utc) // 1000 % 86400000) AS b FROM fx_positions GROUP BY ALL), w AS (SELECT session_id, min(session_time_ms) AS a, max(session_time_ms) AS b FROM fx_weather GROUP BY ALL), m AS (SELECT session_id, min(session_time_ms) AS a, max(session_time_ms) AS b FROM fx_race_control GROUP BY ALL) SELECT t.session_id, greatest(t.b, p.b) AS derived_session_duration_ms, CASE WHEN t.b >= p.b THEN 'telemetry' ELSE 'position' END AS duration_source, t.b - t.a AS active_replay_duration_ms, round(greatest(least(w.b, t.b) - greatest(w.a, t.a), 0) / CAST(t.b - t.a AS DOUBLE), 6) AS weather_active, round((m.b - m.a) / CAST(greatest(t.b, p.b) AS DOUBLE), 6) AS messages FROM t JOIN p USING (session_id) JOIN w USING (session_id) JOIN m USING (session_id)"),
     "coverage_windows": (lambda fx: D.coverage_windows(coverage(fx)).where("surface in ('telemetry', 'weather', 'race_control')").select("session_id", "surface", "start_ms", "end_ms", "span_ms"), "SELECT session_id, surface, min(t) AS start_ms, max(t) AS end_ms, max(t) - min(t) AS span_ms FROM (SELECT session_id, 'telemetry' AS surface, session_time_ms AS t FROM fx_telemetry UNION ALL SELECT session_id, 'weather', session_time_ms FROM fx_weather UNION ALL SELECT session_id, 'race_control', session_time_ms FROM fx_race_control) GROUP BY ALL"),
-    "coverage_summary": (lambda fx: r6(D.coverage_summary(D.coverage_windows(coverage(fx))), "median_coverage_ratio", "median_active_coverage_ratio", "min_active_coverage_ratio"), None),
+    "coverage_summary": (lambda fx: r6(D.coverage_summary(D.coverage_windows(coverage(fx))), "median_coverage_ratio", "median_active_coverage_ratio", "min_active_coverage_ratio"), f"WITH {COVER} SELECT surface, count(*) AS sessions, round(median(cov), 6) AS median_coverage_ratio, round(median(act), 6) AS median_active_coverage_ratio, round(min(act), 6) AS min_active_coverage_ratio, count(*) FILTER (WHERE late > 60000) AS sessions_starting_after_active, count(*) FILTER (WHERE early > 60000) AS sessions_ending_before_active_end FROM c GROUP BY surface"),
     "message_taxonomy_summary": (lambda fx: r6(D.message_taxonomy_summary(fx.race_control), "missing_session_time_pct", "missing_lap_scope_pct", "missing_driver_scope_pct"), f"WITH {TAX}, g AS (SELECT taxonomy, count(*) AS messages, count(*) FILTER (WHERE session_time_ms IS NULL) AS missing_session_time, count(*) FILTER (WHERE lap_number IS NULL) AS missing_lap_scope, count(*) FILTER (WHERE racing_number IS NULL) AS missing_driver_scope, count(DISTINCT session_id) AS sessions FROM tx GROUP BY ALL) SELECT *, " + ", ".join(f"round(100.0 * {c} / messages, 6) AS {c}_pct" for c in ("missing_session_time", "missing_lap_scope", "missing_driver_scope")) + " FROM g"),
     "duplicate_messages": (lambda fx: D.duplicate_messages(fx.race_control), rf"WITH {TAX}, n AS (SELECT *, regexp_replace(regexp_replace(lower(message), '\bcar\s+\d+\b', 'car #', 'g'), '\bturn\s+\d+\b', 'turn #', 'g') AS a FROM tx), k AS (SELECT *, trim(regexp_replace(a, '\b\d+\b', '#', 'g')) AS normalized_message FROM n), g AS (SELECT session_id, normalized_message, count(*) AS messages, min(session_time_ms) AS first_session_time_ms, max(session_time_ms) AS last_session_time_ms, string_agg(DISTINCT taxonomy, ',' ORDER BY taxonomy) AS taxonomy FROM k GROUP BY ALL HAVING count(*) > 1) SELECT *, last_session_time_ms - first_session_time_ms AS span_ms FROM g"),
     "status_message_overlap": (lambda fx: D.status_message_overlap(intervals(fx), fx.race_control).select("session_id", "start_time_ms", "status_code", "messages", "incident_messages", "taxonomies"), f"WITH {TAX}, i AS ({ICOLS}) SELECT i.session_id, i.start_time_ms, i.status_code, count(t.session_id) AS messages, count(*) FILTER (WHERE {INC}) AS incident_messages, coalesce(string_agg(DISTINCT taxonomy, ',' ORDER BY taxonomy), '') AS taxonomies FROM i LEFT JOIN tx t ON t.session_id = i.session_id AND t.session_time_ms >= i.start_time_ms AND t.session_time_ms < i.end_time_ms GROUP BY ALL"),
@@ -184,7 +231,7 @@ QUALITY = {
     "marker_quality": (lambda fx: D.marker_quality(fx.markers, fx.positions).select("session_id", "marker_number", "marker_issue"), f"WITH {MARK} SELECT session_id, marker_number, CASE WHEN om THEN 'outside_position_bounds' WHEN oc THEN 'outside_core_trace_bounds' WHEN distance_m IS NULL THEN 'missing_distance' ELSE 'none' END AS marker_issue FROM mq"),
     "marker_summary": (lambda fx: markers(fx).select("session_id", "marker_count", "corner_markers", "circuit_context_readiness"), f"WITH {MARK} SELECT session_id, marker_count, corner_markers, circuit_context_readiness FROM ml"),
     "marker_example_sessions": (lambda fx: r6(D.marker_example_sessions(markers(fx)), "priority"), f"WITH {MARK} SELECT session_id, round(om * 100 + oc * 10 + CASE WHEN circuit_context_readiness <> 'ready' THEN 1 ELSE 0 END + least(marker_count, 50) / 100.0, 6) AS priority FROM ml ORDER BY priority DESC, event_name LIMIT 6"),
-    "product_readiness": (lambda fx: D.product_readiness(surfaces(fx), watch(fx), windows(fx), coverage(fx), markers(fx)), None),
-    "readiness_summary": (lambda fx: D.readiness_summary(D.product_readiness(surfaces(fx), watch(fx), windows(fx), coverage(fx), markers(fx))), None),
+    "product_readiness": (lambda fx: D.product_readiness(surfaces(fx), watch(fx), windows(fx), coverage(fx), markers(fx)), f"WITH {READY} SELECT * FROM rd"),
+    "readiness_summary": (lambda fx: D.readiness_summary(D.product_readiness(surfaces(fx), watch(fx), windows(fx), coverage(fx), markers(fx))), f"WITH {READY} SELECT x AS final_recommendation, count(session_id) AS sessions FROM (SELECT unnest(" + repr(D.RECOMMENDATIONS) + ") AS x) LEFT JOIN rd ON final_recommendation = x GROUP BY x"),
     "assert_scope": (lambda fx: D.assert_scope(fx.sessions, 24), "SELECT CAST(24 AS BIGINT) AS expected, count(*) AS found, count(*) = 24 AS matches FROM fx_sessions"),
 }

@@ -65,14 +65,25 @@ def _texts(column: str):
     return F.array_join(F.transform(column, lambda i: i["text"]), " ")
 
 
+SEGMENTS = f"u AS (SELECT p.*, 'a' AS side, t.lap_time_ms, t.speed_kmh FROM v_pairs p JOIN fx_telemetry t ON t.session_id = p.session_id AND t.driver_code = p.driver_a AND t.lap_number = p.lap_a UNION ALL SELECT p.*, 'b', t.lap_time_ms, t.speed_kmh FROM v_pairs p JOIN fx_telemetry t ON t.session_id = p.session_id AND t.driver_code = p.driver_b AND t.lap_number = p.lap_b), v AS (SELECT *, CAST(least(floor(lap_time_ms * 3 / greatest(max(lap_time_ms) OVER (PARTITION BY {P}), 1)), 2) AS INT) + 1 AS segment FROM u), g AS (SELECT {P}, segment, avg(speed_kmh) FILTER (WHERE side = 'a') - avg(speed_kmh) FILTER (WHERE side = 'b') AS d FROM v GROUP BY ALL)"
+STORY = f"WITH {SEGMENTS}, n AS (SELECT {P}, count(*) AS n, count(*) FILTER (WHERE d > 2) AS won FROM g GROUP BY ALL), t AS (SELECT {', '.join('p.' + c for c in PAIR)}, x.lap_time_ms - y.lap_time_ms AS dt FROM v_pairs p LEFT JOIN fx_laps x ON x.session_id = p.session_id AND x.driver_code = p.driver_a AND x.lap_number = p.lap_a LEFT JOIN fx_laps y ON y.session_id = p.session_id AND y.driver_code = p.driver_b AND y.lap_number = p.lap_b) SELECT {P}, dt AS delta_lap_time_ms, n, CASE WHEN dt <> 0 THEN concat(CASE WHEN dt < 0 THEN driver_a ELSE driver_b END, ' was faster by ', {DUR.format('abs(dt)')}, '.') WHEN n IS NOT NULL THEN concat(driver_a, ' was faster in ', won, ' segments.') END AS text FROM t LEFT JOIN n USING ({P})"
+WINNER = f"""WITH e AS (SELECT * FROM (WITH {STAND.format(scope='')} SELECT * FROM s)), o AS (SELECT * FROM (WITH {STAND.format(scope='AND lap_number <= 1')} SELECT * FROM s)),
+wn AS (SELECT session_id, driver_code AS winner FROM e WHERE position = 1),
+ft AS (SELECT session_id, driver_code AS fastest_driver, best_lap_ms AS fastest_lap_ms FROM e WHERE best_lap_ms IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY best_lap_ms, position, driver_code) = 1),
+si AS (SELECT l.session_id, stint_number, compound, count(*) AS laps FROM fx_laps l JOIN wn ON wn.session_id = l.session_id AND wn.winner = l.driver_code WHERE stint_number IS NOT NULL GROUP BY ALL),
+sh AS (SELECT *, round(100.0 * laps / sum(laps) OVER (PARTITION BY session_id), 1) AS share FROM si),
+sg AS (SELECT session_id, string_agg(concat(compound, ' ', CAST(CAST(share AS DOUBLE) AS VARCHAR)), ',' ORDER BY stint_number, compound, share) AS stints, count(*) - 1 AS stops FROM sh GROUP BY ALL),
+mv AS (SELECT session_id, max(o.position - e.position) AS largest_gain, min(o.position - e.position) AS largest_loss FROM e JOIN o USING (session_id, driver_code) GROUP BY ALL)
+SELECT session_id, winner, fastest_driver, fastest_lap_ms, stops, largest_gain, largest_loss, stints FROM wn LEFT JOIN ft USING (session_id) LEFT JOIN sg USING (session_id) LEFT JOIN mv USING (session_id)"""
+
 RACE = {
     "compare_laps": (lambda fx: r6(Q.compare_laps(pairs(fx), fx.telemetry, 1_800_000), *(f"{k}_{c}" for k in "ab" for c in CH), *(f"d_{c}" for c in CH[:3])), COMPARE),
     "compare_laps_summary": (lambda fx: r6(Q.compare_laps_summary(pairs(fx), fx.laps, fx.telemetry), "delta_avg_speed_kmh", "delta_max_speed_kmh"), f"WITH b AS ({LAPSUM}) SELECT {', '.join('p.' + c for c in PAIR)}, " + ", ".join((f"round(x.{c} - y.{c}, 6)" if "speed" in c else f"x.{c} - y.{c}") + f" AS delta_{c}" for c in Q.SUMMARY) + " FROM v_pairs p LEFT JOIN b x ON x.session_id = p.session_id AND x.driver_code = p.driver_a AND x.lap_number = p.lap_a LEFT JOIN b y ON y.session_id = p.session_id AND y.driver_code = p.driver_b AND y.lap_number = p.lap_b"),
     "compare_laps_segments": (lambda fx: r6(Q.compare_laps_segments(pairs(fx), fx.telemetry, 3), "delta_speed_kmh", "delta_throttle_pct", "delta_brake_pct"), f"WITH u AS (SELECT p.*, 'a' AS side, t.lap_time_ms, t.speed_kmh, t.throttle_pct, t.brake_pct FROM v_pairs p JOIN fx_telemetry t ON t.session_id = p.session_id AND t.driver_code = p.driver_a AND t.lap_number = p.lap_a UNION ALL SELECT p.*, 'b', t.lap_time_ms, t.speed_kmh, t.throttle_pct, t.brake_pct FROM v_pairs p JOIN fx_telemetry t ON t.session_id = p.session_id AND t.driver_code = p.driver_b AND t.lap_number = p.lap_b), v AS (SELECT *, CAST(least(floor(lap_time_ms * 3 / greatest(max(lap_time_ms) OVER (PARTITION BY {P}), 1)), 2) AS INT) + 1 AS segment FROM u), g AS (SELECT {P}, segment, " + ", ".join(f"avg({c}) FILTER (WHERE side = 'a') - avg({c}) FILTER (WHERE side = 'b') AS delta_{c}" for c in CH[:3]) + f" FROM v GROUP BY ALL) SELECT {P}, segment, " + ", ".join(f"round(delta_{c}, 6) AS delta_{c}" for c in CH[:3]) + ", CASE WHEN delta_speed_kmh > 2 THEN driver_a WHEN delta_speed_kmh < -2 THEN driver_b ELSE 'even' END AS advantage FROM g"),
-    "compare_laps_by_distance": (lambda fx: r6(Q.compare_laps_by_distance(pairs(fx), fx.distance, 0, 800), "lap_progress", "delta_elapsed_ms"), f"SELECT {', '.join('p.' + c for c in PAIR)}, x.distance_m, round((x.lap_progress + y.lap_progress) / 2, 6) AS lap_progress, round(x.elapsed_ms - y.elapsed_ms, 6) AS delta_elapsed_ms, " + ", ".join(f"x.{c} - y.{c} AS delta_{c}" for c in CH[:3]) + " FROM v_pairs p JOIN fx_distance x ON x.session_id = p.session_id AND x.driver_code = p.driver_a AND x.lap_number = p.lap_a JOIN fx_distance y ON y.session_id = p.session_id AND y.driver_code = p.driver_b AND y.lap_number = p.lap_b AND y.distance_m = x.distance_m WHERE x.distance_m BETWEEN 0 AND 800"),
+    "compare_laps_by_distance": (lambda fx: r6(Q.compare_laps_by_distance(pairs(fx), fx.distance, 0, 800), "lap_progress", "delta_elapsed_ms"), f"WITH d AS MATERIALIZED (SELECT *, CAST(round(distance_m * 1000) AS BIGINT) AS mm FROM fx_distance WHERE distance_m BETWEEN 0 AND 800), q AS MATERIALIZED (SELECT * FROM v_pairs), x AS MATERIALIZED (SELECT q.*, d.* EXCLUDE (session_id, driver_code, lap_number) FROM q JOIN d ON d.session_id = q.session_id AND d.driver_code = q.driver_a AND d.lap_number = q.lap_a), y AS MATERIALIZED (SELECT q.*, d.* EXCLUDE (session_id, driver_code, lap_number) FROM q JOIN d ON d.session_id = q.session_id AND d.driver_code = q.driver_b AND d.lap_number = q.lap_b) SELECT {', '.join('x.' + c for c in PAIR)}, x.mm / 1000.0 AS distance_m, round((x.lap_progress + y.lap_progress) / 2, 6) AS lap_progress, round(x.elapsed_ms - y.elapsed_ms, 6) AS delta_elapsed_ms, " + ", ".join(f"x.{c} - y.{c} AS delta_{c}" for c in CH[:3]) + f" FROM x JOIN y USING ({P}, mm)"),
     "compare_by_distance_summary": (lambda fx: Q.compare_by_distance_summary(pairs(fx), fx.laps, fx.distance, fx.laps.select("session_id", "driver_code", "lap_number", F.when(F.col("is_accurate"), "valid").otherwise("incomplete").alias("quality_status"))), f"WITH f AS (SELECT session_id, driver_code, lap_number, last(elapsed_ms ORDER BY distance_m) AS finish_ms FROM fx_distance GROUP BY ALL), b AS (SELECT l.session_id, l.driver_code, l.lap_number, l.lap_time_ms, f.finish_ms, CASE WHEN is_accurate THEN 'valid' ELSE 'incomplete' END AS q FROM fx_laps l LEFT JOIN f USING (session_id, driver_code, lap_number)) SELECT {', '.join('p.' + c for c in PAIR)}, x.lap_time_ms - y.lap_time_ms AS official_delta_ms, x.finish_ms - y.finish_ms AS finish_delta_ms, abs((x.lap_time_ms - y.lap_time_ms) - (x.finish_ms - y.finish_ms)) AS difference_ms, x.q AS quality_a, y.q AS quality_b FROM v_pairs p LEFT JOIN b x ON x.session_id = p.session_id AND x.driver_code = p.driver_a AND x.lap_number = p.lap_a LEFT JOIN b y ON y.session_id = p.session_id AND y.driver_code = p.driver_b AND y.lap_number = p.lap_b"),
     "lap_story": (lambda fx: Q.lap_story(fx.laps, fx.telemetry).select("lap_id", _texts("insights").alias("text")), f"WITH b AS (SELECT l.lap_id, any_value(l.lap_time_ms) AS t, any_value(l.sector_1_ms) AS s1, any_value(l.sector_2_ms) AS s2, any_value(l.sector_3_ms) AS s3, any_value(compound) AS compound, any_value(tyre_life) AS tyre_life, max(speed_kmh) AS v, count(c.session_id) AS n FROM fx_laps l LEFT JOIN fx_telemetry c USING (session_id, driver_code, lap_number) WHERE NOT l.is_deleted GROUP BY l.lap_id), m AS (SELECT *, least(s1, s2, s3) AS s, CASE WHEN s1 = least(s1, s2, s3) THEN 1 WHEN s2 = least(s1, s2, s3) THEN 2 ELSE 3 END AS k FROM b) SELECT lap_id, concat_ws(' ', CASE WHEN t IS NOT NULL THEN concat('Lap time was ', {DUR.format('t')}, '.') END, CASE WHEN v IS NOT NULL THEN concat('Peak sampled speed was ', CAST(round_even(v, 0) AS BIGINT), ' km/h.') END, CASE WHEN s IS NOT NULL THEN concat('Fastest sector was S', k, ' at ', {DUR.format('s')}, '.') END, concat('Tyre context: ', compound, ', tyre life ', tyre_life, '.'), concat('Telemetry sample count for this lap is ', n, '.')) AS text FROM m"),
-    "compare_laps_story": (lambda fx: Q.compare_laps_story(pairs(fx), fx.laps, fx.telemetry).select(*PAIR, "delta_lap_time_ms", F.size("segments").alias("n"), F.element_at(F.transform("insights", lambda i: i["text"]), 1).alias("text")), None),
+    "compare_laps_story": (lambda fx: Q.compare_laps_story(pairs(fx), fx.laps, fx.telemetry).select(*PAIR, "delta_lap_time_ms", F.size("segments").alias("n"), F.element_at(F.transform("insights", lambda i: i["text"]), 1).alias("text")), STORY),
     "pit_laps": (lambda fx: Q.pit_laps(fx.laps, fx.telemetry).select("session_id", "driver_code", "lap_number", "kind", "session_time_ms"), "SELECT p.session_id, p.driver_code, p.lap_number, p.pit_type AS kind, (SELECT min(session_time_ms) FROM fx_telemetry t WHERE t.session_id = p.session_id AND t.driver_code = p.driver_code AND t.lap_number = p.lap_number) AS session_time_ms FROM v_pit p"),
     "analyze_pit_stops": (lambda fx: Q.analyze_pit_stops(fx.laps, fx.telemetry, 3, 5000).select("session_id", "driver_code", "lap_number", "kind", "lap_time_ms", "nearby_baseline_lap_time_ms", "estimated_loss_ms"), "SELECT p.session_id, p.driver_code, p.lap_number, p.pit_type AS kind, p.lap_time_ms, CAST(round(avg(b.lap_time_ms)) AS BIGINT) AS nearby_baseline_lap_time_ms, any_value(p.lap_time_ms) - CAST(round(avg(b.lap_time_ms)) AS BIGINT) AS estimated_loss_ms FROM v_pit p LEFT JOIN fx_laps b ON b.session_id = p.session_id AND b.driver_code = p.driver_code AND b.lap_time_ms IS NOT NULL AND NOT b.is_deleted AND NOT b.is_pit_in_lap AND NOT b.is_pit_out_lap AND abs(b.lap_number - p.lap_number) BETWEEN 1 AND 3 GROUP BY p.session_id, p.driver_code, p.lap_number, p.pit_type, p.lap_time_ms"),
     "strategy_stops": (lambda fx: Q.strategy_stops(fx.laps, fx.track_status), f"WITH {STOPS} SELECT session_id, driver_code, lap_number, stint_number, from_compound, to_compound, pit_in_session_time_ms, pit_out_session_time_ms, pit_lane_time_ms, track_status, is_accurate FROM st"),
@@ -85,5 +96,5 @@ RACE = {
     "narrative_facts": (lambda fx: Q.narrative_facts(fx.laps, fx.drivers, fx.track_status, fx.race_control, fx.weather).drop("evidence"), f"WITH {FACTS} SELECT * FROM facts"),
     "story_quality": (lambda fx: Q.story_quality(Q.narrative_facts(fx.laps, fx.drivers, fx.track_status, fx.race_control, fx.weather)).drop("warnings"), f"WITH {FACTS}, {SQUAL} SELECT *, CASE WHEN degraded > 0 THEN 'degraded' WHEN supported > 0 THEN 'supported' ELSE 'unavailable' END AS status FROM sq"),
     "race_debrief": (lambda fx: Q.race_debrief(fx.sessions, fx.laps, fx.drivers, fx.track_status, fx.race_control, fx.weather).select("session_id", "headline", F.size("fact_ids").alias("facts"), "supported", "degraded", "incidents"), f"WITH {FACTS}, {SQUAL} SELECT f.session_id, max(CASE WHEN kind = 'winner' THEN text END) AS headline, CAST(count(*) AS INT) AS facts, any_value(sq.supported) AS supported, any_value(sq.degraded) AS degraded, (SELECT least(count(*), 50) FROM inc WHERE inc.session_id = f.session_id AND k <= 200) AS incidents FROM facts f JOIN sq USING (session_id) GROUP BY f.session_id"),
-    "winner_report": (lambda fx: Q.winner_report(fx.laps, fx.drivers).select("session_id", "winner", "fastest_driver", "fastest_lap_ms", "stops", "largest_gain", "largest_loss", F.array_join(F.transform("stints", lambda s: F.concat(s["compound"], F.lit(" "), s["share"].cast("string"))), ",").alias("stints")), None),
+    "winner_report": (lambda fx: Q.winner_report(fx.laps, fx.drivers).select("session_id", "winner", "fastest_driver", "fastest_lap_ms", "stops", "largest_gain", "largest_loss", F.array_join(F.transform("stints", lambda s: F.concat(s["compound"], F.lit(" "), s["share"].cast("string"))), ",").alias("stints")), WINNER),
 }
