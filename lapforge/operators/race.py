@@ -171,30 +171,33 @@ def strategy_summary(laps: DataFrame, events: DataFrame) -> DataFrame:
     laps, then by code. Positions after are two laps past the later stop, at most the last lap.
     """
     stops = strategy_stops(laps, events)
-    ranked = _ranked(laps).select("session_id", "driver_code", F.col("lap_number").alias("at"), "position")
-    last = ranked.groupBy("session_id").agg(F.max("at").alias("last_lap"))
+    # one row a session: a position for each driver's lap, by "driver|lap"
+    place = lambda driver, lap: F.concat_ws("|", F.col(driver), F.col(lap).cast("string"))
+    ranked = _ranked(laps).groupBy("session_id", place("driver_code", "lap_number").alias("k")).agg(F.max("position").alias("position"), F.max("lap_number").alias("n"))
+    places = ranked.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "position"))).alias("_m"), F.max("n").alias("_last"))
 
-    def at(df: DataFrame, driver: str, lap: str, name: str) -> DataFrame:
-        own = ranked.select("session_id", F.col("driver_code").alias(driver), F.col("at").alias(lap), F.col("position").alias(name))
-        return df.join(own, ["session_id", driver, lap], "left")
+    def at(df: DataFrame, *names: tuple[str, str, str]) -> DataFrame:
+        """``df`` with positions, each as (driver's column, lap's column, name)."""
+        found = df.join(places, "session_id", "left")
+        return found.withColumns({name: F.try_element_at("_m", place(driver, lap)) for driver, lap, name in names}).drop("_m", "_last")
 
-    rows = at(stops.withColumn("before_lap", F.greatest(F.lit(1), F.col("lap_number") - 1)), "driver_code", "before_lap", "before_position")
+    rows = at(stops.withColumn("before_lap", F.greatest(F.lit(1), F.col("lap_number") - 1)), ("driver_code", "before_lap", "before_position"))
     other = stops.select("session_id", F.col("driver_code").alias("rival"), F.col("lap_number").alias("rival_lap"))
     near = rows.select(*LAP, "before_lap", "before_position").withColumn("rival_lap", F.explode(F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda k: (F.col("lap_number") + k).cast("int"))))
-    met = at(near.join(other, ["session_id", "rival_lap"]).where("rival <> driver_code"), "rival", "before_lap", "rival_before").where("rival_before is not null")
+    met = at(near.join(other, ["session_id", "rival_lap"]).where("rival <> driver_code"), ("rival", "before_lap", "rival_before")).where("rival_before is not null")
     key = F.struct(F.coalesce(F.abs(F.col("rival_before") - F.col("before_position")), F.lit(2**31 - 1)).alias("p"), F.abs(F.col("rival_lap") - F.col("lap_number")).alias("l"), "rival", "rival_lap", "rival_before")
     best = met.groupBy(*LAP).agg(F.min(key).alias("r")).select(*LAP, "r.rival", "r.rival_lap", "r.rival_before")
-    rows = rows.join(best, LAP, "left").join(last, "session_id", "left")
+    rows = rows.join(best, LAP, "left").join(places.select("session_id", F.col("_last").alias("last_lap")), "session_id", "left")
     rows = rows.withColumn("after_lap", F.least("last_lap", F.greatest("lap_number", F.coalesce("rival_lap", "lap_number")) + 2))
-    rows = at(at(rows, "driver_code", "after_lap", "after_position"), "rival", "after_lap", "rival_after")
+    rows = at(rows, ("driver_code", "after_lap", "after_position"), ("rival", "after_lap", "rival_after"))
     complete = F.coalesce(F.expr("pit_out_session_time_ms is not null and pit_lane_time_ms > 0 and coalesce(is_accurate, true) and before_position is not null and after_position is not null"), F.lit(False))
     clear = F.col("track_status") == "track_clear"
     reversed_ = F.coalesce((F.col("before_position") > F.col("rival_before")) & (F.col("after_position") < F.col("rival_after")), F.lit(False))
     ahead = F.col("lap_number") - F.col("rival_lap")
     label = F.when(~complete | ~clear, "unknown").when(F.col("rival").isNull(), "scheduled").when(reversed_ & (ahead < 0), "undercut").when(reversed_ & (ahead > 0), "overcut").when(ahead.between(0, 1), "reactive").otherwise("scheduled")
-    mean = stops.where("pit_lane_time_ms > 0").groupBy("session_id").agg(F.bround(F.avg("pit_lane_time_ms"), 0).cast("long").alias("field_average_ms"))
+    mean = F.bround(F.avg(F.when(F.col("pit_lane_time_ms") > 0, F.col("pit_lane_time_ms"))).over(Window.partitionBy("session_id")), 0).cast("long")
     out = rows.withColumns({"label": label, "quality": F.when(complete & clear, "supported").otherwise("degraded"), "position_gain": F.col("before_position") - F.col("after_position")})
-    return out.join(mean, "session_id", "left").drop("before_lap", "after_lap", "last_lap", "rival_lap", "rival_before", "rival_after")
+    return out.withColumn("field_average_ms", mean).drop("before_lap", "after_lap", "last_lap", "rival_lap", "rival_before", "rival_after")
 
 
 def standings(laps: DataFrame, drivers: DataFrame, at_lap: int | None = None, sort: str = "position") -> DataFrame:

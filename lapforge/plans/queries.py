@@ -17,8 +17,18 @@ from .views import with_views
 ALL = CORE | RACE | INGEST | QUALITY | MODELS
 
 
+def prepare(spark: SparkSession) -> None:
+    """Settings for wide reports: the driver holds no long plan texts and derives no constraints by the thousand."""
+    spark.conf.set("spark.sql.maxPlanStringLength", 10_000)
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def _bound(plan: Callable[[Fixtures], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: plan(Fixtures(spark, sf_dir))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return plan(Fixtures(spark, sf_dir))
+
+    return query
 
 
 QUERIES = {name: _bound(plan) for name, (plan, _) in ALL.items()}

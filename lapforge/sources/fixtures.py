@@ -22,9 +22,6 @@ class Fixtures:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        # wide reports: keep the driver from holding long plan texts and from deriving thousands of constraints
-        spark.conf.set("spark.sql.maxPlanStringLength", 10_000)
-        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
