@@ -75,16 +75,25 @@ dd AS (SELECT *, coalesce((lag(speed_kmh) OVER w + speed_kmh) / 2 / 3.6 * (lap_t
 r AS (SELECT *, sum(step) OVER (PARTITION BY session_id, driver_code, lap_number ORDER BY lap_time_ms) AS d FROM dd),
 ends AS (SELECT r.session_id, r.driver_code, r.lap_number, max(d) AS end_m, count(*) AS n FROM r JOIN fx_laps l USING (session_id, driver_code, lap_number) WHERE l.lap_time_ms IS NOT NULL GROUP BY ALL HAVING count(*) >= 2 AND max(d) > 0),
 pts AS (SELECT session_id, driver_code, lap_number, end_m, unnest(range(0, CAST(floor(end_m / 5000) AS INT) + 1)) * 5000.0 AS g FROM ends UNION ALL SELECT session_id, driver_code, lap_number, end_m, end_m FROM ends WHERE abs(end_m - floor(end_m / 5000) * 5000) > 1e-8 + 1e-5 * end_m)"""
-DIST_SQL = f"""
-WITH {DIST},
+GRID = f"""{DIST},
 j AS (SELECT p.session_id, p.driver_code, p.lap_number, p.end_m, p.g,
  max_by({{'d': r.d, 't': r.lap_time_ms, 's': r.speed_kmh}}, r.lap_time_ms) FILTER (WHERE r.d <= p.g) AS l,
  min_by({{'d': r.d, 't': r.lap_time_ms, 's': r.speed_kmh, 'b': r.brake_pct}}, r.lap_time_ms) FILTER (WHERE r.d >= p.g) AS h,
  max_by({{'d': r.d, 't': r.lap_time_ms, 'b': r.brake_pct}}, r.lap_time_ms) FILTER (WHERE r.d < p.g) AS u
  FROM pts p JOIN r USING (session_id, driver_code, lap_number) GROUP BY ALL),
 k AS (SELECT *, CASE WHEN l.d = g OR h.d <= l.d THEN l.t ELSE l.t + (h.t - l.t) * (g - l.d) / (h.d - l.d) END AS e, CASE WHEN l.d = g OR h.d <= l.d THEN l.s ELSE l.s + (h.s - l.s) * (g - l.d) / (h.d - l.d) END AS s,
- CASE WHEN u IS NULL THEN h.b WHEN g - u.d <= h.d - g THEN u.b ELSE h.b END AS b, coalesce(u.t, h.t) AS lt FROM j)
+ CASE WHEN u IS NULL THEN h.b WHEN g - u.d <= h.d - g THEN u.b ELSE h.b END AS b, coalesce(u.t, h.t) AS lt FROM j)"""
+DIST_SQL = f"""
+WITH {GRID}
 SELECT session_id, driver_code, lap_number, CAST(floor(round(g, 3) * 100 + 1e-6) AS BIGINT) AS distance_cm, round(least(1.0, g / end_m), 6) AS lap_progress, CAST(round_even(e, 0) AS BIGINT) AS elapsed_ms, round(s, 4) AS speed_kmh, b AS brake_pct, NOT (l.d = g OR h.d = g) AS interpolated FROM k"""
+PLACE_SQL = f"""
+WITH {GRID},
+pe AS (SELECT p.session_id, p.driver_code, p.lap_number, (epoch_us(p.sample_time_utc) - epoch_us(l.lap_start_utc)) / 1000.0 AS e, x, y FROM fx_positions p JOIN fx_laps l USING (session_id, driver_code, lap_number) WHERE l.lap_time_ms IS NOT NULL AND l.lap_start_utc IS NOT NULL AND (epoch_us(p.sample_time_utc) - epoch_us(l.lap_start_utc)) / 1000.0 BETWEEN 0 AND l.lap_time_ms + 14400000
+ QUALIFY row_number() OVER (PARTITION BY p.session_id, p.driver_code, p.lap_number, epoch_us(p.sample_time_utc) ORDER BY source_sample_index DESC) = 1),
+m AS (SELECT k.session_id, k.driver_code, k.lap_number, k.g, k.e, max_by({{'e': pe.e, 'x': x, 'y': y}}, pe.e) FILTER (WHERE pe.e <= k.e) AS b, min_by({{'e': pe.e, 'x': x, 'y': y}}, pe.e) FILTER (WHERE pe.e >= k.e) AS a FROM k LEFT JOIN pe USING (session_id, driver_code, lap_number) GROUP BY ALL),
+n AS (SELECT *, coalesce(b, a) AS l, coalesce(a, b) AS r FROM m),
+o AS (SELECT *, CASE WHEN l IS NULL THEN 'MISSING_POSITION_DATA' WHEN abs(r.e - l.e) > 14400000 THEN 'POSITION_GAP_TOO_LARGE' WHEN round_even(least(abs(e - l.e), abs(r.e - e)), 0) > 14400000 THEN 'POSITION_SAMPLE_TOO_OLD' END AS flag FROM n)
+SELECT session_id, driver_code, lap_number, CAST(floor(round(g, 3) * 100 + 1e-6) AS BIGINT) AS distance_cm, coalesce(flag, 'OK') AS flags, """ + ", ".join(f"round(CASE WHEN flag IS NULL AND a IS NOT NULL AND (b IS NOT NULL OR a.e = e) THEN CASE WHEN r.e = e THEN r.{c} ELSE l.{c} + (r.{c} - l.{c}) * (e - l.e) / (r.e - l.e) END END, 3) AS {c}" for c in "xy") + " FROM o"
 
 INGEST = {
     "read_tables": (lambda fx: fx.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("s")), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY event_type"),
@@ -108,7 +117,7 @@ INGEST = {
     "ingestion_diagnostics": (lambda fx: A.ingestion_diagnostics(T.stream_diagnostics(fx.telemetry, 3_600_000), fx.sessions).select("session_id", "driver_code", "event_name", "warning_flags"), f"WITH d AS (SELECT *, {DELTA} AS d FROM fx_telemetry), g AS (SELECT session_id, driver_code, max(d) AS m, count(*) FILTER (WHERE d < 0) AS o, count(*) - count(DISTINCT sample_time_utc) AS u FROM d GROUP BY ALL) SELECT session_id, driver_code, event_name, concat_ws(',', CASE WHEN u > 0 THEN 'DUPLICATE_SOURCE_TIMESTAMP' END, CASE WHEN o > 0 THEN 'OUT_OF_ORDER_SOURCE_DATA' END, CASE WHEN m > 3600000 THEN 'SOURCE_GAP_TOO_LARGE' END) AS warning_flags FROM g JOIN fx_sessions USING (session_id)"),
     "align_time_grid": (lambda fx: r6(_aligned(fx), "speed_kmh", "x").select("session_id", "driver_code", "session_time_ms", "speed_kmh", "gear", "x", "track_status", "car_age_ms", "location_age_ms", F.array_join("quality_flags", ",").alias("flags"), "lap_number"), TIME_SQL),
     "project_distance_grid": (lambda fx: T.project_distance_grid(fx.telemetry, fx.laps, None, 5000.0, 14_400_000, 14_400_000).select("session_id", "driver_code", "lap_number", F.floor(F.col("distance_m") * 100 + 1e-6).alias("distance_cm"), "lap_progress", "elapsed_ms", F.round("speed_kmh", 4).alias("speed_kmh"), "brake_pct", "interpolated"), DIST_SQL),
-    "project_distance_positions": (lambda fx: T.project_distance_grid(fx.telemetry, fx.laps, fx.positions, 5000.0, 14_400_000, 14_400_000).select("session_id", "driver_code", "lap_number", "distance_m", "x", "y", F.array_join("quality_flags", ",").alias("flags")), None),
+    "project_distance_positions": (lambda fx: T.project_distance_grid(fx.telemetry, fx.laps, fx.positions, 5000.0, 14_400_000, 14_400_000).select("session_id", "driver_code", "lap_number", F.floor(F.col("distance_m") * 100 + 1e-6).alias("distance_cm"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.array_join("quality_flags", ",").alias("flags")), PLACE_SQL),
     "lap_quality_report": (lambda fx: T.lap_quality_report(fx.telemetry, fx.laps, T.project_distance_grid(fx.telemetry, fx.laps, None, 5000.0, 14_400_000, 14_400_000), 14_400_000, 14_400_000, 100).select("session_id", "driver_code", "lap_number", "covered_ms", "first_offset_ms", "last_offset_ms", F.floor(F.col("final_distance_m") * 100 + 1e-6).alias("final_cm"), "finish_mismatch_ms", F.array_join("quality_messages", ",").alias("messages"), "quality_status"), f"WITH {DIST}, c AS (SELECT session_id, driver_code, lap_number, count(*) AS n, min(lap_time_ms) AS t0, max(lap_time_ms) AS t1, max(gap) AS gap, max(d) AS dist FROM r GROUP BY ALL), b AS (SELECT l.*, (SELECT count(*) FROM fx_telemetry t WHERE t.session_id = l.session_id AND t.driver_code = l.driver_code AND t.lap_number = l.lap_number) AS raw, coalesce(c.n, 0) AS n, c.t0, c.t1, c.gap, c.dist FROM fx_laps l LEFT JOIN c USING (session_id, driver_code, lap_number)), u AS (SELECT *, raw >= 2 AND n >= 2 AND lap_time_ms IS NOT NULL AS ok FROM b), m AS (SELECT *, concat_ws(',', CASE WHEN is_pit_in_lap THEN 'WARNING_PIT_IN_LAP' END, CASE WHEN is_pit_out_lap THEN 'WARNING_PIT_OUT_LAP' END, CASE WHEN is_deleted THEN 'WARNING_DELETED_LAP' END, CASE WHEN NOT is_accurate THEN 'WARNING_INACCURATE_LAP' END, CASE WHEN lap_time_ms IS NULL THEN 'INVALID_MISSING_OFFICIAL_LAP_DURATION' END, CASE WHEN raw < 2 THEN 'INVALID_MISSING_CAR_TELEMETRY' END, CASE WHEN raw >= 2 AND n < 2 THEN 'INVALID_INSUFFICIENT_CAR_TELEMETRY' END, CASE WHEN ok AND NOT dist > 0 THEN 'INVALID_NON_POSITIVE_FINAL_DISTANCE' END, CASE WHEN ok AND gap > 14400000 THEN 'INCOMPLETE_CAR_GAP_TOO_LARGE' END, CASE WHEN ok AND t0 > 14400000 THEN 'INCOMPLETE_LATE_LAP_START_COVERAGE' END, CASE WHEN ok AND lap_time_ms - t1 > 14400000 THEN 'INCOMPLETE_EARLY_LAP_END_COVERAGE' END, CASE WHEN ok AND dist > 0 AND abs(t1 - lap_time_ms) > 100 THEN 'INCOMPLETE_PROJECTED_FINISH_MISMATCH' END) AS messages FROM u) SELECT session_id, driver_code, lap_number, CASE WHEN ok THEN t1 - t0 END AS covered_ms, CASE WHEN ok THEN t0 END AS first_offset_ms, CASE WHEN ok THEN greatest(0, lap_time_ms - t1) END AS last_offset_ms, CASE WHEN ok THEN CAST(floor(dist * 100 + 1e-6) AS BIGINT) END AS final_cm, CASE WHEN ok AND dist > 0 THEN abs(t1 - lap_time_ms) END AS finish_mismatch_ms, messages, CASE WHEN contains(messages, 'INVALID_') THEN 'invalid' WHEN contains(messages, 'INCOMPLETE_') THEN 'incomplete' WHEN messages <> '' THEN 'valid_with_warnings' ELSE 'valid' END AS quality_status FROM m"),
     "write_session": (_written_sessions, "SELECT session_id, count(*) AS laps, sum(lap_time_ms + CASE WHEN lap_number >= 3 THEN 1 ELSE 0 END) AS lap_time_ms FROM fx_laps WHERE session_id <> '2024-day05-r' OR lap_number = 1 GROUP BY ALL"),
     "save_table": (_saved_table, "SELECT session_id, count(*) AS laps, count(*) AS laps_csv, string_agg(DISTINCT compound, ',' ORDER BY compound) AS compounds, string_agg(DISTINCT compound, ',' ORDER BY compound) AS compounds_csv FROM fx_laps GROUP BY session_id"),
