@@ -384,9 +384,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     own = survey.where("kind = 0").select("doc_id", "n", "sig")
     classes = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
 
-    postings = common.materialize(_postings(docs, order, n, percent), "prefixes")
-    tokens = postings.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token")
-    # a few shingles of one class pass: they give no pair
+    # one document speaks for its class; a few others pass, so a shingle of one class can count twice: it gives no pair
+    heads = common.maybe_in(docs, "doc_id", classes.select(F.col("first_id").alias("doc_id")))
+    postings = common.materialize(_postings(heads, order, n, percent), "prefixes")
+    tokens = postings.groupBy("token").count().where("count > 1").select("token")
     live = common.materialize(common.maybe_in(postings, "token", tokens).distinct(), "lists")
     common.discard(postings)
     long = live.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(f"size > {SHORT}")
