@@ -14,7 +14,7 @@ from lapforge.plans.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: The others take long to plan; they are compared with their SQL outside the tests as well.
-MORE = ["compare_laps", "compare_laps_segments", "strategy_summary", "standings", "narrative_facts", "race_control_incidents", "analyze_pit_stops", "classify_laps", "quality_windows", "context_timeline", "marker_quality", "message_taxonomy_summary", "resample_closed", "adjusted_rand", "stream_degraded_segments"]
+MORE = ["compare_laps", "compare_laps_segments", "strategy_summary", "standings", "narrative_facts", "race_control_incidents", "analyze_pit_stops", "classify_laps", "decision_waterfall", "primary_category_audit", "shape_examples", "threshold_sensitivity", "threshold_borderline_laps", "compare_laps_by_distance", "compare_laps_story", "winner_report", "surface_flags", "coverage_summary", "replay_watchlist", "product_readiness", "quality_windows", "context_timeline", "marker_quality", "message_taxonomy_summary", "resample_closed", "adjusted_rand", "stream_degraded_segments"]
 NAMES = [n for n in [*CORE, *INGEST, *MORE] if n in SQL]
 
 
