@@ -98,7 +98,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts are one piece of one id. Null and repeated ids are rows like others. Other
     columns are not read. Empty in, empty out.
     """
-    common.prepare(spark)
+    common.prepare(spark, common.ENCODE_BYTES)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 

@@ -17,14 +17,16 @@ BITMAP_BITS = 1 << 23
 #: Rows and bytes of a batch that crosses into Python: long texts must not add up.
 BATCH_ROWS = 1000
 BATCH_BYTES = 2 << 20
+#: Bytes of a batch where texts are encoded: each batch's distinct words are encoded once.
+ENCODE_BYTES = 4 << 20
 #: Characters of a plan's text that the driver keeps.
 PLAN_CHARS = 10_000
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Small Arrow batches, so that a worker's memory does not depend on the length of texts; short plan texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
     # the driver keeps the text of every plan, and some plans are long
     spark.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
 
@@ -45,8 +47,8 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
+def documents(spark: SparkSession, sf_dir: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    prepare(spark, batch_bytes)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -181,4 +181,4 @@ def op5(spark, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
     import public_tokenizers
 
-    return pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
+    return pack_documents(common.documents(spark, sf_dir, common.ENCODE_BYTES), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)

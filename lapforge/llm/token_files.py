@@ -245,7 +245,7 @@ def op4(spark, sf_dir: str) -> DataFrame:
     """All documents encoded, written as token files in the shared folder and read back."""
     import public_tokenizers
 
-    docs = common.documents(spark, sf_dir)
+    docs = common.documents(spark, sf_dir, common.ENCODE_BYTES)
     out = common.new_path(spark, "token-files")
     manifest = write_token_files(docs, out, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     common.forget_later(spark, out)
