@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, jaccard, langid, licences, lm_score, packing, pii, token_files, url_lists
+from . import decontaminate, fingerprints, jaccard, langid, lexical, licences, lm_score, mixing, packing, pii, token_files, url_lists, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": fingerprints.op1,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licences": licences.op8,
     "op9_pii_surrogates": pii.op9,
     "op10_lm_scores": lm_score.op10,
+    "op11_ranked_search": lexical.op11,
+    "op12_source_mix": mixing.op12,
+    "op13_whitening": whitening.op13,
 }
 
-SQL: dict[str, str] = {"op6_url_lists": url_lists.OP6_SQL}
+SQL: dict[str, str] = {"op6_url_lists": url_lists.OP6_SQL, "op11_ranked_search": lexical.OP11_SQL}
