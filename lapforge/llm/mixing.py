@@ -164,7 +164,8 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, sh
     own = pieces(rows, offsets, block_words)
     drawn = slots(sources, seed, max(1, round(total / shard_slots)), block_words)
     both = own.join(drawn, ["number", "block"], "left")
-    taken = F.coalesce(F.greatest(F.least(F.col("length"), F.col("words") - F.col("at")), F.lit(0).cast("long")), F.lit(0).cast("long"))
+    # no slot: no words
+    taken = F.when(F.col("words") > F.col("at"), F.least(F.col("length"), F.col("words") - F.col("at"))).otherwise(F.lit(0).cast("long"))
     return both.withColumn("taken", taken).drop("length", "words")
 
 
