@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import grids as T
 from ..operators import ingest as S
-from ..sources.tables import save_table, write_session
+from ..operators.backfill import run_backfill
+from ..sources.commits import read_committed
+from ..sources.tables import save_table, shared_path, write_session
 from .core import LAP_MS, lap_windows, r6
 
 RAW_LAPS = "session_id, driver_code, lap_number"
@@ -27,8 +26,7 @@ def _aligned(fx):
 
 def _shared(fx, name: str) -> str:
     """A new folder where driver and executors share files."""
-    folder = fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lapforge-")
-    return f"{folder.rstrip('/')}/lapforge/{name}-{uuid.uuid4().hex}"
+    return shared_path(fx.spark, name)
 
 
 def _written_sessions(fx):
@@ -51,6 +49,21 @@ def _saved_table(fx):
     return both.select("session_id", "laps", "laps_csv", F.array_join("compounds", ",").alias("compounds"), F.array_join("c", ",").alias("compounds_csv"))
 
 
+DISTANCE = "session_id string, driver_code string, lap_number int, distance_m double, x double, y double, z double, quality_flags array<string>"
+
+
+def _backfilled(fx):
+    """Sessions stored in two runs, the second of which finds the first's done; distance rows with the number of quality rows that were committed with them."""
+    root = _shared(fx, "backfill")
+    tables = (fx.sessions, fx.drivers, fx.telemetry, fx.laps, fx.positions)
+    options = {"step_m": 5000.0, "max_gap_ms": 14_400_000, "max_position_gap_ms": 14_400_000, "max_age_ms": 14_400_000}
+    run_backfill(root, *tables, limit=10, **options)
+    run_backfill(root, *tables, year=2024, session_type="r", **options)
+    quality = read_committed(fx.spark, root, "lap_quality", "session_id string").groupBy("session_id").agg(F.count(F.lit(1)).alias("laps"))
+    rows = read_committed(fx.spark, root, "lap_distance", DISTANCE).join(quality, "session_id", "left")
+    return rows.select("session_id", "driver_code", "lap_number", F.floor(F.col("distance_m") * 100 + 1e-6).alias("distance_cm"), *(F.round(c, 3).alias(c) for c in "xyz"), F.array_join("quality_flags", ",").alias("flags"), "laps")
+
+
 TIME_SQL = f"""
 WITH car AS (SELECT *, epoch_ms(sample_time_utc) AS t FROM fx_telemetry), loc AS (SELECT *, epoch_ms(sample_time_utc) AS t FROM fx_positions),
 e AS (SELECT session_id, driver_code, max(lo) AS lo, min(hi) AS hi FROM (SELECT session_id, driver_code, min(t) AS lo, max(t) AS hi FROM car GROUP BY ALL UNION ALL SELECT session_id, driver_code, min(t), max(t) FROM loc GROUP BY ALL) GROUP BY ALL HAVING count(*) = 2),
@@ -86,14 +99,21 @@ k AS (SELECT *, CASE WHEN l.d = g OR h.d <= l.d THEN l.t ELSE l.t + (h.t - l.t)
 DIST_SQL = f"""
 WITH {GRID}
 SELECT session_id, driver_code, lap_number, CAST(floor(round(g, 3) * 100 + 1e-6) AS BIGINT) AS distance_cm, round(least(1.0, g / end_m), 6) AS lap_progress, CAST(round_even(e, 0) AS BIGINT) AS elapsed_ms, round(s, 4) AS speed_kmh, b AS brake_pct, NOT (l.d = g OR h.d = g) AS interpolated FROM k"""
-PLACE_SQL = f"""
-WITH {GRID},
-pe AS (SELECT p.session_id, p.driver_code, p.lap_number, (epoch_us(p.sample_time_utc) - epoch_us(l.lap_start_utc)) / 1000.0 AS e, x, y FROM fx_positions p JOIN fx_laps l USING (session_id, driver_code, lap_number) WHERE l.lap_time_ms IS NOT NULL AND l.lap_start_utc IS NOT NULL AND (epoch_us(p.sample_time_utc) - epoch_us(l.lap_start_utc)) / 1000.0 BETWEEN 0 AND l.lap_time_ms + 14400000
+PLACE = f"""{GRID},
+pe AS (SELECT p.session_id, p.driver_code, p.lap_number, (epoch_us(p.sample_time_utc) - epoch_us(l.lap_start_utc)) / 1000.0 AS e, x, y, z FROM fx_positions p JOIN fx_laps l USING (session_id, driver_code, lap_number) WHERE l.lap_time_ms IS NOT NULL AND l.lap_start_utc IS NOT NULL AND (epoch_us(p.sample_time_utc) - epoch_us(l.lap_start_utc)) / 1000.0 BETWEEN 0 AND l.lap_time_ms + 14400000
  QUALIFY row_number() OVER (PARTITION BY p.session_id, p.driver_code, p.lap_number, epoch_us(p.sample_time_utc) ORDER BY source_sample_index DESC) = 1),
-m AS (SELECT k.session_id, k.driver_code, k.lap_number, k.g, k.e, max_by({{'e': pe.e, 'x': x, 'y': y}}, pe.e) FILTER (WHERE pe.e <= k.e) AS b, min_by({{'e': pe.e, 'x': x, 'y': y}}, pe.e) FILTER (WHERE pe.e >= k.e) AS a FROM k LEFT JOIN pe USING (session_id, driver_code, lap_number) GROUP BY ALL),
+m AS (SELECT k.session_id, k.driver_code, k.lap_number, k.g, k.e, max_by({{'e': pe.e, 'x': x, 'y': y, 'z': z}}, pe.e) FILTER (WHERE pe.e <= k.e) AS b, min_by({{'e': pe.e, 'x': x, 'y': y, 'z': z}}, pe.e) FILTER (WHERE pe.e >= k.e) AS a FROM k LEFT JOIN pe USING (session_id, driver_code, lap_number) GROUP BY ALL),
 n AS (SELECT *, coalesce(b, a) AS l, coalesce(a, b) AS r FROM m),
-o AS (SELECT *, CASE WHEN l IS NULL THEN 'MISSING_POSITION_DATA' WHEN abs(r.e - l.e) > 14400000 THEN 'POSITION_GAP_TOO_LARGE' WHEN round_even(least(abs(e - l.e), abs(r.e - e)), 0) > 14400000 THEN 'POSITION_SAMPLE_TOO_OLD' END AS flag FROM n)
-SELECT session_id, driver_code, lap_number, CAST(floor(round(g, 3) * 100 + 1e-6) AS BIGINT) AS distance_cm, coalesce(flag, 'OK') AS flags, """ + ", ".join(f"round(CASE WHEN flag IS NULL AND a IS NOT NULL AND (b IS NOT NULL OR a.e = e) THEN CASE WHEN r.e = e THEN r.{c} ELSE l.{c} + (r.{c} - l.{c}) * (e - l.e) / (r.e - l.e) END END, 3) AS {c}" for c in "xy") + " FROM o"
+o AS (SELECT *, CASE WHEN l IS NULL THEN 'MISSING_POSITION_DATA' WHEN abs(r.e - l.e) > 14400000 THEN 'POSITION_GAP_TOO_LARGE' WHEN round_even(least(abs(e - l.e), abs(r.e - e)), 0) > 14400000 THEN 'POSITION_SAMPLE_TOO_OLD' END AS flag FROM n)"""
+
+
+def _placed(columns: str) -> str:
+    values = ", ".join(f"round(CASE WHEN flag IS NULL AND a IS NOT NULL AND (b IS NOT NULL OR a.e = e) THEN CASE WHEN r.e = e THEN r.{c} ELSE l.{c} + (r.{c} - l.{c}) * (e - l.e) / (r.e - l.e) END END, 3) AS {c}" for c in columns)
+    return f"SELECT session_id, driver_code, lap_number, CAST(floor(round(g, 3) * 100 + 1e-6) AS BIGINT) AS distance_cm, coalesce(flag, 'OK') AS flags, {values} FROM o"
+
+
+PLACE_SQL = f"WITH {PLACE} {_placed('xy')}"
+BACKFILL_SQL = f"WITH {PLACE}, q AS (SELECT session_id, count(*) AS laps FROM fx_laps GROUP BY ALL) SELECT d.*, q.laps FROM ({_placed('xyz')}) d JOIN q USING (session_id)"
 
 INGEST = {
     "read_tables": (lambda fx: fx.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("s")), "SELECT event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY event_type"),
@@ -121,5 +141,5 @@ INGEST = {
     "lap_quality_report": (lambda fx: T.lap_quality_report(fx.telemetry, fx.laps, T.project_distance_grid(fx.telemetry, fx.laps, None, 5000.0, 14_400_000, 14_400_000), 14_400_000, 14_400_000, 100).select("session_id", "driver_code", "lap_number", "covered_ms", "first_offset_ms", "last_offset_ms", F.floor(F.col("final_distance_m") * 100 + 1e-6).alias("final_cm"), "finish_mismatch_ms", F.array_join("quality_messages", ",").alias("messages"), "quality_status"), f"WITH {DIST}, c AS (SELECT session_id, driver_code, lap_number, count(*) AS n, min(lap_time_ms) AS t0, max(lap_time_ms) AS t1, max(gap) AS gap, max(d) AS dist FROM r GROUP BY ALL), b AS (SELECT l.*, (SELECT count(*) FROM fx_telemetry t WHERE t.session_id = l.session_id AND t.driver_code = l.driver_code AND t.lap_number = l.lap_number) AS raw, coalesce(c.n, 0) AS n, c.t0, c.t1, c.gap, c.dist FROM fx_laps l LEFT JOIN c USING (session_id, driver_code, lap_number)), u AS (SELECT *, raw >= 2 AND n >= 2 AND lap_time_ms IS NOT NULL AS ok FROM b), m AS (SELECT *, concat_ws(',', CASE WHEN is_pit_in_lap THEN 'WARNING_PIT_IN_LAP' END, CASE WHEN is_pit_out_lap THEN 'WARNING_PIT_OUT_LAP' END, CASE WHEN is_deleted THEN 'WARNING_DELETED_LAP' END, CASE WHEN NOT is_accurate THEN 'WARNING_INACCURATE_LAP' END, CASE WHEN lap_time_ms IS NULL THEN 'INVALID_MISSING_OFFICIAL_LAP_DURATION' END, CASE WHEN raw < 2 THEN 'INVALID_MISSING_CAR_TELEMETRY' END, CASE WHEN raw >= 2 AND n < 2 THEN 'INVALID_INSUFFICIENT_CAR_TELEMETRY' END, CASE WHEN ok AND NOT dist > 0 THEN 'INVALID_NON_POSITIVE_FINAL_DISTANCE' END, CASE WHEN ok AND gap > 14400000 THEN 'INCOMPLETE_CAR_GAP_TOO_LARGE' END, CASE WHEN ok AND t0 > 14400000 THEN 'INCOMPLETE_LATE_LAP_START_COVERAGE' END, CASE WHEN ok AND lap_time_ms - t1 > 14400000 THEN 'INCOMPLETE_EARLY_LAP_END_COVERAGE' END, CASE WHEN ok AND dist > 0 AND abs(t1 - lap_time_ms) > 100 THEN 'INCOMPLETE_PROJECTED_FINISH_MISMATCH' END) AS messages FROM u) SELECT session_id, driver_code, lap_number, CASE WHEN ok THEN t1 - t0 END AS covered_ms, CASE WHEN ok THEN t0 END AS first_offset_ms, CASE WHEN ok THEN greatest(0, lap_time_ms - t1) END AS last_offset_ms, CASE WHEN ok THEN CAST(floor(dist * 100 + 1e-6) AS BIGINT) END AS final_cm, CASE WHEN ok AND dist > 0 THEN abs(t1 - lap_time_ms) END AS finish_mismatch_ms, messages, CASE WHEN contains(messages, 'INVALID_') THEN 'invalid' WHEN contains(messages, 'INCOMPLETE_') THEN 'incomplete' WHEN messages <> '' THEN 'valid_with_warnings' ELSE 'valid' END AS quality_status FROM m"),
     "write_session": (_written_sessions, "SELECT session_id, count(*) AS laps, sum(lap_time_ms + CASE WHEN lap_number >= 3 THEN 1 ELSE 0 END) AS lap_time_ms FROM fx_laps WHERE session_id <> '2024-day05-r' OR lap_number = 1 GROUP BY ALL"),
     "save_table": (_saved_table, "SELECT session_id, count(*) AS laps, count(*) AS laps_csv, string_agg(DISTINCT compound, ',' ORDER BY compound) AS compounds, string_agg(DISTINCT compound, ',' ORDER BY compound) AS compounds_csv FROM fx_laps GROUP BY session_id"),
-    "backfill_distance": (lambda fx: T.backfill_distance(fx.sessions, fx.telemetry, fx.laps, fx.sessions.where("session_id < '2024-day20-r'"), step_m=5000.0)[1].groupBy("session_id").agg(F.count(F.lit(1)).alias("laps")), "SELECT session_id, count(*) AS laps FROM fx_laps WHERE session_id >= '2024-day20-r' GROUP BY ALL"),
+    "backfill_distance": (_backfilled, BACKFILL_SQL),
 }

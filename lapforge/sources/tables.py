@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,18 @@ SCHEMAS = {
 MODES = ("fail", "replace", "upsert")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share. Where that is unset, a temporary one on a local master alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="lapforge-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/lapforge/{name}-{uuid.uuid4().hex}"
+
+
 def read_tables(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """Typed scans of the stored tables; filters on session_id prune partitions."""
     return {n: spark.read.schema(SCHEMAS[n]).parquet(f"{path}/{n}") for n in names or SCHEMAS}
