@@ -22,13 +22,11 @@ from . import common
 from .treap import Searcher, Treap, build
 
 #: Distinct pairs of terms and documents of a block: it ends with the document that reaches them.
-BLOCK_POSTINGS = 1 << 20
+BLOCK_POSTINGS = 1 << 19
 #: Documents of an item.
 BEST = 10
 #: Terms of items that are searched at once; more items are taken in blocks, each of which passes over the index.
 QUERY_TERMS = 1 << 18
-#: Blocks searched beforehand: the scores found there bound the others' search, whatever they are.
-PROBES = 8
 #: Parquet row groups of the index: readers hold one at a time.
 ROW_GROUP = 16 << 20
 
@@ -122,7 +120,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         column_of[order] = np.arange(len(ids))
         vocabulary = pa.chunked_array([p[2] for p in parts]).combine_chunks().dictionary_encode()
         sizes, starts = [len(p[2]) for p in parts], np.cumsum([0, *[len(p[0]) for p in parts]])
-        code = np.split(vocabulary.indices.to_numpy().astype(np.int64), np.cumsum(sizes)[:-1])
+        code = np.split(vocabulary.indices.to_numpy(), np.cumsum(sizes)[:-1])
         rows = np.concatenate([c[p[4]] for p, c in zip(parts, code)])
         columns = column_of[np.concatenate([p[3] + s for p, s in zip(parts, starts[:-1].tolist())])]
         tf = np.concatenate([p[5] for p in parts])
@@ -131,7 +129,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         by_df = np.argsort(-df, kind="stable")
         row_of = np.empty(len(by_df), np.int64)
         row_of[by_df] = np.arange(len(by_df))
-        tree = build(row_of[rows], columns, tf.astype(np.int32), measure(lengths[order], n_docs, n_terms))
+        tree = build(row_of[rows], columns, tf, measure(lengths[order], n_docs, n_terms))
         values = [ids[order], lengths[order], vocabulary.dictionary.take(pa.array(by_df)), df[by_df].astype(np.int32)]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for v in values]
         last = [pa.array([tree.height], pa.int32()), pa.array([tree.top], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (tree.kept, tree.below, tree.tf)]]
@@ -148,7 +146,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 continue
             doc = np.repeat(np.arange(len(some)), lengths[some])
             pair, tf = np.unique(doc * len(terms) + codes, return_counts=True)
-            parts.append((batch.column("doc_id").to_numpy()[some], lengths[some], terms, pair // len(terms), pair % len(terms), tf))
+            parts.append((batch.column("doc_id").to_numpy()[some], lengths[some], terms, (pair // len(terms)).astype(np.int32), (pair % len(terms)).astype(np.int32), tf.astype(np.int32)))
             held += len(pair)
             if held >= block_postings:
                 yield block(parts)
@@ -176,7 +174,7 @@ def item_terms(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(split, "item_id long, term string").groupBy("item_id").agg(F.collect_set("term").alias("terms"))
 
 
-def _ranked(index: Index, asked: list, best: int, probes: int) -> DataFrame:
+def _ranked(index: Index, asked: list, best: int) -> DataFrame:
     """(item_id, doc_id, score) of one block of items: each task's best documents."""
     spark = index.rows.sparkSession
     wanted = pa.array(sorted({t for r in asked for t in r["terms"]}), pa.string())
@@ -201,49 +199,40 @@ def _ranked(index: Index, asked: list, best: int, probes: int) -> DataFrame:
     own = [np.array(sorted(place[t] for t in r["terms"] if weight[place[t]] > 0), np.int64) for r in asked]
     item_ids, n_docs, n_terms = [r["item_id"] for r in asked], index.n_docs, index.n_terms
 
-    def search(rows: DataFrame, least: list[int]) -> DataFrame:
-        given = spark.sparkContext.broadcast((wanted, weight, own, least))
-
-        @common.tidy
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted, weight, own, least = given.value
-            top = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in own]
-            for batch in batches:
-                for b in range(len(batch)):
-                    x = {c: batch.column(c)[b] for c in batch.schema.names}
-                    ids, lengths = x["doc_ids"].values.to_numpy(), x["lengths"].values.to_numpy()
-                    m = measure(lengths, n_docs, n_terms)
-                    tree = Treap(x["height"].as_py(), x["top"].as_py(), np.frombuffer(x["kept"].as_buffer(), np.uint8), np.frombuffer(x["below"].as_buffer(), np.uint8), np.frombuffer(x["tf"].as_buffer(), np.int32))
-                    searcher = Searcher(tree, m)
-                    row = pc.index_in(wanted, x["terms"].values).fill_null(-1).to_numpy()
-                    for k, terms in enumerate(own):
-                        here = terms[row[terms] >= 0]
-                        if not len(here):
-                            continue
-                        old_ids, old = top[k]
-                        bound = max(least[k], int(old[-1]) if len(old) == best else 1)
-                        columns, sums = searcher.search(row[here].astype(np.int64), weight[here], best, bound)
-                        if len(columns):
-                            both_ids, both = np.concatenate((old_ids, ids[columns])), np.concatenate((old, sums))
-                            order = np.lexsort((both_ids, -both))[:best]
-                            top[k] = (both_ids[order], both[order])
-            counts = [len(t[0]) for t in top]
-            yield pa.record_batch(
-                [pa.array(np.repeat(np.array(item_ids, np.int64), counts)), pa.array(np.concatenate([t[0] for t in top])), pa.array(np.concatenate([t[1] for t in top]))], ["item_id", "doc_id", "score"]
-            )
-
-        return rows.mapInArrow(run, "item_id long, doc_id long, score long")
-
-    least = [1] * len(asked)
-    if probes:
-        # exact scores of some documents: what is below the last of the best of them is in no result
-        first = search(index.rows.limit(probes), least).groupBy("item_id").agg(F.expr(f"slice(array_sort(collect_list(score), (a, b) -> int(sign(b - a))), 1, {best})").alias("s"))
-        found = {r["item_id"]: r["s"] for r in first.collect()}
-        least = [found[i][-1] if len(found.get(i, ())) == best else 1 for i in item_ids]
-    return search(index.rows, least)
-
-
-def search(index: Index, items: DataFrame, best: int = BEST, item_col: str = "item_id", text_col: str = "text", probes: int = PROBES, query_terms: int = QUERY_TERMS) -> DataFrame:
+    given = spark.sparkContext.broadcast((wanted, weight, own))
+
+    @common.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, weight, own = given.value
+        top = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in own]
+        for batch in batches:
+            for b in range(len(batch)):
+                x = {c: batch.column(c)[b] for c in batch.schema.names}
+                ids, lengths = x["doc_ids"].values.to_numpy(), x["lengths"].values.to_numpy()
+                m = measure(lengths, n_docs, n_terms)
+                tree = Treap(x["height"].as_py(), x["top"].as_py(), np.frombuffer(x["kept"].as_buffer(), np.uint8), np.frombuffer(x["below"].as_buffer(), np.uint8), np.frombuffer(x["tf"].as_buffer(), np.int32))
+                searcher = Searcher(tree, m)
+                row = pc.index_in(wanted, x["terms"].values).fill_null(-1).to_numpy()
+                for k, terms in enumerate(own):
+                    here = terms[row[terms] >= 0]
+                    if not len(here):
+                        continue
+                    old_ids, old = top[k]
+                    bound = int(old[-1]) if len(old) == best else 1  # what a task has found bounds its later blocks
+                    columns, sums = searcher.search(row[here].astype(np.int64), weight[here], best, bound)
+                    if len(columns):
+                        both_ids, both = np.concatenate((old_ids, ids[columns])), np.concatenate((old, sums))
+                        order = np.lexsort((both_ids, -both))[:best]
+                        top[k] = (both_ids[order], both[order])
+        counts = [len(t[0]) for t in top]
+        yield pa.record_batch(
+            [pa.array(np.repeat(np.array(item_ids, np.int64), counts)), pa.array(np.concatenate([t[0] for t in top])), pa.array(np.concatenate([t[1] for t in top]))], ["item_id", "doc_id", "score"]
+        )
+
+    return index.rows.mapInArrow(run, "item_id long, doc_id long, score long")
+
+
+def search(index: Index, items: DataFrame, best: int = BEST, item_col: str = "item_id", text_col: str = "text", query_terms: int = QUERY_TERMS) -> DataFrame:
     """The ``best`` documents of each item: item_id, rank (from 1), doc_id, score.
 
     A document scores, for each distinct term of the item, weight * (10^9 tf div (1000 tf + 8 m)):
@@ -261,7 +250,7 @@ def search(index: Index, items: DataFrame, best: int = BEST, item_col: str = "it
     for b in range(blocks):
         asked = sorted(terms.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect())
         if asked:
-            own = _ranked(index, asked, best, probes)
+            own = _ranked(index, asked, best)
             found = own if found is None else found.unionByName(own)
     if found is None:
         return index.rows.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")

@@ -83,7 +83,7 @@ def test_search_edge_cases(spark):
     index = lexical.build_index(d, block_postings=150)
     assert index.rows.count() > 5
     want = plain_search(docs, items)
-    for options in ({}, {"probes": 0}, {"query_terms": 4}):
+    for options in ({}, {"query_terms": 4}):
         assert {tuple(r) for r in lexical.search(index, q, **options).collect()} == want
     assert {r[2] for r in want if r[0] == 2} == {404, 405} and len([r for r in want if r[0] == 2]) == 3
 
