@@ -23,8 +23,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 #: Parts that each source's documents are ordered in: offsets of parts are summed first, so no source is one task.
 PARTS = 1024
-#: Slots that one row unfolds into.
-CHUNK = 1 << 16
+#: Slots that one row unfolds into, and that a task unfolds.
+CHUNK, TASK_SLOTS = 1 << 12, 1 << 20
 #: Slots of an output shard, on average.
 SHARD_SLOTS = 1 << 16
 #: Rounds of the permutation of block numbers.
@@ -108,14 +108,14 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     return sources, offsets.join(known, ["source", "none"])
 
 
-def slots(sources: DataFrame, seed: int, shards: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+def slots(sources: DataFrame, seed: int, shards: int, tasks: int, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(number, slot, shard, place, block, words): every slot of every source.
 
     A pass takes all blocks of a source in an order of its own; a source's last block, if it is short,
     is its last. The last slot of a source may take only the first words of its block. Shards are drawn slot by slot; ``place`` orders a shard.
     """
     rows = sources.where("slots > 0").select("number", "full_blocks", "blocks", "source_size", "passes", "rest", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK).cast("long"))).alias("chunk"))
-    rows = rows.repartition("number", "chunk").withColumn("slot", F.explode(F.expr(f"sequence(chunk, least(chunk + {CHUNK}, slots) - 1)")))
+    rows = rows.repartition(tasks, "number", "chunk").withColumn("slot", F.explode(F.expr(f"sequence(chunk, least(chunk + {CHUNK}, slots) - 1)")))
     rows = rows.withColumns({"pass": F.expr("slot div blocks"), "turn": F.expr("slot % blocks")})
     block = F.when(F.col("turn") < F.col("full_blocks"), permuted(F.col("turn"), F.greatest(F.col("full_blocks"), F.lit(1)), F.xxhash64(F.lit(seed), F.lit("block"), "number", "pass"))).otherwise(F.col("full_blocks"))
     length = F.when(F.col("turn") < F.col("full_blocks"), F.lit(block_words).cast("long")).otherwise(F.col("source_size") - F.col("full_blocks") * block_words)
@@ -162,8 +162,10 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, sh
     sources, offsets = plan(rows, weights, share, most, block_words)
     total = sources.agg(F.sum("slots")).first()[0] or 0
     own = pieces(rows, offsets, block_words)
-    drawn = slots(sources, seed, max(1, round(total / shard_slots)), block_words)
-    both = own.join(drawn, ["number", "block"], "left")
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_SLOTS))
+    drawn = slots(sources, seed, max(1, round(total / shard_slots)), tasks, block_words)
+    # the few rows that slots unfold from say nothing of their number, so they must not be broadcast
+    both = own.join(drawn.hint("merge"), ["number", "block"], "left")
     # no slot: no words
     taken = F.when(F.col("words") > F.col("at"), F.least(F.col("length"), F.col("words") - F.col("at"))).otherwise(F.lit(0).cast("long"))
     return both.withColumn("taken", taken).drop("length", "words")
