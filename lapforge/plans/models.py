@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters as M
 from ..operators import geometry as G
+from ..sources.tables import shared_path
+from ..streaming import runs
 from ..streaming import streams as ST
 from .core import EVENT, FAMILY, r6
 from .quality import classified
@@ -23,6 +25,11 @@ def reference(fx):
     return G.regular_polygon(fx.spark, N, 1000.0)
 
 
+def streamed(fx, plan, closing=False, **inputs):
+    """A stream's results over inputs that arrive in three slices of time, and then end where windows are open."""
+    return runs.replay(inputs, plan, shared_path(fx.spark, "stream"), closing=closing)
+
+
 PATH = """p AS (SELECT session_id, driver_code, lap_number, x, y, sample_time_utc, source_sample_index FROM fx_positions),
 k AS (SELECT *, coalesce(x = lag(x) OVER w AND y = lag(y) OVER w, false) AS same FROM p WINDOW w AS (PARTITION BY session_id, driver_code, lap_number ORDER BY sample_time_utc, source_sample_index)),
 s AS (SELECT session_id, driver_code, lap_number, sqrt(power(coalesce(lead(x) OVER w, first(x) OVER v) - x, 2) + power(coalesce(lead(y) OVER w, first(y) OVER v) - y, 2)) AS step FROM k WHERE NOT same WINDOW w AS (PARTITION BY session_id, driver_code, lap_number ORDER BY sample_time_utc, source_sample_index), v AS (PARTITION BY session_id, driver_code, lap_number ORDER BY sample_time_utc, source_sample_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
@@ -45,9 +52,9 @@ MODELS = {
     "fit_shape": (lambda fx: G.fit_shape(lines(fx), reference(fx), ["session_id"], N, 4).select("session_id", F.round("rmse", 4).alias("rmse"), F.round("scale", 6).alias("scale"), F.round("p50", 3).alias("p50"), F.round("max", 3).alias("worst")), None),
     "average_fitted_laps": (lambda fx: r6(G.average_fitted_laps(lines(fx), G.fit_shape(lines(fx), reference(fx), ["session_id"], N, 4), ["session_id"], N), "x", "y"), None),
     "line_difference": (lambda fx: r6(G.line_difference(lines(fx), lines(fx).select("session_id", "i", (F.col("x") + F.col("i")).alias("x"), "y"), ["session_id"]), "rmse", "p50", "p95", "max"), f"WITH {RES} SELECT session_id, round(sqrt(avg(i * i)), 6) AS rmse, round(median(i), 6) AS p50, round(quantile_cont(i, 0.95), 6) AS p95, round(CAST(max(i) AS DOUBLE), 6) AS max FROM res GROUP BY session_id"),
-    "stream_event_candidates": (lambda fx: ST.stream_event_candidates(fx.telemetry).select("source_sample_index", "event_type"), f"SELECT source_sample_index, {EVENT} AS event_type FROM fx_telemetry WHERE {EVENT} IS NOT NULL"),
-    "stream_tumbling_metrics": (lambda fx: r6(ST.stream_tumbling_metrics(fx.telemetry, "2 hours"), "avg_speed_kmh"), "SELECT session_id, driver_code, time_bucket(INTERVAL '2 hours', sample_time_utc) AS window_start, count(*) AS samples, round(avg(speed_kmh), 6) AS avg_speed_kmh, max(speed_kmh) AS max_speed_kmh, count(*) FILTER (WHERE throttle_pct <= 10 AND speed_kmh >= 150) AS throttle_lifts FROM fx_telemetry GROUP BY ALL"),
-    "stream_degraded_segments": (lambda fx: ST.stream_degraded_segments(fx.aligned, "1 hour"), f"WITH n AS (SELECT * FROM fx_aligned WHERE {FAMILY} <> 'OK'), s AS (SELECT *, CASE WHEN epoch_us(sample_time_utc) - epoch_us(lag(sample_time_utc) OVER w) <= 3600000000 THEN 0 ELSE 1 END AS fresh FROM n WINDOW w AS (PARTITION BY session_id, driver_code ORDER BY sample_time_utc)), t AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id, driver_code ORDER BY sample_time_utc) AS k FROM s) SELECT session_id, driver_code, min(session_time_ms) AS start_ms, max(session_time_ms) AS end_ms, count(*) AS samples FROM t GROUP BY session_id, driver_code, k"),
-    "stream_dedupe": (lambda fx: ST.stream_dedupe(fx.telemetry.select("session_id", "driver_code", F.date_trunc("hour", "sample_time_utc").alias("sample_time_utc"))), "SELECT DISTINCT session_id, driver_code, date_trunc('hour', sample_time_utc) AS sample_time_utc FROM fx_telemetry"),
-    "stream_pair_positions": (lambda fx: ST.stream_pair_positions(fx.telemetry, fx.positions).select("car_index", "x", "y"), "SELECT c.source_sample_index AS car_index, p.x, p.y FROM fx_telemetry c JOIN fx_positions p ON p.session_id = c.session_id AND p.driver_code = c.driver_code AND abs(epoch_us(p.sample_time_utc) - epoch_us(c.sample_time_utc)) <= 500000"),
+    "stream_event_candidates": (lambda fx: streamed(fx, ST.stream_event_candidates, samples=fx.telemetry).select("source_sample_index", "event_type"), f"SELECT source_sample_index, {EVENT} AS event_type FROM fx_telemetry WHERE {EVENT} IS NOT NULL"),
+    "stream_tumbling_metrics": (lambda fx: r6(streamed(fx, lambda s: ST.stream_tumbling_metrics(s, "2 hours"), closing=True, samples=fx.telemetry), "avg_speed_kmh"), "SELECT session_id, driver_code, time_bucket(INTERVAL '2 hours', sample_time_utc) AS window_start, count(*) AS samples, round(avg(speed_kmh), 6) AS avg_speed_kmh, max(speed_kmh) AS max_speed_kmh, count(*) FILTER (WHERE throttle_pct <= 10 AND speed_kmh >= 150) AS throttle_lifts FROM fx_telemetry GROUP BY ALL"),
+    "stream_degraded_segments": (lambda fx: streamed(fx, lambda s: ST.stream_degraded_segments(s, "1 hour"), closing=True, aligned=fx.aligned), f"WITH n AS (SELECT * FROM fx_aligned WHERE {FAMILY} <> 'OK'), s AS (SELECT *, CASE WHEN epoch_us(sample_time_utc) - epoch_us(lag(sample_time_utc) OVER w) <= 3600000000 THEN 0 ELSE 1 END AS fresh FROM n WINDOW w AS (PARTITION BY session_id, driver_code ORDER BY sample_time_utc)), t AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id, driver_code ORDER BY sample_time_utc) AS k FROM s) SELECT session_id, driver_code, min(session_time_ms) AS start_ms, max(session_time_ms) AS end_ms, count(*) AS samples FROM t GROUP BY session_id, driver_code, k"),
+    "stream_dedupe": (lambda fx: streamed(fx, ST.stream_dedupe, samples=fx.telemetry.select("session_id", "driver_code", F.date_trunc("hour", "sample_time_utc").alias("sample_time_utc"))), "SELECT DISTINCT session_id, driver_code, date_trunc('hour', sample_time_utc) AS sample_time_utc FROM fx_telemetry"),
+    "stream_pair_positions": (lambda fx: streamed(fx, ST.stream_pair_positions, samples=fx.telemetry, positions=fx.positions).select("car_index", "x", "y"), "SELECT c.source_sample_index AS car_index, p.x, p.y FROM fx_telemetry c JOIN fx_positions p ON p.session_id = c.session_id AND p.driver_code = c.driver_code AND abs(epoch_us(p.sample_time_utc) - epoch_us(c.sample_time_utc)) <= 500000"),
 }

@@ -39,6 +39,8 @@ def stream_dedupe(samples: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def stream_pair_positions(samples: DataFrame, positions: DataFrame, within_ms: int = 500, late: str = "1 minute") -> DataFrame:
     """All pairs of a driver's samples and positions at most ``within_ms`` apart; both sides keep rows no longer than that and ``late``."""
+    # rows without a session or driver pair with none; a streaming join would hold them equal
+    samples, positions = (df.where("session_id is not null and driver_code is not null") for df in (samples, positions))
     a = samples.withWatermark("sample_time_utc", late).select("session_id", "driver_code", F.col("sample_time_utc").alias("car_time"), F.col("source_sample_index").alias("car_index"))
     b = positions.withWatermark("sample_time_utc", late).select(F.col("session_id").alias("s2"), F.col("driver_code").alias("d2"), F.col("sample_time_utc").alias("place_time"), "x", "y")
     gap = F.expr(f"interval {int(within_ms)} milliseconds")
