@@ -1,11 +1,12 @@
-"""Readers and writers of the library's tables: Parquet folders, one partition a session."""
+"""Readers and writers of the library's tables: Parquet folders of sessions and drivers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of the stored tables.
@@ -27,6 +28,10 @@ SCHEMAS = {
     "ingestion_diagnostics": "session_id string, driver_code string, stream string, samples long, first_time_utc timestamp, last_time_utc timestamp, median_delta_ms double, max_delta_ms double, frequency_hz double, duplicates long, out_of_order long, warning_flags array<string>",
 }
 MODES = ("fail", "replace", "upsert")
+#: Folders that a session's drivers are dealt to, and the column that names them.
+DRIVER_BUCKETS, BUCKET = 16, "driver_bucket"
+#: What files are ordered by within a folder, as far as a table has it.
+CLUSTERED = ("driver_code", "lap_number", "distance_m", "session_time_ms", "event_time_ms", "sample_time_utc")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -46,8 +51,45 @@ def read_tables(spark: SparkSession, path: str, names: list[str] | None = None)
     return {n: spark.read.schema(SCHEMAS[n]).parquet(f"{path}/{n}") for n in names or SCHEMAS}
 
 
+def driver_bucket(code: Column) -> Column:
+    """The folder of a driver's rows within a session; rows without a driver have one as well."""
+    return F.pmod(F.xxhash64(code), F.lit(DRIVER_BUCKETS)).cast("int")
+
+
+def read_rows(spark: SparkSession, path: str, name: str, sessions: list[str] | None = None, drivers: list[str] | None = None, laps: list[int] | None = None) -> DataFrame:
+    """A stored table's rows of some sessions, drivers and laps: only folders that can hold them are opened, and row groups skipped by their statistics."""
+    columns = spark.createDataFrame([], SCHEMAS[name]).columns
+    known = "driver_code" in columns
+    rows = spark.read.schema(SCHEMAS[name] + (f", {BUCKET} int" if known else "")).parquet(f"{path}/{name}")
+    for column, values in (("session_id", sessions), ("driver_code", drivers), ("lap_number", laps)):
+        if values is not None and column in columns:
+            rows = rows.where(F.col(column).isin(values))
+    if drivers is not None and known:
+        # literals, which Spark folds, so that folders are left out before the scan
+        rows = rows.where(F.col(BUCKET).isin([driver_bucket(F.lit(d)) for d in drivers]))
+    return rows.select(columns)
+
+
+def _bucket_files(spark: SparkSession, path: str, sessions: list[str | None]) -> dict[str, set[str]]:
+    """Files of each driver folder of the sessions."""
+    jvm, out = spark._jvm, {}
+    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in sessions:
+        name = "__HIVE_DEFAULT_PARTITION__" if s is None else jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(s)
+        top = jvm.org.apache.hadoop.fs.Path(f"{path}/session_id={name}")
+        for folder in files.listStatus(top) if files.exists(top) else []:
+            if folder.isDirectory():
+                out[folder.getPath().toString()] = {f.getPath().getName() for f in files.listStatus(folder.getPath())}
+    return out
+
+
 def write_session(df: DataFrame, path: str, mode: str = "fail", keys: list[str] | None = None) -> None:
-    """Write a table's sessions. fail: none may be there. replace: each is overwritten whole. upsert: rows merge by ``keys``."""
+    """Write a table's sessions. fail: none may be there. replace: each is overwritten whole. upsert: rows merge by ``keys``, of which nulls are equal.
+
+    Rows are cut by ranges of session, driver, lap and time, so a large session is written by many
+    tasks and each file holds a short range of them. Tables with drivers lie in folders of session and
+    driver bucket, which :func:`read_rows` picks from. Tables that have to change together go through :mod:`.commits`.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spark = df.sparkSession
@@ -56,14 +98,29 @@ def write_session(df: DataFrame, path: str, mode: str = "fail", keys: list[str]
     own = df.select("session_id").distinct()
     if there:
         old = spark.read.schema(df.schema).parquet(path)
-        if mode == "fail" and not old.join(own, "session_id", "left_semi").isEmpty():
+        written = own.withColumnRenamed("session_id", "_own")
+        old = old.join(written, F.col("session_id").eqNullSafe(F.col("_own")), "left_semi")
+        if mode == "fail" and not old.isEmpty():
             raise ValueError("sessions are already stored")
         if mode == "upsert":
             if not keys:
                 raise ValueError("upsert needs keys")
-            kept = old.join(own, "session_id", "left_semi").join(df.select(*keys), keys, "left_anti").select(df.columns)
-            df = df.unionByName(kept)
-    df.repartition("session_id").write.partitionBy("session_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+            new = df.select(*(F.col(k).alias(f"_new_{k}") for k in keys))
+            same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys))
+            df = df.unionByName(old.join(new, same, "left_anti").select(df.columns))
+    folders = ["session_id"]
+    if "driver_code" in df.columns:
+        df, folders = df.withColumn(BUCKET, driver_bucket(F.col("driver_code"))), [*folders, BUCKET]
+    # one row a session that is written
+    sessions = [r[0] for r in own.collect()] if there and len(folders) > 1 else []
+    before = _bucket_files(spark, path, sessions)
+    order = [*folders, *(c for c in CLUSTERED if c in df.columns)]
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(*folders).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    # folders of these sessions that the new rows have none for
+    for folder, kept in _bucket_files(spark, path, sessions).items():
+        if before.get(folder) == kept:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def save_table(df: DataFrame, path: str) -> None:
