@@ -64,41 +64,48 @@ def nearest_corner(rows: DataFrame, markers: DataFrame) -> DataFrame:
     return rows.join(corners, "session_id", "left").withColumn("_b", best).select(*rows.columns, F.col("_b.n").alias("marker_number"), F.col("_b.l").alias("marker_letter"), F.col("_b.d").alias("distance_to_corner"))
 
 
-#: Time slots of a session at most: what a row or period of any length is copied to.
-SLOTS = 1024
-
-
-def overlap(rows: DataFrame, start: str, end: str, periods: DataFrame, width: int, closed: bool = True) -> DataFrame:
-    """Rows joined with the periods (start_time_ms, end_time_ms or null) of their session that overlap [start, end].
-
-    Both are dealt to the session's time slots, of ``width`` or as wide as makes ``SLOTS`` of them from
-    the session's first start to its last end; a pair is kept in the slot where its overlap begins. An
-    open period lasts to the session's last end.
+def overlap_counts(rows: DataFrame, keys: list[str], start: str, end: str, periods: DataFrame, kinds: dict[str, Column], by: list[str] = ("session_id",), closed: bool = True, width: int = 600_000) -> DataFrame:
+    """Per row (``keys``) how many periods (start_time_ms, end_time_ms or null) of its ``by`` overlap [start, end], by kind (conditions on periods).
+
+    A sweep over time: periods that overlap are those that began by the row's end less those that
+    were over before its start, so two running sums answer, and nothing is copied. Sums run within
+    time slots of ``width`` and start from the slots before, so a large session is many tasks.
+    ``closed``: touching ends count; without it rows need some length. A period that ends before it
+    starts is a point. Rows with a null or reversed range have zeros; ``keys`` tell rows apart.
     """
-    valid = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
-    span = valid.groupBy("session_id").agg(F.min(start).alias("_lo"), F.max(end).alias("_hi"))
-    span = span.withColumn("_width", F.greatest(F.lit(width), F.ceil((F.col("_hi") - F.col("_lo") + 1) / SLOTS)))
-    slot = lambda t: F.floor((t - F.col("_lo")) / F.col("_width"))
-    slots = lambda a, b: F.explode(F.sequence(slot(a), slot(b)))
-    left = valid.join(span, "session_id").withColumn("_slot", slots(F.col(start), F.col(end))).drop("_hi")
-    last = F.least(F.greatest(F.coalesce("end_time_ms", F.col("_hi")), "start_time_ms"), F.col("_hi"))
-    near = periods.join(span, "session_id").where((F.col("start_time_ms") <= F.col("_hi")) & (last >= F.col("_lo")))
-    right = near.withColumn("_slot", slots(F.greatest("start_time_ms", "_lo"), last)).drop("_lo", "_hi", "_width")
-    begins = slot(F.greatest(F.col(start), F.col("start_time_ms"))) == F.col("_slot")
-    ended = F.col("end_time_ms").isNull()
-    meets = (F.col("start_time_ms") <= F.col(end)) & (ended | (F.col("end_time_ms") >= F.col(start))) if closed else (F.col("start_time_ms") < F.col(end)) & (ended | (F.col("end_time_ms") > F.col(start)))
-    return left.join(right, ["session_id", "_slot"]).where(begins & meets).drop("_slot", "_lo", "_width")
+    by, zero = list(by), F.lit(0).cast("long")
+    begun, over = [f"_begun_{k}" for k in kinds], [f"_over_{k}" for k in kinds]
+    sums = [*begun, *over]
+    ones = [F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0).cast("long").alias(k) for k, c in kinds.items()]
+    known = periods.where("start_time_ms is not null").select(*by, "start_time_ms", F.greatest("start_time_ms", "end_time_ms").alias("_end"), F.col("end_time_ms").isNull().alias("_open"), *ones)
+
+    def at(df: DataFrame, time: str, order: int, own: list[str], *more: Column) -> DataFrame:
+        """Points in time; those of periods count in the sums ``own``."""
+        values = [F.col(c.split("_", 2)[2]).alias(c) if c in own else zero.alias(c) for c in sums]
+        return df.select(*by, F.col(time).alias("_t"), F.lit(order).alias("_o"), *values, *more)
+
+    # at one time: closed, a start counts for rows that end there and an end does not; open, the other way round
+    starts, ends = at(known, "start_time_ms", 0 if closed else 2, begun), at(known.where("not _open"), "_end", 2 if closed else 0, over)
+    asked = rows.where(F.col(start) <= F.col(end)).select(*by, F.col(start).alias("_from"), F.col(end).alias("_to"), F.struct(*keys).alias("_row"))
+    probes = [at(asked, t, 1, [], F.col("_row"), F.lit(t == "_to").alias("_last")) for t in ("_from", "_to")]
+    points = starts.unionByName(ends).unionByName(probes[0].unionByName(probes[1]), allowMissingColumns=True).withColumn("_slot", F.floor(F.col("_t") / width))
+    earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = points.groupBy(*by, "_slot").agg(*(F.sum(c).alias(c) for c in sums)).select(*by, "_slot", *(F.coalesce(F.sum(c).over(earlier), zero).alias(f"{c}_before") for c in sums))
+    inside = Window.partitionBy(*by, "_slot").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    run = points.withColumns({c: F.sum(c).over(inside) for c in sums}).where("_row is not null").join(slots, [*by, "_slot"])
+    total = lambda c: F.col(c) + F.col(f"{c}_before")
+    met = run.groupBy("_row").agg(*(F.sum(F.when(F.col("_last"), total(f"_begun_{k}")).otherwise(-total(f"_over_{k}"))).alias(k) for k in kinds)).select("_row.*", *kinds)
+    return rows.select(*keys).distinct().join(met, keys, "left").fillna(0, list(kinds))
 
 
 def lap_status_overlap(laps: DataFrame, events: DataFrame, width: int = 600_000) -> DataFrame:
     """Per lap (lap_id, lap_start_ms, lap_end_ms): overlapping periods by kind, and the distinct codes in order; ends are inclusive."""
-    met = overlap(laps, "lap_start_ms", "lap_end_ms", track_status_periods(events), width)
-    counts = met.groupBy("lap_id").agg(
-        F.count_if(F.col("status_code") == "4").alias("safety_car_periods"),
-        F.count_if(F.col("status_code").isin("6", "7")).alias("virtual_safety_car_periods"),
-        F.count_if(F.col("status_code") == "5").alias("red_flag_periods"),
-        F.array_join(F.array_sort(F.collect_set("status_code")), ",").alias("track_status_codes"),
-    )
+    codes = events.where("status_code is not null").groupBy("session_id").agg(F.collect_set("status_code").alias("_codes"))
+    # a row for each code of its session: there are as many as kinds of status
+    own = laps.select("session_id", "lap_id", "lap_start_ms", "lap_end_ms").join(codes, "session_id").withColumn("status_code", F.explode("_codes")).drop("_codes")
+    met = overlap_counts(own, ["lap_id", "status_code"], "lap_start_ms", "lap_end_ms", track_status_periods(events), {"n": F.lit(True)}, ["session_id", "status_code"], width=width)
+    of = lambda *names: F.sum(F.when(F.col("status_code").isin(*names), F.col("n")).otherwise(0))
+    counts = met.where("n > 0").groupBy("lap_id").agg(of("4").alias("safety_car_periods"), of("6", "7").alias("virtual_safety_car_periods"), of("5").alias("red_flag_periods"), F.array_join(F.array_sort(F.collect_set("status_code")), ",").alias("track_status_codes"))
     zero = {c: 0 for c in ("safety_car_periods", "virtual_safety_car_periods", "red_flag_periods")}
     return laps.select("lap_id").join(counts, "lap_id", "left").fillna(zero)
 
@@ -126,10 +133,11 @@ def window_context(windows: DataFrame, messages: DataFrame, events: DataFrame, w
     keys = ["session_id", "window_start_ms"]
     bucket = (F.floor(F.col("session_time_ms") / width) * width).cast("long")
     said = messages.where("session_time_ms is not null").groupBy("session_id", bucket.alias("window_start_ms")).agg(F.count(F.lit(1)).alias("messages"))
-    met = overlap(windows.select(*keys, "window_end_ms"), "window_start_ms", "window_end_ms", track_status_periods(events), width * 20, closed=False)
-    kinds = met.groupBy(*keys).agg(F.max(F.col("status_code") == "4").alias("safety_car"), F.max(F.col("status_code").isin("6", "7")).alias("vsc"), F.max(F.col("status_code") == "5").alias("red_flag"), F.max(F.col("status_code") == "2").alias("yellow"))
-    joined = windows.join(said, keys, "left").join(kinds, keys, "left").fillna(0, ["messages"])
-    return joined.fillna(False, ["safety_car", "vsc", "red_flag", "yellow"])
+    code = F.col("status_code")
+    kinds = {"safety_car": code == "4", "vsc": code.isin("6", "7"), "red_flag": code == "5", "yellow": code == "2"}
+    met = overlap_counts(windows, keys, "window_start_ms", "window_end_ms", track_status_periods(events), kinds, closed=False, width=width * 20)
+    met = met.withColumns({k: F.col(k) > 0 for k in kinds})
+    return windows.join(said, keys, "left").join(met, keys, "left").fillna(0, ["messages"]).fillna(False, list(kinds))
 
 
 def markers_against_bounds(markers: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 
 from ..functions.columns import FAMILIES, first_match, message_taxonomy, normalize_message_text, quality_family
 from .aggregates import lap_channel_features, marker_bounds, speed_profile
-from .joins import lap_race_control, lap_status_overlap, overlap, track_status_periods
+from .joins import lap_race_control, lap_status_overlap, overlap_counts, track_status_periods
 from .lookups import top_n
 from .sequences import lap_gap_features, position_step_features
 
@@ -383,7 +383,8 @@ def quality_windows(aligned: DataFrame, laps: DataFrame, messages: DataFrame, ev
     own = ["session_id", "window_start_ms"]
     said = with_taxonomy(messages).where("session_time_ms is not null").groupBy("session_id", bucket.alias("window_start_ms")).agg(_n().alias("messages"), F.count_if(F.col("taxonomy").isin(INCIDENT_KINDS)).alias("incident_messages"))
     spans = out.select(*own, "window_end_ms").distinct()
-    met = overlap(spans, "window_start_ms", "window_end_ms", track_status_periods(events).where("status_code <> '1'"), width * 20, closed=False).select(*own).distinct().withColumn("has_status_context", F.lit(True))
+    met = overlap_counts(spans, own, "window_start_ms", "window_end_ms", track_status_periods(events), {"_status": F.col("status_code") != "1"}, closed=False, width=width * 20)
+    met = met.select(*own, (F.col("_status") > 0).alias("has_status_context"))
     out = out.join(said, own, "left").join(met, own, "left").fillna(0, ["messages", "incident_messages"]).fillna(False, ["has_status_context"])
     return out.withColumns({"has_race_control_context": F.col("messages") > 0, "has_pit_context": F.col("pit_lap_rows") > 0, "has_incident_context": F.col("has_status_context") | (F.col("incident_messages") > 0)})
 
