@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -46,37 +48,90 @@ def resample_closed(points: DataFrame, by: list[str], order: list[str], n: int)
     return marks.select(*by, "i", (F.col("x") + (F.col("nx") - F.col("x")) * share).alias("x"), (F.col("y") + (F.col("ny") - F.col("y")) * share).alias("y"))
 
 
-def _fits(laps: DataFrame, reference: DataFrame, by: list[str], n: int, tries: DataFrame) -> DataFrame:
-    """Per line, offset and direction the similarity (scale, rotation, shift) with least squares: sums first, then errors."""
-    k = F.col("i") * F.col("direction") + F.col("offset")
-    rows = laps.join(tries, by).withColumn("j", F.pmod(k, F.lit(n))).join(reference.select(F.col("i").alias("j"), F.col("x").alias("u"), F.col("y").alias("v")), "j")
-    keys = [*by, "offset", "direction"]
-    one = F.count(F.lit(1))
-    s = rows.groupBy(*keys).agg(one.alias("m"), *(F.avg(c).alias(f"m{c}") for c in ("x", "y", "u", "v")), F.avg(F.col("x") ** 2 + F.col("y") ** 2).alias("xx"), F.avg(F.col("u") ** 2 + F.col("v") ** 2).alias("uu"), F.avg(F.col("x") * F.col("u") + F.col("y") * F.col("v")).alias("dot"), F.avg(F.col("x") * F.col("v") - F.col("y") * F.col("u")).alias("cross"))
-    sx = F.col("xx") - F.col("mx") ** 2 - F.col("my") ** 2
-    su = F.col("uu") - F.col("mu") ** 2 - F.col("mv") ** 2
-    dot, cross = F.col("dot") - F.col("mx") * F.col("mu") - F.col("my") * F.col("mv"), F.col("cross") - F.col("mx") * F.col("mv") + F.col("my") * F.col("mu")
-    a, b = dot / F.nullif(sx, F.lit(0.0)), cross / F.nullif(sx, F.lit(0.0))
-    s = s.withColumns({"a": a, "b": b, "rmse": F.sqrt(F.greatest(su - (dot**2 + cross**2) / F.nullif(sx, F.lit(0.0)), F.lit(0.0)))})
-    return s.select(*keys, "a", "b", (F.col("mu") - F.col("a") * F.col("mx") + F.col("b") * F.col("my")).alias("dx"), (F.col("mv") - F.col("b") * F.col("mx") - F.col("a") * F.col("my")).alias("dy"), "rmse")
+def _sums(x: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Sums over i of x[i] * u[(i + offset) mod n] and of x[i] * u[(offset - i) mod n], for all offsets: two rows."""
+    fx, fu = np.fft.rfft(x), np.fft.rfft(u)
+    return np.stack([np.fft.irfft(np.conj(fx) * fu, len(x)), np.fft.irfft(fx * fu, len(x))])
 
 
-def fit_shape(laps: DataFrame, reference: DataFrame, by: list[str], n: int, step: int = 10) -> DataFrame:
-    """Best scale, rotation and shift of each line onto the reference, over start offsets in both directions: every ``step`` first, then all near each direction's best.
+def _similarity(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Scale, rotation and shift with least squares, and their error, from the sums of the matched points."""
+    n = np.maximum(s["n"], 1)
+    mx, my, mu, mv = (s[c] / n for c in ("x", "y", "u", "v"))
+    sx, su = s["xx"] / n - mx**2 - my**2, s["uu"] / n - mu**2 - mv**2
+    dot, cross = s["dot"] / n - mx * mu - my * mv, s["cross"] / n - mx * mv + my * mu
+    some = sx > 1e-12 * np.maximum(s["xx"] / n, 1e-300)
+    a, b = (np.where(some, v / np.where(some, sx, 1), 0.0) for v in (dot, cross))
+    rmse = np.sqrt(np.maximum(su - (a * dot + b * cross), 0.0))
+    return {"rmse": np.where(s["n"] > 0, rmse, np.inf), "a": a, "b": b, "dx": mu - a * mx + b * my, "dy": mv - b * mx - a * my}
 
-    Returns offset, direction, scale, angle_rad, the coefficients a, b, dx, dy (u = a x - b y + dx,
-    v = b x + a y + dy), and rmse, p50, p95 and max of the distances.
+
+def best_fit(x: np.ndarray, y: np.ndarray, here: np.ndarray, u: np.ndarray, v: np.ndarray, there: np.ndarray) -> dict[str, float]:
+    """The best similarity of a line's points (x, y where ``here``) onto a reference's (u, v where ``there``) over all start offsets in both directions.
+
+    Point i meets (i * direction + offset) mod n. Six sums of products decide an offset; Fourier
+    transforms give them for all n at once. What comes within rounding of the best is then summed
+    point by point, so equal lines give equal fits; ties go to the smallest offset, then direction.
+    """
+    n, m, k = len(x), here.astype(float), there.astype(float)
+    x, y, u, v = (np.where(w > 0, c, 0.0) for c, w in ((x, m), (y, m), (u, k), (v, k)))
+    # about their own means, so that less is lost to rounding
+    cx, cy, cu, cv = x.sum() / m.sum(), y.sum() / m.sum(), u.sum() / k.sum(), v.sum() / k.sum()
+    x, y, u, v = (x - cx) * m, (y - cy) * m, (u - cu) * k, (v - cv) * k
+    products = {"n": [(m, k)], "x": [(x, k)], "y": [(y, k)], "u": [(m, u)], "v": [(m, v)], "xx": [(x * x + y * y, k)], "uu": [(m, u * u + v * v)], "dot": [(x, u), (y, v)], "cross": [(x, v), (-y, u)]}
+    sums = {c: sum(_sums(p, q) for p, q in pairs) for c, pairs in products.items()}
+    sums["n"] = np.rint(sums["n"])
+    rough = _similarity(sums)["rmse"]
+    limit = rough.min() + 1e-6 * (np.sqrt(max((u * u + v * v).sum() / k.sum(), 0)) + 1e-300)
+    direction, offset = np.nonzero(rough <= limit)
+    best = None
+    for at in range(0, len(offset), 256):
+        d, o = np.where(direction[at : at + 256] == 0, 1, -1), offset[at : at + 256]
+        j = (np.arange(n)[None, :] * d[:, None] + o[:, None]) % n
+        exact = {c: sum((p[None, :] * q[j]).sum(axis=1) for p, q in pairs) for c, pairs in products.items()}
+        fits = _similarity(exact)
+        first = np.lexsort((d, o, fits["rmse"]))[0]
+        found = (fits["rmse"][first], o[first], d[first])
+        if best is None or found < best[0]:
+            best = (found, {c: w[first] for c, w in fits.items()}, j[first])
+    (rmse, o, d), f, j = best
+    a, b = f["a"], f["b"]
+    out = {"rmse": float(rmse), "offset": int(o), "direction": int(d), "a": float(a), "b": float(b), "dx": float(f["dx"] + cu - a * cx + b * cy), "dy": float(f["dy"] + cv - b * cx - a * cy)}
+    met = (m > 0) & (k[j] > 0)
+    gap = np.hypot(a * x - b * y + f["dx"] - u[j], b * x + a * y + f["dy"] - v[j])[met]
+    p50, p95 = np.percentile(gap, [50, 95])
+    return out | {"p50": float(p50), "p95": float(p95), "max": float(gap.max()), "scale": float(np.hypot(a, b)), "angle_rad": float(np.arctan2(b, a))}
+
+
+FIT = "rmse double, offset int, direction int, a double, b double, dx double, dy double, p50 double, p95 double, max double, scale double, angle_rad double"
+
+
+def fit_shape(laps: DataFrame, reference: DataFrame, by: list[str], n: int) -> DataFrame:
+    """Best scale, rotation and shift of each line onto the reference, over all ``n`` start offsets in both directions.
+
+    Lines and reference have points i of 0 to n - 1, of which some may be missing. Returns rmse,
+    offset, direction, the coefficients a, b, dx, dy (u = a x - b y + dx, v = b x + a y + dy), p50, p95
+    and max of the distances, scale and angle_rad. A line is one group of n points; lines that share no
+    point with the reference are left out. A line without extent fits with scale 0.
     """
-    own = laps.select(*by).distinct()
-    every = lambda offsets: own.withColumn("offset", F.explode(offsets)).withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1))))
-    best = lambda fits, *keys: fits.groupBy(*by, *keys).agg(F.min(F.struct("rmse", "offset", "direction", "a", "b", "dx", "dy")).alias("f")).select(*by, "f.*")
-    coarse = best(_fits(laps, reference, by, n, every(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step)))), "direction")
-    near = coarse.select(*by, "direction", F.explode(F.transform(F.sequence(F.lit(-step), F.lit(step)), lambda d: F.pmod(F.col("offset") + d, F.lit(n)))).alias("offset")).distinct()
-    fine = best(_fits(laps, reference, by, n, near))
-    placed = _apply(laps, fine, by, n).join(reference.select("i", F.col("x").alias("u"), F.col("y").alias("v")), "i")
-    gap = F.sqrt(F.pow(F.col("x") - F.col("u"), 2) + F.pow(F.col("y") - F.col("v"), 2))
-    errors = placed.groupBy(*by).agg(F.percentile(gap, 0.5).alias("p50"), F.percentile(gap, 0.95).alias("p95"), F.max(gap).alias("max"))
-    return fine.join(errors, by).withColumns({"scale": F.sqrt(F.col("a") ** 2 + F.col("b") ** 2), "angle_rad": F.atan2("b", "a")})
+    # n rows at most
+    points = {r["i"]: (r["x"], r["y"]) for r in reference.where(F.col("i").between(0, n - 1) & F.col("x").isNotNull() & F.col("y").isNotNull()).select("i", "x", "y").collect()}
+    there = np.array([i in points for i in range(n)])
+    u, v = (np.array([points.get(i, (0.0, 0.0))[c] for i in range(n)]) for c in (0, 1))
+    kinds = ", ".join(f"`{c}` {laps.schema[c].dataType.simpleString()}" for c in by)
+    names = [f.split()[0] for f in FIT.split(", ")]
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, here = np.zeros(n), np.zeros(n), np.zeros(n, bool)
+        at = rows["i"].to_numpy()
+        x[at], y[at], here[at] = rows["x"].to_numpy(), rows["y"].to_numpy(), True
+        if not there.any():
+            return pd.DataFrame(columns=[*by, *names])
+        found = best_fit(x, y, here, u, v, there)
+        return pd.DataFrame([[*rows[by].iloc[0], *(found[c] for c in names)]], columns=[*by, *names])
+
+    own = laps.where(F.col("i").between(0, n - 1) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    return own.select(*by, "i", F.col("x").cast("double"), F.col("y").cast("double")).groupBy(*by).applyInPandas(fit, f"{kinds}, {FIT}")
 
 
 def _apply(laps: DataFrame, fits: DataFrame, by: list[str], n: int) -> DataFrame:

@@ -39,6 +39,17 @@ m AS (SELECT s2.session_id, g.i, g.i * total / {N} AS target, x, y, nx, ny, step
 f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY session_id, i ORDER BY t) = 1),
 res AS (SELECT session_id, CAST(i AS INT) AS i, x + (nx - x) * greatest(0, target - (t - step)) / step AS x, y + (ny - y) * greatest(0, target - (t - step)) / step AS y FROM f)"""
 
+#: All offsets in both directions, point by point.
+FIT_SQL = f"""WITH {RES}, ref AS (SELECT CAST(g.i AS INT) AS j, cos(g.i * 2 * pi() / {N}) * 1000 AS u, sin(g.i * 2 * pi() / {N}) * 1000 AS v FROM range(0, {N}) g(i)),
+t AS (SELECT CAST(o.i AS INT) AS o, d FROM range(0, {N}) o(i), (VALUES (1), (-1)) e(d)),
+p AS (SELECT session_id, o, d, x, y, u, v FROM res, t JOIN ref ON j = ((i * d + o) % {N} + {N}) % {N}),
+mm AS (SELECT session_id, o, d, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, avg(x * x + y * y) AS xx, avg(u * u + v * v) AS uu, avg(x * u + y * v) AS dt, avg(x * v - y * u) AS cr FROM p GROUP BY ALL),
+c AS (SELECT *, xx - mx * mx - my * my AS sx, uu - mu * mu - mv * mv AS su, dt - mx * mu - my * mv AS dot, cr - mx * mv + my * mu AS crs FROM mm),
+ff AS (SELECT *, dot / sx AS a, crs / sx AS b, sqrt(greatest(su - (dot * dot + crs * crs) / sx, 0)) AS rmse FROM c),
+gg AS (SELECT * FROM ff QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY round(rmse, 7), o, d) = 1),
+e AS (SELECT p.session_id, rmse, sqrt(a * a + b * b) AS scale, sqrt(power(a * (x - mx) - b * (y - my) + mu - u, 2) + power(b * (x - mx) + a * (y - my) + mv - v, 2)) AS gap FROM p JOIN gg USING (session_id, o, d))
+SELECT session_id, round(any_value(rmse), 4) AS rmse, round(any_value(scale), 6) AS scale, round(median(gap), 3) AS p50, round(max(gap), 3) AS worst FROM e GROUP BY session_id"""
+
 MODELS = {
     "cluster_messages": (lambda fx: M.cluster_messages(fx.race_control).select("race_control_message_id", "cluster_id", "cluster_terms"), None),
     "message_cluster_summary": (lambda fx: M.message_cluster_summary(fx.race_control, M.cluster_messages(fx.race_control)), None),
@@ -49,8 +60,8 @@ MODELS = {
     "lap_path_length": (lambda fx: r6(G.lap_path_length(fx.positions, LAP, ORDER), "path_length"), f"WITH {PATH} SELECT session_id, driver_code, lap_number, count(*) AS points, round(sum(step), 6) AS path_length FROM s GROUP BY ALL"),
     "candidate_laps": (lambda fx: G.candidate_laps(G.lap_path_length(fx.positions, LAP, ORDER), fx.laps, 2, 0.5).select(*LAP), f"WITH {PATH}, l AS (SELECT session_id, driver_code, lap_number, count(*) AS points, sum(step) AS path_length FROM s GROUP BY ALL), g AS (SELECT l.* FROM l JOIN fx_laps f USING (session_id, driver_code, lap_number) WHERE is_accurate AND NOT is_pit_in_lap AND NOT is_pit_out_lap AND points >= 2), m AS (SELECT session_id, median(path_length) AS md FROM g GROUP BY ALL) SELECT session_id, driver_code, lap_number FROM g JOIN m USING (session_id) WHERE abs(path_length - md) <= 0.5 * md"),
     "resample_closed": (lambda fx: lines(fx).select("session_id", "i", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")), f"WITH {RES} SELECT session_id, i, round(x, 3) AS x, round(y, 3) AS y FROM res"),
-    "fit_shape": (lambda fx: G.fit_shape(lines(fx), reference(fx), ["session_id"], N, 4).select("session_id", F.round("rmse", 4).alias("rmse"), F.round("scale", 6).alias("scale"), F.round("p50", 3).alias("p50"), F.round("max", 3).alias("worst")), None),
-    "average_fitted_laps": (lambda fx: r6(G.average_fitted_laps(lines(fx), G.fit_shape(lines(fx), reference(fx), ["session_id"], N, 4), ["session_id"], N), "x", "y"), None),
+    "fit_shape": (lambda fx: G.fit_shape(lines(fx), reference(fx), ["session_id"], N).select("session_id", F.round("rmse", 4).alias("rmse"), F.round("scale", 6).alias("scale"), F.round("p50", 3).alias("p50"), F.round("max", 3).alias("worst")), FIT_SQL),
+    "average_fitted_laps": (lambda fx: r6(G.average_fitted_laps(lines(fx), G.fit_shape(lines(fx), reference(fx), ["session_id"], N), ["session_id"], N), "x", "y"), None),
     "line_difference": (lambda fx: r6(G.line_difference(lines(fx), lines(fx).select("session_id", "i", (F.col("x") + F.col("i")).alias("x"), "y"), ["session_id"]), "rmse", "p50", "p95", "max"), f"WITH {RES} SELECT session_id, round(sqrt(avg(i * i)), 6) AS rmse, round(median(i), 6) AS p50, round(quantile_cont(i, 0.95), 6) AS p95, round(CAST(max(i) AS DOUBLE), 6) AS max FROM res GROUP BY session_id"),
     "stream_event_candidates": (lambda fx: streamed(fx, ST.stream_event_candidates, samples=fx.telemetry).select("source_sample_index", "event_type"), f"SELECT source_sample_index, {EVENT} AS event_type FROM fx_telemetry WHERE {EVENT} IS NOT NULL"),
     "stream_tumbling_metrics": (lambda fx: r6(streamed(fx, lambda s: ST.stream_tumbling_metrics(s, "2 hours"), closing=True, samples=fx.telemetry), "avg_speed_kmh"), "SELECT session_id, driver_code, time_bucket(INTERVAL '2 hours', sample_time_utc) AS window_start, count(*) AS samples, round(avg(speed_kmh), 6) AS avg_speed_kmh, max(speed_kmh) AS max_speed_kmh, count(*) FILTER (WHERE throttle_pct <= 10 AND speed_kmh >= 150) AS throttle_lifts FROM fx_telemetry GROUP BY ALL"),

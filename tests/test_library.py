@@ -78,9 +78,9 @@ def test_a_moved_line_fits_back(spark):
     ref = G.regular_polygon(spark, n, 10.0).withColumn("x", F.col("x") * 2)
     # the same line from another start, the other way round, twice as large
     lap = ref.select(F.lit("l").alias("lap"), F.pmod(F.lit(5) - F.col("i"), F.lit(n)).alias("i"), (F.col("x") * 2 + 7).alias("x"), (F.col("y") * 2 - 3).alias("y"))
-    got = G.fit_shape(lap, ref, ["lap"], n, 6).first()
+    got = G.fit_shape(lap, ref, ["lap"], n).first()
     assert got["rmse"] < 1e-6 and abs(got["scale"] - 0.5) < 1e-9
-    mean = G.average_fitted_laps(lap, G.fit_shape(lap, ref, ["lap"], n, 6), ["lap"], n)
+    mean = G.average_fitted_laps(lap, G.fit_shape(lap, ref, ["lap"], n), ["lap"], n)
     assert G.line_difference(mean, ref).first()["max"] < 1e-6
 
 
