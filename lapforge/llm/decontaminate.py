@@ -1,13 +1,17 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare seeds of items, then Smith-Waterman alignment.
 
-Seeds join training passages to test items; an alignment over the whole text then scores what they
-share, so that edited copies are found and a shared common phrase is not enough. How often a seed
-occurs does not matter: a bound that no alignment exceeds tells which pairs need no alignment.
+An alignment that reaches the threshold matches at least so many of an item's words, so if all but a
+few of its word positions are looked up, the rarest of them by their counts over all documents, it
+holds several of those near one another. Windows of a text that hold so many seeds of an item are
+candidates; a bound that no alignment exceeds leaves more of them out, and what is left is aligned. No
+text over the threshold is missed, and words that all items share are no seeds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -18,14 +22,18 @@ from pyspark.sql import functions as F
 from . import common
 from .words import ngram_hashes, split_words, word_hashes
 
-#: Words of a seed. Items with fewer words are a seed as a whole.
-SEED_WORDS = 3
+#: Items of fewer words than SHORT_ITEM must share so many words in a row: half of them may be two words.
+RUN_WORDS, SHORT_ITEM = 3, 10
 #: Alignment: a match, and a mismatch or gap. Scores are shares of a whole item's matches.
 MATCH, PENALTY = 2, 1
 #: An item is found at this share of itself, or with as much as so many words in a row.
 LEAST_SCORE, LEAST_WORDS = 0.5, 13
 #: Words of items that are held by each task at once; more items are taken in blocks.
 BLOCK_WORDS = 1 << 20
+#: Half a window of the shortest items; longer items have windows of four times the length, and so on.
+LEAST_STRIDE = 64
+#: Counters of windows and items that are held at once.
+CELLS = 1 << 22
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
@@ -67,54 +75,157 @@ def most_score(own: np.ndarray, doc: np.ndarray) -> int:
     return int((total - np.minimum.accumulate(total)).max())
 
 
-def _item_seeds(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Each item's word hashes, and its distinct seeds."""
-    words, codes, at = split_words(pa.array(texts, pa.string()))
-    hashes = word_hashes(words)[codes] if len(codes) else np.zeros(0, np.uint64)
-    own = [hashes[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-    return own, [np.unique(ngram_hashes(w, min(SEED_WORDS, len(w)))) if len(w) else np.zeros(0, np.uint64) for w in own]
+def needs(n: int, least_score: float, least_words: int) -> tuple[int, int, int]:
+    """For an item of ``n`` words: how many of its rarest positions are seeds, how many seeds a window must hold, and the most words of a text that an alignment over the threshold spans.
+
+    A match gives MATCH, so the least score needs ``m`` matched positions. Of any n - m + r positions r
+    are then matched. What an alignment spans besides matches costs it the penalty.
+    """
+    least = min(math.ceil(MATCH * n * least_score), MATCH * least_words)
+    m = max(1, -(-least // MATCH))
+    r = (m + 1) // 2
+    return max(n - m + r, 1), min(r, n), n + max((MATCH * n - least) // PENALTY, 0)
+
+
+@dataclass
+class Seeds:
+    """Seeds of items with windows of one length: sorted hashes, and for each the items (with how many of their positions) that have it; ``enough`` by item."""
+
+    stride: int
+    known: np.ndarray
+    at: np.ndarray
+    item: np.ndarray
+    weight: np.ndarray
+    enough: np.ndarray
+
+    def windows(self, hashes: np.ndarray, code: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item) of windows that hold enough seeds. ``hashes``: distinct words, ``code``: the text's words among them, ``starts``: where each text begins (one entry more).
+
+        Texts are cut into halves of ``stride`` words, numbered through; window h is the half h and the
+        next of the same text, so whatever spans at most ``stride`` words lies in a window whole.
+        """
+        place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        seed = np.where(self.known[place] == hashes, place, -1)[code]
+        hit = np.flatnonzero(seed >= 0)
+        if not len(hit):
+            return
+        first = self.first_half(starts)
+        text = np.searchsorted(starts, hit, side="right") - 1
+        half = (hit - starts[text]) // self.stride
+        key = np.unique(np.concatenate([(first[text] + half) * len(self.known) + seed[hit], ((first[text] + half - 1) * len(self.known) + seed[hit])[half > 0]]))
+        window, seed = key // len(self.known), key % len(self.known)
+        many = np.diff(self.at)[seed]
+        # windows are taken together as far as the counters allow, and then as the hits do
+        most = max(1, CELLS // len(self.enough))
+        groups = np.searchsorted(window, np.arange(0, window[-1] + 1, most))
+        for a, b in zip(groups, [*groups[1:], len(window)]):
+            if a == b:
+                continue
+            low = window[a]
+            n = many[a:b]
+            ends = np.cumsum(n)
+            entry = np.repeat(self.at[seed[a:b]] - ends + n, n) + np.arange(ends[-1])
+            cell = np.repeat(window[a:b] - low, n) * len(self.enough) + self.item[entry]
+            count = np.bincount(cell, self.weight[entry]).astype(np.int64)
+            full = np.flatnonzero(count)
+            full = full[count[full] >= self.enough[full % len(self.enough)]]
+            yield full // len(self.enough) + low, full % len(self.enough)
+
+    def first_half(self, starts: np.ndarray) -> np.ndarray:
+        """The number of each text's first half."""
+        return np.concatenate(([0], np.cumsum(-(-np.diff(starts) // self.stride))))
+
+
+def _seeds(items: list[np.ndarray], counts: dict[int, int], least_score: float, least_words: int) -> list[Seeds]:
+    """The seeds of items (word hashes), by the length of their windows."""
+    classes: dict[int, list[tuple[int, np.ndarray, int]]] = {}
+    for k, words in enumerate(items):
+        if len(words):
+            kept, enough, span = needs(len(words), least_score, least_words)
+            stride = LEAST_STRIDE
+            while stride < span:
+                stride *= 4
+            rare = words[np.argsort([counts.get(w, 0) for w in words.tolist()], kind="stable")[:kept]]
+            classes.setdefault(stride, []).append((k, rare, enough))
+    out = []
+    for stride, rows in sorted(classes.items()):
+        pairs = [np.unique(rare, return_counts=True) for _, rare, _ in rows]
+        known, place = np.unique(np.concatenate([w for w, _ in pairs]), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        item = np.repeat([k for k, _, _ in rows], [len(w) for w, _ in pairs])[order]
+        enough = np.full(len(items), np.iinfo(np.int64).max)
+        enough[[k for k, _, _ in rows]] = [e for _, _, e in rows]
+        out.append(Seeds(stride, known, np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(known))))), item, np.concatenate([n for _, n in pairs])[order], enough))
+    return out
+
+
+def word_counts(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
+    """How often each of the hashes (sorted) occurs in all texts."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    @common.tidy
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(held.value), np.int64)
+        for batch in batches:
+            words, codes, _ = split_words(batch.column("text"))
+            own = word_hashes(words)
+            place = np.minimum(np.searchsorted(held.value, own), len(total) - 1)
+            here = held.value[place] == own
+            total += np.bincount(place[here], np.bincount(codes, minlength=len(own))[here], len(total)).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["word", "n"])
+
+    # as many rows as the items have words
+    found = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    return {int(wanted[r["word"]]): r["n"] for r in found}
 
 
 def _block(docs: DataFrame, item_ids: list[int], item_texts: list[str], least_score: float, least_words: int) -> DataFrame:
-    """(doc_id, item_id, score, doc_start, doc_end, matched) of one block of items against all documents."""
-    words, seeds = _item_seeds(item_texts)
-    known, where = np.unique(np.concatenate([*seeds, np.zeros(0, np.uint64)]), return_inverse=True)
-    # items of each seed
-    item_of = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])[np.argsort(where, kind="stable")]
-    item_at = np.concatenate(([0], np.cumsum(np.bincount(where, minlength=len(known)))))
-    sizes = sorted({min(SEED_WORDS, len(w)) for w in words if len(w)})
-    held = docs.sparkSession.sparkContext.broadcast((known, item_of, item_at, sizes, words, [np.unique(w) for w in words]))
+    """(doc_id, item_id, score, doc_start, doc_end) of one block of items against all documents."""
+    words, codes, at = split_words(pa.array(item_texts, pa.string()))
+    hashes = word_hashes(words)
+    items = [hashes[codes[a:b]] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    schema = "doc_id long, item_id long, score double, doc_start long, doc_end long"
+    if not len(hashes):
+        return docs.sparkSession.createDataFrame([], schema)
+    seeds = _seeds(items, word_counts(docs, np.unique(hashes)), least_score, least_words)
+    runs = {k: np.unique(ngram_hashes(w, min(RUN_WORDS, len(w)))) for k, w in enumerate(items) if 0 < len(w) < SHORT_ITEM}
+    held = docs.sparkSession.sparkContext.broadcast((seeds, items, [np.unique(w) for w in items], runs))
 
     @common.tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, item_of, item_at, sizes, items, own_words = held.value
+        seeds, items, own_words, runs = held.value
         for batch in batches:
             own, codes, at = split_words(batch.column("text"))
-            hashes = word_hashes(own)[codes] if len(codes) else np.zeros(0, np.uint64)
-            doc_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            hits = [np.zeros((2, 0), np.int64)]
-            for n in sizes:
-                grams = ngram_hashes(hashes, n)
-                where = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                found = np.flatnonzero(known[where] == grams)
-                found = found[doc_of[found] == doc_of[found + n - 1]]
-                hits.append(np.stack([doc_of[found], where[found]]))
-            docs_hit, seeds_hit = np.unique(np.concatenate(hits, axis=1), axis=1)
-            hit, first = np.unique(docs_hit, return_index=True)
-            ids, rows = batch.column("doc_id").to_pylist(), []
-            for d, a, b in zip(hit.tolist(), first.tolist(), [*first[1:].tolist(), len(docs_hit)]):
-                doc = hashes[at[d] : at[d + 1]]
-                for k in np.unique(np.concatenate([item_of[item_at[s] : item_at[s + 1]] for s in seeds_hit[a:b]])).tolist():
-                    whole = MATCH * len(items[k])
-                    if (bound := most_score(own_words[k], doc)) / whole < least_score and bound < MATCH * least_words:
-                        continue
-                    best, start, end = align(items[k], doc)
-                    if best / whole >= least_score or best >= MATCH * least_words:
-                        rows.append((ids[d], item_ids[k], best / whole, start, end))
+            if not len(codes):
+                continue
+            hashes = word_hashes(own)
+            texts = hashes[codes]
+            ids, best = batch.column("doc_id").to_pylist(), {}
+            for group in seeds:
+                first = group.first_half(at)
+                for windows, found in group.windows(hashes, codes, at):
+                    text = np.searchsorted(first, windows, side="right") - 1
+                    for w, d, k in zip(windows.tolist(), text.tolist(), found.tolist()):
+                        start = at[d] + (w - first[d]) * group.stride
+                        part = texts[start : min(start + 2 * group.stride, at[d + 1])]
+                        whole = MATCH * len(items[k])
+                        enough = min(least_score * whole, MATCH * least_words)
+                        if most_score(own_words[k], part) < enough:
+                            continue
+                        points, begin, end = align(items[k], part)
+                        if points >= enough:
+                            place = int(start - at[d])
+                            best[d, k] = max(best.get((d, k), (0, 0, 0)), (points, -(place + end), place + begin))
+            rows = []
+            for (d, k), (points, end, begin) in best.items():
+                if k in runs and not np.isin(ngram_hashes(texts[at[d] : at[d + 1]], min(RUN_WORDS, len(items[k]))), runs[k]).any():
+                    continue
+                rows.append((ids[d], item_ids[k], points / (MATCH * len(items[k])), begin, -end))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "doc_start", "doc_end"])
 
-    scored = docs.mapInArrow(score, "doc_id long, item_id long, score double, doc_start long, doc_end long")
+    scored = docs.mapInArrow(score, schema)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "doc_start", "doc_end")).alias("x"))
     return best.select("doc_id", "item_id", "x.*")
 
@@ -124,14 +235,15 @@ def contaminated(docs: DataFrame, items: DataFrame, least_score: float = LEAST_S
 
     score is the best local alignment of the item's words with the whole text's, as a share of the
     item's own (1: word for word). A pair is returned from ``least_score`` on, or with an alignment
-    worth ``least_words`` words in a row, if the text has a seed of the item (three words in a row),
-    however many texts have it. doc_start and doc_end are the aligned words of the text. Words are cut at white space, A-Z lower-cased.
+    worth ``least_words`` words in a row. Items of fewer than SHORT_ITEM words must also share
+    RUN_WORDS words in a row (or all of theirs) with the text. doc_start and doc_end are the aligned
+    words of the text. Words are cut at white space, A-Z lower-cased.
 
     Null or empty texts and items match nothing; rows with a null id are not compared. Of repeated
     pairs the best alignment stays. Empty tables give an empty result. Other columns are not read.
 
     Items are a stated query set: they are taken in blocks of bounded size against all documents,
-    and each block passes over them once.
+    and each block passes over them twice: once to count its items' words, once to align.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null and text is not null")

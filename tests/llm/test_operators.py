@@ -126,6 +126,58 @@ def test_edited_and_half_copies_are_found_however_often(spark, copies):
     assert sorted(r["doc_id"] for r in got) == list(range(2 * copies))
 
 
+@pytest.mark.parametrize("n", [5, 12, 26, 42, 70, 150])
+def test_every_kth_word_changed(spark, n):
+    """Found if and only if the alignment reaches the threshold, also without three words in a row."""
+    rng = random.Random(n)
+    item = [f"i{rng.randrange(10**6)}" for _ in range(n)]
+    noise = lambda m: [f"n{rng.randrange(10**6)}" for _ in range(m)]
+    docs = {k: noise(300) + [x if j % k != k - 1 else noise(1)[0] for j, x in enumerate(item)] + noise(150) for k in range(2, 9)}
+    docs |= {100 + k: noise(70) + [y for j, x in enumerate(item) for y in ([x, noise(1)[0]] if j % k == k - 1 else [x])] for k in range(1, 9)}
+    docs |= {200 + k: noise(20) + [x for j, x in enumerate(item) if j % k != k - 1] for k in range(2, 9)}
+    rows = spark.createDataFrame([(k, " ".join(d)) for k, d in docs.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontaminate.contaminated(rows, spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()}
+    code = {w: np.uint64(c) for c, w in enumerate({w for d in [item, *docs.values()] for w in d})}
+    want = {}
+    for k, d in docs.items():
+        points = decontaminate.align(np.array([code[w] for w in item]), np.array([code[w] for w in d]))[0]
+        run = {tuple(item[j : j + 3]) for j in range(n - 2)} & {tuple(d[j : j + 3]) for j in range(len(d) - 2)}
+        if points >= min(n, 26) and (run or n >= decontaminate.SHORT_ITEM):
+            want[k] = points / (2 * n)
+    assert got == want and {4, 8} <= set(want) and (n not in (12, 42) or 3 in want)
+
+
+def test_all_pairs_of_few_words(spark):
+    """Texts and items over a few words, so that much aligns: every pair, against the full table."""
+    rng = np.random.default_rng(8)
+    items = [rng.integers(0, 40, rng.integers(1, 60)) for _ in range(40)]
+    texts = [rng.integers(0, 40, rng.integers(0, 400)) for _ in range(60)] + [np.concatenate([rng.integers(0, 40, 150), i[rng.random(len(i)) < 0.8], rng.integers(0, 40, 90)]) for i in items]
+    say = lambda w: " ".join(f"w{c}" for c in w)
+    docs = spark.createDataFrame([(k, say(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(k, say(i)) for k, i in enumerate(items)], "item_id long, text string")).collect()
+    got, want = {(r["doc_id"], r["item_id"]): (r["score"], r["doc_start"], r["doc_end"]) for r in found}, {}
+    for d, t in enumerate(texts):
+        for k, i in enumerate(items):
+            points, start, end = decontaminate.align(i.astype(np.uint64), t.astype(np.uint64))
+            m = min(3, len(i))
+            run = {tuple(i[j : j + m]) for j in range(len(i) - m + 1)} & {tuple(t[j : j + m]) for j in range(len(t) - m + 1)}
+            if points >= min(len(i), 26) and (run or len(i) >= decontaminate.SHORT_ITEM):
+                want[d, k] = (points / (2 * len(i)), start, end)
+    assert got == want and len(want) > 30
+
+
+def test_a_phrase_of_all_items_is_no_seed():
+    """Items that share a phrase: texts with the phrase alone make no candidates, whatever their number."""
+    rng = np.random.default_rng(9)
+    phrase = np.arange(3, dtype=np.uint64)
+    items = [np.concatenate([phrase, rng.integers(10**6, 10**12, 25).astype(np.uint64)]) for _ in range(500)]
+    seeds = decontaminate._seeds(items, {0: 10**9, 1: 10**9, 2: 10**9}, 0.5, 13)
+    text = np.concatenate([np.concatenate([phrase, rng.integers(10**13, 10**14, 5).astype(np.uint64)]) for _ in range(200)])
+    hashes, code = np.unique(text, return_inverse=True)
+    assert not any(len(f) for s in seeds for _, f in s.windows(hashes, code, np.array([0, len(text)])))
+    assert not any(np.isin(phrase, s.known).any() for s in seeds)
+
+
 def test_no_alignment_exceeds_the_bound():
     rng = np.random.default_rng(7)
     for _ in range(200):
