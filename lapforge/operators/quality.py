@@ -217,13 +217,20 @@ def _display(category: Column) -> Column:
     return first_match([(category == k, v) for k, v in DISPLAY.items()], category)
 
 
+def event_rounds(sessions: DataFrame) -> DataFrame:
+    """(session_id, event_name, event_round): sessions numbered by start (unknown ones last) and event; equal ones share a number."""
+    # one row a session
+    order = Window.orderBy(F.col("session_start_utc").asc_nulls_last(), "event_name")
+    return sessions.select("session_id", "event_name", F.dense_rank().over(order).alias("event_round"))
+
+
 def primary_category_audit(df: DataFrame, sessions: DataFrame, limit: int = 80) -> DataFrame:
-    """Flagged laps with several reasons, the first ``limit`` by a priority of coverage, gaps, path, shape and reasons; ties by event and lap."""
+    """Flagged laps with several reasons, the first ``limit`` by a priority of coverage, gaps, path, shape and reasons; ties by round and lap."""
     priority = F.col("coverage_deficit_pct") + F.col("p95_gap_excess_ms") / 100 + F.col("path_ratio_excess_pct") + F.col("speed_shape_excess_kmh") + F.col("reason_count") * 2
     second = F.concat_ws(" + ", *(F.when(F.col(x) & (F.col("primary_category") != x), DISPLAY.get(x, x)) for x in CATEGORIES))
-    rows = df.where("bad_lap_any_category and reason_count > 1").join(sessions.select("session_id", "event_name"), "session_id")
-    out = rows.select("event_name", *LAP, _display(F.col("primary_category")).alias("primary_category"), second.alias("secondary_reason_set"), "reason_count", "product_recommendation", "safe_for_replay", "safe_for_lap_comparison", "coverage_deficit_pct", "p95_gap_excess_ms", "path_ratio_excess_pct", "speed_shape_excess_kmh", priority.alias("audit_priority"))
-    return out.orderBy(F.desc(F.round("audit_priority", 9)), "event_name", *LAP).limit(limit)
+    rows = df.where("bad_lap_any_category and reason_count > 1").join(event_rounds(sessions), "session_id")
+    out = rows.select("event_round", "event_name", *LAP, _display(F.col("primary_category")).alias("primary_category"), second.alias("secondary_reason_set"), "reason_count", "product_recommendation", "safe_for_replay", "safe_for_lap_comparison", "coverage_deficit_pct", "p95_gap_excess_ms", "path_ratio_excess_pct", "speed_shape_excess_kmh", priority.alias("audit_priority"))
+    return out.orderBy(F.desc(F.round("audit_priority", 9)), "event_round", *LAP).limit(limit)
 
 
 def race_drilldown(df: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -285,13 +292,13 @@ def threshold_sensitivity(features: DataFrame, profiles: DataFrame, sessions: Da
     flips = [F.count_if(f"{x}_changed").alias(f"{x}_flip_count") for x in CHANGES.values()]
     laps = done.where("scenario <> 'baseline'").groupBy(*LAP).agg(*flips, F.first("was").alias("was"))
     laps = laps.withColumn("any_sensitivity_flip_count", sum((F.col(f"{x}_flip_count") for x in CHANGES.values()), F.lit(0)))
-    laps = laps.join(sessions.select("session_id", "event_name"), "session_id")
+    laps = laps.join(event_rounds(sessions), "session_id")
     if kind == "borderline":
-        return laps.where("any_sensitivity_flip_count > 0").select("event_name", *LAP, *(f"{x}_flip_count" for x in CHANGES.values()), "any_sensitivity_flip_count", *(F.col(f"was.{c}").alias(f"baseline_{c}") for c in CHANGES))
+        return laps.where("any_sensitivity_flip_count > 0").select("event_round", "event_name", *LAP, *(f"{x}_flip_count" for x in CHANGES.values()), "any_sensitivity_flip_count", *(F.col(f"was.{c}").alias(f"baseline_{c}") for c in CHANGES))
     if kind not in ("by_race", "by_driver"):
         raise ValueError(f"unknown kind {kind}")
     some = lambda c: F.count_if(F.col(c) > 0)
-    out = laps.groupBy(*(["session_id", "event_name"] if kind == "by_race" else ["driver_code"])).agg(_n().alias("total_laps"), some("any_sensitivity_flip_count").alias("threshold_sensitive_laps"), some("bad_flag_flip_count").alias("bad_flag_sensitive_laps"), some("recommendation_flip_count").alias("recommendation_sensitive_laps"))
+    out = laps.groupBy(*(["session_id", "event_round", "event_name"] if kind == "by_race" else ["driver_code"])).agg(_n().alias("total_laps"), some("any_sensitivity_flip_count").alias("threshold_sensitive_laps"), some("bad_flag_flip_count").alias("bad_flag_sensitive_laps"), some("recommendation_flip_count").alias("recommendation_sensitive_laps"))
     return out.withColumn("threshold_sensitive_pct", 100.0 * F.col("threshold_sensitive_laps") / F.col("total_laps"))
 
 
@@ -304,9 +311,9 @@ def speed_profile_baselines(df: DataFrame, required_bins: int = 12) -> DataFrame
 
 def shape_examples(df: DataFrame, sessions: DataFrame, limit: int = 12) -> DataFrame:
     """Laps off their session's speed profile: those for review first, then by how far they exceed the limit; ties by lap."""
-    rows = df.where("shape_mismatch_against_comparable_laps and speed_shape_rms_kmh is not null").join(sessions.select("session_id", "event_name"), "session_id")
+    rows = df.where("shape_mismatch_against_comparable_laps and speed_shape_rms_kmh is not null").join(event_rounds(sessions), "session_id")
     rows = rows.orderBy(F.desc("needs_manual_review"), F.desc(F.round("speed_shape_excess_kmh", 9)), F.desc(F.round("speed_shape_rms_kmh", 9)), *LAP).limit(limit)
-    return rows.select("event_name", *LAP, _display(F.col("primary_category")).alias("primary_category"), "reason_set", "lap_time_ms", "speed_shape_rms_kmh", "speed_shape_excess_kmh", "speed_shape_robust_z", "is_pit_in_lap", "is_pit_out_lap", "safety_car_periods", "virtual_safety_car_periods", "red_flag_periods")
+    return rows.select("event_round", "event_name", *LAP, _display(F.col("primary_category")).alias("primary_category"), "reason_set", "lap_time_ms", "speed_shape_rms_kmh", "speed_shape_excess_kmh", "speed_shape_robust_z", "is_pit_in_lap", "is_pit_out_lap", "safety_car_periods", "virtual_safety_car_periods", "red_flag_periods")
 
 
 @dataclass(frozen=True)

@@ -172,7 +172,9 @@ AUDIT = ("coverage_deficit_pct", "p95_gap_excess_ms", "path_ratio_excess_pct", "
 CASES = "z AS (" + " UNION ALL ".join(f"SELECT * FROM (WITH {features_sql(t)} SELECT '{name}' AS scenario, session_id, driver_code, lap_number, bad, NOT ({BLOCKED}) AS replay, advice, {SHOWN} AS shown, {REVIEW} AS review FROM cl)" for name, t in D.scenarios(LIMITS)) + "), x AS (SELECT z.*, b.bad AS bbad, b.replay AS breplay, b.advice AS badvice, b.shown AS bshown FROM z JOIN (SELECT * FROM z WHERE scenario = 'baseline') b USING (session_id, driver_code, lap_number))"
 CHANGED = {"bad_flag": "bad <> bbad", "replay_safety": "replay <> breplay", "lap_comparison_safety": "bad <> bbad", "recommendation": "advice <> badvice", "primary_category": "shown <> bshown"}
 COUNTED = {"bad_laps": "bad", "replay_unsafe_laps": "NOT replay", "lap_comparison_unsafe_laps": "bad", "manual_review_laps": "review", "exclude_laps": "advice = 'exclude'", "context_label_laps": "advice = 'keep_with_context_label'"}
-FLIPS = "l AS (SELECT *, " + " + ".join(f"{k}_flip_count" for k in CHANGED) + " AS any_flips FROM (SELECT event_name, session_id, driver_code, lap_number, any_value(bbad) AS bbad, any_value(breplay) AS breplay, any_value(badvice) AS badvice, any_value(bshown) AS bshown, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}_flip_count" for k, c in CHANGED.items()) + " FROM x JOIN fx_sessions USING (session_id) WHERE scenario <> 'baseline' GROUP BY event_name, session_id, driver_code, lap_number))"
+#: Sessions with the number of their event.
+ROUNDS = "(SELECT *, CAST(dense_rank() OVER (ORDER BY session_start_utc NULLS LAST, event_name) AS INT) AS event_round FROM fx_sessions)"
+FLIPS = "l AS (SELECT *, " + " + ".join(f"{k}_flip_count" for k in CHANGED) + " AS any_flips FROM (SELECT event_round, event_name, session_id, driver_code, lap_number, any_value(bbad) AS bbad, any_value(breplay) AS breplay, any_value(badvice) AS badvice, any_value(bshown) AS bshown, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}_flip_count" for k, c in CHANGED.items()) + f" FROM x JOIN {ROUNDS} USING (session_id) WHERE scenario <> 'baseline' GROUP BY event_round, event_name, session_id, driver_code, lap_number))"
 SENSITIVE = "count(*) AS total_laps, count(*) FILTER (WHERE any_flips > 0) AS threshold_sensitive_laps, count(*) FILTER (WHERE bad_flag_flip_count > 0) AS bad_flag_sensitive_laps, count(*) FILTER (WHERE recommendation_flip_count > 0) AS recommendation_sensitive_laps, round(100.0 * count(*) FILTER (WHERE any_flips > 0) / count(*), 6) AS threshold_sensitive_pct"
 SHARE = "count(*) AS laps, count(*) FILTER (WHERE bad) AS flagged_laps, round(100.0 * count(*) FILTER (WHERE bad) / count(*), 6) AS flagged_pct FROM cl GROUP BY ALL"
 
@@ -204,14 +206,14 @@ QUALITY = {
     "lap_safety_counts": (lambda fx: r6(_report("safety")(fx), "pct"), f"WITH {FEATURES} " + " UNION ALL ".join(f"SELECT '{n}' AS use, count(*) FILTER (WHERE {c}) AS laps, round(100.0 * count(*) FILTER (WHERE {c}) / count(*), 6) AS pct FROM cl" for n, c in (("safe_for_replay", f"NOT ({BLOCKED})"), ("safe_for_time_domain_analysis", "NOT bad"), ("safe_for_lap_comparison", "NOT bad"), ("safe_for_geometry_reference", f"NOT bad AND position_samples >= {LIMITS.min_position_samples}"), ("needs_manual_review", REVIEW)))),
     "lap_category_intersections": (_report("intersections"), f"WITH {FEATURES} SELECT CASE WHEN NOT bad THEN 'clean' ELSE concat_ws(' + ', " + ", ".join(f"CASE WHEN {k} THEN '{D.DISPLAY.get(c, c)}' END" for k, c in CAT.items()) + ") END AS reason_set, " + " + ".join(f"CAST({k} AS INT)" for k in CAT) + " AS reason_count, count(*) AS laps FROM cl GROUP BY ALL"),
     "decision_waterfall": (lambda fx: r6(D.decision_waterfall(classified(fx)), "pct_of_all_laps"), f"WITH {FEATURES}, k AS (SELECT CASE WHEN c9 OR c8 THEN 1 WHEN c1 OR c2 THEN 2 WHEN c4 THEN 3 WHEN c6 THEN 4 WHEN c7 THEN 5 WHEN c5 THEN 6 WHEN bad THEN 7 ELSE 8 END AS k FROM cl), s(k, step) AS (VALUES (0, 'total_laps'), (1, 'source_or_timing_excluded'), (2, 'missing_or_incomplete_telemetry'), (3, 'implausible_channel_values'), (4, 'position_trace_discontinuity'), (5, 'race_context_influenced'), (6, 'atypical_speed_profile'), (7, 'other_or_manual_review'), (8, 'clean_after_waterfall')), n AS (SELECT s.k, step, count(*) FILTER (WHERE k.k = s.k OR s.k = 0) AS laps, count(*) FILTER (WHERE k.k > s.k) AS rest, count(*) AS total FROM s, k GROUP BY ALL) SELECT step, laps, round(100.0 * laps / total, 6) AS pct_of_all_laps, rest AS remaining_laps_after_step FROM n"),
-    "primary_category_audit": (lambda fx: r6(D.primary_category_audit(classified(fx), fx.sessions), *AUDIT), f"WITH {FEATURES}, a AS (SELECT *, {SEVERITY} FROM cl JOIN fx_sessions USING (session_id) WHERE bad), b AS (SELECT *, dcov + gap95 / 100 + pathx + shapex + reasons * 2 AS prio FROM a WHERE reasons > 1) SELECT event_name, session_id, driver_code, lap_number, {SHOWN} AS primary_category, {SECOND} AS secondary_reason_set, reasons AS reason_count, advice AS product_recommendation, NOT ({BLOCKED}) AS safe_for_replay, NOT bad AS safe_for_lap_comparison, round(dcov, 6) AS coverage_deficit_pct, round(gap95, 6) AS p95_gap_excess_ms, round(pathx, 6) AS path_ratio_excess_pct, round(shapex, 6) AS speed_shape_excess_kmh, round(prio, 6) AS audit_priority FROM b ORDER BY round(prio, 9) DESC, event_name, session_id, driver_code, lap_number LIMIT 80"),
+    "primary_category_audit": (lambda fx: r6(D.primary_category_audit(classified(fx), fx.sessions), *AUDIT), f"WITH {FEATURES}, a AS (SELECT *, {SEVERITY} FROM cl JOIN {ROUNDS} USING (session_id) WHERE bad), b AS (SELECT *, dcov + gap95 / 100 + pathx + shapex + reasons * 2 AS prio FROM a WHERE reasons > 1) SELECT event_round, event_name, session_id, driver_code, lap_number, {SHOWN} AS primary_category, {SECOND} AS secondary_reason_set, reasons AS reason_count, advice AS product_recommendation, NOT ({BLOCKED}) AS safe_for_replay, NOT bad AS safe_for_lap_comparison, round(dcov, 6) AS coverage_deficit_pct, round(gap95, 6) AS p95_gap_excess_ms, round(pathx, 6) AS path_ratio_excess_pct, round(shapex, 6) AS speed_shape_excess_kmh, round(prio, 6) AS audit_priority FROM b ORDER BY round(prio, 9) DESC, event_round, session_id, driver_code, lap_number LIMIT 80"),
     "race_drilldown": (lambda fx: r6(D.race_drilldown(classified(fx), fx.sessions), "median_coverage_ratio"), f"WITH {FEATURES} SELECT event_name, prim AS primary_category, count(*) AS laps, count(DISTINCT driver_code) AS drivers, median(lap_time_ms) AS median_lap_time_ms, round(median(cov), 6) AS median_coverage_ratio FROM cl JOIN fx_sessions USING (session_id) GROUP BY ALL"),
     "threshold_sensitivity": (lambda fx: r6(_sensitivity(fx, "summary"), "bad_pct"), f"WITH {CASES}, s AS (SELECT scenario, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in COUNTED.items()) + ", round(100.0 * count(*) FILTER (WHERE bad) / count(*), 6) AS bad_pct, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}_changed_laps" for k, c in CHANGED.items()) + " FROM x GROUP BY scenario) SELECT s.*, " + ", ".join(f"s.{k} - b.{k} AS {k}_delta_vs_baseline" for k in COUNTED) + " FROM s, (SELECT * FROM s WHERE scenario = 'baseline') b"),
-    "threshold_sensitivity_by_race": (lambda fx: r6(_sensitivity(fx, "by_race"), "threshold_sensitive_pct"), f"WITH {CASES}, {FLIPS} SELECT session_id, event_name, {SENSITIVE} FROM l GROUP BY ALL"),
+    "threshold_sensitivity_by_race": (lambda fx: r6(_sensitivity(fx, "by_race"), "threshold_sensitive_pct"), f"WITH {CASES}, {FLIPS} SELECT session_id, event_round, event_name, {SENSITIVE} FROM l GROUP BY ALL"),
     "threshold_sensitivity_by_driver": (lambda fx: r6(_sensitivity(fx, "by_driver"), "threshold_sensitive_pct"), f"WITH {CASES}, {FLIPS} SELECT driver_code, {SENSITIVE} FROM l GROUP BY ALL"),
-    "threshold_borderline_laps": (lambda fx: _sensitivity(fx, "borderline"), f"WITH {CASES}, {FLIPS} SELECT event_name, session_id, driver_code, lap_number, " + ", ".join(f"{k}_flip_count" for k in CHANGED) + ", any_flips AS any_sensitivity_flip_count, bbad AS baseline_bad_lap_any_category, breplay AS baseline_safe_for_replay, NOT bbad AS baseline_safe_for_lap_comparison, badvice AS baseline_product_recommendation, bshown AS baseline_primary_category FROM l WHERE any_flips > 0"),
+    "threshold_borderline_laps": (lambda fx: _sensitivity(fx, "borderline"), f"WITH {CASES}, {FLIPS} SELECT event_round, event_name, session_id, driver_code, lap_number, " + ", ".join(f"{k}_flip_count" for k in CHANGED) + ", any_flips AS any_sensitivity_flip_count, bbad AS baseline_bad_lap_any_category, breplay AS baseline_safe_for_replay, NOT bbad AS baseline_safe_for_lap_comparison, badvice AS baseline_product_recommendation, bshown AS baseline_primary_category FROM l WHERE any_flips > 0"),
     "speed_profile_baselines": (lambda fx: r6(D.speed_profile_baselines(classified(fx), 2), "q10", "median", "q90"), f"WITH {FEATURES}, l AS (" + " UNION ALL ".join(f"SELECT session_id, {k} AS bin, b{k} AS v FROM cl WHERE NOT bad AND nbins >= 2 AND b{k} IS NOT NULL" for k in range(1, 21)) + ") SELECT session_id, bin, count(*) AS laps, round(quantile_cont(v, 0.1), 6) AS q10, round(median(v), 6) AS median, round(quantile_cont(v, 0.9), 6) AS q90 FROM l GROUP BY ALL"),
-    "shape_examples": (lambda fx: r6(D.shape_examples(classified(fx), fx.sessions), "speed_shape_rms_kmh", "speed_shape_excess_kmh", "speed_shape_robust_z"), f"WITH {FEATURES}, a AS (SELECT *, {SEVERITY} FROM cl JOIN fx_sessions USING (session_id) WHERE c5 AND rms IS NOT NULL) SELECT event_name, session_id, driver_code, lap_number, {SHOWN} AS primary_category, {REASONS} AS reason_set, lap_time_ms, round(rms, 6) AS speed_shape_rms_kmh, round(shapex, 6) AS speed_shape_excess_kmh, round(coalesce((rms - mrms) / nullif(iqr, 0), 0), 6) AS speed_shape_robust_z, is_pit_in_lap, is_pit_out_lap, sc AS safety_car_periods, vsc AS virtual_safety_car_periods, red AS red_flag_periods FROM a ORDER BY ({REVIEW}) DESC, round(shapex, 9) DESC, round(rms, 9) DESC, session_id, driver_code, lap_number LIMIT 12"),
+    "shape_examples": (lambda fx: r6(D.shape_examples(classified(fx), fx.sessions), "speed_shape_rms_kmh", "speed_shape_excess_kmh", "speed_shape_robust_z"), f"WITH {FEATURES}, a AS (SELECT *, {SEVERITY} FROM cl JOIN {ROUNDS} USING (session_id) WHERE c5 AND rms IS NOT NULL) SELECT event_round, event_name, session_id, driver_code, lap_number, {SHOWN} AS primary_category, {REASONS} AS reason_set, lap_time_ms, round(rms, 6) AS speed_shape_rms_kmh, round(shapex, 6) AS speed_shape_excess_kmh, round(coalesce((rms - mrms) / nullif(iqr, 0), 0), 6) AS speed_shape_robust_z, is_pit_in_lap, is_pit_out_lap, sc AS safety_car_periods, vsc AS virtual_safety_car_periods, red AS red_flag_periods FROM a ORDER BY ({REVIEW}) DESC, round(shapex, 9) DESC, round(rms, 9) DESC, session_id, driver_code, lap_number LIMIT 12"),
     "surface_flags": (lambda fx: surfaces(fx).select("session_id", *D.SURFACE_FLAGS, "surface_issue_count", F.round("aligned_non_ok_pct", 6).alias("aligned_non_ok_pct")), f"WITH {SURFACE} SELECT *, " + " + ".join(f"CAST({x} AS INT)" for x in D.SURFACE_FLAGS) + " AS surface_issue_count FROM sf"),
     "surface_flag_summary": (lambda fx: r6(D.surface_flag_summary(surfaces(fx)), "pct"), f"WITH {SURFACE} " + " UNION ALL ".join(f"SELECT '{x}' AS surface_flag, count(*) FILTER (WHERE {x}) AS sessions, round(100.0 * count(*) FILTER (WHERE {x}) / count(*), 6) AS pct FROM sf" for x in D.SURFACE_FLAGS)),
     "surface_summary_by_year": (lambda fx: r6(D.surface_summary_by_year(surfaces(fx)), "issue_pct").select("year", "sessions", "car_samples", "position_samples", "aligned_samples", "weather_samples", "messages"), "SELECT 2024 AS year, (SELECT count(*) FROM fx_sessions) AS sessions, (SELECT count(*) FROM fx_telemetry) AS car_samples, (SELECT count(*) FROM fx_positions) AS position_samples, (SELECT count(*) FROM fx_aligned) AS aligned_samples, (SELECT count(*) FROM fx_weather) AS weather_samples, (SELECT count(*) FROM fx_race_control) AS messages"),
