@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, Imputer, NGram, Normalizer, RegexTokenizer, RobustScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.columns import normalize_message_text
+from ..sources.tables import shared_path
+from . import lloyd
 from .quality import BINS, with_taxonomy
 
 
@@ -52,33 +55,74 @@ def message_cluster_summary(messages: DataFrame, clusters: DataFrame) -> DataFra
     return rows.groupBy("cluster_id").agg(F.first("cluster_terms").alias("cluster_terms"), F.count(F.lit(1)).alias("messages"), F.count_distinct("session_id").alias("sessions"), F.array_join(F.array_sort(F.collect_set("taxonomy")), ",").alias("taxonomies"), pct("racing_number").alias("driver_scoped_pct"), pct("lap_number").alias("lap_scoped_pct"))
 
 
-def _plane(laps: DataFrame):
-    """Rows of speed profiles, and the fitted steps that make features of them and their two main components."""
-    bins = [F.col(b).cast("double").alias(b) for b in BINS]
-    # every step of the fit reads the rows
-    rows = laps.select("lap_id", "primary_category", "speed_shape_excess_kmh", *bins).persist()
-    known = rows.agg(*(F.count(b).alias(b) for b in BINS)).first()
-    used = [b for b in BINS if known[b]]
+#: What lap shapes are clustered by, besides the speed bins (fixed names).
+SHAPE_FEATURES = ["lap_time_ms", "car_samples", "position_samples", "car_coverage_ratio", "car_p95_gap_ms", "car_max_gap_ms", "position_path_ratio", "position_max_segment_units", "speed_shape_rms_kmh", "telemetry_null_rate", "position_null_rate", "safety_car_periods", "virtual_safety_car_periods", "red_flag_periods"]
+
+
+@dataclass
+class Shapes:
+    """points: (id, hash, features) of laps; plane: (lap_id, component_1, component_2); explained: shares of variance of the two components."""
+
+    points: DataFrame
+    plane: DataFrame
+    explained: tuple[float, float]
+
+
+def lap_shapes(laps: DataFrame) -> Shapes:
+    """Laps as scaled vectors: missing and infinite values take the column's median, columns are centred and divided by their quartile range (those without one are 0), columns without any value are left out."""
+    names = [*SHAPE_FEATURES, *BINS]
+    fine = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")).alias(c)
+    rows = laps.select("lap_id", *map(fine, names))
+    known = rows.agg(*(F.count(c).alias(c) for c in names)).first()
+    used = [c for c in names if known[c]]
     steps = [
-        Imputer(strategy="median", inputCols=used, outputCols=[f"{b}_f" for b in used]),
-        VectorAssembler(inputCols=[f"{b}_f" for b in used], outputCol="raw"),
-        RobustScaler(withCentering=True, inputCol="raw", outputCol="features"),
-        PCA(k=2, inputCol="features", outputCol="plane"),
+        Imputer(strategy="median", inputCols=used, outputCols=[f"{c}_f" for c in used]),
+        VectorAssembler(inputCols=[f"{c}_f" for c in used], outputCol="raw"),
+        RobustScaler(withCentering=True, inputCol="raw", outputCol="scaled"),
+        PCA(k=2, inputCol="scaled", outputCol="plane"),
     ]
-    return rows, Pipeline(stages=steps).fit(rows)
-
-
-def lap_shape_clusters(laps: DataFrame, k: int = 7, seed: int = 42) -> DataFrame:
-    """Classified laps with a cluster of their speed profile, its two main components, and the distance to the centre. Missing bins take the bin's median."""
-    rows, plane = _plane(laps)
-    model = KMeans(k=k, seed=seed, predictionCol="cluster_id").fit(plane.transform(rows))
-    rows.unpersist()
-    out = model.transform(plane.transform(rows))
-    centres = F.array(*(F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()))
-    own = F.element_at(centres, F.col("cluster_id") + 1)
-    gap = F.aggregate(F.zip_with(vector_to_array("features"), own, lambda a, b: F.pow(a - b, 2)), F.lit(0.0), lambda s, x: s + x)
+    model = Pipeline(stages=steps).fit(rows)
+    # written once, read by every pass
+    path = shared_path(laps.sparkSession, "shapes")
     plane = vector_to_array("plane")
-    return out.select("lap_id", "primary_category", "speed_shape_excess_kmh", "cluster_id", plane[0].alias("component_1"), plane[1].alias("component_2"), F.sqrt(gap).alias("distance_to_centre"))
+    out = model.transform(rows).select("lap_id", vector_to_array("scaled").alias("features"), plane[0].alias("component_1"), plane[1].alias("component_2"))
+    out.write.parquet(path)
+    stored = laps.sparkSession.read.schema(out.schema).parquet(path)
+    return Shapes(lloyd.prepared(stored, "lap_id"), stored.select("lap_id", "component_1", "component_2"), tuple(map(float, model.stages[-1].explainedVariance)))
+
+
+def lap_shape_clusters(laps: DataFrame, k: int = 7, seed: int = 0, starts: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Classified laps with their shape's cluster, and a profile of the clusters. Of ``starts`` fits the one of least inertia counts.
+
+    Laps: cluster_id, component_1, component_2 and distance_to_centre beside lap_id, primary_category
+    and speed_shape_excess_kmh. Profile: laps, shares (per cent) that are flagged, in the pit lane or
+    under a safety car, of anomalous source, with jumps in position; medians of shape rms, lap time
+    and coverage; and for all clusters alike the silhouette and the shares of variance in the plane.
+    """
+    shapes = lap_shapes(laps)
+    models = lloyd.fit(shapes.points, [lloyd.Model(k, seed * starts + i) for i in range(starts)])
+    lloyd.assess(shapes.points, models)
+    best = min(models, key=lambda m: (m.inertia, m.seed))
+    own = lloyd.labelled(shapes.points, [best]).select(F.col("id").alias("lap_id"), F.col("labels")[0].alias("cluster_id"), F.col("distances")[0].alias("distance_to_centre"))
+    out = laps.join(own, "lap_id").join(shapes.plane, "lap_id")
+    return out.select("lap_id", "primary_category", "speed_shape_excess_kmh", "cluster_id", "component_1", "component_2", "distance_to_centre"), cluster_profile(laps, own, best.silhouette, shapes.explained)
+
+
+def cluster_profile(laps: DataFrame, labels: DataFrame, silhouette: float | None, explained: tuple[float, float]) -> DataFrame:
+    """Per cluster of ``labels`` (lap_id, cluster_id) what its laps are like."""
+    pct = lambda c: (100.0 * F.avg(F.col(c).cast("double")))
+    by = laps.join(labels.select("lap_id", "cluster_id"), "lap_id").groupBy("cluster_id")
+    out = by.agg(
+        F.count(F.lit(1)).alias("laps"),
+        pct("bad_lap_any_category").alias("bad_pct"),
+        F.median("speed_shape_rms_kmh").alias("median_shape_rms"),
+        F.median("lap_time_ms").alias("median_lap_time_ms"),
+        F.median("car_coverage_ratio").alias("median_car_coverage"),
+        pct("pit_lane_or_safety_car_influenced").alias("pit_sc_pct"),
+        pct("import_or_source_data_anomaly").alias("source_anomaly_pct"),
+        pct("position_trace_discontinuity").alias("position_discontinuity_pct"),
+    )
+    return out.withColumns({"pca_variance_1": F.lit(explained[0]), "pca_variance_2": F.lit(explained[1]), "silhouette": F.lit(silhouette).cast("double")})
 
 
 def cluster_exemplars(clusters: DataFrame) -> DataFrame:
@@ -103,22 +147,12 @@ def adjusted_rand(labels: DataFrame, a: str, b: str, by: list[str] = ()) -> Data
 
 
 def cluster_stability(laps: DataFrame, ks: tuple[int, ...] = (5, 6, 7, 8, 9), seeds: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Per number of clusters and seed: silhouette, and the adjusted Rand index against the first seed."""
-    rows, plane = _plane(laps)
-    # features are fitted once and held while every model reads them
-    points = plane.transform(rows).select("lap_id", "features").persist()
-    found, values = points, []
-    for k in ks:
-        for seed in seeds:
-            column = f"k{k}_s{seed}"
-            model = KMeans(k=k, seed=seed, predictionCol=column).fit(points)
-            several = sum(n > 0 for n in model.summary.clusterSizes) > 1
-            judge = ClusteringEvaluator(predictionCol=column, featuresCol="features")
-            values.append((k, seed, judge.evaluate(model.transform(points)) if several else None))
-            found = model.transform(found)
-    # all labels in one pass: at most ks x seeds columns
-    each = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(seed).alias("seed"), F.col(f"k{k}_s{seeds[0]}").alias("a"), F.col(f"k{k}_s{seed}").alias("b")) for k in ks for seed in seeds))
-    rand = {(r["k"], r["seed"]): r["ari"] for r in adjusted_rand(found.select(F.explode(each).alias("x")).select("x.*"), "a", "b", ["k", "seed"]).collect()}
-    points.unpersist()
-    rows.unpersist()
-    return laps.sparkSession.createDataFrame([(k, seed, v, rand.get((k, seed))) for k, seed, v in values], "k int, seed int, silhouette double, ari double")
+    """Per number of clusters and seed: silhouette, and the adjusted Rand index against the first seed. All models are fitted together."""
+    points = lap_shapes(laps).points
+    models = lloyd.fit(points, [lloyd.Model(k, seed) for k in ks for seed in seeds])
+    lloyd.assess(points, models)
+    at = {(m.k, m.seed): i for i, m in enumerate(models)}
+    each = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(seed).alias("seed"), F.col("labels")[at[k, seeds[0]]].alias("a"), F.col("labels")[at[k, seed]].alias("b")) for k in ks for seed in seeds))
+    pairs = lloyd.labelled(points, models).select(F.explode(each).alias("x")).select("x.*")
+    rand = {(r["k"], r["seed"]): r["ari"] for r in adjusted_rand(pairs, "a", "b", ["k", "seed"]).collect()}
+    return laps.sparkSession.createDataFrame([(m.k, m.seed, m.silhouette, rand.get((m.k, m.seed))) for m in models], "k int, seed int, silhouette double, ari double")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import clusters as M
 from ..operators import geometry as G
+from ..operators import lloyd
 from ..sources.tables import shared_path
 from ..streaming import runs
 from ..streaming import streams as ST
 from .core import EVENT, FAMILY, r6
-from .quality import classified
+from .quality import FEATURES, classified
 
 LAP = ["session_id", "driver_code", "lap_number"]
 ORDER = ["sample_time_utc", "source_sample_index"]
@@ -50,11 +52,62 @@ gg AS (SELECT * FROM ff QUALIFY row_number() OVER (PARTITION BY session_id ORDER
 e AS (SELECT p.session_id, rmse, sqrt(a * a + b * b) AS scale, sqrt(power(a * (x - mx) - b * (y - my) + mu - u, 2) + power(b * (x - mx) + a * (y - my) + mv - v, 2)) AS gap FROM p JOIN gg USING (session_id, o, d))
 SELECT session_id, round(any_value(rmse), 4) AS rmse, round(any_value(scale), 6) AS scale, round(median(gap), 3) AS p50, round(max(gap), 3) AS worst FROM e GROUP BY session_id"""
 
+def fixed_labels(fx):
+    return fx.laps.select("lap_id", ((F.col("lap_number") + F.substring("driver_code", 2, 2).cast("int")) % 4).alias("cluster_id"))
+
+
+SECTORS = ["sector_1_ms", "sector_2_ms"]
+#: Centres of two models over the laps' first two sectors, in seconds.
+CENTRES = [[[4600.0, 4700.125], [4600.625, 4700.75], [4609.0, 4708.0]], [[4600.25, 4700.25], [4601.5, 4701.25]]]
+
+
+def _sector_points(fx):
+    return lloyd.prepared(fx.laps.select("lap_id", F.array(*(F.col(c) / 1000.0 for c in SECTORS)).alias("features")), "lap_id")
+
+
+def _models():
+    return [lloyd.Model(len(c), k, np.array(c)) for k, c in enumerate(CENTRES)]
+
+
+def _lloyd_step(fx):
+    """Centres of both models after one step."""
+    models = _models()
+    lloyd.step(_sector_points(fx), models)
+    rows = [(m.seed, c, float(round(v[0], 6)), float(round(v[1], 6))) for m in models for c, v in enumerate(m.centres)]
+    return fx.spark.createDataFrame(rows, "model int, cluster int, a double, b double")
+
+
+def _silhouette(fx):
+    """Sizes, inertia and silhouette of both models as they are."""
+    models = _models()
+    lloyd.assess(_sector_points(fx), models)
+    return fx.spark.createDataFrame([(m.seed, sum(m.sizes), round(m.inertia, 4), round(m.silhouette, 6)) for m in models], "model int, points long, inertia double, silhouette double")
+
+
+_CENTRE_ROWS = ", ".join(f"({m}, {c}, {v[0]}, {v[1]})" for m, rows in enumerate(CENTRES) for c, v in enumerate(rows))
+_NEAREST = f"""c(model, cluster, ca, cb) AS (VALUES {_CENTRE_ROWS}), p AS (SELECT lap_id, sector_1_ms / 1000.0 AS a, sector_2_ms / 1000.0 AS b FROM fx_laps WHERE sector_1_ms IS NOT NULL AND sector_2_ms IS NOT NULL),
+d AS (SELECT c.*, p.*, power(CAST(a - ca AS DOUBLE), 2) + power(CAST(b - cb AS DOUBLE), 2) AS gap FROM p, c QUALIFY row_number() OVER (PARTITION BY model, lap_id ORDER BY gap, cluster) = 1)"""
+LLOYD_SQL = f"WITH {_NEAREST} SELECT c.model, c.cluster, round(CAST(coalesce(avg(d.a), any_value(c.ca)) AS DOUBLE), 6) AS a, round(CAST(coalesce(avg(d.b), any_value(c.cb)) AS DOUBLE), 6) AS b FROM c LEFT JOIN d USING (model, cluster) GROUP BY c.model, c.cluster"
+#: Pair by pair.
+SILHOUETTE_SQL = f"""WITH {_NEAREST}, n AS (SELECT model, cluster, count(*) AS n FROM d GROUP BY ALL),
+q AS (SELECT x.model, x.lap_id, x.cluster, y.cluster AS other, sum(power(CAST(x.a - y.a AS DOUBLE), 2) + power(CAST(x.b - y.b AS DOUBLE), 2)) AS total FROM d x JOIN d y ON x.model = y.model GROUP BY ALL),
+s AS (SELECT q.model, lap_id, max(CASE WHEN q.cluster = other THEN total / greatest(n - 1, 1) END) AS inside, min(CASE WHEN q.cluster <> other THEN total / n END) AS outside, max(CASE WHEN q.cluster = other THEN n END) AS own FROM q JOIN n ON n.model = q.model AND n.cluster = other GROUP BY ALL),
+i AS (SELECT model, sum(gap) AS inertia FROM d GROUP BY model)
+SELECT s.model, count(*) AS points, round(any_value(inertia), 4) AS inertia, round(avg(CASE WHEN own > 1 AND greatest(inside, outside) > 0 THEN (outside - inside) / greatest(inside, outside) ELSE 0 END), 6) AS silhouette FROM s JOIN i ON i.model = s.model GROUP BY s.model"""
+PROFILE_SQL = f"""WITH {FEATURES}, l AS (SELECT *, CAST((lap_number + CAST(substr(driver_code, 2, 2) AS INT)) % 4 AS INT) AS cluster_id FROM cl)
+SELECT cluster_id, count(*) AS laps, round(100.0 * count(*) FILTER (WHERE bad) / count(*), 6) AS bad_pct, round(median(rms), 6) AS median_shape_rms, median(lap_time_ms) AS median_lap_time_ms, round(median(cov), 6) AS median_car_coverage,
+ round(100.0 * count(*) FILTER (WHERE c7) / count(*), 6) AS pit_sc_pct, round(100.0 * count(*) FILTER (WHERE c9) / count(*), 6) AS source_anomaly_pct, round(100.0 * count(*) FILTER (WHERE c6) / count(*), 6) AS position_discontinuity_pct,
+ CAST(0.25 AS DOUBLE) AS pca_variance_1, CAST(0.125 AS DOUBLE) AS pca_variance_2, CAST(0.5 AS DOUBLE) AS silhouette FROM l GROUP BY cluster_id"""
+
 MODELS = {
     "cluster_messages": (lambda fx: M.cluster_messages(fx.race_control).select("race_control_message_id", "cluster_id", "cluster_terms"), None),
     "message_cluster_summary": (lambda fx: M.message_cluster_summary(fx.race_control, M.cluster_messages(fx.race_control)), None),
-    "lap_shape_clusters": (lambda fx: M.lap_shape_clusters(classified(fx)).select("lap_id", "cluster_id", F.round("distance_to_centre", 4).alias("distance")), None),
-    "cluster_exemplars": (lambda fx: M.cluster_exemplars(M.lap_shape_clusters(classified(fx))), None),
+    "lap_shape_clusters": (lambda fx: M.lap_shape_clusters(classified(fx))[0].select("lap_id", "cluster_id", F.round("distance_to_centre", 4).alias("distance")), None),
+    "lap_shape_profile": (lambda fx: r6(M.lap_shape_clusters(classified(fx))[1], "bad_pct", "median_shape_rms", "median_car_coverage", "pit_sc_pct", "source_anomaly_pct", "position_discontinuity_pct", "silhouette"), None),
+    "cluster_profile": (lambda fx: r6(M.cluster_profile(classified(fx), fixed_labels(fx), 0.5, (0.25, 0.125)), "bad_pct", "median_shape_rms", "median_car_coverage", "pit_sc_pct", "source_anomaly_pct", "position_discontinuity_pct"), PROFILE_SQL),
+    "cluster_silhouette": (_silhouette, SILHOUETTE_SQL),
+    "lloyd_step": (_lloyd_step, LLOYD_SQL),
+    "cluster_exemplars": (lambda fx: M.cluster_exemplars(M.lap_shape_clusters(classified(fx))[0]), None),
     "cluster_stability": (lambda fx: M.cluster_stability(classified(fx)), None),
     "adjusted_rand": (lambda fx: r6(M.adjusted_rand(fx.telemetry.select((F.col("gear") % 3).alias("a"), (F.col("drs") + F.col("gear") % 2).alias("b")), "a", "b"), "ari"), "WITH c AS (SELECT gear % 3 AS a, drs + gear % 2 AS b, CAST(count(*) AS DOUBLE) AS n FROM fx_telemetry GROUP BY ALL), t AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS n FROM c), x AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM c GROUP BY a)), y AS (SELECT sum(n * (n - 1) / 2) AS s FROM (SELECT sum(n) AS n FROM c GROUP BY b)) SELECT round((t.s - x.s * y.s / (t.n * (t.n - 1) / 2)) / ((x.s + y.s) / 2 - x.s * y.s / (t.n * (t.n - 1) / 2)), 6) AS ari FROM t, x, y"),
     "lap_path_length": (lambda fx: r6(G.lap_path_length(fx.positions, LAP, ORDER), "path_length"), f"WITH {PATH} SELECT session_id, driver_code, lap_number, count(*) AS points, round(sum(step), 6) AS path_length FROM s GROUP BY ALL"),
