@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare seeds of items, then Smith-Waterman alignment.
-
-An alignment that reaches the threshold matches at least so many of an item's words, so if all but a
-few of its word positions are looked up, the rarest of them by their counts over all documents, it
-holds several of those near one another. Windows of a text that hold so many seeds of an item are
-candidates; a bound that no alignment exceeds leaves more of them out, and what is left is aligned. No
-text over the threshold is missed, and words that all items share are no seeds.
+"""Benchmark decontamination: rare two-word seeds of items, then Smith-Waterman alignment.
+
+A seed is two words of an item, next to each other or with one between. An alignment over the
+threshold has at least so many seeds of the item in a short stretch of the text, with no more between
+their words there. So if all but a few seeds of an item are looked up, the rarest by their counts over
+all documents, windows of a text that hold some of them are the candidates; a bound that no alignment
+exceeds leaves out more, and what is left is aligned. No text over the threshold is missed, and a
+phrase that all items share is no seed.
 """
 
 from __future__ import annotations
@@ -76,20 +77,36 @@ def most_score(own: np.ndarray, doc: np.ndarray) -> int:
 
 
 def needs(n: int, least_score: float, least_words: int) -> tuple[int, int, int]:
-    """For an item of ``n`` words: how many of its rarest positions are seeds, how many seeds a window must hold, and the most words of a text that an alignment over the threshold spans.
+    """For an item of ``n`` words: how many seeds an alignment over the threshold holds, how many of them are looked for in a window, and the most words of a text that it spans.
 
-    A match gives MATCH, so the least score needs ``m`` matched positions. Of any n - m + r positions r
-    are then matched. What an alignment spans besides matches costs it the penalty.
+    Between two matches that are no seed lie two errors at least, which cost what a match gains (two
+    penalties); so of M matches at most one and those that end a seed add to the score, and a score
+    needs as many seeds. Errors also bound the span.
     """
     least = min(math.ceil(MATCH * n * least_score), MATCH * least_words)
-    m = max(1, -(-least // MATCH))
-    r = (m + 1) // 2
-    return max(n - m + r, 1), min(r, n), n + max((MATCH * n - least) // PENALTY, 0)
+    held = max(0, -(-(least - MATCH) // MATCH))
+    return held, (held + 1) // 2, n + max((MATCH * n - least) // PENALTY, 0)
+
+
+def _pairs(codes: np.ndarray, ends: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place, seed) of two known words at a distance of one and two in one text. ``codes``: words' numbers, -1 if unknown; ``ends``: where each place's text ends."""
+    for apart in (1, 2):
+        first, second = codes[:-apart], codes[apart:]
+        at = np.flatnonzero((first >= 0) & (second >= 0) & (np.arange(len(first)) + apart < ends[: len(first)]))
+        yield at, first[at] * words + second[at]
+
+
+def item_seeds(words: np.ndarray, known: np.ndarray, held: int) -> np.ndarray:
+    """Seeds of an item, one for each place and distance, as numbers by the sorted hashes ``known``; where no seed is certain, its words."""
+    codes = np.searchsorted(known, words)
+    if held < 1:
+        return codes * len(known) + codes
+    return np.concatenate([seed for _, seed in _pairs(codes, np.full(len(codes), len(codes)), len(known))])
 
 
 @dataclass
 class Seeds:
-    """Seeds of items with windows of one length: sorted hashes, and for each the items (with how many of their positions) that have it; ``enough`` by item."""
+    """Seeds of items with windows of one length: sorted, and for each the items (with how many of their places) that have it; ``enough`` by item."""
 
     stride: int
     known: np.ndarray
@@ -98,37 +115,34 @@ class Seeds:
     weight: np.ndarray
     enough: np.ndarray
 
-    def windows(self, hashes: np.ndarray, code: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, item) of windows that hold enough seeds. ``hashes``: distinct words, ``code``: the text's words among them, ``starts``: where each text begins (one entry more).
+    def windows(self, place: np.ndarray, seed: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item) of windows that hold enough seeds. ``place``, ``seed``: where which seeds begin; ``starts``: where each text begins (one entry more).
 
         Texts are cut into halves of ``stride`` words, numbered through; window h is the half h and the
         next of the same text, so whatever spans at most ``stride`` words lies in a window whole.
         """
-        place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        seed = np.where(self.known[place] == hashes, place, -1)[code]
-        hit = np.flatnonzero(seed >= 0)
+        found = np.minimum(np.searchsorted(self.known, seed), len(self.known) - 1)
+        hit = np.flatnonzero(self.known[found] == seed)
         if not len(hit):
             return
-        first = self.first_half(starts)
-        text = np.searchsorted(starts, hit, side="right") - 1
-        half = (hit - starts[text]) // self.stride
-        key = np.unique(np.concatenate([(first[text] + half) * len(self.known) + seed[hit], ((first[text] + half - 1) * len(self.known) + seed[hit])[half > 0]]))
+        place, seed, first = place[hit], found[hit], self.first_half(starts)
+        text = np.searchsorted(starts, place, side="right") - 1
+        half = (place - starts[text]) // self.stride
+        key = np.unique(np.concatenate([(first[text] + half) * len(self.known) + seed, ((first[text] + half - 1) * len(self.known) + seed)[half > 0]]))
         window, seed = key // len(self.known), key % len(self.known)
         many = np.diff(self.at)[seed]
-        # windows are taken together as far as the counters allow, and then as the hits do
-        most = max(1, CELLS // len(self.enough))
-        groups = np.searchsorted(window, np.arange(0, window[-1] + 1, most))
+        # as many windows together as the counters allow
+        groups = np.searchsorted(window, np.arange(window[0], window[-1] + 1, max(1, CELLS // len(self.enough))))
         for a, b in zip(groups, [*groups[1:], len(window)]):
             if a == b:
                 continue
-            low = window[a]
-            n = many[a:b]
+            low, n = window[a], many[a:b]
             ends = np.cumsum(n)
             entry = np.repeat(self.at[seed[a:b]] - ends + n, n) + np.arange(ends[-1])
             cell = np.repeat(window[a:b] - low, n) * len(self.enough) + self.item[entry]
-            count = np.bincount(cell, self.weight[entry]).astype(np.int64)
-            full = np.flatnonzero(count)
-            full = full[count[full] >= self.enough[full % len(self.enough)]]
+            cells, own = np.unique(cell, return_inverse=True)
+            count = np.bincount(own, self.weight[entry]).astype(np.int64)
+            full = cells[count >= self.enough[cells % len(self.enough)]]
             yield full // len(self.enough) + low, full % len(self.enough)
 
     def first_half(self, starts: np.ndarray) -> np.ndarray:
@@ -136,48 +150,60 @@ class Seeds:
         return np.concatenate(([0], np.cumsum(-(-np.diff(starts) // self.stride))))
 
 
-def _seeds(items: list[np.ndarray], counts: dict[int, int], least_score: float, least_words: int) -> list[Seeds]:
-    """The seeds of items (word hashes), by the length of their windows."""
+def text_seeds(hashes: np.ndarray, code: np.ndarray, starts: np.ndarray, known: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where which pairs of known words (sorted hashes) begin; with ``single`` also known words by themselves."""
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    codes = np.where(known[place] == hashes, place, -1)[code]
+    parts = list(_pairs(codes, np.repeat(starts[1:], np.diff(starts)), len(known)))
+    if single:
+        at = np.flatnonzero(codes >= 0)
+        parts.append((at, codes[at] * (len(known) + 1)))
+    return np.concatenate([p for p, _ in parts]), np.concatenate([s for _, s in parts])
+
+
+def _seeds(own: list[np.ndarray], sizes: list[tuple[int, int, int]], counts: dict[int, int]) -> list[Seeds]:
+    """The rarest seeds of each item, by the length of their windows. ``own``: all seeds of each item, ``sizes``: what :func:`needs` says of it."""
     classes: dict[int, list[tuple[int, np.ndarray, int]]] = {}
-    for k, words in enumerate(items):
-        if len(words):
-            kept, enough, span = needs(len(words), least_score, least_words)
+    for k, (seeds, (held, enough, span)) in enumerate(zip(own, sizes)):
+        if len(seeds):
             stride = LEAST_STRIDE
             while stride < span:
                 stride *= 4
-            rare = words[np.argsort([counts.get(w, 0) for w in words.tolist()], kind="stable")[:kept]]
-            classes.setdefault(stride, []).append((k, rare, enough))
+            kept = len(seeds) - max(held - enough, 0)
+            rare = seeds[np.argsort([counts.get(x, 0) for x in seeds.tolist()], kind="stable")[:kept]]
+            classes.setdefault(stride, []).append((k, rare, max(enough, 1)))
     out = []
     for stride, rows in sorted(classes.items()):
         pairs = [np.unique(rare, return_counts=True) for _, rare, _ in rows]
         known, place = np.unique(np.concatenate([w for w, _ in pairs]), return_inverse=True)
         order = np.argsort(place, kind="stable")
         item = np.repeat([k for k, _, _ in rows], [len(w) for w, _ in pairs])[order]
-        enough = np.full(len(items), np.iinfo(np.int64).max)
+        enough = np.full(len(own), np.iinfo(np.int64).max)
         enough[[k for k, _, _ in rows]] = [e for _, _, e in rows]
         out.append(Seeds(stride, known, np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(known))))), item, np.concatenate([n for _, n in pairs])[order], enough))
     return out
 
 
-def word_counts(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
-    """How often each of the hashes (sorted) occurs in all texts."""
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+def seed_counts(docs: DataFrame, known: np.ndarray, wanted: np.ndarray, single: bool) -> dict[int, int]:
+    """How often each of the seeds (sorted) occurs in all texts."""
+    held = docs.sparkSession.sparkContext.broadcast((known, wanted))
 
     @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(held.value), np.int64)
+        known, wanted = held.value
+        total = np.zeros(len(wanted), np.int64)
         for batch in batches:
-            words, codes, _ = split_words(batch.column("text"))
-            own = word_hashes(words)
-            place = np.minimum(np.searchsorted(held.value, own), len(total) - 1)
-            here = held.value[place] == own
-            total += np.bincount(place[here], np.bincount(codes, minlength=len(own))[here], len(total)).astype(np.int64)
+            words, codes, starts = split_words(batch.column("text"))
+            if len(codes):
+                _, seed = text_seeds(word_hashes(words), codes, starts, known, single)
+                place = np.minimum(np.searchsorted(wanted, seed), len(wanted) - 1)
+                total += np.bincount(place[wanted[place] == seed], minlength=len(wanted))
         some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["word", "n"])
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["seed", "n"])
 
-    # as many rows as the items have words
-    found = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {int(wanted[r["word"]]): r["n"] for r in found}
+    # as many rows as the items have seeds
+    found = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+    return {int(wanted[r["seed"]]): r["n"] for r in found}
 
 
 def _block(docs: DataFrame, item_ids: list[int], item_texts: list[str], least_score: float, least_words: int) -> DataFrame:
@@ -188,23 +214,26 @@ def _block(docs: DataFrame, item_ids: list[int], item_texts: list[str], least_sc
     schema = "doc_id long, item_id long, score double, doc_start long, doc_end long"
     if not len(hashes):
         return docs.sparkSession.createDataFrame([], schema)
-    seeds = _seeds(items, word_counts(docs, np.unique(hashes)), least_score, least_words)
+    known, sizes = np.unique(hashes), [needs(len(w), least_score, least_words) for w in items]
+    own, single = [item_seeds(w, known, held) if len(w) else np.zeros(0, np.int64) for w, (held, _, _) in zip(items, sizes)], any(held < 1 for held, _, _ in sizes)
+    seeds = _seeds(own, sizes, seed_counts(docs, known, np.unique(np.concatenate(own)), single))
     runs = {k: np.unique(ngram_hashes(w, min(RUN_WORDS, len(w)))) for k, w in enumerate(items) if 0 < len(w) < SHORT_ITEM}
-    held = docs.sparkSession.sparkContext.broadcast((seeds, items, [np.unique(w) for w in items], runs))
+    held = docs.sparkSession.sparkContext.broadcast((known, seeds, items, [np.unique(w) for w in items], runs))
 
     @common.tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, items, own_words, runs = held.value
+        known, seeds, items, own_words, runs = held.value
         for batch in batches:
             own, codes, at = split_words(batch.column("text"))
             if not len(codes):
                 continue
             hashes = word_hashes(own)
             texts = hashes[codes]
+            place, seed = text_seeds(hashes, codes, at, known, single)
             ids, best = batch.column("doc_id").to_pylist(), {}
             for group in seeds:
                 first = group.first_half(at)
-                for windows, found in group.windows(hashes, codes, at):
+                for windows, found in group.windows(place, seed, at):
                     text = np.searchsorted(first, windows, side="right") - 1
                     for w, d, k in zip(windows.tolist(), text.tolist(), found.tolist()):
                         start = at[d] + (w - first[d]) * group.stride
@@ -215,8 +244,8 @@ def _block(docs: DataFrame, item_ids: list[int], item_texts: list[str], least_sc
                             continue
                         points, begin, end = align(items[k], part)
                         if points >= enough:
-                            place = int(start - at[d])
-                            best[d, k] = max(best.get((d, k), (0, 0, 0)), (points, -(place + end), place + begin))
+                            shift = int(start - at[d])
+                            best[d, k] = max(best.get((d, k), (0, 0, 0)), (points, -(shift + end), shift + begin))
             rows = []
             for (d, k), (points, end, begin) in best.items():
                 if k in runs and not np.isin(ngram_hashes(texts[at[d] : at[d + 1]], min(RUN_WORDS, len(items[k]))), runs[k]).any():

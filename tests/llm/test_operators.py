@@ -171,11 +171,16 @@ def test_a_phrase_of_all_items_is_no_seed():
     rng = np.random.default_rng(9)
     phrase = np.arange(3, dtype=np.uint64)
     items = [np.concatenate([phrase, rng.integers(10**6, 10**12, 25).astype(np.uint64)]) for _ in range(500)]
-    seeds = decontaminate._seeds(items, {0: 10**9, 1: 10**9, 2: 10**9}, 0.5, 13)
+    known, sizes = np.unique(np.concatenate(items)), [decontaminate.needs(len(w), 0.5, 13) for w in items]
+    own = [decontaminate.item_seeds(w, known, held) for w, (held, _, _) in zip(items, sizes)]
+    shared = set.intersection(*(set(x.tolist()) for x in own))
+    seeds = decontaminate._seeds(own, sizes, dict.fromkeys(shared, 10**9))
+    assert len(shared) == 3 and not any(np.isin(list(shared), s.known).any() for s in seeds)
     text = np.concatenate([np.concatenate([phrase, rng.integers(10**13, 10**14, 5).astype(np.uint64)]) for _ in range(200)])
     hashes, code = np.unique(text, return_inverse=True)
-    assert not any(len(f) for s in seeds for _, f in s.windows(hashes, code, np.array([0, len(text)])))
-    assert not any(np.isin(phrase, s.known).any() for s in seeds)
+    starts = np.array([0, len(text)])
+    place, seed = decontaminate.text_seeds(hashes, code, starts, known, False)
+    assert len(place) == 600 and not any(len(f) for s in seeds for _, f in s.windows(place, seed, starts))
 
 
 def test_no_alignment_exceeds_the_bound():
