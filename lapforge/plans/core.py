@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import lookups as P
 from ..operators import sequences as W
+from ..operators.selection import exact_percentiles
 from ..sources.fixtures import Fixtures
 
 
@@ -149,6 +150,7 @@ SELECT s.session_id, (SELECT count(*) FROM fx_drivers d WHERE d.session_id = s.s
     "format_duration_ms": (lambda fx: fx.telemetry.select("source_sample_index", X.format_duration_ms(F.col("lap_time_ms") % 150_001).alias("text")), "WITH t AS (SELECT source_sample_index, lap_time_ms % 150001 AS d FROM fx_telemetry) SELECT source_sample_index, CASE WHEN d >= 60000 THEN concat(d // 60000, ':', lpad(CAST(d % 60000 // 1000 AS VARCHAR), 2, '0'), '.', lpad(CAST(d % 1000 AS VARCHAR), 3, '0')) ELSE concat(d // 1000, '.', lpad(CAST(d % 1000 AS VARCHAR), 3, '0'), 's') END AS text FROM t"),
     "corner_label": (lambda fx: fx.markers.select("session_id", "marker_number", X.corner_label(F.when(F.col("marker_number") % 2 == 0, F.concat("session_id", F.lit("-Monza"))).otherwise(F.col("session_id")), F.col("marker_number"), F.when(F.col("marker_number") % 5 == 0, "A")).alias("label")), "SELECT session_id, marker_number, CASE WHEN marker_number % 2 = 0 AND marker_number IN (2) THEN 'Turn 1/2, Variante del Rettifilo' WHEN marker_number = 4 THEN 'Turn 4/5, Variante della Roggia' WHEN marker_number = 6 THEN 'Turn 6, Lesmo 1' WHEN marker_number IN (8, 10) THEN 'Turn 8/9/10, Variante Ascari' ELSE concat('Turn ', marker_number, CASE WHEN marker_number % 5 = 0 THEN 'A' ELSE '' END) END AS label FROM fx_markers"),
     "status_name": (lambda fx: fx.track_status.select("session_id", "event_time_ms", X.status_sentence(X.status_name(F.col("status_code"))).alias("text")), "SELECT session_id, event_time_ms, CASE status_code WHEN '1' THEN 'track_clear' WHEN '2' THEN 'Yellow flag' WHEN '4' THEN 'Safety car deployed' WHEN '5' THEN 'Red flag' WHEN '6' THEN 'Virtual safety car deployed' ELSE 'Virtual safety car ending' END AS text FROM fx_track_status"),
+    "exact_percentiles": (lambda fx: r6(exact_percentiles(fx.telemetry, ["session_id", "gear"], "speed_kmh", {"p05": 0.05, "p50": 0.5, "p99": 0.99}, 20), "p05", "p50", "p99"), "SELECT session_id, gear, round(quantile_cont(speed_kmh, 0.05), 6) AS p05, round(quantile_cont(speed_kmh, 0.5), 6) AS p50, round(quantile_cont(speed_kmh, 0.99), 6) AS p99 FROM fx_telemetry WHERE speed_kmh IS NOT NULL GROUP BY ALL"),
     "null_safe_difference": (lambda fx: fx.laps.select("lap_id", (F.col("sector_1_ms") - F.col("sector_3_ms")).alias("d")), "SELECT lap_id, sector_1_ms - sector_3_ms AS d FROM fx_laps"),
     "time_bucket": (lambda fx: fx.telemetry.select("source_sample_index", X.time_bucket(F.col("session_time_ms"), 300_000).alias("b")), "SELECT source_sample_index, CAST(floor(session_time_ms / 300000) * 300000 AS BIGINT) AS b FROM fx_telemetry"),
     "quality_family": (lambda fx: fx.aligned.groupBy("session_id", X.quality_family(F.col("quality_flags")).alias("family")).agg(F.count(F.lit(1)).alias("n")), f"SELECT session_id, {FAMILY} AS family, count(*) AS n FROM fx_aligned GROUP BY ALL"),
