@@ -13,6 +13,7 @@ from ..functions.columns import FAMILIES, first_match, message_taxonomy, normali
 from .aggregates import lap_channel_features, marker_bounds, speed_profile
 from .joins import lap_race_control, lap_status_overlap, overlap_counts, track_status_periods
 from .lookups import top_n
+from .selection import exact_percentiles
 from .sequences import lap_gap_features, position_step_features
 
 LAP = ["session_id", "driver_code", "lap_number"]
@@ -302,11 +303,14 @@ def threshold_sensitivity(features: DataFrame, profiles: DataFrame, sessions: Da
     return out.withColumn("threshold_sensitive_pct", 100.0 * F.col("threshold_sensitive_laps") / F.col("total_laps"))
 
 
-def speed_profile_baselines(df: DataFrame, required_bins: int = 12) -> DataFrame:
-    """Per session and bin, over clean laps with enough bins: 10th percentile, median and 90th of speed."""
+def speed_profile_baselines(df: DataFrame, required_bins: int = 12, accuracy: int | None = None) -> DataFrame:
+    """Per session and bin, over clean laps with enough bins: 10th percentile, median and 90th of speed. ``accuracy``: by :func:`.selection.exact_percentiles`, for bins of very many laps."""
     rows = df.where(~F.col("bad_lap_any_category") & (F.col("speed_profile_bins_present") >= required_bins))
     long = rows.select("session_id", F.explode(F.array(*(F.struct(F.lit(k).alias("bin"), F.col(b).alias("v")) for k, b in enumerate(BINS, 1)))).alias("x")).select("session_id", "x.*").where("v is not null")
-    return long.groupBy("session_id", "bin").agg(_n().alias("laps"), F.percentile("v", 0.1).alias("q10"), F.median("v").alias("median"), F.percentile("v", 0.9).alias("q90"))
+    by, shares = ["session_id", "bin"], {"q10": 0.1, "median": 0.5, "q90": 0.9}
+    if accuracy is None:
+        return long.groupBy(*by).agg(_n().alias("laps"), *(F.percentile("v", p).alias(name) for name, p in shares.items()))
+    return long.groupBy(*by).agg(_n().alias("laps")).join(exact_percentiles(long, by, "v", shares, accuracy), by)
 
 
 def shape_examples(df: DataFrame, sessions: DataFrame, limit: int = 12) -> DataFrame:

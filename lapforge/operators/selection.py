@@ -53,5 +53,5 @@ def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[s
     # the first values whose running count exceeds the rank, and the one after it
     picked = cells.join(named, same).groupBy(*by, "_i").agg(F.min(F.when(F.col("_to") > at, F.col("_cell"))).alias("_a"), F.min(F.when(F.col("_to") > at + 1, F.col("_cell"))).alias("_b"), F.first("_rank").alias("_rank"))
     share = F.col("_rank") - at
-    picked = picked.withColumn("_p", F.when(share > 0, F.col("_a") + (F.col("_b") - F.col("_a")) * share).otherwise(F.col("_a")))
+    picked = picked.withColumn("_p", F.when(share > 0, (at + 1 - F.col("_rank")) * F.col("_a") + share * F.col("_b")).otherwise(F.col("_a")))
     return picked.groupBy(*by).agg(*(F.max(F.when(F.col("_i") == i, F.col("_p"))).alias(name) for i, name in enumerate(names)))

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lapforge.operators import grids, quality
 from lapforge.operators.selection import exact_percentiles
+from lapforge.sources.fixtures import Fixtures
 
 SHARES = {"least": 0.0, "p1": 0.01, "p10": 0.1, "mid": 0.5, "p90": 0.9, "p999": 0.999, "most": 1.0}
 
@@ -37,3 +39,14 @@ def test_brackets_are_small(spark):
     out = exact_percentiles(df, ["g"], "v", {"m": 0.5, "p95": 0.95}, 1000)
     got, want = out.first(), df.agg(F.percentile("v", [0.5, 0.95])).first()[0]
     assert np.allclose([got["m"], got["p95"]], want, rtol=1e-12)
+
+
+def test_reports_by_selection(spark, sf_dir):
+    """Stream diagnostics and speed baselines are the same either way."""
+    fx = Fixtures(spark, sf_dir)
+    plain = grids.stream_diagnostics(fx.telemetry)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, grids.stream_diagnostics(fx.telemetry, accuracy=20).select(plain.columns).collect()))
+    laps = spark.createDataFrame([(f"s{k % 2}", False, 20, *(float((k * b * 37) % 101) for b in range(1, 21))) for k in range(120)], ["session_id", "bad_lap_any_category", "speed_profile_bins_present", *quality.BINS])
+    rows = lambda df: {(r["session_id"], r["bin"]): (r["laps"], *(round(r[c], 9) for c in ("q10", "median", "q90"))) for r in df.collect()}
+    want = rows(quality.speed_profile_baselines(laps))
+    assert len(want) == 40 and rows(quality.speed_profile_baselines(laps, accuracy=10)) == want
