@@ -1,9 +1,10 @@
 """URL filters: a temporal join of captures with dated list entries.
 
 Entries of a list add or remove a pattern at a time. Between two entries of a pattern it is listed or
-not, so entries become validity intervals; a capture is judged by the intervals that hold its fetch
-time. Both sides meet in equal time slots of a pattern, so a frequent host is dealt out by time and
-only neighbours in time are compared.
+not, so entries become validity intervals; a capture is judged by the interval that holds its fetch
+time. That is an as-of join: captures and intervals of a pattern are ordered together, and each capture
+takes the last interval that began. They are ordered within time slots, and each slot starts from the
+last interval of the slots before, so a frequent host is dealt to many tasks and nothing is copied.
 """
 
 from __future__ import annotations
@@ -94,9 +95,15 @@ def judge_captures(captures: DataFrame, entries: DataFrame, slots: int = SLOTS)
     asked = own.select("url", "fetched_at", slot(fetched).alias("slot"), F.explode(patterns_of(F.col("url"))).alias("pattern"))
     lists = validity(entries)
     since, until = _seconds(lists, "since"), _seconds(lists, "until")
-    first, last = F.greatest(slot(since), F.lit(0)), F.least(F.coalesce(slot(until), F.lit(slots)), F.lit((hi - lo) // width))
-    dealt = lists.where((since <= hi) & (F.col("until").isNull() | (until >= lo))).select("pattern", "since", "until", F.explode(F.sequence(first, last)).alias("slot"))
-    held = asked.join(dealt, ["pattern", "slot"]).where("since <= fetched_at and (until is null or fetched_at < until)")
+    # what began before the first capture is in a slot of its own
+    held = lists.where((since <= hi) & (F.col("until").isNull() | (until >= lo))).select("pattern", F.greatest(slot(since), F.lit(-1)).alias("slot"), F.col("since").alias("t"), F.struct("since", "until").alias("held"))
+    points = asked.select("pattern", "slot", F.col("fetched_at").alias("t"), F.lit(1).alias("o"), F.struct("url", "fetched_at").alias("capture")).unionByName(held.withColumn("o", F.lit(0)), allowMissingColumns=True)
+    before = Window.partitionBy("pattern").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # at most slots + 1 rows
+    started = points.groupBy("pattern", "slot").agg(F.max("held").alias("last")).select("pattern", "slot", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    running = Window.partitionBy("pattern", "slot").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
+    found = points.withColumn("held", F.last("held", ignorenulls=True).over(running)).where("o = 1").join(started, ["pattern", "slot"])
+    active = F.coalesce("held", "carried")
+    held = found.select("capture.*", "pattern", active["since"].alias("since"), active["until"].alias("until")).where("since is not null and (until is null or fetched_at < until)")
     best = held.groupBy("url", "fetched_at").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since")).alias("best"))
     best = best.select("url", "fetched_at", F.col("best.pattern").alias("rule"), F.col("best.since").alias("rule_since"))
     joined = captures.join(best, ["url", "fetched_at"], "left")

@@ -413,6 +413,28 @@ def test_validity_equals_one_ordered_pass(spark, slots):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("slots", [1, 4, 64])
+def test_captures_take_the_last_entry(spark, slots):
+    """One hot host with many captures and entries, against a scan of all entries; also entries before the first and after the last capture."""
+    rng = random.Random(18)
+    rows = [(rng.choice(["host:hot.org"] * 5 + ["domain:hot.org", "host:cold.org", "prefix:hot.org/a/"]), rng.randrange(2000), rng.random() < 0.6, k) for k in range(250)] + [("host:old.org", -5000, True, 900), ("host:new.org", 9000, True, 901)]
+    caps = [(k, rng.choice(["http://hot.org/a/b", "http://hot.org/c", "http://cold.org", "http://old.org", "http://new.org"]), rng.randrange(100, 1900)) for k in range(500)]
+    at = lambda c: F.timestamp_seconds(F.col(c) + 1711843200)
+    entries = spark.createDataFrame(rows, "pattern string, s long, added boolean, seq int").withColumn("at", at("s")).drop("s")
+    captures = spark.createDataFrame(caps, "id int, url string, s long").withColumn("fetched_at", at("s"))
+    want = {}
+    for k, url, t in caps:
+        host, active = url.split("/")[2], []
+        for p in {f"host:{host}", f"domain:{host}", *(["prefix:hot.org/a/"] if "/a/" in url else [])}:
+            own = sorted((s, n, added) for q, s, added, n in rows if q == p and s <= t)
+            if own and own[-1][2]:
+                active.append((len(p), p))
+        want[k] = max(active)[1] if active else None
+    for right in (entries, entries.withColumn("at", F.col("at").cast("timestamp_ntz"))) if slots == 4 else (entries,):
+        left = captures if right is entries else captures.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+        assert {r["id"]: r["rule"] for r in url_lists.judge_captures(left, right, slots).collect()} == want
+
+
 # language ID
 
 
