@@ -38,11 +38,18 @@ def stream_dedupe(samples: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def stream_pair_positions(samples: DataFrame, positions: DataFrame, within_ms: int = 500, late: str = "1 minute") -> DataFrame:
-    """All pairs of a driver's samples and positions at most ``within_ms`` apart; both sides keep rows no longer than that and ``late``."""
+    """All pairs of a driver's samples and positions at most ``within_ms`` apart; both sides keep rows no longer than that and ``late``.
+
+    Samples and positions meet in time slots, for a streaming join compares all rows of equal keys: a
+    sample lies in one slot, a position is copied to those that its pairs can lie in, two at most.
+    """
     # rows without a session or driver pair with none; a streaming join would hold them equal
     samples, positions = (df.where("session_id is not null and driver_code is not null") for df in (samples, positions))
-    a = samples.withWatermark("sample_time_utc", late).select("session_id", "driver_code", F.col("sample_time_utc").alias("car_time"), F.col("source_sample_index").alias("car_index"))
-    b = positions.withWatermark("sample_time_utc", late).select(F.col("session_id").alias("s2"), F.col("driver_code").alias("d2"), F.col("sample_time_utc").alias("place_time"), "x", "y")
+    reach = int(within_ms) * 1000
+    us, width = F.unix_micros("sample_time_utc"), max(4 * reach, 1000)
+    slot = lambda t: F.floor(t / width)
+    a = samples.withWatermark("sample_time_utc", late).select("session_id", "driver_code", slot(us).alias("slot"), F.col("sample_time_utc").alias("car_time"), F.col("source_sample_index").alias("car_index"))
+    b = positions.withWatermark("sample_time_utc", late).select(F.col("session_id").alias("s2"), F.col("driver_code").alias("d2"), F.explode(F.sequence(slot(us - reach), slot(us + reach))).alias("slot2"), F.col("sample_time_utc").alias("place_time"), "x", "y")
     gap = F.expr(f"interval {int(within_ms)} milliseconds")
-    on = (F.col("session_id") == F.col("s2")) & (F.col("driver_code") == F.col("d2")) & (F.col("place_time") >= F.col("car_time") - gap) & (F.col("place_time") <= F.col("car_time") + gap)
-    return a.join(b, on).drop("s2", "d2")
+    on = (F.col("session_id") == F.col("s2")) & (F.col("driver_code") == F.col("d2")) & (F.col("slot") == F.col("slot2")) & (F.col("place_time") >= F.col("car_time") - gap) & (F.col("place_time") <= F.col("car_time") + gap)
+    return a.join(b, on).drop("s2", "d2", "slot", "slot2")

@@ -1,6 +1,7 @@
 """Streams over files: several micro-batches, restarts from the checkpoint, late rows, and the batch twins."""
 
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,19 @@ def test_pairs_across_batches_and_without_keys(spark, tmp_path):
     assert [r["car_index"] for r in runs.results(spark, f"{folder}/out", stream.schema).collect()] == [1]
 
 
+def test_pairs_of_one_long_stream_meet_in_slots(spark):
+    """200,000 samples and as many positions of one driver: all pairs of rows would be 4e10."""
+    start = time.time()
+    at = lambda shift: F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("id") * 400 + shift)
+    rows = spark.range(200_000).select(F.lit("s").alias("session_id"), F.lit("A").alias("driver_code"), "id")
+    cars = rows.select("session_id", "driver_code", at(0).alias("sample_time_utc"), F.col("id").alias("source_sample_index"))
+    places = rows.select("session_id", "driver_code", at(100).alias("sample_time_utc"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    # positions lie 300 ms before, 100 and 500 ms after each sample
+    assert ST.stream_pair_positions(cars, places).count() == 3 * 200_000 - 2
+    assert ST.stream_pair_positions(cars, places, 0).count() == 0
+    assert time.time() - start < 60
+
+
 def test_empty_inputs(spark, tmp_path):
     got = runs.replay({"rows": samples(spark, ("s", "A", "10:00:00", 1.0)).limit(0)}, ST.stream_tumbling_metrics, str(tmp_path / "x"))
     assert got.isEmpty() and "samples" in got.columns
