@@ -24,6 +24,11 @@ def _islands(rows: DataFrame, by: list[str], order: list, condition: Column) ->
     return numbered.where("_met").drop("_met")
 
 
+def _source_order(rows: DataFrame) -> list[str]:
+    """What orders samples at one time, where the table has it."""
+    return [c for c in ["source_sample_index"] if c in rows.columns]
+
+
 def _run_columns(at: Column) -> list[Column]:
     return [
         F.min_by("speed_kmh", at).alias("entry_speed_kmh"),
@@ -39,7 +44,8 @@ def detect_windows(samples: DataFrame, event: str, positions: DataFrame | None =
     """Runs of samples of a driver that meet an event's condition, at least ``min_ms`` long; they may span laps.
 
     Entry and exit speed are the first and last, null or not. With positions and markers, the nearest
-    corner of the run's first sample.
+    corner of the run's first sample; of several positions at its time the one nearest to a corner. Of
+    samples at one time the first by source order comes first, where the table has it.
     """
     if event not in EVENTS:
         raise ValueError(f"event must be one of {list(EVENTS)}")
@@ -53,13 +59,16 @@ def detect_windows(samples: DataFrame, event: str, positions: DataFrame | None =
     if lap_to is not None:
         rows = rows.where(F.col("lap_number") <= lap_to)
     keys = ["session_id", "driver_code"]
-    runs = _islands(rows, keys, ["session_time_ms", "sample_time_utc"], F.expr(EVENTS[event]))
-    at = F.struct("session_time_ms", "sample_time_utc")
+    order = ["session_time_ms", "sample_time_utc", *_source_order(rows)]
+    runs = _islands(rows, keys, order, F.expr(EVENTS[event]))
+    at = F.struct(*order)
     out = runs.groupBy(*keys, "island").agg(F.min("sample_time_utc").alias("start_sample_time_utc"), F.min("lap_number").alias("lap_number"), F.min("session_time_ms").alias("start_session_time_ms"), F.max("session_time_ms").alias("end_session_time_ms"), F.min("lap_time_ms").alias("start_lap_time_ms"), F.max("lap_time_ms").alias("end_lap_time_ms"), *_run_columns(at))
-    out = out.withColumn("duration_ms", F.col("end_session_time_ms") - F.col("start_session_time_ms")).where(F.col("duration_ms") >= min_ms).drop("island")
+    out = out.withColumn("duration_ms", F.col("end_session_time_ms") - F.col("start_session_time_ms")).where(F.col("duration_ms") >= min_ms)
     if positions is not None and markers is not None:
-        out = nearest_corner(window_start_position(out, positions), markers)
-    return top_n(out, ["session_id"], ["start_session_time_ms", "driver_code"], limit)
+        near = Window.partitionBy(*keys, "island").orderBy(*(F.col(c).asc_nulls_last() for c in ("distance_to_corner", "marker_number", "x", "y")))
+        out = nearest_corner(window_start_position(out, positions), markers).withColumn("_r", F.row_number().over(near)).where("_r = 1").drop("_r")
+    # two runs of a driver may begin in one millisecond
+    return top_n(out, ["session_id"], ["start_session_time_ms", "driver_code", "island"], limit).drop("island")
 
 
 def braking_zones(samples: DataFrame, threshold: float = 80, min_ms: int = 250) -> DataFrame:
@@ -67,8 +76,9 @@ def braking_zones(samples: DataFrame, threshold: float = 80, min_ms: int = 250)
     check_range("threshold", int(threshold), 1, 100)
     check_range("min_ms", min_ms, 0, 10_000)
     keys = ["session_id", "driver_code", "lap_number"]
-    runs = _islands(samples.where("lap_time_ms is not null"), keys, ["lap_time_ms", "sample_time_utc"], F.col("brake_pct") >= threshold)
-    at = F.struct("lap_time_ms", "sample_time_utc")
+    order = ["lap_time_ms", "sample_time_utc", *_source_order(samples)]
+    runs = _islands(samples.where("lap_time_ms is not null"), keys, order, F.col("brake_pct") >= threshold)
+    at = F.struct(*order)
     out = runs.groupBy(*keys, "island").agg(F.min("lap_time_ms").alias("start_lap_time_ms"), F.max("lap_time_ms").alias("end_lap_time_ms"), *_run_columns(at))
     out = out.withColumn("duration_ms", F.col("end_lap_time_ms") - F.col("start_lap_time_ms")).where(F.col("duration_ms") >= min_ms)
     return out.withColumn("zone_index", F.row_number().over(Window.partitionBy(*keys).orderBy("start_lap_time_ms"))).drop("island")
