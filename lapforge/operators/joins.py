@@ -46,12 +46,14 @@ def window_start_position(windows: DataFrame, positions: DataFrame, time: str =
 
 
 def nearest_position(samples: DataFrame, positions: DataFrame, within_ms: int = 500) -> DataFrame:
-    """``samples`` with x, y, z and offset_ms of the position nearest in time, at most ``within_ms`` away; of two the earlier."""
+    """``samples`` with x, y, z and offset_ms of the position nearest in time, at most ``within_ms`` away; of two the earlier, of two at one time the first by source order."""
     ms = F.unix_millis("sample_time_utc")
+    # distances are whole milliseconds; within one the time itself decides
+    own_order = [c for c in ["source_sample_index"] if c in positions.columns]
     own = samples.withColumn("_ms", ms).withColumn("_slot", F.floor(F.col("_ms") / within_ms))
-    spread = positions.select("session_id", "driver_code", ms.alias("_pms"), "x", "y", "z").withColumn("_slot", F.explode(F.array(*(F.floor(F.col("_pms") / within_ms) + k for k in (-1, 0, 1)))))
+    spread = positions.select("session_id", "driver_code", ms.alias("_pms"), F.unix_micros("sample_time_utc").alias("_pus"), *own_order, "x", "y", "z").withColumn("_slot", F.explode(F.array(*(F.floor(F.col("_pms") / within_ms) + k for k in (-1, 0, 1)))))
     near = own.select("session_id", "driver_code", "_ms", "_slot").distinct().join(spread, ["session_id", "driver_code", "_slot"]).withColumn("_d", F.abs(F.col("_pms") - F.col("_ms"))).where(F.col("_d") <= within_ms)
-    best = near.groupBy("session_id", "driver_code", "_ms").agg(F.min(F.struct("_d", "_pms", "x", "y", "z")).alias("_b"))
+    best = near.groupBy("session_id", "driver_code", "_ms").agg(F.min(F.struct("_d", "_pus", *own_order, "_pms", "x", "y", "z")).alias("_b"))
     joined = own.join(best, ["session_id", "driver_code", "_ms"], "left")
     return joined.select(*samples.columns, F.col("_b.x").alias("x"), F.col("_b.y").alias("y"), F.col("_b.z").alias("z"), (F.col("_b._pms") - F.col("_ms")).alias("offset_ms"))
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lapforge.operators.joins import nearest_position
 from lapforge.operators.sequences import braking_zones, detect_windows
 
 CAR = "session_id string, driver_code string, source_sample_index long, lap_number int, at string, session_time_ms long, lap_time_ms long, speed_kmh double, throttle_pct double, brake_pct double, drs int"
@@ -23,6 +24,15 @@ def places(spark, *rows):
     return table(spark, [("s", "A", k, f"2024-05-01 10:00:{t}", x, 0.0, 0.0) for k, t, x in rows], PLACE)
 
 
+@pytest.mark.parametrize("back", [False, True])
+def test_nearest_of_two_in_one_millisecond_is_the_earlier(spark, back):
+    rows = [(7, "01.200900", -5.0), (3, "01.200100", 9.0), (4, "01.200100", 1.0)]
+    at = places(spark, *(rows[::-1] if back else rows))
+    own = cars(spark, (1, "01.000000", 10.0, 0.0, 0))
+    assert [(r["x"], r["offset_ms"]) for r in nearest_position(own, at).collect()] == [(9.0, 200)]
+    assert [r["x"] for r in nearest_position(own, at.drop("source_sample_index").where("x <> 1")).collect()] == [9.0]
+
+
 @pytest.mark.parametrize("back", [False, True])
 def test_runs_of_samples_at_one_time_follow_source_order(spark, back):
     rows = [(1, "01.000000", 10.0, 90.0, 1), (2, "01.000000", 20.0, 10.0, 0), (3, "01.000000", 30.0, 95.0, 1), (4, "01.000000", None, 99.0, 1)]
