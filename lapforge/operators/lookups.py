@@ -60,7 +60,8 @@ def lap_telemetry(samples: DataFrame, channels: list[str] | None = None, every:
 def _chunk(rows: DataFrame, start_ms: int, duration_ms: int, every: int) -> DataFrame:
     check_range("duration_ms", duration_ms, 1, 120_000_000)
     check_range("every", every, 1, 100)
-    order = Window.partitionBy("session_id", "driver_code").orderBy("session_time_ms", "sample_time_utc")
+    # of samples at one time the first by source order, where the table has it
+    order = Window.partitionBy("session_id", "driver_code").orderBy("session_time_ms", "sample_time_utc", *(c for c in ["source_sample_index"] if c in rows.columns))
     inside = rows.where((F.col("session_time_ms") >= start_ms) & (F.col("session_time_ms") < start_ms + duration_ms))
     return inside.withColumn("_r", F.row_number().over(order)).where(f"(_r - 1) % {every} = 0").drop("_r")
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapforge.operators.joins import nearest_position
+from lapforge.operators.lookups import replay_chunk_raw
 from lapforge.operators.sequences import braking_zones, detect_windows
 
 CAR = "session_id string, driver_code string, source_sample_index long, lap_number int, at string, session_time_ms long, lap_time_ms long, speed_kmh double, throttle_pct double, brake_pct double, drs int"
@@ -33,6 +34,14 @@ def test_nearest_of_two_in_one_millisecond_is_the_earlier(spark, back):
     assert [r["x"] for r in nearest_position(own, at.drop("source_sample_index").where("x <> 1")).collect()] == [9.0]
 
 
+@pytest.mark.parametrize("back", [False, True])
+def test_chunks_count_samples_at_one_time_by_source_order(spark, back):
+    rows = [(k, "01.000000", float(k), 0.0, 0) for k in range(40)]
+    own = cars(spark, *(rows[::-1] if back else rows)).repartition(5)
+    got = replay_chunk_raw(own, None, 0, 5000, 2)
+    assert sorted(r["source_sample_index"] for r in got.collect()) == list(range(0, 40, 2))
+
+
 @pytest.mark.parametrize("back", [False, True])
 def test_runs_of_samples_at_one_time_follow_source_order(spark, back):
     rows = [(1, "01.000000", 10.0, 90.0, 1), (2, "01.000000", 20.0, 10.0, 0), (3, "01.000000", 30.0, 95.0, 1), (4, "01.000000", None, 99.0, 1)]
