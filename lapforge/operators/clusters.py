@@ -59,6 +59,17 @@ def message_cluster_summary(messages: DataFrame, clusters: DataFrame) -> DataFra
 SHAPE_FEATURES = ["lap_time_ms", "car_samples", "position_samples", "car_coverage_ratio", "car_p95_gap_ms", "car_max_gap_ms", "position_path_ratio", "position_max_segment_units", "speed_shape_rms_kmh", "telemetry_null_rate", "position_null_rate", "safety_car_periods", "virtual_safety_car_periods", "red_flag_periods"]
 
 
+#: What the profile of clusters tells of its laps, besides the features.
+PROFILE = ["bad_lap_any_category", "speed_shape_rms_kmh", "pit_lane_or_safety_car_influenced", "import_or_source_data_anomaly", "position_trace_discontinuity"]
+
+
+def _kept(laps: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``laps``, written once: laps are derived from all samples, and every fit and pass reads them."""
+    out, path = laps.select(*dict.fromkeys(columns)), shared_path(laps.sparkSession, "laps")
+    out.write.parquet(path)
+    return laps.sparkSession.read.schema(out.schema).parquet(path)
+
+
 @dataclass
 class Shapes:
     """points: (id, hash, features) of laps; plane: (lap_id, component_1, component_2); explained: shares of variance of the two components."""
@@ -99,6 +110,7 @@ def lap_shape_clusters(laps: DataFrame, k: int = 7, seed: int = 0, starts: int =
     under a safety car, of anomalous source, with jumps in position; medians of shape rms, lap time
     and coverage; and for all clusters alike the silhouette and the shares of variance in the plane.
     """
+    laps = _kept(laps, ["lap_id", "primary_category", "speed_shape_excess_kmh", *SHAPE_FEATURES, *BINS, *PROFILE])
     shapes = lap_shapes(laps)
     models = lloyd.fit(shapes.points, [lloyd.Model(k, seed * starts + i) for i in range(starts)])
     lloyd.assess(shapes.points, models)
@@ -148,7 +160,7 @@ def adjusted_rand(labels: DataFrame, a: str, b: str, by: list[str] = ()) -> Data
 
 def cluster_stability(laps: DataFrame, ks: tuple[int, ...] = (5, 6, 7, 8, 9), seeds: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Per number of clusters and seed: silhouette, and the adjusted Rand index against the first seed. All models are fitted together."""
-    points = lap_shapes(laps).points
+    points = lap_shapes(_kept(laps, ["lap_id", *SHAPE_FEATURES, *BINS])).points
     models = lloyd.fit(points, [lloyd.Model(k, seed) for k in ks for seed in seeds])
     lloyd.assess(points, models)
     at = {(m.k, m.seed): i for i, m in enumerate(models)}
