@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .gru import END, UNKNOWN, Model, Trainer
-from .words import split_words, word_hashes
+from .words import split_hashes
 
 #: Words whose counts are broadcast, at most; and words that the model knows.
 FREQUENT, VOCABULARY = 200_000, 2046
@@ -38,8 +38,8 @@ COUNT_AT, SCORE_AT = 1 << 20, 1 << 20
 
 def _own(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of a batch's distinct words as signed numbers, each word's place among them, and where texts begin."""
-    words, codes, at = split_words(batch.column("text"))
-    return word_hashes(words).view(np.int64), codes, at
+    hashes, codes, at = split_hashes(batch.column("text"))
+    return hashes.view(np.int64), codes, at
 
 
 def count_words(docs: DataFrame) -> DataFrame:

@@ -11,23 +11,36 @@ import xxhash
 PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD1B54A32D192ED03 << k) & (1 << 64) - 1 | 1 for k in range(16)], np.uint64)
 
 
-def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of whole texts: A-Z lower-cased, cut at space and U+0009 to U+000D. Null: no words.
-
-    Returns the distinct words, each word's place among them in text order, and where each text's
-    words begin (one entry more).
-    """
+def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     if not len(lists):
-        return [], np.zeros(0, np.int64), np.zeros(1, np.int64)
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(1, np.int64)
     flat = lists.flatten()
     at = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
     full = pc.greater(pc.binary_length(flat), 0)
     kept = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
     coded = flat.filter(full).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), kept[at]
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), kept[at]
+
+
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of whole texts: A-Z lower-cased, cut at space and U+0009 to U+000D. Null: no words.
+
+    Returns the distinct words, each word's place among them in text order, and where each text's
+    words begin (one entry more).
+    """
+    words, codes, at = _coded(texts)
+    # by way of numpy: to_pylist makes a scalar of each word
+    return words.to_numpy(zero_copy_only=False).tolist(), codes, at
+
+
+def split_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`split_words` with :func:`word_hashes` of the distinct words in their place; no word becomes a string."""
+    words, codes, at = _coded(texts)
+    raw = words.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary())
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, raw.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(raw)), codes, at
 
 
 def word_hashes(words: list[str]) -> np.ndarray:

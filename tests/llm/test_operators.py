@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lapforge.llm import common, decontaminate, fingerprints, gru, jaccard, langid, licences, lm_score, packing, pii, token_files, url_lists
 from lapforge.llm.tokens import PieceEncoder
-from lapforge.llm.words import split_words
+from lapforge.llm.words import split_hashes, split_words, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -773,3 +773,18 @@ def test_words_are_cut_at_ascii_blanks():
     texts = ["a\x0bB c\x1cd", None, " \t", "É x  y ", ""]
     words, codes, at = split_words(pa.array(texts))
     assert [[words[c] for c in codes[a:b]] for a, b in zip(at, at[1:])] == [WORDS.findall(lower(t)) for t in texts]
+
+
+def test_hashes_are_those_of_the_words():
+    texts = pa.array(["a\x0bB c\x1cd", None, " \t", "É x  y a ", ""])
+    for t in (texts, texts.slice(1, 3), texts.cast(pa.large_string()), texts.slice(0, 0)):
+        words, codes, at = split_words(t)
+        hashes, codes2, at2 = split_hashes(t)
+        assert (hashes == word_hashes(words)).all() and hashes.dtype == np.uint64 and (codes == codes2).all() and (at == at2).all()
+
+
+def test_no_distinct_word_becomes_a_scalar(monkeypatch):
+    """Counting, training and scoring hash words from their bytes."""
+    monkeypatch.setattr(lm_score, "split_words", None, raising=False)
+    hashes, codes, at = lm_score._own(pa.record_batch([pa.array(["b a b"])], ["text"]))
+    assert (hashes == word_hashes(["b", "a"]).view(np.int64)).all() and codes.tolist() == [0, 1, 0] and at.tolist() == [0, 3]
