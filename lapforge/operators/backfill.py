@@ -33,7 +33,8 @@ def run_backfill(
     bare = chosen.join(parents, "session_id", "left_anti").limit(10).collect()
     if bare:
         raise ValueError(f"sessions without drivers or laps: {sorted(r['session_id'] for r in bare)}")
-    s, l, p = (df.join(chosen, "session_id", "left_semi") for df in (samples, laps, positions))
+    # without the hint, all rows of a session would meet in one task
+    s, l, p = (df.join(F.broadcast(chosen), "session_id", "left_semi") for df in (samples, laps, positions))
     grid = project_distance_grid(s, l, p, step_m, max_gap_ms, max_age_ms, max_position_gap_ms)
     version = commits.stage({"lap_distance": grid}, root, TABLES)
     # the report reads the distance rows that are stored

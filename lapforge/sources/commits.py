@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +37,19 @@ def stage(tables: dict[str, DataFrame], root: str, sort: dict[str, list[str]] |
     """Writes the tables under a new version (or one more table under a given one) that no reader sees yet; returns the version.
 
     Each table is cut by ranges of session and its ``sort`` columns, so a large session is many tasks
-    and files, and each file holds a short range of them.
+    and files, and each file holds a short range of them. Ranges are found by a pass of their own, so
+    rows are kept on the executors' disks until they are written, and derived once.
     """
     version = version or f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
         order = ["session_id", *(sort or {}).get(name, [])]
-        df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("session_id").parquet(f"{root}/{name}/version={version}")
+        held = df.storageLevel.useDisk or df.storageLevel.useMemory
+        kept = df if held else df.persist(StorageLevel.DISK_ONLY)
+        try:
+            kept.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("session_id").parquet(f"{root}/{name}/version={version}")
+        finally:
+            if not held:
+                kept.unpersist()
     return version
 
 

@@ -1,5 +1,7 @@
 """The backfill of distance rows: chosen sessions, positions, and tables that change together."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,29 @@ def test_choice_of_sessions(spark):
 def test_sessions_without_parents_are_an_error(spark, fx, tmp_path):
     with pytest.raises(ValueError, match="2024-day"):
         backfill.run_backfill(str(tmp_path / "s"), fx.sessions, fx.drivers.limit(0), fx.telemetry, fx.laps, fx.positions, limit=1)
+
+
+def test_rows_are_dealt_out_by_lap_and_ordered_once(spark, fx):
+    """A session is no unit of work, and a lap's windows share one exchange and one order."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    text = plan(grids.lap_distances(fx.telemetry))
+    assert text.count("Exchange hashpartitioning") == 1 and len(re.findall(r"\bSort \[", text)) == 1
+    few = spark.createDataFrame(fx.sessions.select("session_id").limit(3).collect(), "session_id string")
+    for df in grids.backfill_distance(few, fx.telemetry, fx.laps, fx.positions, 5000.0):
+        # the list of sessions is made distinct by its key; samples, positions and laps go by lap
+        by_session = [line for line in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(df)) if re.fullmatch(r"session_id#\d+, \d+", line)]
+        assert len(by_session) <= plan(df).count("HashAggregate(keys=[session_id#") // 2
+
+
+def test_staged_rows_are_derived_once(spark, tmp_path):
+    seen, kept = spark.sparkContext.accumulator(0), spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(1000).selectExpr("concat('s', cast(id % 3 as string)) as session_id", "id").mapInArrow(count, "session_id string, id long")
+    version = commits.stage({"t": rows}, str(tmp_path), {"t": ["id"]})
+    assert seen.value == 1000 and spark.read.parquet(f"{tmp_path}/t/version={version}").count() == 1000
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
