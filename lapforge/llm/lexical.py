@@ -27,8 +27,8 @@ BLOCK_POSTINGS = 1 << 19
 BEST = 10
 #: Terms of items that are searched at once; more items are taken in blocks, each of which passes over the index.
 QUERY_TERMS = 1 << 18
-#: Parquet row groups of the index: readers hold one at a time.
-ROW_GROUP = 16 << 20
+#: Blocks of one Parquet row group of the index: writers and readers hold one group at a time. A limit in bytes is first looked at after 100 rows, hundreds of MB.
+GROUP_BLOCKS = 1
 
 #: Every byte as terms have it: A-Z lower-cased, what stands between terms a space; all bytes of other characters belong to terms.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -155,7 +155,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield block(parts)
 
     path = common.new_path(docs.sparkSession, "lexical")
-    docs.mapInArrow(blocks, INDEX).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    docs.mapInArrow(blocks, INDEX).write.option("parquet.block.row.count.limit", GROUP_BLOCKS).parquet(path)
     common.forget_later(docs.sparkSession, path)
     return Index(docs.sparkSession.read.schema(INDEX).parquet(path), n_docs, n_terms)
 

@@ -7,6 +7,7 @@ from math import floor, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,6 +89,16 @@ def test_search_edge_cases(spark):
     assert {r[2] for r in want if r[0] == 2} == {404, 405} and len([r for r in want if r[0] == 2]) == 3
 
 
+def test_each_block_is_a_row_group_of_its_own(spark):
+    """Writers and readers hold one row group, so it must not grow with a task's documents."""
+    docs = spark.range(25_000).selectExpr("id as doc_id", "concat('a', id % 50, ' b', id) as text").coalesce(1)
+    rows = lexical.build_index(docs, block_postings=10).rows
+    (file,) = rows.inputFiles()
+    stored = pq.ParquetFile(file.removeprefix("file://")).metadata
+    # a block ends with an Arrow batch, so it is at most 10,000 documents here
+    assert stored.num_rows > 1 and stored.num_row_groups == stored.num_rows == rows.count()
+
+
 def test_search_of_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert lexical.search(lexical.build_index(docs), items).isEmpty()
