@@ -40,8 +40,8 @@ def _run_columns(at: Column) -> list[Column]:
     ]
 
 
-def detect_windows(samples: DataFrame, event: str, positions: DataFrame | None = None, markers: DataFrame | None = None, drivers: list[str] | None = None, lap_from: int | None = None, lap_to: int | None = None, min_ms: int = 250, limit: int = 1000) -> DataFrame:
-    """Runs of samples of a driver that meet an event's condition, at least ``min_ms`` long; they may span laps.
+def detect_windows(samples: DataFrame, event: str, positions: DataFrame | None = None, markers: DataFrame | None = None, drivers: list[str] | None = None, lap_from: int | None = None, lap_to: int | None = None, min_ms: int = 250, limit: int | None = None) -> DataFrame:
+    """Runs of samples of a driver that meet an event's condition, at least ``min_ms`` long; they may span laps. With ``limit`` the first so many of a session.
 
     Entry and exit speed are the first and last, null or not. With positions and markers, the nearest
     corner of the run's first sample; of several positions at its time the one nearest to a corner. Of
@@ -50,7 +50,8 @@ def detect_windows(samples: DataFrame, event: str, positions: DataFrame | None =
     if event not in EVENTS:
         raise ValueError(f"event must be one of {list(EVENTS)}")
     check_range("min_ms", min_ms, 0, 10_000)
-    check_range("limit", limit, 1, 5000)
+    if limit is not None:
+        check_range("limit", limit, 1, 5000)
     rows = samples.where("session_time_ms is not null")
     if drivers:
         rows = rows.where(F.col("driver_code").isin(drivers))
@@ -67,8 +68,10 @@ def detect_windows(samples: DataFrame, event: str, positions: DataFrame | None =
     if positions is not None and markers is not None:
         near = Window.partitionBy(*keys, "island").orderBy(*(F.col(c).asc_nulls_last() for c in ("distance_to_corner", "marker_number", "x", "y")))
         out = nearest_corner(window_start_position(out, positions), markers).withColumn("_r", F.row_number().over(near)).where("_r = 1").drop("_r")
-    # two runs of a driver may begin in one millisecond
-    return top_n(out, ["session_id"], ["start_session_time_ms", "driver_code", "island"], limit).drop("island")
+    if limit is not None:
+        # two runs of a driver may begin in one millisecond
+        out = top_n(out, ["session_id"], ["start_session_time_ms", "driver_code", "island"], limit)
+    return out.drop("island")
 
 
 def braking_zones(samples: DataFrame, threshold: float = 80, min_ms: int = 250) -> DataFrame:
